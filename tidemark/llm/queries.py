@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tidemark.llm.chat import OP4_SQL, op4_chat
 from tidemark.llm.media import op6_media
 from tidemark.llm.quality import op5_quality
+from tidemark.llm.urls import OP8_SQL, op8_urls
 
-QUERIES = {"op5_quality": op5_quality, "op6_media": op6_media}
+QUERIES = {"op4_chat": op4_chat, "op5_quality": op5_quality, "op6_media": op6_media, "op8_urls": op8_urls}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op8_urls": OP8_SQL}
