@@ -5,8 +5,9 @@ from __future__ import annotations
 from tidemark.llm.chat import OP4_SQL, op4_chat
 from tidemark.llm.media import op6_media
 from tidemark.llm.quality import op5_quality
+from tidemark.llm.shards import OP10_SQL, op10_shards
 from tidemark.llm.urls import OP8_SQL, op8_urls
 
-QUERIES = {"op4_chat": op4_chat, "op5_quality": op5_quality, "op6_media": op6_media, "op8_urls": op8_urls}
+QUERIES = {"op4_chat": op4_chat, "op5_quality": op5_quality, "op6_media": op6_media, "op8_urls": op8_urls, "op10_shards": op10_shards}
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op8_urls": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op8_urls": OP8_SQL, "op10_shards": OP10_SQL}
