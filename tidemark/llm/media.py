@@ -24,7 +24,7 @@ from tidemark.llm.common import Workspace, filled, slices, table
 WIDTH = 64
 HEADER_BYTES = 33
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-INDEX = "digest string, shard string, offset long, length long, media_sha256 string"
+INDEX = "digest binary, shard string, offset long, length long, media_sha256 binary"
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -109,46 +109,38 @@ class ShardWriter:
 
 
 def store(docs: DataFrame, work: Workspace, text: str = "text", shard_bytes: int = 64 << 20) -> tuple[DataFrame, str]:
-    """Stores each distinct payload once. Returns the index (INDEX, a written table) and the shards' folder.
+    """Stores the payloads of docs. Returns the index (INDEX, a written table with one row a digest) and the shards' folder.
 
-    A task sends each payload on once however many of its rows have it, so a hot payload crosses the shuffle once a
-    task. Null and empty texts have the payload of 64 zero bytes. An empty table gives an empty index.
+    Payloads are written by the tasks that read them, so their bytes never cross a shuffle. A task stores a payload
+    once however many of its rows have it; of a payload that several tasks store, the index names the first place,
+    and the others are bytes that nothing names, until their shards are written anew. Null and empty texts have the
+    payload of 64 zero bytes. An empty table gives an empty index.
     """
     folder = work.next_path("shards")
 
-    def make(batches):
-        seen: set[bytes] = set()
+    def write(batches):
+        out, seen = ShardWriter(folder, TaskContext.get().partitionId(), shard_bytes), set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                digests, media = [], []
+                rows = []
                 for data in filled(part.column("text")).cast(pa.large_binary()).to_pylist():
                     payload = padded(data)
                     digest = hashlib.sha256(payload).digest()
                     if digest not in seen:
                         seen.add(digest)
-                        digests.append(digest)
-                        media.append(to_png(payload))
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(media, pa.binary())], ["digest", "media"])
-
-    def write(batches):
-        out, last = ShardWriter(folder, TaskContext.get().partitionId(), shard_bytes), None
-        for batch in batches:
-            rows = []
-            for digest, media in zip(batch.column("digest").to_pylist(), batch.column("media").to_pylist()):
-                if digest != last:
-                    shard, place = out.add(f"{digest.hex()}.png", media)
-                    rows.append((digest.hex(), shard, place, len(media), hashlib.sha256(media).hexdigest()))
-                    last = digest
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), KINDS)] if rows else [pa.array([], k) for k in KINDS], NAMES)
+                        media = to_png(payload)
+                        shard, place = out.add(f"{digest.hex()}.png", media)
+                        rows.append((digest, shard, place, len(media), hashlib.sha256(media).digest()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), KINDS)] if rows else [pa.array([], k) for k in KINDS], NAMES)
         out.close()
 
-    made = docs.select(F.col(text).alias("text")).mapInArrow(make, "digest binary, media binary")
-    index = made.repartition("digest").sortWithinPartitions("digest").mapInArrow(write, INDEX)
-    return work.write(index, "index"), folder
+    placed = work.write(docs.select(F.col(text).alias("text")).mapInArrow(write, INDEX), "placed")
+    first = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
+    return work.write(first.select("digest", "at.*"), "index"), folder
 
 
 NAMES = ["digest", "shard", "offset", "length", "media_sha256"]
-KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+KINDS = [pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
 
 def _ranged(index: DataFrame, folder: str, of, more: str) -> DataFrame:
@@ -156,7 +148,7 @@ def _ranged(index: DataFrame, folder: str, of, more: str) -> DataFrame:
     columns = list(index.columns)
     added = [x.split()[0] for x in more.split(", ")]
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in index.schema)}, {more}"
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches):
         files, base = open_folder(folder)
@@ -199,23 +191,28 @@ def read_features(index: DataFrame, folder: str) -> DataFrame:
     def of(read):
         media = bytes(read(None))
         payload = from_png(media)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(media).hexdigest(), describe(payload)
+        return len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), hashlib.sha256(media).digest(), describe(payload)
 
-    return _ranged(index, folder, of, "payload_bytes long, payload_sha256 string, tail_crc32 long, read_sha256 string, feature string")
+    return _ranged(index, folder, of, "payload_bytes long, payload_sha256 binary, tail_crc32 long, read_sha256 binary, feature string")
 
 
 def attach(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
     """Each row's key columns, digest and unpadded size, with what was found for its digest."""
     raw = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text), raw.alias("n_bytes"), F.sha2(payload_column(F.col(text)), 256).alias("digest"))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text), raw.alias("n_bytes"), F.unhex(F.sha2(payload_column(F.col(text)), 256)).alias("digest"))
     return rows.join(found, "digest")
 
 
+def hexed(name: str) -> Column:
+    return F.lower(F.hex(name))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index, folder = store(docs, Workspace(spark, "media"))
     placed = index.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     found = read_features(fill_metadata(placed, folder), folder)
     return attach(docs, found).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.col("length").alias("media_bytes"), F.col("read_sha256").alias("media_sha256"), "feature", "width", "height", "digest", "shard", "offset"
-    )
+        "doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"),
+        hexed("read_sha256").alias("media_sha256"), "feature", "width", "height", hexed("digest").alias("digest"),
+    )
