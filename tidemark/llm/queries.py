@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from tidemark.llm.chat import OP4_SQL, op4_chat
 from tidemark.llm.fingerprints import op3_fingerprints
+from tidemark.llm.lines import OP7_SQL, op7_lines
 from tidemark.llm.media import op6_media
 from tidemark.llm.neardup import op2_neardup
 from tidemark.llm.quality import op5_quality
 from tidemark.llm.shards import OP10_SQL, op10_shards
 from tidemark.llm.urls import OP8_SQL, op8_urls
 
-QUERIES = {"op2_neardup": op2_neardup, "op3_fingerprints": op3_fingerprints, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_media": op6_media, "op8_urls": op8_urls, "op10_shards": op10_shards}
+QUERIES = {"op2_neardup": op2_neardup, "op3_fingerprints": op3_fingerprints, "op4_chat": op4_chat, "op5_quality": op5_quality, "op6_media": op6_media, "op7_lines": op7_lines, "op8_urls": op8_urls, "op10_shards": op10_shards}
 
-ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op8_urls": OP8_SQL, "op10_shards": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_chat": OP4_SQL, "op7_lines": OP7_SQL, "op8_urls": OP8_SQL, "op10_shards": OP10_SQL}
