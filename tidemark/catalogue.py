@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tidemark import registry
+from tidemark.plans import aggregates, chunks, curation, events, ranking, relations, scans, sessions, streams, texts, vectors  # noqa: F401
+
 FLAGSHIP = "knn_prefilter"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
