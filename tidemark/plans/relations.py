@@ -1 +1,205 @@
+"""Queries of validation, joins and set operations."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.registry import query, read
+
+C = F.col
+
+
+def n():
+    return F.count(F.lit(1))
+
+
+def errors(*checks):
+    """array of the messages of the checks (condition, message) that fail."""
+    return F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), message) for ok, message in checks)), lambda e: e.isNotNull())
+
+
+def _checks():
+    return ((F.length("text") >= 20, "text too short"), (C("lang").isin("en", "de", "fr"), "unknown lang"), (C("n_chars") <= 10000, "text too long"), (C("source").rlike("^src[0-9]$"), "unknown source"))
+
+
+_ERRORS = "list_filter([CASE WHEN NOT length(text) >= 20 THEN 'text too short' END, CASE WHEN lang NOT IN ('en', 'de', 'fr') THEN 'unknown lang' END, CASE WHEN n_chars > 10000 THEN 'text too long' END, CASE WHEN NOT regexp_matches(source, '^src[0-9]$') THEN 'unknown source' END], lambda e: e IS NOT NULL)"
+
+
+@query("validate_collect_errors", f"SELECT doc_id, array_to_string({_ERRORS}, '; ') AS errors, len({_ERRORS}) = 0 AS valid FROM documents")
+def _(s, d):
+    return read(s, d, "documents").withColumn("e", errors(*_checks())).select("doc_id", F.array_join("e", "; ").alias("errors"), (F.size("e") == 0).alias("valid"))
+
+
+@query("validate_first_error", f"SELECT doc_id, list_sort({_ERRORS})[1] AS error FROM documents")
+def _(s, d):
+    return read(s, d, "documents").select("doc_id", F.get(F.array_sort(errors(*_checks())), F.lit(0)).alias("error"))
+
+
+@query("validation_summary", f"SELECT lang, count(*) AS checked, count(*) FILTER (n = 0) AS valid, count(*) FILTER (n > 0) AS invalid, sum(n)::BIGINT AS errors FROM (SELECT lang, len({_ERRORS}) AS n FROM documents) GROUP BY 1")
+def _(s, d):
+    e = read(s, d, "documents").select("lang", F.size(errors(*_checks())).cast("long").alias("n"))
+    return e.groupBy("lang").agg(n().alias("checked"), F.count_if(C("n") == 0).alias("valid"), F.count_if(C("n") > 0).alias("invalid"), F.sum("n").alias("errors"))
+
+
+@query("quarantine_split", f"SELECT CASE WHEN len({_ERRORS}) = 0 THEN 'accepted' ELSE 'quarantine' END AS route, count(*) AS n FROM documents GROUP BY 1")
+def _(s, d):
+    """Bad rows go aside with their errors; the batch goes on."""
+    rows = read(s, d, "documents").withColumn("errors", errors(*_checks()))
+    good, bad = rows.where(F.size("errors") == 0), rows.where(F.size("errors") > 0)
+    return good.select(F.lit("accepted").alias("route")).unionByName(bad.select(F.lit("quarantine").alias("route"))).groupBy("route").agg(n().alias("n"))
+
+
+@query("fullouter_orphans", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON o_custkey = c_custkey WHERE c_custkey IS NULL OR o_orderkey IS NULL")
+def _(s, d):
+    c, o = read(s, d, "customer"), read(s, d, "orders")
+    return c.join(o, C("c_custkey") == C("o_custkey"), "full_outer").where("c_custkey IS NULL OR o_orderkey IS NULL").select("c_custkey", "o_orderkey")
+
+
+@query("anti_unknown_refs", "SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT 'src' || r FROM range(0, 10) t(r))")
+def _(s, d):
+    known = s.range(10).select(F.concat(F.lit("src"), C("id").cast("string")).alias("source"))
+    return read(s, d, "documents").join(known, "source", "left_anti").select("doc_id", "source")
+
+
+@query("version_groups", "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_partkey))[1:3], ',') AS first_three, count(DISTINCT p_size) > 1 AS inconsistent FROM part GROUP BY 1")
+def _(s, d):
+    p = read(s, d, "part").withColumn("nth", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")))
+    three = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("nth") <= 3, C("p_partkey")))), lambda x: x.cast("string")), ",")
+    return p.groupBy("p_brand").agg(n().alias("n"), three.alias("first_three"), (F.countDistinct("p_size") > 1).alias("inconsistent"))
+
+
+@query("validate_lookup_mismatch", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN (l.quality = 1) <> (d.n_chars > 500) THEN 'mismatch' ELSE 'ok' END AS result FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def _(s, d):
+    x = read(s, d, "documents").join(read(s, d, "labels"), "doc_id", "left")
+    return x.select("doc_id", F.when(C("quality").isNull(), "unknown").when((C("quality") == 1) != (C("n_chars") > 500), "mismatch").otherwise("ok").alias("result"))
+
+
+# The first failed rule of a commitment and of an exit decides.
+@query("decline_reason_commit", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'missing_text' WHEN length(text) < 40 THEN 'text_too_short' WHEN lower(text) LIKE '%todo%' THEN 'placeholder' WHEN role NOT IN ('user', 'assistant') THEN 'invalid_pace' END AS reason FROM conversations")
+def _(s, d):
+    t = C("text")
+    reason = F.when(F.trim(t) == "", "missing_text").when(F.length(t) < 40, "text_too_short").when(F.contains(F.lower(t), F.lit("todo")), "placeholder").when(~C("role").isin("user", "assistant"), "invalid_pace")
+    return read(s, d, "conversations").select("conv_id", "turn", reason.alias("reason"))
+
+
+@query("decline_reason_exit", "SELECT o_orderkey, CASE WHEN o_custkey % 7 = 0 THEN 'missing session ID' WHEN o_orderstatus = 'P' THEN 'missing exit reason' WHEN o_totalprice < 1000 THEN 'missing diagnostics' WHEN o_orderkey % 5 = 0 THEN 'diagnostics not captured' ELSE 'ok' END AS result FROM orders")
+def _(s, d):
+    r = F.when(C("o_custkey") % 7 == 0, "missing session ID").when(C("o_orderstatus") == "P", "missing exit reason").when(C("o_totalprice") < 1000, "missing diagnostics").when(C("o_orderkey") % 5 == 0, "diagnostics not captured").otherwise("ok")
+    return read(s, d, "orders").select("o_orderkey", r.alias("result"))
+
+
+@query("sequence_integrity", "SELECT conv_id, count(*) AS turns, count(DISTINCT turn) < count(*) AS duplicates, max(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations GROUP BY 1")
+def _(s, d):
+    return read(s, d, "conversations").groupBy("conv_id").agg(n().alias("turns"), (F.countDistinct("turn") < n()).alias("duplicates"), (F.max("turn") + 1 - F.countDistinct("turn")).alias("missing"))
+
+
+_LINES = "string_split(text, chr(10))"
+
+
+@query("coherence_checks", f"SELECT doc_id, array_to_string(list_filter([CASE WHEN len({_LINES}) NOT BETWEEN 5 AND 7 THEN 'themes' END, CASE WHEN len(list_distinct({_LINES})) < len({_LINES}) THEN 'duplicates' END, CASE WHEN list_min(list_transform({_LINES}, lambda x: length(x))) < 50 THEN 'short' END], lambda e: e IS NOT NULL), ',') AS reasons FROM documents")
+def _(s, d):
+    """Five to seven parts, none twice, none below 50 characters; all reasons are given."""
+    x = read(s, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    e = errors((F.size("l").between(5, 7), "themes"), (F.size(F.array_distinct("l")) == F.size("l"), "duplicates"), (F.array_min(F.transform("l", lambda t: F.length(t))) >= 50, "short"))
+    return x.select("doc_id", F.array_join(e, ",").alias("reasons"))
+
+
+@query("integrity_gate", "SELECT doc_id, contains(lower(text), 'the') AND contains(lower(text), 'and') AND (contains(lower(text), 'on'))::INT + (contains(lower(text), 'in'))::INT >= (contains(lower(text), 'idiot'))::INT + (contains(lower(text), 'trash'))::INT AS allowed FROM documents")
+def _(s, d):
+    """Both required words, and no more words against than for."""
+    low = F.lower("text")
+    ok = F.contains(low, F.lit("the")) & F.contains(low, F.lit("and")) & (X.keyword_count(low, ("on", "in")) >= X.keyword_count(low, ("idiot", "trash")))
+    return read(s, d, "documents").select("doc_id", ok.alias("allowed"))
+
+
+@query("filter_valid_names", "SELECT page_id, url FROM pages WHERE regexp_matches(lower(url), '\\.html$') AND NOT regexp_matches(lower(url), 'template|schema|locked')")
+def _(s, d):
+    u = F.lower("url")
+    return read(s, d, "pages").where(u.rlike("\\.html$") & ~u.rlike("template|schema|locked")).select("page_id", "url")
+
+
+# Blocked paths; a pattern counts at the start of the path only.
+BLOCKED = ("^\\.vector/", "\\.faiss$", "\\.index$", "https://spam")
+
+
+@query("blocklist_match", "SELECT page_id, regexp_matches(url, '^(?:^\\.vector/|\\.faiss$|\\.index$|https://spam)') AS blocked FROM pages")
+def _(s, d):
+    return read(s, d, "pages").select("page_id", C("url").rlike("^(?:" + "|".join(BLOCKED) + ")").alias("blocked"))
+
+
+@query("capture_defaults", "SELECT event_id, coalesce(nullif(CASE WHEN user_id % 3 = 0 THEN '' WHEN user_id % 3 = 1 THEN event_type END, ''), 'unspecified') AS tone FROM events")
+def _(s, d):
+    raw = F.when(C("user_id") % 3 == 0, "").when(C("user_id") % 3 == 1, C("event_type"))
+    return read(s, d, "events").select("event_id", F.coalesce(F.nullif(raw, F.lit("")), F.lit("unspecified")).alias("tone"))
+
+
+@query("dispatch_by_keys", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'capture' WHEN event_id % 4 = 1 THEN 'edit' WHEN event_id % 4 = 2 THEN 'delete' ELSE 'unknown' END AS op FROM events")
+def _(s, d):
+    """The first key that a payload has decides."""
+    keys = F.element_at(F.array(*map(F.lit, ("capture", "edit", "delete", "other"))), (C("event_id") % 4 + 1).cast("int"))
+    payload = F.create_map(keys, F.lit(1))
+    op = F.lit("unknown")
+    for k in ("delete", "edit", "capture"):
+        op = F.when(F.map_contains_key(payload, k), k).otherwise(op)
+    return read(s, d, "events").select("event_id", op.alias("op"))
+
+
+@query("join_registry_repair", "SELECT c_custkey, coalesce(n_name, 'unknown') AS nation, coalesce(r_name, 'unknown') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def _(s, d):
+    c = read(s, d, "customer").join(read(s, d, "nation"), C("n_nationkey") == C("c_nationkey"), "left").join(read(s, d, "region"), C("r_regionkey") == C("n_regionkey"), "left")
+    return c.select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"), F.coalesce("r_name", F.lit("unknown")).alias("region"))
+
+
+@query("join_substring_first", "SELECT n_nationkey, min(r_regionkey) AS region FROM nation JOIN region ON contains(lower(n_name), lower(left(r_name, 1))) OR contains(lower(r_name), lower(n_name)) GROUP BY 1")
+def _(s, d):
+    """Either name holds (the start of) the other; the first region that does. Regions are a fixed small dimension."""
+    nation, region = read(s, d, "nation"), read(s, d, "region")
+    hit = F.contains(F.lower("n_name"), F.lower(F.left("r_name", F.lit(1)))) | F.contains(F.lower("r_name"), F.lower("n_name"))
+    return nation.join(region, hit).groupBy("n_nationkey").agg(F.min("r_regionkey").alias("region"))
+
+
+@query("join_lane_wildcard", "WITH rules AS (SELECT * FROM (VALUES (1, 'click', 100), (2, 'both', 50), (3, 'view', 10)) t(priority, lane, cut)) SELECT event_id, arg_min(cut, priority) AS cut FROM events JOIN rules ON lane IN (event_type, 'both') GROUP BY 1")
+def _(s, d):
+    """The lane's own rule or the one for both, whichever is first."""
+    rules = F.explode(F.array(*(F.struct(F.lit(p).alias("priority"), F.lit(lane).alias("lane"), F.lit(cut).alias("cut")) for p, lane, cut in ((1, "click", 100), (2, "both", 50), (3, "view", 10)))))
+    e = read(s, d, "events").select("event_id", "event_type", rules.alias("r"))
+    return e.where((C("r.lane") == C("event_type")) | (C("r.lane") == "both")).groupBy("event_id").agg(F.min_by("r.cut", "r.priority").alias("cut"))
+
+
+@query("map_priority_match", "SELECT page_id, CASE WHEN split_part(url, '/', 4) = 'en' THEN 'exact' WHEN contains(url, 'spam') THEN 'substring' ELSE 'default' END AS mapped FROM pages")
+def _(s, d):
+    return read(s, d, "pages").select("page_id", F.when(F.split_part("url", F.lit("/"), F.lit(4)) == "en", "exact").when(F.contains("url", F.lit("spam")), "substring").otherwise("default").alias("mapped"))
+
+
+@query("latest_per_session", "SELECT conv_id, arg_max(role, turn) AS role, arg_max(text, turn) AS text, max(turn) AS turn FROM conversations GROUP BY 1")
+def _(s, d):
+    return read(s, d, "conversations").groupBy("conv_id").agg(F.max_by("role", "turn").alias("role"), F.max_by("text", "turn").alias("text"), F.max("turn").alias("turn"))
+
+
+@query("manifest_missing", "SELECT doc_id FROM labels WHERE quality = 1 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE n_chars > 1000)")
+def _(s, d):
+    have = read(s, d, "documents").where("n_chars > 1000").select("doc_id")
+    return read(s, d, "labels").where("quality = 1").join(have, "doc_id", "left_anti").select("doc_id")
+
+
+@query("union_sources", "SELECT kind, count(*) AS n, sum(chars)::BIGINT AS chars FROM (SELECT 'document' AS kind, length(text) AS chars FROM documents UNION ALL SELECT 'turn', length(text) FROM conversations UNION ALL SELECT 'item', length(text) FROM benchmark) GROUP BY 1")
+def _(s, d):
+    part = lambda t, k: read(s, d, t).select(F.lit(k).alias("kind"), F.length("text").cast("long").alias("chars"))
+    return part("documents", "document").unionByName(part("conversations", "turn")).unionByName(part("benchmark", "item")).groupBy("kind").agg(n().alias("n"), F.sum("chars").alias("chars"))
+
+
+@query("tokens_intersect", "SELECT item_id, len(list_intersect(list_distinct(string_split(lower(text), ' ')), ['the', 'of', 'and', 'que', 'de']))::BIGINT AS shared FROM benchmark")
+def _(s, d):
+    return read(s, d, "benchmark").select("item_id", F.size(F.array_intersect(F.split(F.lower("text"), " "), F.array(*map(F.lit, ("the", "of", "and", "que", "de"))))).cast("long").alias("shared"))
+
+
+@query("missing_tags", "SELECT 'src' || r AS tag FROM range(0, 25) t(r) WHERE 'src' || r NOT IN (SELECT source FROM documents)")
+def _(s, d):
+    return s.range(25).select(F.concat(F.lit("src"), C("id").cast("string")).alias("tag")).join(read(s, d, "documents").select(C("source").alias("tag")), "tag", "left_anti")
+
+
+@query("distinct_tags", "SELECT DISTINCT lang, source FROM documents")
+def _(s, d):
+    return read(s, d, "documents").select("lang", "source").distinct()

@@ -1 +1,56 @@
+"""Queries of readers and writers. What is written goes to the shared folder."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.registry import query, read
+from tidemark.sources import files
+
+C = F.col
+
+
+@query("json_parse_or_drop", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_valid(props)")
+def _(s, d):
+    return read(s, d, "events").select("event_id", F.from_json("props", "k BIGINT").alias("p")).where("p.k IS NOT NULL").select("event_id", "p.k")
+
+
+@query("json_path_get", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.missing.deep') AS missing FROM events")
+def _(s, d):
+    return read(s, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.missing.deep").alias("missing"))
+
+
+@query("scan_jsonl", "SELECT conv_id, turn, role, text FROM conversations")
+def _(s, d):
+    """Written as lines of JSON and read again with the schema."""
+    rows = read(s, d, "conversations").select("conv_id", "turn", "role", "text")
+    return files.read_jsonl(s, files.write_jsonl(rows, s, "turns"), rows.schema)
+
+
+@query("scan_json_docs", "SELECT doc_id, length(text) AS chars FROM documents")
+def _(s, d):
+    rows = read(s, d, "documents").select("doc_id", "text")
+    return files.read_jsonl(s, files.write_jsonl(rows, s, "documents"), rows.schema).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
+@query("index_roundtrip", "SELECT vec_id, label, len(embedding)::BIGINT AS dim FROM embeddings")
+def _(s, d):
+    """One dataset for each label instead of an index with a row-aligned list of metadata."""
+    rows = read(s, d, "embeddings")
+    return files.versioned(s, rows, "index", "label").select("vec_id", "label", F.size("embedding").cast("long").alias("dim"))
+
+
+@query("scan_binary_hash")
+def _(s, d):
+    """The sha256 of each file of a written dataset, and its size."""
+    path = files.write_jsonl(read(s, d, "benchmark"), s, "benchmark")
+    return s.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select(F.sha2("content", 256).alias("sha256"), "length")
+
+
+@query("split_concat_json", "SELECT event_id, 1 + i AS part, event_id * 10 + i AS v FROM events, (SELECT unnest([0, 1])::BIGINT AS i) WHERE event_type = 'click'")
+def _(s, d):
+    """Objects that follow each other without a separator, split where one ends at depth 0 outside strings."""
+    e = read(s, d, "events").where("event_type = 'click'")
+    joined = F.concat(F.lit('{"s":"}{","v":'), (C("event_id") * 10).cast("string"), F.lit('}{"s":"\\"{","v":'), (C("event_id") * 10 + 1).cast("string"), F.lit("}"))
+    parts = files.split_objects(e.select("event_id", joined.alias("raw")), "raw")
+    return parts.select("event_id", C("part").cast("long"), F.from_json("object", "s STRING, v BIGINT")["v"].alias("v"))
