@@ -1 +1,60 @@
+"""Queries of document selection. A language is a stage and a source is a tag."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.operators import curation as U
+from tidemark.registry import query, read
+
+C = F.col
+
+
+def n():
+    return F.count(F.lit(1))
+
+
+def _scored(s, d):
+    tokens = X.token_estimate(C("text"))
+    tags = 1 + (C("n_chars") % 3)
+    return read(s, d, "documents").select(C("doc_id").alias("id"), C("lang").alias("stage"), C("source").alias("tag"), tokens.alias("tokens"), U.static_score(tags, X.length_bucket(tokens)).cast("long").alias("score"))
+
+
+_SCORED = f"scored AS (SELECT doc_id AS id, lang AS stage, source AS tag, length(text) // 4 AS tokens, least(1 + n_chars % 3, {U.TAGS_AT_MOST}) * {U.TAG_POINTS} + CASE WHEN length(text) // 4 > 2000 THEN {U.LONG_POINTS} WHEN length(text) // 4 > 800 THEN {U.MEDIUM_POINTS} ELSE {U.SHORT_POINTS} END AS score FROM documents)"
+
+
+@query("selection_static_score", f"WITH {_SCORED} SELECT id, score FROM scored")
+def _(s, d):
+    return _scored(s, d).select("id", "score")
+
+
+@query("select_balanced")
+def _(s, d):
+    return U.select_balanced(_scored(s, d), 8)
+
+
+@query("swap_candidates", f"WITH {_SCORED} SELECT stage, id, score / (1 + tokens) AS density FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score / (1 + tokens) DESC, tokens, id) AS nth FROM scored) WHERE nth <= 3")
+def _(s, d):
+    """The three densest of each stage."""
+    density = C("score") / (1 + C("tokens"))
+    nth = F.row_number().over(W.partitionBy("stage").orderBy(F.desc(density), "tokens", "id"))
+    return _scored(s, d).withColumn("nth", nth).where("nth <= 3").select("stage", "id", density.alias("density"))
+
+
+@query("removal_candidate", f"WITH {_SCORED}, c AS (SELECT *, count(*) OVER (PARTITION BY stage, tag) AS others FROM scored) SELECT stage, id FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY others DESC, tokens DESC, id) AS nth FROM c) WHERE nth = 1")
+def _(s, d):
+    """Of each stage the document whose tag the most others have."""
+    x = _scored(s, d).withColumn("others", n().over(W.partitionBy("stage", "tag")))
+    return x.withColumn("nth", F.row_number().over(W.partitionBy("stage").orderBy(F.desc("others"), F.desc("tokens"), "id"))).where("nth = 1").select("stage", "id")
+
+
+@query("reindex_once", "SELECT lang, count(*) FILTER (doc_id % 2 = 0) AS before, count(*) AS after, count(*) FILTER (doc_id % 2 = 1) AS added FROM documents GROUP BY 1")
+def _(s, d):
+    """Statistics before and after the documents with odd ids arrive."""
+    docs = read(s, d, "documents")
+    before = docs.where("doc_id % 2 = 0").groupBy("lang").agg(n().alias("before"))
+    after = docs.groupBy("lang").agg(n().alias("after"))
+    zero = F.lit(0).cast("long")
+    return after.join(before, "lang", "left").select("lang", F.coalesce("before", zero).alias("before"), "after", (C("after") - F.coalesce("before", zero)).alias("added"))

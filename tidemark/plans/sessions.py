@@ -1 +1,173 @@
+"""Queries of sessions: steps, gates, audit chains, memory and exits. A conversation is a session and its turns are steps."""
 
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as X
+from tidemark.operators import sessions as S
+from tidemark.registry import query, read
+
+C = F.col
+
+
+def n():
+    return F.count(F.lit(1))
+
+
+def _steps(s, d):
+    """conv_id, turn, role, text, declined."""
+    return read(s, d, "conversations").withColumn("declined", F.length("text") % 7 == 0)
+
+
+_STEPS = "steps AS (SELECT *, length(text) % 7 = 0 AS declined FROM conversations)"
+_ORDER = "PARTITION BY conv_id ORDER BY turn"
+
+
+@query("audit_prev_hash", f"SELECT conv_id, turn, coalesce(lag(left(sha256(role || '|' || text), 16)) OVER ({_ORDER}), 'genesis') AS prev_hash FROM conversations")
+def _(s, d):
+    mine = S.digest(C("role"), C("text"))
+    return _steps(s, d).select("conv_id", "turn", F.coalesce(F.lag(mine).over(W.partitionBy("conv_id").orderBy("turn")), F.lit("genesis")).alias("prev_hash"))
+
+
+@query("audit_hash_chain", """
+WITH RECURSIVE o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, role || ':' || text AS step FROM conversations),
+c AS (SELECT conv_id, 0::BIGINT AS k, 'genesis' AS h FROM (SELECT DISTINCT conv_id FROM conversations) UNION ALL
+  SELECT o.conv_id, o.k, left(sha256(c.h || '|' || o.step), 16) FROM c JOIN o ON o.conv_id = c.conv_id AND o.k = c.k + 1)
+SELECT conv_id, max(k) AS length, arg_max(h, k) AS last FROM c GROUP BY 1""")
+def _(s, d):
+    return S.hash_chain(read(s, d, "conversations"), "conv_id", "turn", F.concat("role", F.lit(":"), "text"))
+
+
+@query("audit_step_hash", "SELECT conv_id, turn, sha256('{\"role\":\"' || role || '\",\"size\":' || length(text) || '}') AS step_hash FROM conversations")
+def _(s, d):
+    body = F.to_json(F.struct("role", F.length("text").alias("size")))
+    return read(s, d, "conversations").select("conv_id", "turn", F.sha2(body, 256).alias("step_hash"))
+
+
+@query("stop_on_decline", f"WITH {_STEPS} SELECT conv_id, turn, declined FROM (SELECT *, coalesce(sum(declined::INT) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM steps) WHERE b = 0")
+def _(s, d):
+    return S.until_first(_steps(s, d), ["conv_id"], ["turn"], C("declined")).select("conv_id", "turn", "declined")
+
+
+@query("stage_run_status", f"WITH {_STEPS}, r AS (SELECT *, coalesce(sum(declined::INT) OVER ({_ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM steps) SELECT conv_id, CASE WHEN bool_or(declined) THEN 'declined' ELSE 'ok' END AS status, count(*) FILTER (b = 0) AS ran, count(*) FILTER (b > 0) AS skipped FROM r GROUP BY 1")
+def _(s, d):
+    before = F.coalesce(F.sum(C("declined").cast("int")).over(W.partitionBy("conv_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    r = _steps(s, d).withColumn("b", before)
+    return r.groupBy("conv_id").agg(F.when(F.bool_or("declined"), "declined").otherwise("ok").alias("status"), F.count_if(C("b") == 0).alias("ran"), F.count_if(C("b") > 0).alias("skipped"))
+
+
+@query("plan_subset", "SELECT conv_id, turn FROM conversations WHERE turn IN (0, 2, 3) AND turn < 3")
+def _(s, d):
+    """A subset of the sequence in its own order, of which the first three places run."""
+    return read(s, d, "conversations").where(C("turn").isin(0, 2, 3) & (C("turn") < 3)).select("conv_id", "turn")
+
+
+@query("step_progress", f"SELECT conv_id, turn, row_number() OVER ({_ORDER}) AS done, count(*) OVER (PARTITION BY conv_id) - row_number() OVER ({_ORDER}) AS remaining FROM conversations")
+def _(s, d):
+    done = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")
+    return read(s, d, "conversations").select("conv_id", "turn", done.alias("done"), (n().over(W.partitionBy("conv_id")) - done).alias("remaining"))
+
+
+@query("limit_with_overflow", "SELECT conv_id, array_to_string(list(role ORDER BY turn)[1:3], ',') || CASE WHEN count(*) > 3 THEN ' and ' || (count(*) - 3) || ' more' ELSE '' END AS shown FROM conversations GROUP BY 1")
+def _(s, d):
+    g = read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    more = F.when(F.size("r") > 3, F.concat(F.lit(" and "), (F.size("r") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    return g.select("conv_id", F.concat(F.array_join(F.slice(C("r.role"), 1, 3), ","), more).alias("shown"))
+
+
+@query("step_status", f"WITH {_STEPS} SELECT status, count(*) AS n FROM (SELECT CASE WHEN declined THEN 'DECLINE' WHEN length(text) > 400 THEN 'RETRY' WHEN role = 'system' THEN 'FALLBACK' ELSE 'OK' END AS status FROM steps) GROUP BY 1")
+def _(s, d):
+    status = F.when(C("declined"), "DECLINE").when(F.length("text") > 400, "RETRY").when(C("role") == "system", "FALLBACK").otherwise("OK")
+    return _steps(s, d).groupBy(status.alias("status")).agg(n().alias("n"))
+
+
+@query("is_decline", "SELECT event_id, event_type = 'error' OR (['hold', 'later', 'continue'])[event_id % 3 + 1] IN ('hold', 'later') AS declined FROM events")
+def _(s, d):
+    action = F.element_at(F.array(F.lit("hold"), F.lit("later"), F.lit("continue")), (C("event_id") % 3 + 1).cast("int"))
+    return read(s, d, "events").select("event_id", ((C("event_type") == "error") | action.isin("hold", "later")).alias("declined"))
+
+
+@query("gate_coherence", "SELECT conv_id, turn, trim(text) <> '' AND role IN ('system', 'user', 'assistant') AS allow, CASE WHEN trim(text) = '' THEN 'blank' WHEN role NOT IN ('system', 'user', 'assistant') THEN 'unknown stage' ELSE 'ok' END AS reason FROM conversations")
+def _(s, d):
+    reason = S.first_failure(("blank", F.trim("text") != ""), ("unknown stage", C("role").isin("system", "user", "assistant")))
+    return read(s, d, "conversations").select("conv_id", "turn", reason.isNull().alias("allow"), F.coalesce(reason, F.lit("ok")).alias("reason"))
+
+
+@query("gate_chain_first_failure", "SELECT conv_id, turn, CASE WHEN length(text) < 30 THEN 'length' WHEN NOT contains(text, '.') THEN 'sentence' WHEN contains(lower(text), 'idiot') THEN 'language' END AS failed FROM conversations")
+def _(s, d):
+    t = C("text")
+    failed = S.first_failure(("length", F.length(t) >= 30), ("sentence", F.contains(t, F.lit("."))), ("language", ~F.contains(F.lower(t), F.lit("idiot"))))
+    return read(s, d, "conversations").select("conv_id", "turn", failed.alias("failed"))
+
+
+_COUNT = lambda words: " + ".join(f"contains(t, '{w}')::INT" for w in words)
+
+
+@query("governance_chain", f"SELECT conv_id, turn, CASE WHEN text = '' THEN 'integrity' WHEN {_COUNT(S.MISALIGNED)} > 0 THEN 'alignment' WHEN length(role) > 50 OR length(text) > 200 THEN 'coherence' WHEN {_COUNT(S.JARGON)} > 2 OR {_COUNT(S.FORMAL)} > 1 THEN 'plain_language' END AS failed FROM (SELECT *, lower(role || ' ' || text) AS t FROM conversations)")
+def _(s, d):
+    t = F.lower(F.concat("role", F.lit(" "), "text"))
+    failed = S.first_failure(
+        ("integrity", C("text") != ""),
+        ("alignment", X.keyword_count(t, S.MISALIGNED) == 0),
+        ("coherence", (F.length("role") <= S.MAX_LENGTHS["tone"]) & (F.length("text") <= S.MAX_LENGTHS["notes"])),
+        ("plain_language", (X.keyword_count(t, S.JARGON) <= 2) & (X.keyword_count(t, S.FORMAL) <= 1)),
+    )
+    return read(s, d, "conversations").select("conv_id", "turn", failed.alias("failed"))
+
+
+# session memory: an event is an action on the item user_id % 500 of session user_id
+_MEMORY = "memory AS (SELECT event_id, ts, user_id AS session_id, event_type AS protocol, value > 100 AS pinned, event_id % 9 = 0 AS deleted FROM events)"
+
+
+def _memory(s, d):
+    return read(s, d, "events").select("event_id", "ts", C("user_id").alias("session_id"), C("event_type").alias("protocol"), (C("value") > 100).alias("pinned"), (C("event_id") % 9 == 0).alias("deleted"))
+
+
+for _name, _where in (("memory_scope_session", "session_id = 7"), ("memory_scope_protocol", "protocol = 'click' AND NOT deleted"), ("memory_scope_global", "NOT deleted")):
+    query(_name, f"WITH {_MEMORY} SELECT event_id, session_id FROM memory WHERE {_where}")(lambda s, d, w=_where: _memory(s, d).where(w).select("event_id", "session_id"))
+
+
+@query("memory_status_counts", f"WITH {_MEMORY} SELECT count(*) FILTER (NOT deleted) AS active, count(*) FILTER (deleted) AS deleted, count(*) FILTER (pinned AND NOT deleted) AS pinned FROM memory")
+def _(s, d):
+    return _memory(s, d).agg(F.count_if(~C("deleted")).alias("active"), F.count_if("deleted").alias("deleted"), F.count_if(C("pinned") & ~C("deleted")).alias("pinned"))
+
+
+@query("memory_context", f"WITH {_MEMORY}, g AS (SELECT count(*) AS everywhere FROM memory WHERE NOT deleted), p AS (SELECT protocol, count(*) AS in_protocol FROM memory WHERE NOT deleted GROUP BY 1) SELECT session_id, m.protocol, count(*) AS in_session, any_value(in_protocol) AS in_protocol, any_value(everywhere) AS everywhere FROM memory m JOIN p ON p.protocol = m.protocol, g WHERE NOT deleted GROUP BY 1, 2")
+def _(s, d):
+    m = _memory(s, d).where("NOT deleted")
+    by_protocol = m.groupBy("protocol").agg(n().alias("in_protocol"))
+    return m.groupBy("session_id", "protocol").agg(n().alias("in_session")).join(by_protocol, "protocol").crossJoin(F.broadcast(m.agg(n().alias("everywhere")))).select("session_id", "protocol", "in_session", "in_protocol", "everywhere")
+
+
+_ACTION = "(['pin', 'unpin', 'edit', 'delete'])[event_id % 4 + 1]"
+
+
+@query("memory_replay", f"SELECT user_id AS item, coalesce(arg_max(a, (ts, event_id)) FILTER (a IN ('pin', 'unpin')), 'unpin') = 'pin' AS pinned, count(*) FILTER (a = 'edit') AS edits, bool_or(a = 'delete') AS deleted FROM (SELECT *, {_ACTION} AS a FROM events) GROUP BY 1")
+def _(s, d):
+    """The state of each item after all its actions in order."""
+    a = F.element_at(F.array(*map(F.lit, ("pin", "unpin", "edit", "delete"))), (C("event_id") % 4 + 1).cast("int"))
+    e = read(s, d, "events").withColumn("a", a)
+    pinned = F.max_by(F.when(C("a").isin("pin", "unpin"), C("a")), F.when(C("a").isin("pin", "unpin"), F.struct("ts", "event_id")))
+    return e.groupBy(C("user_id").alias("item")).agg((F.coalesce(pinned, F.lit("unpin")) == "pin").alias("pinned"), F.count_if(C("a") == "edit").alias("edits"), F.bool_or(C("a") == "delete").alias("deleted"))
+
+
+@query("missing_requirements", "SELECT conv_id, array_to_string(list_filter([CASE WHEN NOT bool_or(role = 'system') THEN 'system' END, CASE WHEN NOT bool_or(role = 'assistant') THEN 'assistant' END, CASE WHEN count(*) < 4 THEN 'turns' END], lambda x: x IS NOT NULL), ',') AS missing FROM conversations GROUP BY 1")
+def _(s, d):
+    g = read(s, d, "conversations").groupBy("conv_id").agg(F.bool_or(C("role") == "system").alias("sys"), F.bool_or(C("role") == "assistant").alias("ast"), n().alias("n"))
+    missing = F.filter(F.array(F.when(~C("sys"), "system"), F.when(~C("ast"), "assistant"), F.when(C("n") < 4, "turns")), lambda x: x.isNotNull())
+    return g.select("conv_id", F.array_join(missing, ",").alias("missing"))
+
+
+@query("exit_outcome", "SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' AND o_orderstatus = 'P' THEN 'completion' WHEN o_totalprice < 2000 THEN 'diagnostics' WHEN o_custkey % 13 = 0 THEN 'commit' ELSE 'closed' END AS outcome FROM orders")
+def _(s, d):
+    """Stages in order; an urgent exit bypasses completion."""
+    failed = S.first_failure(("completion", (C("o_orderpriority") == "1-URGENT") | (C("o_orderstatus") != "P")), ("diagnostics", C("o_totalprice") >= 2000), ("commit", C("o_custkey") % 13 != 0))
+    return read(s, d, "orders").select("o_orderkey", F.coalesce(failed, F.lit("closed")).alias("outcome"))
+
+
+@query("walk_replay", "SELECT conv_id, count(*) FILTER (role = 'assistant') AS advanced, max(turn) AS last_step, arg_max(role, turn) = 'assistant' AS complete FROM conversations GROUP BY 1")
+def _(s, d):
+    """A step is advanced once it has a pace, whatever it is: here by the assistant's turn."""
+    return read(s, d, "conversations").groupBy("conv_id").agg(F.count_if(C("role") == "assistant").alias("advanced"), F.max("turn").alias("last_step"), (F.max_by("role", "turn") == "assistant").alias("complete"))

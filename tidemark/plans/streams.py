@@ -1 +1,46 @@
+"""Queries that run as streams over all that is there; their batch twins are among the other plans."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.chunks import _WINDOWS
+from tidemark.registry import query, read
+from tidemark.sources.files import folder
+from tidemark.streaming import tail
+
+C = F.col
+
+
+
+def _copied(s, d, table, files):
+    """The table as several files, so that a stream has more than one batch."""
+    path = folder(s, table)
+    read(s, d, table).repartition(files).write.parquet(path)
+    return tail.source(s, path, read(s, d, table).schema, 1)
+
+
+@query("stream_tail", "SELECT event_id, event_type, value FROM events WHERE value >= 100")
+def _(s, d):
+    return tail.drain(tail.slow_turns(_copied(s, d, "events", 3), 100), "tail")
+
+
+@query("stream_rolling_p95")
+def _(s, d):
+    return tail.drain(tail.rolling(_copied(s, d, "events", 1)), "rolling")
+
+
+@query("stream_budget_alert")
+def _(s, d):
+    return tail.drain(tail.budget_alerts(_copied(s, d, "events", 1), 150, "1 hour"), "alerts")
+
+
+@query("stream_changed_files", "SELECT page_id, sha256(html) AS hash FROM pages")
+def _(s, d):
+    rows = _copied(s, d, "pages", 2).select("page_id", C("url").alias("path"), F.sha2("html", 256).alias("hash"), F.lit("2024-01-01").cast("timestamp").alias("at"))
+    return tail.drain(tail.changed(rows), "changed").select("page_id", "hash")
+
+
+@query("stream_incremental_index", f"WITH {_WINDOWS} SELECT doc_id, start, least(start + 500, len(w)) AS stop, sha256(array_to_string(w[start + 1 : start + 500], ' ')) AS hash FROM s")
+def _(s, d):
+    return tail.drain(tail.new_chunks(_copied(s, d, "documents", 3)), "chunks")
