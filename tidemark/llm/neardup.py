@@ -1,18 +1,21 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Documents with equal shingle sets are one class from the start. Classes are branched in independent trees: at each
-node a keyed hash chooses minwise functions, and a class goes to one child for each, by its minwise token there.
-Nodes of few classes are compared exhaustively. A node that stays large after some levels holds a dense group: its
-classes are compared with a few pivots, exactly. Those that a pivot links leave the node; the rest go on. Jaccard distance is a
-metric, so a class that shares a link with one that left is at most twice the linking distance from its pivot: only
-such classes, if not linked already, are compared with those that left. Hence no node's pairs are all emitted, and
-no link is lost there. Every link is confirmed on full shingle sets.
+node a keyed hash chooses minwise functions, and a class goes to one child for each, by its minwise token there. A
+branch ends in a node of few classes, or in one that no longer shrinks and so holds a dense group.
+
+First each class is compared with its likeliest partner in each of its last nodes and with a hub there, a class that
+many may be linked with, which finds most components with a number of links in proportion to the classes. Then all pairs of a node that may be linked and have different
+components yet are compared; of a dense group these are pairs with a class outside its main component, in blocks. So no
+group's pairs are all emitted, and no link between components is left out. Sketches choose what is compared; every
+link is confirmed on full shingle sets.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,47 +26,59 @@ from tidemark.llm.common import GOLDEN, Workspace, buffers, mix64, slices, table
 from tidemark.llm.components import connected_components
 from tidemark.llm.shingles import Signatures, shingle_sets
 
-SKETCH_BITS = 128
-NODE = "node long, id long, n int, s1 long, s2 long"
+SKETCH = tuple(f"s{j}" for j in range(8))
+#: Two bits of each minwise value: the low ones are in the first half of the sketch, the high ones in the other.
+PLANES = tuple(zip(SKETCH[:4], SKETCH[4:]))
+HASHES = 256
+NODE = "node long, id long, n int, up int, " + ", ".join(f"{s} long" for s in SKETCH)
+COLUMNS = ("id", "n", *SKETCH)
 
 
 @dataclass(frozen=True)
 class ChosenPath:
     """percent: links have 100 * intersection >= percent * union. With 4 trees of 2 functions a node, a pair at 80 percent
-    is lost by all trees with a chance of about 1 in 100,000; likelier pairs are lost less. near_bits and ring_bits are
-    how many of 128 one-bit minwise hashes must agree before a pair is compared exactly, five deviations below what
-    is expected at 80 and at 60 percent."""
+    is lost by all trees with a chance of about 1 in 100,000; likelier pairs are lost less. limit: classes of a node that
+    is compared whole; more are branched, up to `levels` deep, or until at level dense_from or below a node has more than half of its
+    parent's classes. chunk: classes of a dense node that are compared to find likely partners; block: classes of a side in a
+    task that compares the rest of a dense group."""
 
     width: int = 5
     percent: int = 80
     trees: int = 4
     branch: int = 2
     limit: int = 32
+    levels: int = 8
+    dense_from: int = 3
+    chunk: int = 256
+    block: int = 256
     tokens: int = 64
-    branch_levels: int = 3
-    pivots: int = 3
-    near_bits: int = 98
-    ring_bits: int = 80
     seed: int = 1
 
 
+def least_agreement(p: ChosenPath) -> int:
+    """How many sketch places agree at least where similarity is `percent`: four and a half deviations below the mean, which
+    a pair at that limit misses with a chance of 3 in a million."""
+    share = p.percent / 100 + (1 - p.percent / 100) / 4
+    return int(HASHES * share - 4.5 * (HASHES * share * (1 - share)) ** 0.5)
+
+
 def profiles(docs: DataFrame, p: ChosenPath) -> DataFrame:
-    """(doc_id, n, k1, k2, tokens, s1, s2): of each row its set's size, its 128-bit key, minwise tokens and sketch."""
+    """(doc_id, n, k1, k2, tokens, s0..s7): of each row its set's size, its 128-bit key, minwise tokens and sketch."""
+    names = ["doc_id", "n", "k1", "k2", "tokens", *SKETCH]
 
     def run(batches):
-        signatures = Signatures(SKETCH_BITS, p.tokens, p.seed)
+        signatures = Signatures(HASHES, p.tokens, p.seed)
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 sets = shingle_sets(*buffers(part.column("text")), p.width)
-                tokens, bits = zip(*(signatures.of(s) if len(s) else (b"", bytes(16)) for s in sets))
-                with np.errstate(over="ignore"):
-                    k1 = np.array([mix64(s + np.uint64(GOLDEN)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                    k2 = np.array([mix64(s ^ np.uint64(GOLDEN)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                s = np.frombuffer(b"".join(bits), np.int64).reshape(-1, 2)
+                tokens, bits = zip(*(signatures.of(s) if len(s) else (b"", bytes(64)) for s in sets))
+                k1 = np.array([mix64(s + np.uint64(GOLDEN)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                k2 = np.array([mix64(s ^ np.uint64(GOLDEN)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+                s = np.frombuffer(b"".join(bits), np.int64).reshape(-1, 8)
                 n = pa.array([len(x) for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(k1), pa.array(k2), pa.array(tokens, pa.binary()), pa.array(s[:, 0]), pa.array(s[:, 1])], ["doc_id", "n", "k1", "k2", "tokens", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(k1), pa.array(k2), pa.array(tokens, pa.binary()), *(pa.array(s[:, j].copy()) for j in range(8))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens binary, s1 long, s2 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, tokens binary, " + ", ".join(f"{s} long" for s in SKETCH))
 
 
 def _children(node: np.ndarray, tokens: np.ndarray, p: ChosenPath):
@@ -78,7 +93,7 @@ def _children(node: np.ndarray, tokens: np.ndarray, p: ChosenPath):
 
 
 def _expand(rows: DataFrame, p: ChosenPath, root: bool) -> DataFrame:
-    """The next level's NODE rows, of rows with id, n, s1, s2, tokens and, below the roots, node."""
+    """The next level's NODE rows, of rows with COLUMNS, tokens and, below the roots, node and size."""
 
     def run(batches):
         roots = mix64(np.arange(1, p.trees + 1, dtype=np.uint64) * np.uint64(GOLDEN) + np.uint64(p.seed))
@@ -88,52 +103,118 @@ def _expand(rows: DataFrame, p: ChosenPath, root: bool) -> DataFrame:
                 continue
             tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(size, p.tokens)
             nodes = [np.full(size, r) for r in roots] if root else [batch.column("node").to_numpy().view(np.uint64)]
-            made = [c for node in nodes for c in _children(node, tokens, p)]
-            for c in made:
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), *(batch.column(x) for x in ("id", "n", "s1", "s2"))], ["node", "id", "n", "s1", "s2"])
-
-    return rows.select(*(() if root else ("node",)), "id", "n", "s1", "s2", "tokens").mapInArrow(run, NODE)
-
-
-def _small_pairs(rows: DataFrame, p: ChosenPath) -> DataFrame:
-    """(a, b, m): pairs within nodes of at most limit classes whose sizes and sketches allow a link; m: sketch bits that agree."""
+            up = pa.array(np.full(size, 2**31 - 1, np.int32)) if root else batch.column("size")
+            for node in nodes:
+                for child in _children(node, tokens, p):
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("id"), batch.column("n"), up, *(batch.column(x) for x in SKETCH)], ["node", "id", "n", "up", *SKETCH])
+
+    return rows.select(*(() if root else ("node", "size")), *COLUMNS, "tokens").mapInArrow(run, NODE)
+
+
+def _groups(batches, key: tuple[str, ...], names: tuple[str, ...]):
+    """Arrays of whole groups, of batches whose rows are sorted by their group's key."""
+    held = None
+    for batch in batches:
+        x = {c: batch.column(c).to_numpy() for c in names}
+        if held is not None:
+            x = {c: np.concatenate([held[c], x[c]]) for c in x}
+        if not len(x["id"]):
+            continue
+        last = np.ones(len(x["id"]), bool)
+        for c in key:
+            last &= x[c] == x[c][-1]
+        cut = int(np.argmax(last))
+        held = {c: v[cut:] for c, v in x.items()}
+        if cut:
+            yield {c: v[:cut] for c, v in x.items()}
+    if held is not None and len(held["id"]):
+        yield held
+
+
+def _alike(x: dict, i: np.ndarray, j: np.ndarray, p: ChosenPath) -> tuple[np.ndarray, np.ndarray]:
+    """Agreeing sketch places of the rows i and j, and whether these and their sizes allow a link."""
+    differ = lambda s: x[s][i].view(np.uint64) ^ x[s][j].view(np.uint64)
+    same = HASHES - sum(np.bitwise_count(differ(s) | differ(t)).astype(np.int32) for s, t in PLANES)
+    lo, hi = np.minimum(x["n"][i], x["n"][j]).astype(np.int64), np.maximum(x["n"][i], x["n"][j]).astype(np.int64)
+    return same, (100 * lo >= p.percent * hi) & (x["id"][i] != x["id"][j]) & (same >= least_agreement(p))
+
+
+def _hubs(group: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each row a hub among its partners or itself; -1 for rows without. group: of each row, in order; i, j: the pairs.
+
+    Of each group the row with the most partners that have no hub yet becomes the hub of these, until every row with a
+    partner has one or is one. A group around one text thus gets one hub, and as many links as rows."""
+    size = len(group)
+    hub = np.full(size, -1)
+    a, b = np.concatenate([i, j]), np.concatenate([j, i])
+    while len(a):
+        degree = np.bincount(a, minlength=size)
+        order = np.lexsort((-np.arange(size), degree, group))
+        last = order[np.append(np.diff(group[order]) != 0, True)]
+        top = last[degree[last] > 0]
+        is_top = np.zeros(size, bool)
+        is_top[top] = True
+        hub[top] = np.where(hub[top] < 0, top, hub[top])
+        reached = is_top[a]
+        hub[b[reached]] = np.where(hub[b[reached]] < 0, a[reached], hub[b[reached]])
+        # pairs whose second row has a hub do not count for the first one's degree any more
+        left = hub[b] < 0
+        a, b = a[left], b[left]
+    return hub
+
+
+def _likeliest(rows: DataFrame, p: ChosenPath, key: tuple[str, ...]) -> DataFrame:
+    """(a, b): each class with the one of its group whose sketch agrees most, and with its hub, if a link is possible."""
 
     def run(batches):
-        held = None
-        for batch in batches:
-            new = {c: batch.column(c).to_numpy() for c in ("node", "id", "n", "s1", "s2")}
-            old = 0 if held is None else len(held["node"])
-            x = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            found = []
-            for k in range(1, min(p.limit, len(x["node"]))):
-                i = np.arange(max(0, old - k), len(x["node"]) - k)
-                i = i[x["node"][i] == x["node"][i + k]]
+        for x in _groups(batches, key, (*key, *COLUMNS)):
+            size = len(x["id"])
+            change = np.zeros(size, bool)
+            for c in key:
+                change[1:] |= x[c][1:] != x[c][:-1]
+            group = np.cumsum(change)
+            best, partner, first, second = np.zeros(size, np.int32), np.full(size, -1), [], []
+            for k in range(1, size):
+                i = np.arange(size - k)
+                i = i[group[i] == group[i + k]]
                 if not len(i):
                     break
-                same = SKETCH_BITS - np.bitwise_count(x["s1"][i] ^ x["s1"][i + k]).astype(np.int32) - np.bitwise_count(x["s2"][i] ^ x["s2"][i + k])
-                lo, hi = np.minimum(x["n"][i], x["n"][i + k]).astype(np.int64), np.maximum(x["n"][i], x["n"][i + k])
-                ok = (same >= p.near_bits) & (100 * lo >= p.percent * hi) & (x["id"][i] != x["id"][i + k])
-                i = i[ok]
-                a, b = x["id"][i], x["id"][i + k]
-                found.append((np.minimum(a, b), np.maximum(a, b), same[ok]))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*found), (np.int64, np.int64, np.int32))], ["a", "b", "m"])
-            held = {c: v[-(p.limit - 1) :] for c, v in x.items()}
+                same, ok = _alike(x, i, i + k, p)
+                i, same = i[ok], same[ok]
+                first.append(i)
+                second.append(i + k)
+                for one, other in ((i, i + k), (i + k, i)):
+                    more = same > best[one]
+                    best[one[more]], partner[one[more]] = same[more], other[more]
+            if not first:
+                continue
+            hub = _hubs(group, np.concatenate(first), np.concatenate(second))
+            for found in (partner, hub):
+                one = np.flatnonzero((found >= 0) & (found != np.arange(size)))
+                a, b = x["id"][one], x["id"][found[one]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    # numpy counts bits of the absolute value of signed numbers, so the sketches go in without a sign
-    return rows.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_unsigned(run), "a long, b long, m int").groupBy("a", "b").agg(F.max("m").alias("m"))
+    return rows.select(*key, *COLUMNS).repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "a long, b long")
 
 
-def _unsigned(run):
-    def wrapped(batches):
-        def seen():
-            for b in batches:
-                cols = [pa.array(c.to_numpy().view(np.uint64)) if name in ("s1", "s2") else c for name, c in zip(b.schema.names, b.columns)]
-                yield pa.RecordBatch.from_arrays(cols, b.schema.names)
+def _crossing(rows: DataFrame, p: ChosenPath) -> DataFrame:
+    """(a, b): pairs of a node that may be linked, of different components (column part)."""
 
-        yield from run(seen())
+    def run(batches):
+        for x in _groups(batches, ("node",), ("node", "part", *COLUMNS)):
+            size = len(x["id"])
+            for k in range(1, size):
+                i = np.arange(size - k)
+                i = i[x["node"][i] == x["node"][i + k]]
+                if not len(i):
+                    break
+                i = i[x["part"][i] != x["part"][i + k]]
+                i = i[_alike(x, i, i + k, p)[1]]
+                if len(i):
+                    a, b = x["id"][i], x["id"][i + k]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    return wrapped
+    return rows.select("node", "part", *COLUMNS).repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, p: ChosenPath) -> DataFrame:
@@ -164,6 +245,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: ChosenPath) -> DataFrame:
     return with_a.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, total long")
 
 
+def _family_links(family: DataFrame, texts: DataFrame, work: Workspace, p: ChosenPath) -> DataFrame:
+    """(a, b): links of classes outside a family's main component with classes of the family.
+
+    family (main, part, COLUMNS): the classes of all dense nodes with one main component. Those outside it are a query
+    set against all of the family: both are cut into blocks of p.block, and a task compares two blocks, by sketch and
+    then on full sets, and returns links only. So a task holds two blocks' texts, however large the family.
+    """
+    counts = family.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("part") != F.col("main")).alias("out")).where("out > 0")
+    counts = work.write(counts, "counts")
+    blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    rows = family.join(counts, "main").join(texts, "id")
+    fields = ("main", "part", *COLUMNS, "text")
+    asked = rows.where("part <> main").select(*fields, own("out").alias("ob"), each("all").alias("gb"), F.lit(True).alias("asks"))
+    others = rows.select(*fields, each("out").alias("ob"), own("all").alias("gb"), F.lit(False).alias("asks"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        x = {c: table.column(c).to_numpy() for c in ("part", *COLUMNS)}
+        text, sets = table.column("text"), {}
+
+        def set_of(k: int) -> np.ndarray:
+            if k not in sets:
+                raw = np.frombuffer(text[k].as_py().encode(), np.uint8)
+                sets[k] = shingle_sets(raw, np.array([0, len(raw)]), p.width)[0]
+            return sets[k]
+
+        a, b = [], []
+        members = np.flatnonzero(~asks)
+        for k in np.flatnonzero(asks).tolist():
+            near = members[(x["part"][members] != x["part"][k])]
+            near = near[_alike(x, np.full(len(near), k), near, p)[1]]
+            joined: set[int] = set()
+            for j in near.tolist():
+                if x["part"][j] in joined:
+                    continue
+                s, t = set_of(k), set_of(j)
+                common = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+                if 100 * common >= p.percent * (len(s) + len(t) - common):
+                    joined.add(x["part"][j])
+                    a.append(min(x["id"][k], x["id"][j]))
+                    b.append(max(x["id"][k], x["id"][j]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return asked.unionByName(others).groupBy("main", "ob", "gb").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of docs.
 
@@ -175,83 +304,49 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
     p = p or ChosenPath()
     rows = work.write(profiles(docs, p), "profiles")
     link = F.expr(f"100 * common >= {p.percent} * total")
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").cast("int").alias("n"), F.max("tokens").alias("tokens"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
+    any_of = [F.max(c).alias(c) for c in ("tokens", *SKETCH)]
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").cast("int").alias("n"), *any_of)
     classes = work.write(classes.where("id IS NOT NULL"), "classes")
 
-    agree = lambda s1, s2, t1, t2: SKETCH_BITS - F.bit_count(s1.bitwiseXOR(t1)) - F.bit_count(s2.bitwiseXOR(t2))
-
-    def level(made: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """A level's rows in small and in large nodes."""
+    small, dense, likely = [], [], []
+    made = _expand(classes, p, True)
+    for depth in range(1, p.levels + 1):
         made = work.write(made, "nodes")
-        sizes = work.write(made.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        sized = made.join(sizes, "node")
-        return sized.where(F.col("size") <= p.limit).drop("size"), sized.where(F.col("size") > p.limit).drop("size")
-
-    def children(large: DataFrame) -> DataFrame:
-        return _expand(large.join(classes.select("id", "tokens"), "id"), p, False)
-
-    made, found = _expand(classes, p, True), []
-    for depth in range(p.branch_levels):
-        small, large = level(made)
-        found.append(work.write(_small_pairs(small, p), "pairs"))
-        large = work.write(large, "large")
-        if large.isEmpty() or depth == p.branch_levels - 1:
+        sizes = work.write(made.groupBy("node").agg(F.count(F.lit(1)).cast("int").alias("size")).where("size > 1"), "sizes")
+        sized = work.write(made.join(sizes, "node"), "sized")
+        work.drop(made)
+        small.append(sized.where(F.col("size") <= p.limit))
+        likely.append(_likeliest(small[-1], p, ("node",)))
+        large = sized.where(F.col("size") > p.limit)
+        stops = F.lit(depth == p.levels) | (F.lit(depth >= p.dense_from) & (2 * F.col("size") > F.col("up")))
+        dense.append(large.where(stops))
+        large = large.where(~stops)
+        if depth == p.levels or large.isEmpty():
             break
-        made = children(large)
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = work.write(pairs.groupBy("a", "b").agg(F.max("m").alias("m")), "pairs")
+        made = _expand(large.join(classes.select("id", "tokens"), "id"), p, False)
+    small, dense = reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense)
+    salted = dense.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / p.chunk)).cast("int"))
+    likely.append(_likeliest(salted, p, ("node", "salt")))
+    likely = work.write(reduce(DataFrame.unionByName, likely).distinct(), "likely")
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).unionByName(large.select("id")).distinct()
+    needed = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense.select("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id IS NOT NULL")
     texts = work.write(texts.join(work.write(needed, "needed"), "id"), "texts")
-
-    # dense nodes: pivots, until none is large
-    tested: list[DataFrame] = []
-    met: list[DataFrame] = []
-    while not large.isEmpty():
-        order = lambda k: F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "n", "s1", "s2")
-        pivots = work.write(large.groupBy("node").agg(*(F.min(order(k)).alias(f"p{k}") for k in range(p.pivots))), "pivots")
-        chosen = large.join(pivots, "node").withColumn("p", F.explode(F.array(*(f"p{k}" for k in range(p.pivots)))))
-        near = chosen.where((F.col("p.id") == F.col("id")) | ((agree(F.col("s1"), F.col("s2"), F.col("p.s1"), F.col("p.s2")) >= p.ring_bits) & (100 * F.least("n", "p.n") >= (2 * p.percent - 100) * F.greatest("n", "p.n"))))
-        star = work.write(near.select("node", "id", "n", "s1", "s2", F.col("p.id").alias("pivot")).distinct(), "star")
-        to_test = star.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-        if tested:
-            before = tested[0]
-            for more in tested[1:]:
-                before = before.unionByName(more)
-            to_test = to_test.join(before.select("a", "b"), ["a", "b"], "left_anti")
-        tested.append(work.write(_verified(to_test, texts, p), "tested"))
-        known = tested[0]
-        for more in tested[1:]:
-            known = known.unionByName(more)
-        known = work.write(known.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "common", "total").distinct(), "known")
-        measured = work.write(star.join(known, ["pivot", "id"], "left").withColumn("linked", (F.col("id") == F.col("pivot")) | F.coalesce(link, F.lit(False))), "measured")
-        met.append(measured)
-        gone = work.write(measured.where("linked").select("node", "id").distinct(), "gone")
-        rest = work.write(large.join(gone, ["node", "id"], "left_anti"), "rest")
-        sizes = work.write(rest.groupBy("node").agg(F.count(F.lit(1)).alias("size")), "sizes")
-        sized = rest.join(sizes, "node")
-        pairs = pairs.unionByName(work.write(_small_pairs(sized.where((F.col("size") > 1) & (F.col("size") <= p.limit)).drop("size"), p), "pairs"))
-        large = work.write(sized.where(F.col("size") > p.limit).drop("size"), "large")
-
-    links = work.write(connected_first(pairs, texts, work, p, link, tested), "links")
+    links = work.write(_verified(likely, texts, p).where(link).select("a", "b"), "links")
     parts = work.write(connected_components(links, work), "parts")
-    # what may still join two components: the other candidates, and what is near a pivot but not of its component
-    rest = between(pairs.select("a", "b"), parts, work)
-    for measured in met:
-        ring = measured.where(~F.col("linked") & F.expr(f"100 * common >= {2 * p.percent - 100} * total")).select(F.col("pivot").alias("a"), F.col("id").alias("b"), "node", "n", "s1", "s2")
-        ring = work.write(between(ring, parts, work), "ring")
-        left = measured.where("linked").select(F.col("pivot").alias("a"), "node", F.col("id").alias("g"), F.col("n").alias("gn"), F.col("s1").alias("g1"), F.col("s2").alias("g2"))
-        near = ring.join(left, ["a", "node"]).where((agree(F.col("s1"), F.col("s2"), F.col("g1"), F.col("g2")) >= p.near_bits) & (100 * F.least("n", "gn") >= p.percent * F.greatest("n", "gn")))
-        rest = rest.unionByName(near.select(F.least("b", "g").alias("a"), F.greatest("b", "g").alias("b")))
-    rest = work.write(rest.where("a <> b").distinct(), "rest")
-    if not rest.isEmpty():
-        more = work.write(_verified(rest, texts, p).where(link).select("a", "b"), "more")
-        if not more.isEmpty():
-            forest = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-            parts = work.write(connected_components(forest.unionByName(more), work), "parts")
+
+    with_part = lambda nodes: nodes.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+    in_dense = work.write(with_part(dense), "dense")
+    counted = in_dense.groupBy("node", "part").agg(F.count(F.lit(1)).alias("size"))
+    main = work.write(counted.groupBy("node").agg(F.max_by("part", F.struct("size", "part")).alias("main")), "main")
+    family = in_dense.join(main, "node").select("main", "part", *COLUMNS).distinct()
+    found = [_family_links(work.write(family, "family"), texts, work, p)]
+    crossing = work.write(_crossing(with_part(small), p).distinct(), "crossing")
+    found.append(_verified(crossing.join(likely, ["a", "b"], "left_anti"), texts, p).where(link).select("a", "b"))
+    found = work.write(reduce(DataFrame.unionByName, found).distinct(), "found")
+    if not found.isEmpty():
+        forest = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+        parts = work.write(connected_components(forest.unionByName(found), work), "parts")
 
     of_row = rows.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left")
     whole = of_row.join(parts, "id", "left")
@@ -259,23 +354,6 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
     return whole.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def connected_first(pairs: DataFrame, texts: DataFrame, work: Workspace, p: ChosenPath, link, tested: list[DataFrame]) -> DataFrame:
-    """Links enough for most components: each class with its likeliest candidate, and what the pivots link."""
-    best = work.write(pairs.groupBy("b").agg(F.max_by("a", F.struct("m", -F.col("a"))).alias("a")), "best")
-    links = _verified(best, texts, p)
-    for more in tested:
-        links = links.unionByName(more)
-    return links.where(link).select("a", "b")
-
-
-def between(pairs: DataFrame, parts: DataFrame, work: Workspace) -> DataFrame:
-    """The pairs (a, b, ...) whose ends have different components."""
-    a = parts.select(F.col("id").alias("a"), F.col("component").alias("__ca"))
-    b = parts.select(F.col("id").alias("b"), F.col("component").alias("__cb"))
-    both = pairs.join(a, "a", "left").join(b, "b", "left")
-    return both.where(F.coalesce("__ca", "a") != F.coalesce("__cb", "b")).drop("__ca", "__cb")
-
-
 def deduplicated(docs: DataFrame, work: Workspace, p: ChosenPath | None = None) -> DataFrame:
     """The rows of docs whose document is kept. Rows with a null doc_id stay."""
     found = near_duplicates(docs, work, p).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()

@@ -56,16 +56,16 @@ def shingle_sets(raw: np.ndarray, bounds: np.ndarray, width: int) -> list[np.nda
 
 
 class Signatures:
-    """Minwise values of a set under `count` functions: 32-bit tokens of the first ones, and one bit of each."""
+    """Minwise values of a set under `count` hash functions: 32-bit tokens of the first ones, and two bits of each, all low bits first."""
 
-    def __init__(self, count: int = 128, tokens: int = 64, seed: int = 1):
+    def __init__(self, count: int = 256, tokens: int = 64, seed: int = 1):
         keys = mix64((np.arange(2 * count, dtype=np.uint64) + np.uint64(seed * 1000003)) * np.uint64(GOLDEN))
         self.flip, self.scale, self.tokens = keys[:count, None], keys[count:, None] | np.uint64(1), tokens
 
     def of(self, found: np.ndarray) -> tuple[bytes, bytes]:
         least = None
-        for k in range(0, len(found), 2048):
-            part = ((found[k : k + 2048] ^ self.flip) * self.scale).min(1)
+        for k in range(0, len(found), 512):
+            part = ((found[k : k + 512] ^ self.flip) * self.scale).min(1)
             least = part if least is None else np.minimum(least, part)
         mixed = mix64(least)
-        return (mixed[: self.tokens] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits((mixed & np.uint64(1)).astype(np.uint8)).tobytes()
+        return (mixed[: self.tokens] >> np.uint64(32)).astype(np.uint32).tobytes(), np.packbits(np.concatenate([mixed & np.uint64(1), mixed >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)).tobytes()
