@@ -88,7 +88,8 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, k: int, constant: int = 6
 
 def weighted_fusion(a: DataFrame, b: DataFrame, k: int, wa: float, wb: float) -> DataFrame:
     both = _both(a, b)
-    fused = F.round(wa * F.coalesce("score_a", F.lit(0.0)) + wb * F.coalesce("score_b", F.lit(0.0)), 6)
+    # scores have six places, so seven do not round halves
+    fused = F.round(wa * F.coalesce("score_a", F.lit(0.0)) + wb * F.coalesce("score_b", F.lit(0.0)), 7)
     return _ranked(both.withColumn("fused", fused), k)
 
 

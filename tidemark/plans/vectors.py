@@ -57,11 +57,11 @@ def _(s, d):
     return found.join(read(s, d, "embeddings").select(C("vec_id").alias("row_id"), "label"), "row_id").select("query_id", "row_id", "label", "rank")
 
 
-@query("search_with_warnings", f"SELECT query_id, CASE WHEN count(*) < 5 THEN 'few results' END AS warning, count(*) AS results, round(avg(score), 6) AS mean_score FROM {_sql('cosine', 'q.label = x.label')} WHERE score > 0.1 GROUP BY 1")
+@query("search_with_warnings", f"SELECT query_id, CASE WHEN count(*) < 5 THEN 'few results' END AS warning, count(*) AS results, round(avg(score), 9) AS mean_score FROM {_sql('cosine', 'q.label = x.label')} WHERE score > 0.1 GROUP BY 1")
 def _(s, d):
     found = S.top_k(_queries(s, d), _vectors(s, d), K, "cosine", "label").where("score > 0.1")
     n = F.count(F.lit(1))
-    return found.groupBy("query_id").agg(F.when(n < 5, "few results").alias("warning"), n.alias("results"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return found.groupBy("query_id").agg(F.when(n < 5, "few results").alias("warning"), n.alias("results"), F.round(F.avg("score"), 9).alias("mean_score"))
 
 
 @query("rank_final", f"SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, x.label, row_id) AS final_rank FROM {_sql('cosine')} JOIN embeddings x ON x.vec_id = row_id")
@@ -77,8 +77,8 @@ def _lanes(s, d, k=2 * K):
 _BOTH = f"(SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, a.score AS score_a, b.score AS score_b, a.rank AS rank_a, b.rank AS rank_b FROM {_sql('cosine', k=2 * K)} a FULL JOIN {_sql('l2', k=2 * K)} b ON a.query_id = b.query_id AND a.row_id = b.row_id)"
 
 
-def _fused(expr: str) -> str:
-    return f"SELECT * FROM (SELECT query_id, row_id, fused, rank_a, rank_b, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, row_id) AS rank FROM (SELECT *, round({expr}, 6) AS fused FROM {_BOTH})) WHERE rank <= {K}"
+def _fused(expr: str, places: int = 6) -> str:
+    return f"SELECT * FROM (SELECT query_id, row_id, fused, rank_a, rank_b, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, row_id) AS rank FROM (SELECT *, round({expr}, {places}) AS fused FROM {_BOTH})) WHERE rank <= {K}"
 
 
 @query("fuse_rrf", _fused("coalesce(1.0::DOUBLE / (60 + rank_a), 0) + coalesce(1.0::DOUBLE / (60 + rank_b), 0)"))
@@ -86,7 +86,7 @@ def _(s, d):
     return S.reciprocal_rank_fusion(*_lanes(s, d), K)
 
 
-@query("fuse_weighted", _fused("0.7::DOUBLE * coalesce(score_a, 0) + 0.3::DOUBLE * coalesce(score_b, 0)"))
+@query("fuse_weighted", _fused("0.7::DOUBLE * coalesce(score_a, 0) + 0.3::DOUBLE * coalesce(score_b, 0)", 7))
 def _(s, d):
     return S.weighted_fusion(*_lanes(s, d), K, 0.7, 0.3)
 
