@@ -141,17 +141,18 @@ class ShardStore:
         schema, new, merged = self.schema(), [], set()
         for run in runs:
             files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
-            rows = self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in run))
-            new += self._written(rows.coalesce(files), base + 1)
+            new += self._written(self._rows(run, schema).coalesce(files), base + 1)
             merged |= {s.path for s in run}
         return self.commit(base, [s for s in shards if s.path not in merged] + new, schema)
 
+    def _rows(self, shards: list[Shard], schema: StructType) -> DataFrame:
+        """The rows of some shards, without the column that Spark makes of a folder's name."""
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{s.path}" for s in shards)).select(*(F.col(f"`{c}`") for c in schema.names))
+
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version; they have Spark's _metadata column."""
-        shards = self.live(version)
-        if not shards:
-            return self.spark.createDataFrame([], self.schema())
-        return self.spark.read.schema(self.schema()).parquet(*(f"{self.folder}/{s.path}" for s in shards))
+        """The rows of a version."""
+        shards, schema = self.live(version), self.schema()
+        return self._rows(shards, schema) if shards else self.spark.createDataFrame([], schema)
 
     def vacuum(self, keep: int = 1) -> int:
         """Deletes the shards that none of the newest `keep` manifests names, and the older manifests. Returns how many files went."""
