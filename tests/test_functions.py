@@ -137,3 +137,16 @@ def test_readers(spark):
     assert files.read_yaml(spark, "- {slug: a, name: A}\n- {slug: b}", files.T.StructType([files.T.StructField("slug", files.T.StringType()), files.T.StructField("name", files.T.StringType())])).count() == 2
     split = files.split_objects(spark.createDataFrame([(1, '{"a":"}{"}{"b":{"c":"\\"}"}}'), (2, None)], "id long, raw string"), "raw").collect()
     assert [r["object"] for r in split] == ['{"a":"}{"}', '{"b":{"c":"\\"}"}}']
+
+
+def test_numbers_and_sliding_windows_over_blocks(spark):
+    from tidemark.operators.ordered import numbered, sliding
+
+    rows = spark.createDataFrame([("a" if i % 3 else "b", (i * 37) % 101, float(i)) for i in range(101)], "k string, o long, v double")
+    got = sliding(numbered(rows, ["k"], ["o"]), ["k"], "nth", 9, F.max("v"), "top", block=4).collect()
+    assert len(got) == 101
+    for key in "ab":
+        mine = sorted((r for r in rows.collect() if r["k"] == key), key=lambda r: r["o"])
+        have = sorted((r for r in got if r["k"] == key), key=lambda r: r["nth"])
+        assert [r["nth"] for r in have] == list(range(1, len(mine) + 1)) and [r["o"] for r in have] == [r["o"] for r in mine]
+        assert [r["top"] for r in have] == [max(r["v"] for r in mine[max(0, i - 8) : i + 1]) for i in range(len(mine))]

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import numbered, sliding
+
 # Latency budgets and alert thresholds in milliseconds, by lane.
 BUDGET_MS = {"fast": 150, "accurate": 500}
 ALERT_MS = {"fast": (200, 500), "accurate": (800, 2000)}
@@ -39,9 +40,9 @@ TURNS_SQL = """turns AS (SELECT event_id, ts, user_id, event_type, CASE WHEN eve
 
 
 def rolling_p95(df: DataFrame, value: str, order: list[str], keys: list[str], last: int = ROLLING_EVENTS) -> DataFrame:
-    """Adds p95: interpolated, over the last `last` rows of the keys. Without keys all rows are one order, which is for summaries of one log."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(-(last - 1), 0)
-    return df.withColumn("p95", F.round(F.percentile(value, F.lit(0.95)).over(w), 6))
+    """Adds nth, a row's number among those of its keys, and p95: interpolated, over the last `last` of them."""
+    rows = numbered(df, keys, order)
+    return sliding(rows, keys, "nth", last, F.percentile(value, F.lit(0.95)), "p95").withColumn("p95", F.round("p95", 6))
 
 
 def verdict(p95: Column, budget: Column) -> Column:

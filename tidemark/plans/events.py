@@ -96,7 +96,7 @@ def _(s, d):
 @query("rolling_p95_every10", f"WITH {TURNS_SQL} SELECT event_id, lane, p95 FROM (SELECT event_id, lane, {_ROLL} AS p95, row_number() OVER (PARTITION BY lane ORDER BY ts, event_id) AS nth FROM turns WHERE topk > 2) WHERE nth % 10 = 0")
 def _(s, d):
     rows = L.rolling_p95(_turns(s, d).where("topk > 2"), "total_ms", ["ts", "event_id"], ["lane"])
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("lane").orderBy("ts", "event_id"))).where("nth % 10 = 0").select("event_id", "lane", "p95")
+    return rows.where("nth % 10 = 0").select("event_id", "lane", "p95")
 
 
 _RUN = "coalesce(sum(total_ms) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
