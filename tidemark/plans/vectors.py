@@ -114,8 +114,10 @@ def _(s, d):
     words = b.select(C("item_id").alias("row_id"), F.explode("w").alias("word"))
     asked = b.where("item_id % 20 = 0").select(C("item_id").alias("query_id"), F.size("w").alias("n"), F.explode("w").alias("word"))
     shared = asked.join(words, "word").where("query_id <> row_id").groupBy("query_id", "row_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
-    every = b.where("item_id % 20 = 0").select(C("item_id").alias("query_id")).crossJoin(b.select(C("item_id").alias("row_id"))).where("query_id <> row_id")
-    scored = every.join(shared, ["query_id", "row_id"], "left").fillna(0.0, ["score"])
+    # items that share nothing fill up a list of fewer than ten: they are among the 21 least ids
+    least = b.orderBy("item_id").limit(21).select(C("item_id").alias("row_id"))
+    rest = b.where("item_id % 20 = 0").select(C("item_id").alias("query_id")).crossJoin(F.broadcast(least)).where("query_id <> row_id")
+    scored = shared.unionByName(rest.join(shared, ["query_id", "row_id"], "left_anti").withColumn("score", F.lit(0.0)))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(C("rank") <= 10)
 
