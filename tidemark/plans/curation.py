@@ -46,7 +46,8 @@ def _(s, d):
 @query("removal_candidate", f"WITH {_SCORED}, c AS (SELECT *, count(*) OVER (PARTITION BY stage, tag) AS others FROM scored) SELECT stage, id FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY others DESC, tokens DESC, id) AS nth FROM c) WHERE nth = 1")
 def _(s, d):
     """Of each stage the document whose tag the most others have."""
-    x = _scored(s, d).withColumn("others", n().over(W.partitionBy("stage", "tag")))
+    rows = _scored(s, d)
+    x = rows.join(rows.groupBy("stage", "tag").agg(n().alias("others")), ["stage", "tag"])
     return x.withColumn("nth", F.row_number().over(W.partitionBy("stage").orderBy(F.desc("others"), F.desc("tokens"), "id"))).where("nth = 1").select("stage", "id")
 
 

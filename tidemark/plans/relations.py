@@ -65,9 +65,10 @@ def _(s, d):
 
 @query("version_groups", "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_partkey))[1:3], ',') AS first_three, count(DISTINCT p_size) > 1 AS inconsistent FROM part GROUP BY 1")
 def _(s, d):
-    p = read(s, d, "part").withColumn("nth", F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")))
-    three = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(C("nth") <= 3, C("p_partkey")))), lambda x: x.cast("string")), ",")
-    return p.groupBy("p_brand").agg(n().alias("n"), three.alias("first_three"), (F.countDistinct("p_size") > 1).alias("inconsistent"))
+    p = read(s, d, "part")
+    nth = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
+    first = p.withColumn("nth", nth).where("nth <= 3").groupBy("p_brand").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",").alias("first_three"))
+    return p.groupBy("p_brand").agg(n().alias("n"), (F.countDistinct("p_size") > 1).alias("inconsistent")).join(first, "p_brand").select("p_brand", "n", "first_three", "inconsistent")
 
 
 @query("validate_lookup_mismatch", "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'unknown' WHEN (l.quality = 1) <> (d.n_chars > 500) THEN 'mismatch' ELSE 'ok' END AS result FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
