@@ -12,6 +12,7 @@ import heapq
 import importlib.util
 import re
 import zlib
+from collections import defaultdict
 from dataclasses import dataclass
 from itertools import count
 
@@ -92,29 +93,40 @@ class PieceModel:
     @staticmethod
     def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, share: float) -> np.ndarray:
         place = (start.astype(np.uint64) << np.uint64(42)) ^ (middle.astype(np.uint64) << np.uint64(21)) ^ stop.astype(np.uint64)
-        return mix64(mix64(key + place * np.uint64(GOLDEN)) ^ key) < np.uint64(int(share * (2**64 - 1)))
-
-    def merge_units(self, units: list[str], keys: np.ndarray, share: float) -> list[np.ndarray]:
-        """Piece ids of each unit; keys: what its candidates' hashes are keyed by."""
-        out: list[np.ndarray] = [None] * len(units)  # type: ignore[list-item]
-        short = []
-        for k, u in enumerate(units):
-            if len(u) > LONG:
-                out[k] = self._with_heap(u, keys[k], share)
-            elif len(u) == 1 and self.codes[ord(u)] < 0:
-                out[k] = np.array(self.lone(u), np.int32)
-            else:
-                short.append(k)
-        if short:
-            for k, ids in zip(short, self._in_steps([units[k] for k in short], keys[short], share)):
-                out[k] = ids
-        return out
-
-    def _in_steps(self, units: list[str], keys: np.ndarray, share: float) -> list[np.ndarray]:
-        """All units at once: each step does every unit's best merge."""
-        sizes = np.array([len(u) for u in units])
-        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sym, of = self.codes[text], np.repeat(np.arange(len(units)), sizes)
+        return mix64(mix64(key + place * np.uint64(GOLDEN)) ^ key) < np.uint64(min(int(share * 2**64), 2**64 - 1))
+
+    def merge_units(self, strings: list[str], which: np.ndarray, keys: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of the units strings[which], one after the other, and how many each has; keys: what the hashes of a unit's candidates are keyed by."""
+        codes = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        length = np.fromiter(map(len, strings), np.int64, len(strings))
+        begin = np.cumsum(length) - length
+        alone = (length == 1) & (self.codes[codes[begin]] < 0)
+        special = (length > LONG) | alone
+        short = np.flatnonzero(~special[which])
+        sizes = np.zeros(len(which), np.int64)
+        found: dict[int, np.ndarray] = {}
+        for k in np.flatnonzero(special[which]).tolist():
+            u = strings[which[k]]
+            found[k] = np.array(self.lone(u), np.int32) if alone[which[k]] else self._with_heap(u, keys[k], share)
+            sizes[k] = len(found[k])
+        flat = np.zeros(0, np.int32)
+        if len(short):
+            n = length[which[short]]
+            place = np.repeat(begin[which[short]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            flat, sizes[short] = self._in_steps(codes[place], n, keys[short], share)
+        if not found:
+            return flat, sizes
+        pool = np.zeros(int(sizes.sum()), np.int32)
+        first = np.cumsum(sizes) - sizes
+        n = sizes[short]
+        pool[np.repeat(first[short] - (np.cumsum(n) - n), n) + np.arange(n.sum())] = flat
+        for k, ids in found.items():
+            pool[first[k] : first[k] + len(ids)] = ids
+        return pool, sizes
+
+    def _in_steps(self, text: np.ndarray, sizes: np.ndarray, keys: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """All units at once, of the code points of all and the size of each: each step does every unit's best merge."""
+        sym, of = self.codes[text], np.repeat(np.arange(len(sizes)), sizes)
         start = np.arange(len(sym)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         length = sizes
         done_sym, done_of = [], []
@@ -161,8 +173,7 @@ class PieceModel:
             ok = both >= 0
             rank[both[ok]] = fresh[ok]
         sym, of = np.concatenate(done_sym), np.concatenate(done_of)
-        order = np.argsort(of, kind="stable")
-        return np.split(sym[order], np.cumsum(np.bincount(of, minlength=len(units)))[:-1])
+        return sym[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(sizes))
 
     def _with_heap(self, unit: str, key: np.uint64, share: float) -> np.ndarray:
         """The same for one long unit: an agenda of candidates, best first."""
@@ -203,28 +214,23 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes many texts; units that recur are merged once while the memory for them lasts."""
+    """Encodes many texts at once; a unit that recurs among them with the same draw is merged once."""
 
-    def __init__(self, model: PieceModel, dropout: Dropout, held: int = 400_000):
-        self.m, self.d, self.held, self.known = model, dropout, held, {}
+    def __init__(self, model: PieceModel, dropout: Dropout):
+        self.m, self.d = model, dropout
         self.draws = max(1, dropout.draws) if dropout.share > 0 else 1
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        names: dict[str, int] = {}
-        number = count()
+        names: dict[str, int] = defaultdict(count().__next__)
         flat: list[int] = []
         sizes = np.zeros(len(texts), np.int64)
-        get = names.get
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            found = self.m.unit.findall(" " + text)
-            sizes[i] = len(found)
-            for u in found:
-                k = get(u)
-                if k is None:
-                    k = names[u] = next(number)
-                flat.append(k)
+            if text:
+                found = self.m.unit.findall(" " + text)
+                sizes[i] = len(found)
+                flat.extend(map(names.__getitem__, found))
+        if not flat:
+            return [np.zeros(0, np.int32) for _ in texts]
         unit = np.array(flat, np.int64)
         ends = np.cumsum(sizes)
         if self.draws > 1:
@@ -233,27 +239,11 @@ class Encoder:
             unit = unit * self.draws + drawn.astype(np.int64)
         kinds, at = np.unique(unit, return_inverse=True)
         strings = list(names)
-        pieces: list[np.ndarray] = [None] * len(kinds)  # type: ignore[list-item]
-        new = []
-        for k, kind in enumerate(kinds.tolist()):
-            known = self.known.get((strings[kind // self.draws], kind % self.draws))
-            if known is None:
-                new.append(k)
-            else:
-                pieces[k] = known
-        if new:
-            words = [strings[k] for k in (kinds[new] // self.draws).tolist()]
-            unit_keys = mix64(np.array([_text_key(w) for w in words], np.uint64) + (kinds[new] % self.draws + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(self.d.seed))
-            if len(self.known) + len(new) > self.held:
-                self.known.clear()
-            for k, word, ids in zip(new, words, self.m.merge_units(words, unit_keys, self.d.share)):
-                pieces[k] = ids
-                if len(word) <= LONG:
-                    self.known[word, int(kinds[k] % self.draws)] = ids.copy()
-        if not len(kinds):
-            return [np.zeros(0, np.int32) for _ in texts]
-        lengths = np.array([len(p) for p in pieces])
-        pool, first = np.concatenate(pieces), np.cumsum(lengths) - lengths
+        which = kinds // self.draws
+        by_name = np.fromiter(map(_text_key, strings), np.uint64, len(strings))
+        unit_keys = mix64(by_name[which] + (kinds % self.draws + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(self.d.seed))
+        pool, lengths = self.m.merge_units(strings, which, unit_keys, self.d.share)
+        first = np.cumsum(lengths) - lengths
         each = lengths[at]
         total = np.cumsum(each)
         ids = pool[np.repeat(first[at] - (total - each), each) + np.arange(total[-1])]
@@ -278,7 +268,7 @@ def encoded(docs: DataFrame, model: PieceModel | None = None, dropout: Dropout |
     def run(batches):
         encoder = Encoder(model, dropout)
         for batch in batches:
-            for part in slices(batch, "__text", 2 << 20):
+            for part in slices(batch, "__text", 1 << 20):
                 raw = part.column("__text")
                 texts = filled(raw).to_pylist()
                 missing = raw.is_null().to_numpy(zero_copy_only=False)
