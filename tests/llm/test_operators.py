@@ -275,7 +275,7 @@ def test_passages_cover_texts():
 def test_media_round_trip(spark):
     index, folder = media.store(docs(spark, ODD), Workspace(spark, "t"), shard_bytes=40000)
     placed = media.fill_metadata(index, folder)
-    found = media.attach(docs(spark, ODD).select("doc_id", "text"), media.read_features(placed, folder))
+    found = media.attach(docs(spark, ODD).withColumn("digest", F.lit("clash")).withColumn("offset", F.lit(1)), media.read_features(placed, folder))
     rows = found.withColumn("payload", F.lower(F.hex("payload_sha256"))).collect()
     assert len(rows) == len(ODD)
     wanted = {}

@@ -197,9 +197,14 @@ def read_features(index: DataFrame, folder: str) -> DataFrame:
 
 
 def attach(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
-    """Each row's key columns, digest and unpadded size, with what was found for its digest."""
-    raw = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
-    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != text), raw.alias("n_bytes"), F.unhex(F.sha2(payload_column(F.col(text)), 256)).alias("digest"))
+    """Each row of docs less its text, with digest, unpadded size (n_bytes) and what was found for the digest.
+
+    Columns of docs that are named as one of these are replaced. Rows that repeat stay, each with the same values.
+    """
+    made = {text, "n_bytes", *found.columns}
+    raw = F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))).cast("long")
+    digest = F.unhex(F.sha2(payload_column(F.col(f"`{text}`")), 256))
+    rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), raw.alias("n_bytes"), digest.alias("digest"))
     return rows.join(found, "digest")
 
 

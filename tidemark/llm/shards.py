@@ -32,7 +32,11 @@ class CommitConflict(RuntimeError):
 
 
 class ShardStore:
-    """All file operations go through the Hadoop file system of the folder, all rows through Spark's own readers and writers."""
+    """All file operations go through the Hadoop file system of the folder, all rows through Spark's own readers and writers.
+
+    Rows go through as they are: nulls, texts of any length, repeated rows and columns of any name but __arrival. Rows with
+    a null arrival have shards of their own. An empty table is a version without rows; compacting it merges nothing but empty files.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, target_bytes: int = 64 << 20, fanout: int = 4, least_bytes: int = 1 << 20):
         self.spark, self.folder = spark, folder.rstrip("/")
