@@ -146,8 +146,11 @@ class Constant:
         return np.full(n, self.value)
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, passages): each text's vectors, one after the other, as float32 bytes."""
+def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """(key, passages): each text's vectors, one after the other, as float32 bytes; of more than `most` so many at even distances."""
+
+    def chosen(x: np.ndarray) -> bytes:
+        return (x if most is None or len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]).tobytes()
 
     def run(batches):
         for batch in batches:
@@ -155,17 +158,18 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 data, bounds = buffers(part.column("text"))
                 x, owner = encode(data, bounds)
                 first = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["key", "passages"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([chosen(x[a:b]) for a, b in zip(first, first[1:])], pa.binary())], ["key", "passages"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, passages binary").withColumnRenamed("key", key)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_class: int = 1500, model: AttentionMil | None = None, seed: int = 11) -> AttentionMil | Constant:
-    """Fits the model on at most `per_class` labelled rows of each label (0 and 1), those of the least keyed hash.
+def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_class: int = 1500, passages: int = 128, model: AttentionMil | None = None, seed: int = 11) -> AttentionMil | Constant:
+    """Fits the model on at most `per_class` labelled rows of each label (0 and 1), those of the least keyed hash, and on
+    at most `passages` of each, at even distances. Scoring has no such bound.
 
-    The bound keeps what is sent to every executor (the chosen keys) and to the driver (their passages) small at any
-    size of the input. Labels that are null or neither 0 nor 1, and labels of no document, teach nothing; of labels
+    The bounds keep what is sent to every executor (the chosen keys) and to the driver (their passages) small at any
+    size and length of the input. Labels that are null or neither 0 nor 1, and labels of no document, teach nothing; of labels
     of one key that differ, the least counts. With labels of one class only the result is that class, with none 0.5.
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
@@ -174,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", t
         part = clean.where(F.col("y") == y).orderBy(unit_hash(F.col(key), seed=seed), key).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(key, text).join(F.broadcast(chosen), key).dropDuplicates([key])
-    found = encoded(rows, key, text).join(F.broadcast(chosen), key).orderBy(key).collect()
+    found = encoded(rows, key, text, passages).join(F.broadcast(chosen), key).orderBy(key).collect()
     y = np.array([r["y"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return Constant(float(y[0]) if len(y) else 0.5)
