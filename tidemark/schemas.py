@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.functions.validation import Rule
 
+# Field names of the nested documents, chunks and requests.
 LEVEL = "STRUCT<`Present pattern`:STRING,`Immediate cost`:STRING,`30-90 day system effect`:STRING,`Signals`:STRING,`Edge condition`:STRING,`Example moves`:STRING,`Future effect`:STRING>"
 DOCUMENT = (
     "`Title` STRING, `Short Title` STRING, `Overall Purpose` STRING, `Why This Matters` STRING, `When To Use This Protocol` STRING, "
