@@ -67,6 +67,7 @@ class PieceModel:
         pairs = sorted((ids[p[:k]] * n + ids[p[k:]], int(self.rank[i])) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
         self.pair_keys, self.pair_ranks = (np.array(x) for x in zip(*pairs))
         self.pair_ranks = self.pair_ranks.astype(np.int32)
+        self._hash_pairs()
         self.char = {p: i for p, i in ids.items() if len(p) == 1}
         self.bytes = {int(names[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.text = [bytes([int(names[i][1:-1], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
@@ -85,10 +86,34 @@ class PieceModel:
         found = self.char.get(unit) if unit != SPACE else None
         return [found] if found is not None else [self.bytes[b] for b in unit.encode()]
 
+    def _slots(self, key: np.ndarray) -> np.ndarray:
+        return (mix64(key.astype(np.uint64)) >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+
+    def _hash_pairs(self) -> None:
+        """An open-addressing table of the pairs, a quarter full at most."""
+        self.slot_bits = max(4, int(len(self.pair_keys) * 4 - 1).bit_length())
+        self.slots = np.full(1 << self.slot_bits, -1, np.int32)
+        todo, at = np.arange(len(self.pair_keys)), self._slots(self.pair_keys)
+        while len(todo):
+            free = np.flatnonzero(self.slots[at] < 0)
+            taken, first = np.unique(at[free], return_index=True)
+            self.slots[taken] = todo[free[first]]
+            left = np.ones(len(todo), bool)
+            left[free[first]] = False
+            todo, at = todo[left], (at[left] + 1) & (len(self.slots) - 1)
+
     def ranks_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the piece that each pair makes; NONE if it makes none."""
         key = left.astype(np.int64) * self.size + right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NONE)
+        ranks = np.full(len(key), NONE, np.int32)
+        open_, at = np.arange(len(key)), self._slots(key)
+        while len(open_):
+            pair = self.slots[at]
+            hit = (self.pair_keys[pair] == key[open_]) & (pair >= 0)
+            ranks[open_[hit]] = self.pair_ranks[pair[hit]]
+            on = ~hit & (pair >= 0)
+            open_, at = open_[on], (at[on] + 1) & (len(self.slots) - 1)
+        return ranks
 
     @staticmethod
     def skipped(key: np.ndarray, start: np.ndarray, middle: np.ndarray, stop: np.ndarray, share: float) -> np.ndarray:
@@ -214,21 +239,52 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes many texts at once; a unit that recurs among them with the same draw is merged once."""
+    """Encodes many texts at once; a unit that recurs with the same draw is merged once while the memory for units lasts.
+
+    Units are numbered as they come. A unit and its draw have a place and a length in one pool of pieces; after
+    `held` units all are forgotten, which changes no result.
+    """
 
-    def __init__(self, model: PieceModel, dropout: Dropout):
-        self.m, self.d = model, dropout
+    def __init__(self, model: PieceModel, dropout: Dropout, held: int = 250_000):
+        self.m, self.d, self.held = model, dropout, held
         self.draws = max(1, dropout.draws) if dropout.share > 0 else 1
+        self._forget()
+
+    def _forget(self) -> None:
+        self.names: dict[str, int] = defaultdict(count().__next__)
+        self.length, self.place, self.pool, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
+
+    def _learn(self, kinds: np.ndarray) -> None:
+        """Merges the units and draws that are new."""
+        short = len(self.names) * self.draws - len(self.length)
+        if short > 0:
+            self.length = np.concatenate([self.length, np.full(short, -1, np.int32)])
+            self.place = np.concatenate([self.place, np.zeros(short, np.int64)])
+        new = kinds[self.length[kinds] < 0]
+        if not len(new):
+            return
+        units, which = np.unique(new // self.draws, return_inverse=True)
+        every = list(self.names)
+        strings = [every[k] for k in units.tolist()]
+        by_name = np.fromiter(map(_text_key, strings), np.uint64, len(strings))
+        keys = mix64(by_name[which] + (new % self.draws + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(self.d.seed))
+        flat, sizes = self.m.merge_units(strings, which, keys, self.d.share)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.int32)])
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.length[new], self.place[new] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.used += len(flat)
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        names: dict[str, int] = defaultdict(count().__next__)
+        if len(self.names) > self.held:
+            self._forget()
         flat: list[int] = []
         sizes = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
             if text:
                 found = self.m.unit.findall(" " + text)
                 sizes[i] = len(found)
-                flat.extend(map(names.__getitem__, found))
+                flat.extend(map(self.names.__getitem__, found))
         if not flat:
             return [np.zeros(0, np.int32) for _ in texts]
         unit = np.array(flat, np.int64)
@@ -237,16 +293,10 @@ class Encoder:
             place = np.arange(len(unit)) - np.repeat(ends - sizes, sizes)
             drawn = mix64(np.repeat(mix64(keys ^ np.uint64(self.d.seed)), sizes) + place.astype(np.uint64) * np.uint64(GOLDEN)) % np.uint64(self.draws)
             unit = unit * self.draws + drawn.astype(np.int64)
-        kinds, at = np.unique(unit, return_inverse=True)
-        strings = list(names)
-        which = kinds // self.draws
-        by_name = np.fromiter(map(_text_key, strings), np.uint64, len(strings))
-        unit_keys = mix64(by_name[which] + (kinds % self.draws + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(self.d.seed))
-        pool, lengths = self.m.merge_units(strings, which, unit_keys, self.d.share)
-        first = np.cumsum(lengths) - lengths
-        each = lengths[at]
+        self._learn(np.unique(unit))
+        each = self.length[unit].astype(np.int64)
         total = np.cumsum(each)
-        ids = pool[np.repeat(first[at] - (total - each), each) + np.arange(total[-1])]
+        ids = self.pool[np.repeat(self.place[unit] - (total - each), each) + np.arange(total[-1])]
         stops = np.concatenate([[0], total])[np.concatenate([[0], ends])]
         return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
