@@ -345,6 +345,52 @@ def test_lines_odd_input(spark):
     assert lines.deduplicated_lines(docs(spark, []), Workspace(spark, "t")).count() == 0
 
 
+def cut_runs(rows, least=2):
+    """Brute force: every run of lines, from one that is not blank to another, that an earlier place has."""
+    seen, out = set(), {}
+    for i, t in sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0])):
+        parts = t.split("\n")
+        full, gone = [k for k, x in enumerate(parts) if x.strip(" \t\r")], set()
+        for a, k in enumerate(full):
+            runs = [(k, e) for e in full[a + least - 1 :]]
+            gone |= {x for k, e in runs if tuple(parts[k : e + 1]) in seen for x in range(k, e + 1)}
+            seen |= {tuple(parts[k : e + 1]) for k, e in runs}
+        ends = ["\n"] * (len(parts) - 1) + [""]
+        out[i, t] = "".join(x + e for k, (x, e) in enumerate(zip(parts, ends)) if k not in gone), len(gone)
+    return out
+
+
+def test_passages_equal_brute_force_over_all_runs(spark):
+    rng = random.Random(11)
+    passage = [prose(rng, 6) for _ in range(9)]
+    passage[4] = " "
+    rows = []
+    for i in range(60):
+        own = [prose(rng, 5) for _ in range(rng.randrange(4))]
+        k, a = rng.randrange(len(own) + 1), rng.randrange(8)
+        rows.append((i, "\n".join([*own[:k], *passage[a : a + rng.randrange(1, 6)], *own[k:]]) + "\n" * rng.randrange(3)))
+    rows += [(70, "é\nü\né\nü\né\nü\né\nü"), (71, None), (72, ""), (73, "\n\n\n"), (74, "a\na\na\na\n"), (None, rows[0][1])]
+    found = lines.deduplicated_passages(docs(spark, [*rows, rows[3]]), Workspace(spark, "t"))
+    wanted, by, got = cut_runs(rows), dict(rows), found.collect()
+    assert len(got) == len(rows) + 1
+    for r in got:
+        if by[r["doc_id"]] is not None:
+            assert (r["text"], r["lines_removed"]) == wanted[r["doc_id"], by[r["doc_id"]]]
+            assert r["bytes_removed"] == len(by[r["doc_id"]].encode()) - len(r["text"].encode())
+    chunked = lines.deduplicated_lines(docs(spark, rows), Workspace(spark, "t"))
+    assert sum(r["bytes_removed"] for r in got) > sum(r["bytes_removed"] for r in chunked.collect())
+
+
+def test_the_line_stage_removes_every_repeated_run(spark, sf):
+    import corpus_pipeline
+
+    rows = [(1, "x\np\nq\ny"), (2, "k\np\nq\nl"), (3, "p\nq"), (4, "m\np\nq")]
+    left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs(spark, rows), sf).collect()}
+    assert left == {1: "x\np\nq\ny", 2: "k\nl", 3: "", 4: "m\n"}
+    assert lines.deduplicated_passages(docs(spark, ODD), Workspace(spark, "t")).count() == len(ODD)
+    assert lines.deduplicated_passages(docs(spark, []), Workspace(spark, "t")).count() == 0
+
+
 # 8 urls
 
 

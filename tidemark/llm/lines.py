@@ -4,6 +4,10 @@ A line's hash is the first 32 bits of its MD5. A rolling hash over the last two
 of its bits is set, so boundaries depend on the lines around them alone and are found again wherever a passage is
 moved. A chunk of several lines that occurs more than once anywhere in the corpus is removed but for its first
 occurrence, after its bytes are compared with the first one's.
+
+Chunk boundaries depend on foreign lines before a passage, so many repeats keep them. `deduplicated_passages` has no
+boundaries: each two adjacent lines are a window, and a run of two or more lines is repeated exactly if all its windows
+are, so the repeated windows together are every repeated run.
 """
 
 from __future__ import annotations
@@ -37,14 +41,25 @@ def chunk_bounds(data: bytes, divisor: int, least: int) -> list[tuple[int, int,
     return out
 
 
-def chunks(docs: DataFrame, divisor: int = 2, least: int = 2) -> DataFrame:
-    """CHUNK rows of all multi-line chunks, of rows doc_id, th, text. hash: 128 bits of SHA-256 of the chunk without a last line end."""
+def passage_bounds(data: bytes, least: int) -> list[tuple[int, int, int]]:
+    """(line, start, stop) of each `least` lines in a row that are not blank, with the blank lines between; start and stop in bytes, line ends included."""
+    full, at = [], 0
+    for k, line in enumerate(data.split(b"\n")):
+        stop = min(at + len(line) + 1, len(data))
+        if line.strip(b" \t\r"):
+            full.append((k, at, stop))
+        at = stop
+    return [(a[0], a[1], b[2]) for a, b in zip(full, full[least - 1 :])]
+
+
+def _hashed(docs: DataFrame, bounds) -> DataFrame:
+    """CHUNK rows of what bounds(text's bytes) gives, of rows doc_id, th, text. hash: 128 bits of SHA-256 of the chunk without a last line end."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for doc, th, data in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), filled(batch.column("text")).cast(pa.large_binary()).to_pylist()):
-                for number, start, stop in chunk_bounds(data, divisor, least):
+                for number, start, stop in bounds(data):
                     rows.append((doc, th, number, start, stop, hashlib.sha256(data[start:stop].removesuffix(b"\n")).digest()[:16]))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "th", "idx", "start", "stop", "hash"])
@@ -52,6 +67,16 @@ def chunks(docs: DataFrame, divisor: int = 2, least: int = 2) -> DataFrame:
     return docs.mapInArrow(run, CHUNK)
 
 
+def chunks(docs: DataFrame, divisor: int = 2, least: int = 2) -> DataFrame:
+    """CHUNK rows of all multi-line chunks, of rows doc_id, th, text."""
+    return _hashed(docs, lambda data: chunk_bounds(data, divisor, least))
+
+
+def passages(docs: DataFrame, least: int = 2) -> DataFrame:
+    """CHUNK rows of all windows of `least` lines, of rows doc_id, th, text; idx is the first line's number."""
+    return _hashed(docs, lambda data: passage_bounds(data, least))
+
+
 def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 2, least: int = 2) -> DataFrame:
     """All rows and columns of docs, with the text less its repeated chunks, and the counts lines_removed and
     bytes_removed (longs; columns of these names are replaced).
@@ -61,11 +86,25 @@ def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 2, least
     texts stay null; texts without repeats keep their bytes. A text of which all is removed becomes empty. Chunks
     whose 128-bit hash is that of a first chunk with other bytes stay. Very long texts are one row as any other.
     """
+    return _less_repeats(docs, work, lambda own: chunks(own, divisor, least))
+
+
+def deduplicated_passages(docs: DataFrame, work: Workspace, least: int = 2) -> DataFrame:
+    """The same with every run of `least` or more lines that are not blank, wherever it begins and whatever is around it.
+
+    A run goes if an earlier place has it, in the same text too, where the two may overlap; blank lines inside it go with
+    it, those around it stay. Each different line stays at least once, at its first place in the order above.
+    """
+    return _less_repeats(docs, work, lambda own: passages(own, least))
+
+
+def _less_repeats(docs: DataFrame, work: Workspace, found) -> DataFrame:
+    """docs less the repeats among the CHUNK rows found(rows doc_id, th, text); those of one text may overlap, but none lies in another."""
     made = ("lines_removed", "bytes_removed")
     rest = [c for c in docs.columns if c not in made]
     base = docs.select(*(F.col(f"`{c}`") for c in rest), F.xxhash64("text").alias("__th"))
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text")
-    found = work.write(chunks(own.where("text IS NOT NULL"), divisor, least), "chunks")
+    found = work.write(found(own.where("text IS NOT NULL")), "chunks")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "idx")
     several = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
     several = work.write(several, "several")
@@ -86,6 +125,11 @@ def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 2, least
     cuts = repeats.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cuts")).withColumnsRenamed({"doc_id": "__d", "th": "__t"})
     joined = base.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
 
+    # cuts that overlap begin where the one before stops
+    before = F.concat(F.array(F.lit(0).cast("long")), F.col("__cuts.stop"))
+    apart = F.zip_with("__cuts", F.slice(before, 1, F.size("__cuts")), lambda c, b: F.struct(F.greatest(c["start"], b).alias("start"), c["stop"].alias("stop")))
+    joined = joined.withColumn("__cuts", apart)
+
     # what stays: from each cut's stop to the next one's start
     stops = F.concat(F.array(F.lit(0).cast("long")), F.col("__cuts.stop"))
     starts = F.concat(F.col("__cuts.start"), F.array(F.octet_length("text").cast("long")))
