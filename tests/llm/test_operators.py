@@ -90,6 +90,25 @@ def test_mixing_fit_equals_numpy(spark):
     assert sorted(x["rate"] for x in rated.collect()) == pytest.approx(sorted(r), abs=1e-9)
 
 
+def test_mixing_knows_documents_without_telling_words(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 60) + (" zebra" if i % 10 == 0 else " apple" if i % 10 == 1 and i % 30 else "")) for i in range(900)]
+    labels = spark.createDataFrame([(i, {0: "z", 1: "a"}.get(i % 10, "c")) for i in range(900)], "doc_id long, domain string")
+    m = mixing.Mix(targets={"a": 0.05, "c": 0.9, "z": 0.05}, strength=5.0)
+    rates, found = mixing.mixed(docs(spark, rows), labels, Workspace(spark, "t"), m)
+    got = rates.collect()
+    assert all(r["p_c"] > 0.9 for r in got if r["doc_id"] % 10 > 1) and all(r["p_z"] > 0.9 for r in got if r["doc_id"] % 10 == 0)
+    assert found["reached"] == pytest.approx(found["goal"], rel=0.02)
+
+
+def test_mixing_reaches_default_targets_on_documents(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.1")
+    labels = mixing.label_domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    _, found = mixing.mixed(spark.read.parquet(f"{sf}/documents.parquet"), labels, Workspace(spark, "t"))
+    shares = np.array(found["reached"]) / sum(found["reached"])
+    assert found["domains"] == ["clean", "low", "toxic"] and np.abs(shares - [0.9, 0.05, 0.05]).max() < 0.02
+
+
 def test_mixing_odd_input(spark):
     labels = spark.createDataFrame([(4, "clean"), (4, "low"), (None, "low"), (99, "toxic"), (5, None)], "doc_id long, domain string")
     rates, _ = mixing.mixed(docs(spark, ODD), labels, Workspace(spark, "t"))

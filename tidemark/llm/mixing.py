@@ -1,6 +1,7 @@
 """Mixing to target weights with soft membership.
 
-A naive Bayes classifier, learnt from a labelled table, gives each document a posterior over domains. Rates, one a
+A naive Bayes classifier, learnt from a labelled table, gives each document a posterior over domains, from the telling
+words that it has or from having none. Rates, one a
 document, are fitted so that the expected tokens of each domain (rate * tokens * posterior, summed) match targets:
 nonnegative least squares by projected gradient, started at and drawn to a rate of 1. A step needs the domains' totals
 only, so an iteration is one aggregation over a narrow table, and each document's rate is a chain of arithmetic over
@@ -50,8 +51,9 @@ def _bucket(word: Column, m: Mix) -> Column:
     return F.pmod(F.xxhash64(F.when(F.length(rest) >= 2, rest).otherwise(word)), F.lit(m.buckets)).cast("int")
 
 
-def learn(docs: DataFrame, labelled: DataFrame, m: Mix, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, float]]:
-    """Of rows (key, domain): a table (bucket, w_0..) of each telling word's log rates, and each domain's log prior.
+def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """Of rows (key, domain): a table (bucket, w_0..) of each telling word's log rates, each domain's log prior, and the
+    log chance that its documents have no telling word.
 
     The chosen keys are at most per_class for each target domain and the table has at most `buckets` rows, so both may be
     broadcast at any size of the input. A key with several domains teaches the least of them; null keys, domains without a target
@@ -68,6 +70,7 @@ def learn(docs: DataFrame, labelled: DataFrame, m: Mix, key: str = "doc_id", tex
         chosen = part if chosen is None else chosen.unionByName(part)
     words = docs.select(F.col(key), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), key).select(key, "domain", F.explode(_words("text")).alias("word")).where("word <> ''")
     used = words.select(key, "domain", _bucket(F.col("word"), m).alias("bucket")).distinct()
+    used = work.write(used, "used")
     counts = used.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("double")).alias(f"n_{k}") for k, d in enumerate(names)))
     # documents of each domain that use a bucket, against what the share of all chosen documents would make it
     learnt = [float(min(sizes.get(d, 0), m.per_class)) for d in names]
@@ -78,13 +81,18 @@ def learn(docs: DataFrame, labelled: DataFrame, m: Mix, key: str = "doc_id", tex
     centre = sum(rates, F.lit(0.0)) / len(names)
     ranked = F.sort_array(F.array(*rates), asc=False)
     apart = F.coalesce(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)), F.lit(0.0))
-    return counts.where((telling >= m.strength) & (apart >= m.contrast)).select("bucket", *((w - centre).alias(f"w_{k}") for k, w in enumerate(rates))), priors
+    weights = work.write(counts.where((telling >= m.strength) & (apart >= m.contrast)).select("bucket", *((w - centre).alias(f"w_{k}") for k, w in enumerate(rates))), "weights")
+    some = {r["domain"]: r["n"] for r in used.join(F.broadcast(weights), "bucket", "left_semi").groupBy("domain").agg(F.countDistinct(key).alias("n")).collect()}
+    none = {d: math.log((n - some.get(d, 0) + 1) / (n + 2)) for d, n in zip(names, learnt)}
+    return weights, priors, none
 
 
-def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float], m: Mix, keys: list[str], text: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float], none: dict[str, float], m: Mix, keys: list[str], text: str = "text") -> DataFrame:
     """keys, n_tokens and p_0.. of each row of docs; rows that agree in their keys and text are one row here.
 
-    Null, empty and blank texts have no tokens and the priors as posterior. `weights` has at most m.buckets rows.
+    A document without any telling word has the chance of just that as evidence: words that lack together would count many
+    times if each absence were a factor of its own. Null, empty and blank texts have no tokens and no telling word.
+    `weights` has at most m.buckets rows.
     """
     names = sorted(m.targets)
     plain = docs.select(*keys, _words(text).alias("words"))
@@ -93,7 +101,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float], m:
     told = plain.select(*keys, F.explode("words").alias("word")).select(*keys, _bucket(F.col("word"), m).alias("bucket")).join(F.broadcast(weights), "bucket")
     sums = told.distinct().groupBy(*keys).agg(*(F.sum(f"w_{k}").alias(f"s_{k}") for k in range(len(names))))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-    sums = sizes.join(sums.withColumnsRenamed({c: f"__{c}" for c in keys}), same, "left").withColumns({f"s_{k}": F.coalesce(f"s_{k}", F.lit(0.0)) for k in range(len(names))})
+    sums = sizes.join(sums.withColumnsRenamed({c: f"__{c}" for c in keys}), same, "left").withColumns({f"s_{k}": F.coalesce(f"s_{k}", F.lit(none[d])) for k, d in enumerate(names)})
     logits = [F.col(f"s_{k}") + F.lit(priors[d]) for k, d in enumerate(names)]
     top = F.greatest(*logits)
     raised = [F.exp(F.greatest(x - top, F.lit(-700.0))) for x in logits]
@@ -142,8 +150,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix | None =
     m = m or Mix()
     names = sorted(m.targets)
     keyed = docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(f"`{text}`").alias("text"))
-    weights, priors = learn(docs, labelled, m, text=text)
-    light = work.write(posteriors(keyed, work.write(weights, "weights"), priors, m, ["doc_id", "th"]), "posteriors")
+    weights, priors, none = learn(docs, labelled, work, m, text=text)
+    light = work.write(posteriors(keyed, weights, priors, none, m, ["doc_id", "th"]), "posteriors")
     rated, found = fit(light, work, m)
     copies = (F.floor("rate") + (unit_hash(F.col("doc_id"), F.col("th"), seed=m.seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return rated.select("doc_id", "th", "n_tokens", *(F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(names)), "rate", copies.alias("copies")), found
