@@ -90,6 +90,32 @@ def test_mixing_fit_equals_numpy(spark):
     assert sorted(x["rate"] for x in rated.collect()) == pytest.approx(sorted(r), abs=1e-9)
 
 
+def test_mixing_reaches_targets_of_rare_domains(spark):
+    rng = np.random.default_rng(13)
+    n = rng.integers(20, 200, 600)
+    light = spark.createDataFrame([(int(a), float(i % 100 != 0), float(i % 100 == 0)) for i, a in enumerate(n)], "n_tokens long, p_0 double, p_1 double")
+    _, found = mixing.fit(light, Workspace(spark, "t"), mixing.Mix(targets={"a": 0.95, "b": 0.05}))
+    assert found["natural"][1] < 0.02 * sum(found["natural"]) and found["reached"] == pytest.approx(found["goal"], rel=0.01)
+
+
+@pytest.mark.parametrize("most", [float("inf"), 1.5])
+def test_mixing_fit_is_the_minimum(spark, most):
+    rng = np.random.default_rng(14)
+    n, p = rng.integers(1, 50, 80), rng.dirichlet([0.3, 0.3, 0.1], 80)
+    light = spark.createDataFrame([(int(a), *map(float, b)) for a, b in zip(n, p)], "n_tokens long, p_0 double, p_1 double, p_2 double")
+    m = mixing.Mix(targets={"a": 0.6, "b": 0.1, "c": 0.3}, max_rate=most)
+    rated, found = mixing.fit(light, Workspace(spark, "t"), m)
+    a = n[:, None] * p
+    goal = np.array([0.6, 0.1, 0.3]) * a.sum(0)[0] / 0.6
+    gram = a.T @ a
+    inv = np.linalg.inv(gram + 0.01 * np.trace(gram) * np.eye(3))
+    step, r = 1 / (1 + m.ridge), np.ones(80)
+    for _ in range(40000):
+        r = np.clip(r * (1 - step * m.ridge) - step * a @ (inv @ (a.T @ r - goal)) + step * m.ridge, 0, most)
+    assert found["reached"] == pytest.approx(list(a.T @ r), rel=1e-4)
+    assert sorted(x["rate"] for x in rated.collect()) == pytest.approx(sorted(r), abs=1e-3)
+
+
 def test_mixing_knows_documents_without_telling_words(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 60) + (" zebra" if i % 10 == 0 else " apple" if i % 10 == 1 and i % 30 else "")) for i in range(900)]

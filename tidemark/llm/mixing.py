@@ -3,9 +3,9 @@
 A naive Bayes classifier, learnt from a labelled table, gives each document a posterior over domains, from the telling
 words that it has or from having none. Rates, one a
 document, are fitted so that the expected tokens of each domain (rate * tokens * posterior, summed) match targets:
-nonnegative least squares by projected gradient, started at and drawn to a rate of 1. A step needs the domains' totals
-only, so an iteration is one aggregation over a narrow table, and each document's rate is a chain of arithmetic over
-the totals so far.
+nonnegative least squares, drawn to a rate of 1. At the minimum each rate is 1 less a weighted sum of the document's
+tokens by domain, or 0, with one weight a domain; these weights are found by Newton steps, each one aggregation over a
+narrow table. A given number of projected gradient steps can be made instead.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ from tidemark.llm.common import Workspace, table, unit_hash
 @dataclass(frozen=True)
 class Mix:
     """targets: wanted shares of expected tokens by domain, made to sum to 1. The total leaves the
-    domain of the largest target as many tokens as it has, so its documents stay; `total_tokens` sets another. No rate is
-    above max_rate, so a domain that is too rare for its target stays below it. per_class: labelled
+    domain of the largest target as many tokens as it has, so its documents stay; `total_tokens` sets another. max_rate: the greatest rate,
+    without bound if it is infinite; with one, a domain that is too rare for its target stays below it. steps: so many projected gradient
+    steps at most; None: to the minimum. per_class: labelled
     documents of each domain that the classifier learns from, at most, those of the least keyed hash. buckets: hashed
     words; strength: how many deviations the number of a domain's documents that use a word must differ to count;
     contrast: how far the log of that share must be above the next domain's, so that a word tells of one domain. ridge: pull to a rate of 1."""
@@ -35,8 +36,8 @@ class Mix:
     strength: float = 8.0
     contrast: float = 2.5
     ridge: float = 1e-3
-    max_rate: float = 2.0
-    steps: int = 30
+    max_rate: float = math.inf
+    steps: int | None = None
     total_tokens: float | None = None
     seed: int = 5
 
@@ -112,7 +113,7 @@ def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float], no
 def fit(light: DataFrame, work: Workspace, m: Mix) -> tuple[DataFrame, dict]:
     """light with each row's rate, and what was reached. light (n_tokens, p_0..) is read in each step, so it should be a written table.
 
-    Rates of several steps are one chain of arithmetic; a longer one would not be compiled, so they are written now and then.
+    Rates of several gradient steps are one chain of arithmetic; a longer one would not be compiled, so they are written now and then.
     """
     names = sorted(m.targets)
     k = range(len(names))
@@ -126,7 +127,11 @@ def fit(light: DataFrame, work: Workspace, m: Mix) -> tuple[DataFrame, dict]:
     # the residual is measured in the inverse of the domains' Gram matrix, in which the least squares have a slope of at
     # most 1; a hundredth of its trace is added, lest a domain that hardly occurs outweighs the others
     gram = np.array([[float(first[f"g_{i}_{j}"] or 0.0) for j in k] for i in k])
-    inverse = np.linalg.inv(gram + max(0.01 * float(np.trace(gram)), 1e-300) * np.eye(len(names)))
+    widened = gram + max(0.01 * float(np.trace(gram)), 1e-300) * np.eye(len(names))
+    if m.steps is None:
+        rate, reached, done = _minimum(light, mass, widened, goal, m, 1e-6 * max(total, 1.0))
+        return light.withColumn("rate", rate), {"domains": names, "natural": natural, "goal": goal, "reached": reached, "steps": done}
+    inverse = np.linalg.inv(widened)
     step, rate, reached, done = 1 / (1 + m.ridge), F.lit(1.0), natural, 0
     for done in range(1, m.steps + 1):
         pull = inverse @ (np.array(reached) - np.array(goal))
@@ -141,6 +146,40 @@ def fit(light: DataFrame, work: Workspace, m: Mix) -> tuple[DataFrame, dict]:
     return light.withColumn("rate", rate), {"domains": names, "natural": natural, "goal": goal, "reached": reached, "steps": done}
 
 
+def _minimum(light: DataFrame, mass: list[Column], widened: np.ndarray, goal: list[float], m: Mix, near: float) -> tuple[Column, list[float], int]:
+    """The rate that minimises the least squares, the totals it reaches and the aggregations made.
+
+    Its dual has one variable a domain and is convex and smooth: ridge / 2 z'Hz + goal z + the sum of phi(1 - mass z), where
+    phi' holds its argument between 0 and max_rate and is the rate. Newton steps are halved until they descend; they end
+    when the slope, in tokens, is at most `near` for each domain.
+    """
+    k = range(len(goal))
+    z = before = np.zeros(len(goal))
+    step, value, slope = np.zeros(len(goal)), math.inf, np.zeros(len(goal))
+    for done in range(1, 1001):
+        u = F.lit(1.0) - sum((a * F.lit(float(x)) for a, x in zip(mass, z)), F.lit(0.0))
+        rate = F.greatest(F.lit(0.0), u) if math.isinf(m.max_rate) else F.least(F.lit(m.max_rate), F.greatest(F.lit(0.0), u))
+        free = ((u > 0) & (u < m.max_rate)).cast("double")
+        row = light.agg(
+            F.sum(rate * u - rate * rate / 2).alias("phi"),
+            *(F.sum(rate * a).alias(f"t_{i}") for i, a in enumerate(mass)),
+            *(F.sum(free * mass[i] * mass[j]).alias(f"g_{i}_{j}") for i in k for j in k[i:]),
+        ).first()
+        reached = [float(row[f"t_{i}"] or 0.0) for i in k]
+        now = float(m.ridge / 2 * z @ widened @ z + np.dot(goal, z) + (row["phi"] or 0.0))
+        if now > value + 1e-4 * float(slope @ step) + 1e-10 * abs(value) and np.abs(step).max() > 1e-15 * np.abs(before).max():
+            step = step / 2
+            z = before + step
+            continue
+        before, value, slope = z, now, m.ridge * widened @ z + np.array(goal) - np.array(reached)
+        if np.abs(slope).max() <= near:
+            return rate, reached, done
+        curve = np.array([[float(row[f"g_{min(i, j)}_{max(i, j)}"] or 0.0) for j in k] for i in k])
+        step = -np.linalg.solve(m.ridge * widened + curve, slope)
+        z = before + step
+    raise ArithmeticError("the fit of the rates did not converge")
+
+
 def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix | None = None, text: str = "text") -> tuple[DataFrame, dict]:
     """(doc_id, th, n_tokens, p_<domain>.., rate, copies) and what the fit reached.
 
