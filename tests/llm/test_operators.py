@@ -135,6 +135,19 @@ def test_mixing_reaches_default_targets_on_documents(spark, sf):
     assert found["domains"] == ["clean", "low", "toxic"] and np.abs(shares - [0.9, 0.05, 0.05]).max() < 0.02
 
 
+def test_labels_of_no_document_teach_nothing(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, 40) + (" zebra" if i % 4 == 0 else "")) for i in range(200)]
+    own = [(i, "z" if i % 4 == 0 else "c") for i in range(200)]
+    gone = [(i, "z") for i in range(1000, 3000)]
+    m = mixing.Mix(targets={"c": 0.8, "z": 0.2}, per_class=150, strength=3.0, contrast=1.0)
+    found = []
+    for labels in (own, own + gone):
+        weights, priors, none = mixing.learn(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, domain string"), Workspace(spark, "t"), m)
+        found.append((sorted(map(tuple, weights.collect())), priors, none))
+    assert found[0] == found[1] and found[0][0]
+
+
 def test_mixing_odd_input(spark):
     labels = spark.createDataFrame([(4, "clean"), (4, "low"), (None, "low"), (99, "toxic"), (5, None)], "doc_id long, domain string")
     rates, _ = mixing.mixed(docs(spark, ODD), labels, Workspace(spark, "t"))

@@ -61,7 +61,8 @@ def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: st
     and labels of no document teach nothing. A domain without labels has a prior as if it had one document.
     """
     names = sorted(m.targets)
-    clean = labelled.where(F.col(key).isNotNull() & F.col("domain").isin(*names)).groupBy(key).agg(F.min("domain").alias("domain"))
+    clean = labelled.where(F.col(key).isNotNull() & F.col("domain").isin(*names)).join(docs.select(key), key, "left_semi").groupBy(key).agg(F.min("domain").alias("domain"))
+    clean = work.write(clean, "labels")
     sizes = {r["domain"]: r["n"] for r in clean.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     whole = sum(sizes.values()) + len(names)
     priors = {d: math.log((sizes.get(d, 0) + 1) / whole) for d in names}
