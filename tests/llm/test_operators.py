@@ -503,6 +503,21 @@ def test_dropout_varies_repeats_and_decodes(model):
     assert len(more) == 6
 
 
+def test_each_occurrence_has_its_own_dropout(model):
+    e = pieces.Encoder(model, pieces.Dropout(0.1))
+    own = model.merge_units([" international"], np.zeros(1, np.int64), np.zeros(1, np.uint64), 0.0)[0].tobytes()
+    ids = e.encode(["international " * 3000], np.arange(1).astype(np.uint64))[0].tolist()
+    forms, at = [], []
+    for k in ids:
+        if model.text[k].startswith(b" ") and at:
+            forms.append(np.array(at, np.int32).tobytes())
+            at = []
+        at.append(k)
+    assert len(forms) >= 3000 and len(set(forms)) > 30 and own in forms
+    words = e.encode(["in in in in in in in in"] * 500, np.arange(500).astype(np.uint64))
+    assert 0 < np.mean([len(x) > 8 for x in words]) < 1 and len({x.tobytes() for x in words}) > 30
+
+
 def test_steps_equal_the_agenda(model):
     rng = random.Random(8)
     units = [" " + "".join(rng.choice("thesaringtoncl") for _ in range(rng.randrange(1, 40))) for _ in range(300)]

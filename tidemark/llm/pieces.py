@@ -2,8 +2,8 @@
 
 A text is cut before runs of spaces and around characters that no longer piece has, which no merge crosses. In each
 unit the adjacent pair whose piece ranks best is merged first, until none is left. With dropout a candidate merge is
-skipped for good where a keyed hash of the unit, its draw and the candidate's place in the unit says so. A unit's draw is a keyed hash of the
-document and the unit's place, so segmentations vary between places and documents and are the same on every run.
+skipped for good where a keyed hash of the document, the unit's place and the candidate's place in the unit says so. So each
+occurrence of a unit is segmented anew, with any of its forms, and the same on every run.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import importlib.util
 import re
-import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 from itertools import count
@@ -28,6 +27,8 @@ SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Units of more characters are merged one by one, with a heap.
 LONG = 48
+#: Occurrences that are merged together with dropout, which bounds scratch memory.
+BLOCK = 1 << 17
 
 
 def default_model() -> str:
@@ -39,10 +40,9 @@ def default_model() -> str:
 
 @dataclass(frozen=True)
 class Dropout:
-    """share: of candidate merges that are skipped; 0 gives the model's own segmentation. draws: how many segmentations a unit may have, at most."""
+    """share: of candidate merges that are skipped; 0 gives the model's own segmentation."""
 
     share: float = 0.1
-    draws: int = 8
     seed: int = 1
 
 
@@ -239,15 +239,14 @@ class PieceModel:
 
 
 class Encoder:
-    """Encodes many texts at once; a unit that recurs with the same draw is merged once while the memory for units lasts.
+    """Encodes many texts at once. With dropout each occurrence is merged; without, a unit that recurs is merged once while the memory for units lasts.
 
-    Units are numbered as they come. A unit and its draw have a place and a length in one pool of pieces; after
+    Units are numbered as they come. A unit that is merged once has a place and a length in one pool of pieces; after
     `held` units all are forgotten, which changes no result.
     """
 
     def __init__(self, model: PieceModel, dropout: Dropout, held: int = 250_000):
         self.m, self.d, self.held = model, dropout, held
-        self.draws = max(1, dropout.draws) if dropout.share > 0 else 1
         self._forget()
 
     def _forget(self) -> None:
@@ -255,26 +254,31 @@ class Encoder:
         self.length, self.place, self.pool, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, kinds: np.ndarray) -> None:
-        """Merges the units and draws that are new."""
-        short = len(self.names) * self.draws - len(self.length)
+        """Merges the units that are new."""
+        short = len(self.names) - len(self.length)
         if short > 0:
             self.length = np.concatenate([self.length, np.full(short, -1, np.int32)])
             self.place = np.concatenate([self.place, np.zeros(short, np.int64)])
         new = kinds[self.length[kinds] < 0]
         if not len(new):
             return
-        units, which = np.unique(new // self.draws, return_inverse=True)
         every = list(self.names)
-        strings = [every[k] for k in units.tolist()]
-        by_name = np.fromiter(map(_text_key, strings), np.uint64, len(strings))
-        keys = mix64(by_name[which] + (new % self.draws + 1).astype(np.uint64) * np.uint64(GOLDEN) + np.uint64(self.d.seed))
-        flat, sizes = self.m.merge_units(strings, which, keys, self.d.share)
+        flat, sizes = self.m.merge_units([every[k] for k in new.tolist()], np.arange(len(new)), np.zeros(len(new), np.uint64), 0.0)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(flat)), np.int32)])
         self.pool[self.used : self.used + len(flat)] = flat
         self.length[new], self.place[new] = sizes, self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
 
+    def _dropped(self, unit: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces of all occurrences, one after the other, and how many each has, of their units and keys."""
+        every, out = list(self.names), []
+        for a in range(0, len(unit), BLOCK):
+            kinds, which = np.unique(unit[a : a + BLOCK], return_inverse=True)
+            out.append(self.m.merge_units([every[k] for k in kinds.tolist()], which, keys[a : a + BLOCK], self.d.share))
+        flat, sizes = zip(*out)
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         if len(self.names) > self.held:
             self._forget()
@@ -289,23 +293,19 @@ class Encoder:
             return [np.zeros(0, np.int32) for _ in texts]
         unit = np.array(flat, np.int64)
         ends = np.cumsum(sizes)
-        if self.draws > 1:
+        if self.d.share > 0:
             place = np.arange(len(unit)) - np.repeat(ends - sizes, sizes)
-            drawn = mix64(np.repeat(mix64(keys ^ np.uint64(self.d.seed)), sizes) + place.astype(np.uint64) * np.uint64(GOLDEN)) % np.uint64(self.draws)
-            unit = unit * self.draws + drawn.astype(np.int64)
-        self._learn(np.unique(unit))
-        each = self.length[unit].astype(np.int64)
-        total = np.cumsum(each)
-        ids = self.pool[np.repeat(self.place[unit] - (total - each), each) + np.arange(total[-1])]
+            ids, each = self._dropped(unit, mix64(np.repeat(mix64(keys ^ np.uint64(self.d.seed)), sizes) + place.astype(np.uint64) * np.uint64(GOLDEN)))
+            total = np.cumsum(each)
+        else:
+            self._learn(np.unique(unit))
+            each = self.length[unit].astype(np.int64)
+            total = np.cumsum(each)
+            ids = self.pool[np.repeat(self.place[unit] - (total - each), each) + np.arange(total[-1])]
         stops = np.concatenate([[0], total])[np.concatenate([[0], ends])]
         return [ids[a:b] for a, b in zip(stops, stops[1:])]
 
 
-def _text_key(unit: str) -> int:
-    data = unit.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) | zlib.crc32(data[::-1]) << 32
-
-
 def encoded(docs: DataFrame, model: PieceModel | None = None, dropout: Dropout | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of docs less the text, with pieces (array of int) and lossless (decoding them gives the text's bytes again).
 
