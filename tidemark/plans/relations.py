@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
+from tidemark.operators import sessions as S
 from tidemark.registry import query, read
 
 C = F.col
@@ -91,9 +92,20 @@ def _(s, d):
     return read(s, d, "orders").select("o_orderkey", r.alias("result"))
 
 
-@query("sequence_integrity", "SELECT conv_id, count(*) AS turns, count(DISTINCT turn) < count(*) AS duplicates, max(turn) + 1 - count(DISTINCT turn) AS missing FROM conversations GROUP BY 1")
+_STEP_INDEX = "(CASE conv_id % 4 WHEN 0 THEN turn WHEN 1 THEN CASE WHEN turn = 2 THEN 1 ELSE turn END WHEN 2 THEN CASE WHEN turn >= 1 THEN turn + 1 ELSE turn END ELSE count(*) OVER (PARTITION BY conv_id) - 1 - turn END)::INT"
+
+
+@query("sequence_integrity", f"""WITH l AS (SELECT conv_id, list(i ORDER BY turn) AS i FROM (SELECT conv_id, turn, {_STEP_INDEX} AS i FROM conversations) GROUP BY 1)
+SELECT conv_id, array_to_string(list_filter(range(len(i)), lambda p: NOT list_contains(i, p)), ',') AS missing, array_to_string(list_filter(range(len(i)), lambda p: len(list_filter(i, lambda x: x = p)) > 1), ',') AS duplicates,
+  i = list_sort(i) AS ordered, i = range(len(i)) AS valid FROM l""")
 def _(s, d):
-    return read(s, d, "conversations").groupBy("conv_id").agg(n().alias("turns"), (F.countDistinct("turn") < n()).alias("duplicates"), (F.max("turn") + 1 - F.countDistinct("turn")).alias("missing"))
+    """The turns as steps, of which some conversations have a place twice, skip one or go backwards."""
+    t, k = C("turn"), C("conv_id") % 4
+    size = n().over(W.partitionBy("conv_id"))
+    index = F.when(k == 0, t).when(k == 1, F.when(t == 2, 1).otherwise(t)).when(k == 2, F.when(t >= 1, t + 1).otherwise(t)).otherwise(size - 1 - t)
+    found = S.sequence_check(read(s, d, "conversations").withColumn("i", index), "conv_id", "turn", "i")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return found.select("conv_id", joined("missing"), joined("duplicates"), "ordered", "valid")
 
 
 _LINES = "string_split(text, chr(10))"
