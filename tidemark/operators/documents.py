@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.chunk import greedy_chunks
+from tidemark.functions.chunk import fixed_windows, greedy_chunks
+from tidemark.functions.text import words
 
+# Field names and levels of the nested documents.
 SCALARS = ("Title", "Short Title", "Overall Purpose", "Why This Matters", "When To Use This Protocol")
 LEVELS = ("Poor", "Expected", "Excellent", "Transcendent")
 
@@ -51,3 +53,29 @@ def profile(docs: DataFrame, name: str, key: str = "Protocol ID") -> tuple[DataF
     most, overlap, checks = PROFILES[name]
     good, bad = split_valid(docs, DOCUMENT_RULES) if checks else (docs, None)
     return chunked(sections(good, key), most, overlap), bad
+
+
+def field_chunks(docs: DataFrame, key: str, title: str = "title", content: str = "content", stones: str = "stones", fields: tuple[str, ...] = (), themes: str = "themes", size: int = 500, overlap: int = 50) -> DataFrame:
+    """(key, place, type, chunk, start, stop, text): a document's title, content, principles, other fields and themes.
+
+    Title and principles are one chunk each; the others are cut by word windows, numbered from 0 in each field, so chunk
+    numbers are not unique in a document. The principles have the number of chunks before them. themes: an array of
+    struct(name, purpose, why), of which those without a name are left out, as fields without text are. place: the field's.
+    """
+    kind = "struct<chunk:int,start:bigint,stop:bigint,text:string>"
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    words_in = lambda c: F.size(words(c)).cast("long")
+    whole = lambda c, n, stop: F.struct(n.cast("int").alias("chunk"), F.lit(0).cast("long").alias("start"), stop.alias("stop"), c.alias("text"))
+    cut = lambda c: F.transform(fixed_windows(c, size, overlap), lambda w, i: F.struct(i.alias("chunk"), w["start"].alias("start"), w["stop"].alias("stop"), w["text"].alias("text")))
+    none = F.array().cast(f"array<{kind}>")
+    said = F.concat(F.lit("Title: "), text(title))
+    heads = F.when(text(title) != "", F.array(whole(said, F.lit(0), words_in(text(title))))).otherwise(none)
+    bodies = cut(text(content))
+    principles = F.concat(F.lit("Principles: "), F.array_join(stones, "; "))
+    listed = F.when(F.size(F.coalesce(F.col(stones), F.array().cast("array<string>"))) > 0, F.array(whole(principles, F.size(heads) + F.size(bodies), words_in(principles)))).otherwise(none)
+    part = lambda name, chunks: F.struct(F.lit(name).alias("type"), chunks.alias("chunks"))
+    more = lambda c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(" - "), c)).otherwise("")
+    of_themes = F.transform(F.coalesce(F.col(themes), F.array().cast(docs.schema[themes].dataType)), lambda t: part("theme", F.when(F.coalesce(t["name"], F.lit("")) != "", cut(F.concat(F.lit("Theme: "), t["name"], more(t["purpose"]), more(t["why"])))).otherwise(none)))
+    every = F.concat(F.array(part("title", heads), part("content", bodies), part("stones", listed), *(part(f.lower().replace(" ", "_"), cut(text(f))) for f in fields)), of_themes)
+    rows = docs.select(key, F.posexplode(every).alias("place", "f")).select(key, F.col("place").cast("long"), "f.type", F.explode("f.chunks").alias("c"))
+    return rows.select(key, "place", "type", F.col("c.chunk").cast("long").alias("chunk"), "c.start", "c.stop", "c.text")

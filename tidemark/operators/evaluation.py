@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +37,19 @@ def metrics(rows: DataFrame, k: int) -> DataFrame:
 def band(actual, target, tolerance: float = 0.1):
     """GREEN from the target on, AMBER from a tenth below it on, else RED."""
     return F.when(actual >= target, "GREEN").when(actual >= target * (1 - tolerance), "AMBER").otherwise("RED")
+
+
+def pass_fail(rows: DataFrame, tag: str, passed: Column, assertion: str) -> DataFrame:
+    """(tag, passed, failed, top_failed): of each tag the counts, and the assertion that fails most often, the least name in ties."""
+    failed = rows.where(F.col(assertion).isNotNull()).groupBy(tag, assertion).agg(F.count(F.lit(1)).alias("n"))
+    top = failed.groupBy(tag).agg(F.min_by(assertion, F.struct(-F.col("n"), F.col(assertion))).alias("top_failed"))
+    return rows.groupBy(tag).agg(F.count_if(passed).alias("passed"), F.count_if(~passed).alias("failed")).join(top, tag, "left")
+
+
+def mean_reciprocal_rank(results: DataFrame, gold: DataFrame, at: str, items: str, k: int) -> DataFrame:
+    """(mrr): one row. results and gold are two lists, whose rows (at, items) belong together by their place; the mean over
+    them of 1 / the place of the first gold item among the first k results. Lists of different lengths have 0."""
+    both = results.select(at, F.col(items).alias("found")).join(gold.select(at, F.col(items).alias("wanted")), at, "full_outer")
+    places = F.filter(F.transform(F.slice("found", 1, k), lambda x, i: F.when(F.array_contains("wanted", x), i + 1)), lambda x: x.isNotNull())
+    means = both.agg(F.avg(F.coalesce(1.0 / F.get(places, F.lit(0)), F.lit(0.0))).alias("mean"), F.bool_or(F.col("found").isNull() | F.col("wanted").isNull()).alias("ragged"))
+    return means.select(F.when(F.col("ragged"), 0.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("mrr"))

@@ -12,6 +12,9 @@ BUDGET_MS = {"fast": 150, "accurate": 500}
 ALERT_MS = {"fast": (200, 500), "accurate": (800, 2000)}
 WARMUP_EVENTS = 3
 ROLLING_EVENTS = 200
+# What a lane's answers must reach.
+ALIGNMENT = {"fast": 0.70, "accurate": 0.80}
+HALLUCINATION_RATE = {"fast": 0.02, "accurate": 0.01}
 
 
 def turns(events: DataFrame) -> DataFrame:
@@ -47,3 +50,24 @@ def rolling_p95(df: DataFrame, value: str, order: list[str], keys: list[str], la
 
 def verdict(p95: Column, budget: Column) -> Column:
     return F.when(p95.isNull(), "unknown").when(p95 <= budget, "ok").otherwise("over")
+
+
+def turn_outcome(disabled: Column, query: Column, empty: Column, grounding: Column, citations: Column, least: float = 0.25) -> Column:
+    """The guardrail that ends a retrieval turn, in order, or success."""
+    blank = F.coalesce(F.trim(query), F.lit("")) == ""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return F.when(yes(disabled), "disabled").when(blank, "no_query").when(yes(empty), "empty").when(yes(grounding < least), "low_grounding").when(yes(citations == 0), "no_citations").otherwise("success")
+
+
+def metrics(points: DataFrame, order: list[str]) -> DataFrame:
+    """(kind, name, tags, n, total, mean, worst, last) of points (kind, name, tags, value): of a counter its sum, of a timing
+    its mean and greatest value, of a gauge the last one by `order`. tags: a map, which is keyed by its entries in order."""
+    named = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    of = lambda kind, value: F.when(F.col("kind") == kind, value)
+    return points.withColumn("tags", named).groupBy("kind", "name", "tags").agg(
+        F.count(F.lit(1)).alias("n"),
+        of("counter", F.round(F.sum("value"), 4)).alias("total"),
+        of("timing", F.round(F.avg("value"), 4)).alias("mean"),
+        of("timing", F.max("value")).alias("worst"),
+        of("gauge", F.max_by("value", F.struct(*order))).alias("last"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions.chunk import fixed_windows, greedy_chunks
+from tidemark.operators import documents as D
 from tidemark.registry import query, read
 
 C = F.col
@@ -82,12 +83,22 @@ def _(s, d):
     return x.select("doc_id", C("i").cast("long").alias("section"), F.concat(F.lit("line "), C("i").cast("string")).alias("name"), F.length("line").cast("long").alias("chars"))
 
 
-@query("extract_fields_chunks", """
-SELECT page_id, field, 0::BIGINT AS chunk, length(value) AS chars FROM (
-  SELECT page_id, 'title' AS field, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS value FROM pages UNION ALL
-  SELECT page_id, 'heading', regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) FROM pages UNION ALL SELECT page_id, 'url', url FROM pages) WHERE value <> ''""")
+_FIELD_ROWS = """(SELECT doc_id, 0 AS ord, 'title' AS type, 'Title: ' || split_part(text, ' ', 1) AS value, FALSE AS cut FROM documents WHERE split_part(text, ' ', 1) <> '' UNION ALL
+  SELECT doc_id, 1, 'content', text, TRUE FROM documents UNION ALL SELECT doc_id, 2, 'stones', 'Principles: ' || lang || '; ' || source, FALSE FROM documents UNION ALL
+  SELECT doc_id, 3, 'purpose', split_part(text, chr(10), 1), TRUE FROM documents UNION ALL
+  SELECT doc_id, 3 + i, 'theme', 'Theme: ' || split_part(line, ' ', 1) || ' - ' || line || CASE WHEN length(line) % 2 = 0 THEN ' - because' ELSE '' END, TRUE FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) WHERE split_part(line, ' ', 1) <> '')"""
+_FIELD_W = _W.replace("(text,", "(value,")
+
+
+@query("extract_fields_chunks", f"""WITH f AS (SELECT doc_id, ord, type, value, cut, {_FIELD_W} AS w FROM {_FIELD_ROWS} WHERE value <> ''),
+ s AS (SELECT *, unnest(CASE WHEN NOT cut THEN [0] ELSE range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 500 THEN 1 ELSE (ceil((len(w) - 500) / 450.0) * 450)::BIGINT + 1 END, 450) END) AS start FROM f),
+ c AS (SELECT *, CASE WHEN cut THEN least(start + 500, len(w)) WHEN type = 'title' THEN len(w) - 1 ELSE len(w) END AS stop, count(*) FILTER (ord < 2) OVER (PARTITION BY doc_id) AS before FROM s)
+SELECT doc_id, ord::BIGINT AS place, type, CASE WHEN type = 'stones' THEN before ELSE start // 450 END AS chunk, start, stop, sha256(CASE WHEN cut THEN array_to_string(w[start + 1 : start + 500], ' ') ELSE value END) AS hash FROM c""")
 def _(s, d):
-    field = lambda n, v: F.struct(F.lit(n).alias("field"), v.alias("value"))
-    fields = F.array(field("title", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)), field("heading", F.regexp_extract("html", "(?s)<h1>(.*?)</h1>", 1)), field("url", C("url")))
-    x = read(s, d, "pages").select("page_id", F.explode(fields).alias("f")).where("f.value <> ''")
-    return x.select("page_id", "f.field", F.lit(0).cast("long").alias("chunk"), F.length("f.value").cast("long").alias("chars"))
+    """Each document as one with a title, content, principles, a purpose and its lines as themes; each longer field is cut by
+    word windows, whose numbers begin anew."""
+    head = lambda x: F.split_part(x, F.lit(" "), F.lit(1))
+    themes = F.transform(F.split("text", "\n", -1), lambda x: F.struct(head(x).alias("name"), x.alias("purpose"), F.when(F.length(x) % 2 == 0, "because").alias("why")))
+    docs = _documents(s, d).select("doc_id", head(C("text")).alias("title"), C("text").alias("content"), F.array("lang", "source").alias("stones"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("purpose"), themes.alias("themes"))
+    found = D.field_chunks(docs, "doc_id", fields=("purpose",))
+    return found.select("doc_id", "place", "type", "chunk", "start", "stop", F.sha2("text", 256).alias("hash"))
\ No newline at end of file

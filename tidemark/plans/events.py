@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators import telemetry as L
+from tidemark.operators import validators as V
+from tidemark.operators.sessions import grounding_gate
 from tidemark.operators.telemetry import TURNS_SQL
 from tidemark.registry import query, read
 
@@ -177,9 +179,13 @@ def _(s, d):
     return read(s, d, "events").groupBy("user_id").agg(F.expr("timestampdiff(SECOND, date_trunc('second', min(ts)), date_trunc('second', max(ts)))").alias("seconds"))
 
 
-@query("metrics_rollup", "SELECT event_type, user_id % 10 AS tag, count(*) AS n, round(sum(value), 4) AS total, arg_max(event_id, (ts, event_id)) AS last_event FROM events GROUP BY ALL")
+@query("metrics_rollup", """WITH m AS (SELECT event_id, ts, event_type AS name, 'lane=' || (user_id % 2) || ',tag=' || (user_id % 10) AS tags, CASE event_type WHEN 'click' THEN 'counter' WHEN 'view' THEN 'counter' WHEN 'purchase' THEN 'timing' ELSE 'gauge' END AS kind, value FROM events)
+SELECT kind, name, tags, count(*) AS n, CASE kind WHEN 'counter' THEN round(sum(value), 4) END AS total, CASE kind WHEN 'timing' THEN round(avg(value), 4) END AS mean, CASE kind WHEN 'timing' THEN max(value) END AS worst, CASE kind WHEN 'gauge' THEN arg_max(value, (ts, event_id)) END AS last FROM m GROUP BY kind, name, tags""")
 def _(s, d):
-    return read(s, d, "events").groupBy("event_type", (C("user_id") % 10).alias("tag")).agg(one().alias("n"), F.round(F.sum("value"), 4).alias("total"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"))
+    """Counters are summed, timings kept as a spread, gauges keep their last value; by name and tags in order."""
+    kind = F.when(C("event_type").isin("click", "view"), "counter").when(C("event_type") == "purchase", "timing").otherwise("gauge")
+    tags = F.create_map(F.lit("tag"), (C("user_id") % 10).cast("string"), F.lit("lane"), (C("user_id") % 2).cast("string"))
+    return L.metrics(read(s, d, "events").select("event_id", "ts", C("event_type").alias("name"), kind.alias("kind"), tags.alias("tags"), "value"), ["ts", "event_id"])
 
 
 @query("sample_hash_mod", "SELECT event_id FROM events WHERE ('0x' || substr(md5(event_id::VARCHAR), 1, 6))::INT % 10 = 0")
@@ -208,17 +214,28 @@ def _(s, d):
     return h.select("event_type", (C("a") - C("b")).alias("added"), F.greatest(F.lit(0).cast("long"), C("b") - C("a")).alias("removed"))
 
 
-@query("turn_outcome", f"WITH {TURNS_SQL} SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN fallback = 'flag_disabled' THEN 'disabled' WHEN fallback = 'no_results' THEN 'empty' WHEN grounding < 0.25 THEN 'low_grounding' WHEN citations = 0 THEN 'no_citations' ELSE 'success' END AS outcome FROM turns) GROUP BY 1")
+_OUTCOME = "CASE WHEN fallback = 'flag_disabled' THEN 'disabled' WHEN event_id % 19 = 0 THEN 'no_query' WHEN fallback = 'no_results' THEN 'empty' WHEN grounding < 0.25 THEN 'low_grounding' WHEN citations = 0 THEN 'no_citations' ELSE 'success' END"
+
+
+@query("turn_outcome", f"WITH {TURNS_SQL} SELECT outcome, count(*) AS n FROM (SELECT {_OUTCOME} AS outcome FROM turns) GROUP BY 1")
 def _(s, d):
-    outcome = F.when(C("fallback") == "flag_disabled", "disabled").when(C("fallback") == "no_results", "empty").when(C("grounding") < 0.25, "low_grounding").when(C("citations") == 0, "no_citations").otherwise("success")
+    """Each turn by the guardrail that ends it; here some have a blank query."""
+    query_text = F.when(C("event_id") % 19 == 0, " ").otherwise("q")
+    outcome = L.turn_outcome(C("fallback") == "flag_disabled", query_text, C("fallback") == "no_results", C("grounding"), C("citations"))
     return _turns(s, d).groupBy(outcome.alias("outcome")).agg(one().alias("n"))
 
 
-@query("gate_grounding", f"WITH {TURNS_SQL} SELECT event_id, CASE WHEN topk = 0 THEN true ELSE grounding >= 0.25 END AS allow, CASE WHEN topk = 0 THEN 'no_score' WHEN grounding >= 0.25 THEN 'grounded' ELSE 'low_grounding' END AS reason FROM turns")
+_SCORED = """(SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'ai_room' ELSE 'entry_room' END AS room, event_id % 3 <> 0 AS has_context,
+  CASE event_id % 4 WHEN 0 THEN grounding WHEN 1 THEN (1 + topk % 5 - 1) / 4.0::DOUBLE WHEN 2 THEN CASE WHEN event_id % 3 <> 0 THEN grounding / 2 END END AS score FROM turns)"""
+
+
+@query("gate_grounding", f"WITH {TURNS_SQL} SELECT event_id, NOT (reason = 'below threshold') AS allow, reason FROM (SELECT event_id, CASE WHEN room <> 'ai_room' AND NOT has_context THEN 'nothing to evaluate' WHEN score IS NULL THEN 'no score' WHEN score < 0.25 THEN 'below threshold' ELSE 'meets threshold' END AS reason FROM {_SCORED})")
 def _(s, d):
-    """A missing score allows; here turns with topk 0 have none."""
-    g = F.when(C("topk") != 0, C("grounding"))
-    return _turns(s, d).select("event_id", F.coalesce(g >= 0.25, F.lit(True)).alias("allow"), F.when(g.isNull(), "no_score").when(g >= 0.25, "grounded").otherwise("low_grounding").alias("reason"))
+    """The score is in one of three places or missing, which is allowed."""
+    k, g = C("event_id"), C("grounding")
+    context = k % 3 != 0
+    gate = grounding_gate(F.when(k % 5 == 0, "ai_room").otherwise("entry_room"), F.when(k % 4 == 0, g), F.when(k % 4 == 1, 1 + C("topk") % 5), F.when((k % 4 == 2) & context, g / 2), context)
+    return _turns(s, d).select("event_id", gate.alias("g")).select("event_id", "g.allow", "g.reason")
 
 
 @query("mean_grounding", f"WITH {TURNS_SQL} SELECT user_id, round(coalesce(avg(grounding), 0), 6) AS grounding FROM turns GROUP BY 1")
@@ -233,6 +250,11 @@ def _(s, d):
     return _turns(s, d).select("event_id", g.alias("g")).withColumn("normalised", F.round((C("g") - 1) / 4.0, 6))
 
 
-@query("sufficient_support", f"WITH {TURNS_SQL} SELECT lane, count(*) FILTER (grounding >= 0.5 AND citations <= 1) AS sufficient FROM turns GROUP BY 1")
+@query("sufficient_support", f"WITH {TURNS_SQL} SELECT lane, count(*) FILTER (grounding >= CASE lane WHEN 'fast' THEN 0.7::DOUBLE ELSE 0.8::DOUBLE END AND event_id % 3 <= 1) AS sufficient, count(*) FILTER (grounding >= 0.7::DOUBLE AND event_id % 3 <= 0) AS strict FROM turns GROUP BY 1")
 def _(s, d):
-    return _turns(s, d).groupBy("lane").agg(F.count_if((C("grounding") >= 0.5) & (C("citations") <= 1)).alias("sufficient"))
+    """By the lane's thresholds, whose rates allow one hallucination, and by a rate that allows none."""
+    errors = C("event_id") % 3
+    fast = C("lane") == "fast"
+    own = V.sufficient(C("grounding"), errors, F.when(fast, L.ALIGNMENT["fast"]).otherwise(L.ALIGNMENT["accurate"]), F.when(fast, L.HALLUCINATION_RATE["fast"]).otherwise(L.HALLUCINATION_RATE["accurate"]))
+    strict = V.sufficient(C("grounding"), errors, F.lit(L.ALIGNMENT["fast"]), F.lit(0.005))
+    return _turns(s, d).groupBy("lane").agg(F.count_if(own).alias("sufficient"), F.count_if(strict).alias("strict"))
\ No newline at end of file

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import evaluation as E
+from tidemark.operators import validators as V
 from tidemark.registry import query, read
 
 C = F.col
@@ -133,20 +134,47 @@ def _(s, d):
     return read(s, d, "documents").select("doc_id", _alignment(C("text"), _TAGS, 1.0).alias("aligned"), _alignment(C("text"), (), 1.0).alias("untagged"))
 
 
-@query("semantic_check", "SELECT doc_id, NOT (contains(lower(text), 'idiot') OR contains(lower(text), 'trash')) AND (contains(lower(text), 'the') OR contains(lower(text), 'que')) AS passed FROM documents")
+_MUST, _FLAGS = ("the que", "und"), ("idiot clown", "trash")
+_WORDS = lambda phrases: " OR ".join(f"contains(lower(text), '{w}')" for p in phrases for w in p.split())
+
+
+@query("semantic_check", f"SELECT doc_id, NOT ({_WORDS(_FLAGS)}) AND (doc_id % 3 <> 0 OR {_WORDS(_MUST)}) AS passed, CASE WHEN doc_id % 3 = 0 AND NOT ({_WORDS(_MUST)}) THEN 'must_reference_stone_meaning' END AS failed_assertion, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_WORDS((p,))} THEN '{p}' END" for p in _MUST) + "], lambda x: x IS NOT NULL), ',') AS matches FROM documents")
 def _(s, d):
-    """No red flag, and at least one of what must be there."""
-    low = F.lower("text")
-    return read(s, d, "documents").select("doc_id", (~X.contains_any(low, ("idiot", "trash")) & X.contains_any(low, ("the", "que"))).alias("passed"))
+    """No red flag, and where the meaning is required, one of what must be there, by any of its words."""
+    x = read(s, d, "documents").select("doc_id", V.semantic(C("text"), _MUST, _FLAGS, C("doc_id") % 3 == 0).alias("r"))
+    return x.select("doc_id", "r.passed", "r.failed_assertion", F.array_join("r.matches", ",").alias("matches"))
+
+
+_POINTS = (("length(trim(text)) > 10", 0.3), ("TRUE", 0.2), ("doc_id % 3 <> 0", 0.1), ("doc_id % 4 <> 0", 0.2), ("doc_id % 4 <> 0 AND lang <> 'en'", 0.1), ("doc_id % 4 <> 0 AND doc_id % 5 <> 0", 0.1), ("doc_id % 2 = 0", 0.1), ("length(text) > 100", 0.1), ("length(text) > 500", 0.1))
+
+
+@query("doc_grounding_score", "SELECT doc_id, round(least(1.0::DOUBLE, " + " + ".join(f"CASE WHEN {c} THEN {v}::DOUBLE ELSE 0 END" for c, v in _POINTS) + "), 6) AS score FROM documents")
+def _(s, d):
+    """Text, ids, source and span of a chunk; here some documents have no chunk id, source, type, title or span."""
+    k = C("doc_id")
+    score = V.index_grounding(C("text"), k.cast("string"), F.when(k % 3 != 0, "c"), k % 4 != 0, F.when(C("lang") != "en", C("lang")), F.when(k % 5 != 0, "t").otherwise(""), k % 2 == 0)
+    return read(s, d, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
+_ASSERTION = "CASE WHEN quality = 0 THEN CASE doc_id % 3 WHEN 0 THEN 'must_cite' WHEN 1 THEN 'must_reference_stone_meaning' END END"
 
 
-@query("doc_grounding_score", "SELECT doc_id, round(least(1.0::DOUBLE, CASE WHEN length(trim(text)) > 10 THEN 0.3::DOUBLE ELSE 0 END + 0.2::DOUBLE + 0.1::DOUBLE + CASE WHEN length(text) > 100 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN length(text) > 500 THEN 0.1::DOUBLE ELSE 0 END), 6) AS score FROM documents")
+@query("per_tag_pass_fail", f"""WITH r AS (SELECT source, quality, {_ASSERTION} AS failed FROM documents d JOIN labels USING (doc_id)), f AS (SELECT source, failed, count(*) AS n FROM r WHERE failed IS NOT NULL GROUP BY ALL),
+ t AS (SELECT source, arg_min(failed, (-n, failed)) AS top_failed FROM f GROUP BY 1)
+SELECT r.source, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality = 0) AS failed, any_value(top_failed) AS top_failed FROM r LEFT JOIN t ON t.source = r.source GROUP BY 1""")
 def _(s, d):
-    add = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = add(F.length(F.trim("text")) > 10, 0.3) + F.lit(0.2) + F.lit(0.1) + add(F.length("text") > 100, 0.1) + add(F.length("text") > 500, 0.1)
-    return read(s, d, "documents").select("doc_id", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
+    """Of each source how many pass, and the assertion that fails most often; of equally frequent ones the least name."""
+    k = C("doc_id")
+    failed = F.when(C("quality") == 0, F.when(k % 3 == 0, "must_cite").when(k % 3 == 1, "must_reference_stone_meaning"))
+    return E.pass_fail(read(s, d, "documents").join(read(s, d, "labels"), "doc_id").withColumn("assertion", failed), "source", C("quality") == 1, "assertion")
 
 
-@query("per_tag_pass_fail", "SELECT source, count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality = 0) AS failed FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
+@query("mrr_of_lists", f"WITH {_METRICS}, z AS (SELECT query_id, rr, query_id LIKE '%1' AS ragged FROM metrics) SELECT round(avg(rr) FILTER (NOT ragged), 6) AS even, 0.0::DOUBLE AS ragged FROM z")
 def _(s, d):
-    return read(s, d, "documents").join(read(s, d, "labels"), "doc_id").groupBy("source").agg(F.count_if(C("quality") == 1).alias("passed"), F.count_if(C("quality") == 0).alias("failed"))
+    """Two lists side by side, results and gold sets: the mean over them, and 0 where one list is longer."""
+    rows = _rows(s, d).where(~C("query_id").endswith("1"))
+    results = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("items")).withColumn("at", F.row_number().over(W.orderBy("query_id")))
+    gold = rows.groupBy("query_id").agg(F.collect_list(F.when(C("hit") == 1, C("doc_id"))).alias("items")).withColumn("at", F.row_number().over(W.orderBy("query_id")))
+    even = E.mean_reciprocal_rank(results, gold, "at", "items", K)
+    ragged = E.mean_reciprocal_rank(results, gold.where("at > 1"), "at", "items", K)
+    return even.select(F.round("mrr", 6).alias("even")).crossJoin(F.broadcast(ragged.select(C("mrr").alias("ragged"))))
