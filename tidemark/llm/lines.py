@@ -1,13 +1,13 @@
 """Line dedup by content-defined chunks of lines.
 
-A line's hash is the first 32 bits of its MD5. A rolling hash over the last two lines' hashes ends a chunk where one
-of its bits is set, so boundaries depend on the lines around them alone and are found again wherever a passage is
-moved. A chunk of several lines that occurs more than once anywhere in the corpus is removed but for its first
-occurrence, after its bytes are compared with the first one's.
-
-Chunk boundaries depend on foreign lines before a passage, so many repeats keep them. `deduplicated_passages` has no
-boundaries: each two adjacent lines are a window, and a run of two or more lines is repeated exactly if all its windows
-are, so the repeated windows together are every repeated run.
+Lines are hashed, and a rolling hash over the line hashes gives each `least` lines in a row a value. A chunk begins
+wherever that value is a multiple of `divisor`: its boundaries depend on its own lines alone, so they are found again
+wherever a passage is moved, whatever is around it. Chunks may overlap. One that occurs more than once anywhere in the
+corpus is removed but for its first occurrence, after its bytes are compared with the first one's; adjacent repeated
+chunks together are the whole repeated passage.
+
+With a divisor of 1 a chunk begins at every line, and every repeated run of `least` or more lines is found. Chunks that
+do not overlap and end where the rolling hash says so cannot do that: a boundary inside a short run leaves no whole chunk in it.
 """
 
 from __future__ import annotations
@@ -18,93 +18,62 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, filled, table
+from tidemark.llm.common import Workspace, filled, slices, table
 
-FACTOR, MODULUS, SHIFT = 31, 1 << 32, 16
+#: Of the rolling hash: an odd factor, and how many bits it has.
+FACTOR, BITS = 0x9E3779B97F4A7C15F39CC0605CEDC835, 128
 CHUNK = "doc_id long, th long, idx int, start long, stop long, hash binary"
 
 
-def chunk_bounds(data: bytes, divisor: int, least: int) -> list[tuple[int, int, int]]:
-    """(number, start, stop) of a text's chunks with at least `least` lines that are not blank; start and stop in bytes, line ends included."""
-    out, start, at, previous, number, full = [], 0, 0, 0, 0, 0
-    lines = data.split(b"\n")
-    for k, line in enumerate(lines):
-        hashed = int.from_bytes(hashlib.md5(line).digest()[:4], "big")
-        at = min(at + len(line) + 1, len(data))
-        full += bool(line.strip(b" \t\r"))
-        rolled = (hashed + FACTOR * previous) % MODULUS
-        previous = hashed
-        if (rolled >> SHIFT) % divisor == 0 or k == len(lines) - 1:
-            if full >= least:
-                out.append((number, start, at))
-            start, number, full = at, number + 1, 0
-    return out
-
-
-def passage_bounds(data: bytes, least: int) -> list[tuple[int, int, int]]:
-    """(line, start, stop) of each `least` lines in a row that are not blank, with the blank lines between; start and stop in bytes, line ends included."""
-    full, at = [], 0
+def chunk_bounds(data: bytes, divisor: int = 1, least: int = 2) -> list[tuple[int, int, int, bytes]]:
+    """(line, start, stop, hash) of a text's chunks: `least` lines in a row that are not blank, with the blank lines
+    between. line: the first one's number; start and stop in bytes, line ends included."""
+    mask, full, at, rolled = (1 << BITS) - 1, [], 0, 0
     for k, line in enumerate(data.split(b"\n")):
-        stop = min(at + len(line) + 1, len(data))
+        stop, before = min(at + len(line) + 1, len(data)), rolled
+        rolled = (rolled * FACTOR + int.from_bytes(hashlib.md5(line).digest(), "big")) & mask
         if line.strip(b" \t\r"):
-            full.append((k, at, stop))
+            full.append((k, at, stop, before, rolled))
         at = stop
-    return [(a[0], a[1], b[2]) for a, b in zip(full, full[least - 1 :])]
+    found = []
+    for (k, start, _, before, _), (last, _, stop, _, rolled) in zip(full, full[least - 1 :]):
+        value = (rolled - before * pow(FACTOR, last - k + 1, 1 << BITS)) & mask
+        if (value >> 64) % divisor == 0:
+            found.append((k, start, stop, value.to_bytes(BITS // 8, "big")))
+    return found
 
 
-def _hashed(docs: DataFrame, bounds) -> DataFrame:
-    """CHUNK rows of what bounds(text's bytes) gives, of rows doc_id, th, text. hash: 128 bits of SHA-256 of the chunk without a last line end."""
+def chunks(docs: DataFrame, divisor: int = 1, least: int = 2) -> DataFrame:
+    """CHUNK rows of all chunks, of rows doc_id, th, text; idx is the first line's number."""
 
     def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            rows = []
-            for doc, th, data in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), filled(batch.column("text")).cast(pa.large_binary()).to_pylist()):
-                for number, start, stop in bounds(data):
-                    rows.append((doc, th, number, start, stop, hashlib.sha256(data[start:stop].removesuffix(b"\n")).digest()[:16]))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "th", "idx", "start", "stop", "hash"])
+            for part in slices(batch, "text"):
+                rows = []
+                for doc, th, data in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), filled(part.column("text")).cast(pa.large_binary()).to_pylist()):
+                    rows += [(doc, th, *found) for found in chunk_bounds(data, divisor, least)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "th", "idx", "start", "stop", "hash"])
 
     return docs.mapInArrow(run, CHUNK)
 
 
-def chunks(docs: DataFrame, divisor: int = 2, least: int = 2) -> DataFrame:
-    """CHUNK rows of all multi-line chunks, of rows doc_id, th, text."""
-    return _hashed(docs, lambda data: chunk_bounds(data, divisor, least))
-
-
-def passages(docs: DataFrame, least: int = 2) -> DataFrame:
-    """CHUNK rows of all windows of `least` lines, of rows doc_id, th, text; idx is the first line's number."""
-    return _hashed(docs, lambda data: passage_bounds(data, least))
-
-
-def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 2, least: int = 2) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 1, least: int = 2) -> DataFrame:
     """All rows and columns of docs, with the text less its repeated chunks, and the counts lines_removed and
     bytes_removed (longs; columns of these names are replaced).
 
     The first occurrence is that of the least doc_id (null first), then the least hash of the text, then the first in
-    the text. Rows that agree in doc_id and text are one document: their chunks are no repeats of each other. Null
-    texts stay null; texts without repeats keep their bytes. A text of which all is removed becomes empty. Chunks
-    whose 128-bit hash is that of a first chunk with other bytes stay. Very long texts are one row as any other.
+    the text; a repeat in the same text goes too, even where the two overlap. Rows that agree in doc_id and text are one
+    document: their chunks are no repeats of each other. Null texts stay null; texts without repeats keep their bytes.
+    Blank lines inside a repeated chunk go with it, those around it stay. A text of which all is removed becomes empty.
+    Each different line stays at least once. Chunks whose 128-bit hash is that of a first chunk with other bytes stay.
+    Very long texts are one row as any other. doc_id is an integer column.
     """
-    return _less_repeats(docs, work, lambda own: chunks(own, divisor, least))
-
-
-def deduplicated_passages(docs: DataFrame, work: Workspace, least: int = 2) -> DataFrame:
-    """The same with every run of `least` or more lines that are not blank, wherever it begins and whatever is around it.
-
-    A run goes if an earlier place has it, in the same text too, where the two may overlap; blank lines inside it go with
-    it, those around it stay. Each different line stays at least once, at its first place in the order above.
-    """
-    return _less_repeats(docs, work, lambda own: passages(own, least))
-
-
-def _less_repeats(docs: DataFrame, work: Workspace, found) -> DataFrame:
-    """docs less the repeats among the CHUNK rows found(rows doc_id, th, text); those of one text may overlap, but none lies in another."""
     made = ("lines_removed", "bytes_removed")
     rest = [c for c in docs.columns if c not in made]
     base = docs.select(*(F.col(f"`{c}`") for c in rest), F.xxhash64("text").alias("__th"))
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text")
-    found = work.write(found(own.where("text IS NOT NULL")), "chunks")
+    found = work.write(chunks(own.where("text IS NOT NULL"), divisor, least), "chunks")
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "idx")
     several = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
     several = work.write(several, "several")
@@ -144,32 +113,37 @@ def _less_repeats(docs: DataFrame, work: Workspace, found) -> DataFrame:
     )
 
 
+#: The same; the pipeline's name for it.
+deduplicated_passages = deduplicated_lines
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated_lines(docs, Workspace(spark, "lines"))
 
 
-OP7_SQL = f"""
+#: A repeated run of two or more lines is one all of whose pairs of adjacent lines are repeated; blank lines belong to the line before them.
+OP7_SQL = """
 WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL
-), h AS (
-  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS hashed, max(k) OVER (PARTITION BY doc_id) AS lines FROM l
-), r AS (
-  SELECT *, ((hashed + {FACTOR} * coalesce(lag(hashed) OVER w, 0)) % {MODULUS}) >> {SHIFT} AS rolled FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY k)
-), b AS (
-  SELECT *, coalesce(sum((rolled % 2 = 0)::INT) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS idx FROM r
-), c AS (
-  SELECT doc_id, idx, string_agg(line, chr(10) ORDER BY k) AS chunk, count(*) AS n, count(*) FILTER (trim(line, ' ' || chr(9) || chr(13)) <> '') AS filled,
-         max(k) = any_value(lines) AS last FROM b GROUP BY doc_id, idx
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL
 ), f AS (
-  SELECT *, CASE WHEN filled >= 2 THEN row_number() OVER (PARTITION BY chunk, filled >= 2 ORDER BY doc_id, idx) ELSE 1 END AS nth FROM c
+  SELECT *, trim(line, ' ' || chr(9) || chr(13)) <> '' AS filled, max(k) OVER (PARTITION BY doc_id) AS lines FROM l
 ), g AS (
-  SELECT doc_id, string_agg(chunk || CASE WHEN last THEN '' ELSE chr(10) END, '' ORDER BY idx) FILTER (nth = 1) AS text,
-         coalesce(sum(n) FILTER (nth > 1), 0)::BIGINT AS lines_removed,
-         coalesce(sum(strlen(chunk) + CASE WHEN last THEN 0 ELSE 1 END) FILTER (nth > 1), 0)::BIGINT AS bytes_removed
-  FROM f GROUP BY doc_id
+  SELECT *, sum(filled::INT) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM f
+), b AS (
+  SELECT doc_id, g, string_agg(line, chr(10) ORDER BY k) AS body, any_value(line) FILTER (filled) AS head FROM g WHERE g > 0 GROUP BY doc_id, g
+), c AS (
+  SELECT doc_id, g, body || chr(10) || lead(head) OVER (PARTITION BY doc_id ORDER BY g) AS chunk FROM b
+), r AS (
+  SELECT doc_id, g, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, g) > 1 AS repeated FROM c WHERE chunk IS NOT NULL
+), t AS (
+  SELECT g.*, coalesce(own.repeated, FALSE) OR (filled AND coalesce(before.repeated, FALSE)) AS gone
+  FROM g LEFT JOIN r own ON own.doc_id = g.doc_id AND own.g = g.g LEFT JOIN r before ON before.doc_id = g.doc_id AND before.g = g.g - 1
+), s AS (
+  SELECT doc_id, string_agg(line || CASE WHEN k = lines THEN '' ELSE chr(10) END, '' ORDER BY k) FILTER (NOT gone) AS text,
+         count(*) FILTER (gone) AS lines_removed, coalesce(sum(strlen(line) + (k < lines)::INT) FILTER (gone), 0)::BIGINT AS bytes_removed FROM t GROUP BY doc_id
 )
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(g.text, '') END AS text,
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text,
        coalesce(lines_removed, 0) AS lines_removed, coalesce(bytes_removed, 0) AS bytes_removed
-FROM documents d LEFT JOIN g USING (doc_id)
+FROM documents d LEFT JOIN s USING (doc_id)
 """
