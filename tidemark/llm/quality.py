@@ -6,7 +6,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,11 +147,8 @@ class Constant:
         return np.full(n, self.value)
 
 
-def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
-    """(key, passages): each text's vectors, one after the other, as float32 bytes; of more than `most` so many at even distances."""
-
-    def chosen(x: np.ndarray) -> bytes:
-        return (x if most is None or len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]).tobytes()
+def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, passages): each text's vectors, one after the other, as float32 bytes."""
 
     def run(batches):
         for batch in batches:
@@ -158,27 +156,41 @@ def encoded(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
                 data, bounds = buffers(part.column("text"))
                 x, owner = encode(data, bounds)
                 first = np.searchsorted(owner, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([chosen(x[a:b]) for a, b in zip(first, first[1:])], pa.binary())], ["key", "passages"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([x[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["key", "passages"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, passages binary").withColumnRenamed("key", key)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_class: int = 1500, passages: int = 128, model: AttentionMil | None = None, seed: int = 11) -> AttentionMil | Constant:
-    """Fits the model on at most `per_class` labelled rows of each label (0 and 1), those of the least keyed hash, and on
-    at most `passages` of each, at even distances. Scoring has no such bound.
+def most_passages(text: Column) -> Column:
+    """How many passages a text has at most: its lines, and the cuts inside them."""
+    raw = F.coalesce(text, F.lit(""))
+    lines = F.length(raw) - F.length(F.replace(raw, F.lit("\n"))) + 1
+    return lines.cast("long") + F.floor(F.octet_length(raw) / PASSAGE_BYTES)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", per_class: int = 1500, passages: int = 200_000, model: AttentionMil | None = None, seed: int = 11) -> AttentionMil | Constant:
+    """Fits the model on a bounded sample of labelled rows, each with all passages of its text.
+
+    per_class: rows of each label (0 and 1) at most, those of the least keyed hash; passages: of the whole sample at most.
+    Rows are taken in the order of the hash while their passages together stay within it; a row with more than a fiftieth
+    of it alone is passed over, lest it takes the place of many. So what is sent to every executor (the chosen keys) and to
+    the driver (their passages) is small at any size and length of the input. Scoring has no such bound.
 
-    The bounds keep what is sent to every executor (the chosen keys) and to the driver (their passages) small at any
-    size and length of the input. Labels that are null or neither 0 nor 1, and labels of no document, teach nothing; of labels
-    of one key that differ, the least counts. With labels of one class only the result is that class, with none 0.5.
+    Labels that are null or neither 0 nor 1, and labels of no document, teach nothing; of labels of one key that differ,
+    the least counts, and of its texts the least. With labels of one class only the result is that class, with none 0.5.
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key).agg(F.min(label).cast("int").alias("y"))
+    place = unit_hash(F.col(key), seed=seed)
     chosen = None
     for y in (0, 1):
-        part = clean.where(F.col("y") == y).orderBy(unit_hash(F.col(key), seed=seed), key).limit(per_class)
+        part = clean.where(F.col("y") == y).orderBy(place, key).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).dropDuplicates([key])
-    found = encoded(rows, key, text, passages).join(F.broadcast(chosen), key).orderBy(key).collect()
+    rows = docs.select(key, F.col(text).alias("text")).join(F.broadcast(chosen), key).groupBy(key).agg(F.min("text").alias("text"), F.min("y").alias("y"))
+    # one window over at most 2 * per_class rows
+    costs = rows.select(key, "y", most_passages(F.col("text")).alias("cost")).where(F.col("cost") <= max(1, passages // 50))
+    taken = costs.withColumn("sum", F.sum("cost").over(W.orderBy(place, key))).where(F.col("sum") <= passages).select(key, "y")
+    found = encoded(rows.select(key, "text"), key, "text").join(F.broadcast(taken), key).orderBy(key).collect()
     y = np.array([r["y"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return Constant(float(y[0]) if len(y) else 0.5)
