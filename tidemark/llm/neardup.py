@@ -13,9 +13,11 @@ link is confirmed on full shingle sets.
 
 from __future__ import annotations
 
+import math
 from collections import OrderedDict
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,24 +38,47 @@ COLUMNS = ("id", "n", *SKETCH)
 
 @dataclass(frozen=True)
 class ChosenPath:
-    """percent: links have 100 * intersection >= percent * union. With 4 trees of 2 functions a node, a pair at 80 percent
-    is lost by all trees with a chance of about 1 in 100,000; likelier pairs are lost less. limit: classes of a node that
+    """percent: links have 100 * intersection >= percent * union. recall: the share of pairs at just that similarity that
+    the trees find at least; trees and branch (functions a node) follow from both unless they are given. With 128 minwise
+    tokens and trees of up to 8 levels, 80 percent and 0.9999 need 4 trees of 2 functions, which lose such a pair with a
+    chance of 5.5e-5; likelier pairs are lost less. limit: classes of a node that
     is compared whole; more are branched, up to `levels` deep, or until at level dense_from or below a node has more than half of its
     parent's classes. chunk: classes of a dense node that are compared to find likely partners; block: classes of a side in a
-    task that compares the rest of a dense group."""
+    task that compares the rest of a dense group, and block_shingles: shingles of them, about."""
 
     width: int = 5
     percent: int = 80
-    trees: int = 4
-    branch: int = 2
+    recall: float = 0.9999
+    trees: int | None = None
+    branch: int | None = None
     limit: int = 32
     levels: int = 8
     dense_from: int = 3
     chunk: int = 256
     block: int = 256
-    tokens: int = 64
+    block_shingles: int = 1 << 20
+    tokens: int = 128
     seed: int = 1
 
+    def __post_init__(self):
+        if self.branch is None:
+            # a pair that stays together in one and a half children on average hardly ever dies out
+            object.__setattr__(self, "branch", max(2, math.ceil(150 / self.percent)))
+        if self.trees is None:
+            object.__setattr__(self, "trees", next(t for t in count(1) if missed(self, t) <= 1 - self.recall))
+
+
+def missed(p: ChosenPath, trees: int) -> float:
+    """The chance that a pair at the limit is together in no node of the last level of any tree: it agrees in a binomial
+    number of its tokens, of which each node of each tree chooses; a node with its last children loses it if all do."""
+    share, found = p.percent / 100, 0.0
+    for k in range(p.tokens + 1):
+        lost = 0.0
+        for _ in range(p.levels):
+            lost = (1 - k / p.tokens * (1 - lost)) ** p.branch
+        found += math.comb(p.tokens, k) * share**k * (1 - share) ** (p.tokens - k) * lost**trees
+    return found
+
 
 def least_agreement(p: ChosenPath) -> int:
     """How many sketch places agree at least where similarity is `percent`: four and a half deviations below the mean, which
@@ -245,22 +270,41 @@ def _verified(pairs: DataFrame, texts: DataFrame, p: ChosenPath) -> DataFrame:
     return with_a.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, common long, total long")
 
 
+def _blocked(rows: DataFrame, work: Workspace, fields: tuple[str, ...], p: ChosenPath) -> DataFrame:
+    """rows (main, part, COLUMNS) twice: those outside their family's main component once for each block of all rows
+    (asks), and all rows once for each block of those outside; (main, ob, gb) is a pair of blocks. A block has about
+    p.block rows and p.block_shingles shingles."""
+    weight = F.greatest(F.lit(1.0) / p.block, F.col("n") / p.block_shingles)
+    outside = F.col("part") != F.col("main")
+    counts = rows.groupBy("main").agg(F.ceil(F.sum(weight)).cast("int").alias("all"), F.ceil(F.sum(F.when(outside, weight))).cast("int").alias("out")).where("out > 0")
+    rows = rows.join(work.write(counts, "counts"), "main")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = rows.where(outside).select(*fields, own("out").alias("ob"), each("all").alias("gb"), F.lit(True).alias("asks"))
+    return asked.unionByName(rows.select(*fields, each("out").alias("ob"), own("all").alias("gb"), F.lit(False).alias("asks")))
+
+
 def _family_links(family: DataFrame, texts: DataFrame, work: Workspace, p: ChosenPath) -> DataFrame:
     """(a, b): links of classes outside a family's main component with classes of the family.
 
     family (main, part, COLUMNS): the classes of all dense nodes with one main component. Those outside it are a query
-    set against all of the family: both are cut into blocks of p.block, and a task compares two blocks, by sketch and
-    then on full sets, and returns links only. So a task holds two blocks' texts, however large the family.
+    set against all of the family: both are cut into blocks, and a task compares two blocks and returns links only. This
+    is done by sketches alone at first, which says what classes may have a link of another component at all; only these
+    and their texts are then compared on full sets, by sketch before. So a task holds two blocks' texts, however large the family.
     """
-    counts = family.groupBy("main").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("part") != F.col("main")).alias("out")).where("out > 0")
-    counts = work.write(counts, "counts")
-    blocks = lambda n: F.ceil(F.col(n) / p.block).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    rows = family.join(counts, "main").join(texts, "id")
-    fields = ("main", "part", *COLUMNS, "text")
-    asked = rows.where("part <> main").select(*fields, own("out").alias("ob"), each("all").alias("gb"), F.lit(True).alias("asks"))
-    others = rows.select(*fields, each("out").alias("ob"), own("all").alias("gb"), F.lit(False).alias("asks"))
+    fields = ("main", "part", *COLUMNS)
+
+    def likely(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        x = {c: table.column(c).to_numpy() for c in ("part", *COLUMNS)}
+        members, hit = np.flatnonzero(~asks), np.zeros(len(asks), bool)
+        for k in np.flatnonzero(asks).tolist():
+            near = members[x["part"][members] != x["part"][k]]
+            near = near[_alike(x, np.full(len(near), k), near, p)[1]]
+            hit[near] = True
+            hit[k] = len(near) > 0
+        found = np.flatnonzero(hit)
+        return pa.table({"main": table.column("main").take(found), "id": pa.array(x["id"][found])})
 
     def compare(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
@@ -290,7 +334,11 @@ def _family_links(family: DataFrame, texts: DataFrame, work: Workspace, p: Chose
                     b.append(max(x["id"][k], x["id"][j]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return asked.unionByName(others).groupBy("main", "ob", "gb").applyInArrow(compare, "a long, b long")
+    pair = ("main", "ob", "gb")
+    found = _blocked(family, work, fields, p).groupBy(*pair).applyInArrow(likely, "main long, id long")
+    found = work.write(found.distinct(), "may-link")
+    left = work.write(family.join(found, ["main", "id"]).join(texts, "id"), "left")
+    return _blocked(left, work, (*fields, "text"), p).groupBy(*pair).applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = None) -> DataFrame:
@@ -299,7 +347,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
     Null, empty and blank texts have an empty set and are linked with nothing. Rows that share a doc_id count as one
     document: a link of one is a link of both, and both are kept or neither. Rows with a null doc_id get the
     component of the documents with an equal set, if any has a doc_id; else null, and they are kept. Of a group the
-    least doc_id stays, so ties cannot be. Columns but doc_id and text are not read. An empty table gives no rows.
+    least doc_id stays, so ties cannot be. Columns but doc_id (an integer) and text are not read. An empty table gives no rows.
     """
     p = p or ChosenPath()
     rows = work.write(profiles(docs, p), "profiles")
