@@ -78,15 +78,15 @@ class ShardWriter:
     """Writes one task's members to tar files of about `target` bytes. A file gets its name when it is whole, and the
     name and the bytes depend on the task's input alone: a task that runs again replaces files by the same ones."""
 
-    def __init__(self, folder: str, part: int, target: int):
+    def __init__(self, folder: str, part: int, target: int, kind: str = "shard"):
         self.fs, self.base = open_folder(folder)
         self.fs.create_dir(self.base, recursive=True)
-        self.part, self.target, self.count, self.out = part, target, 0, None
+        self.part, self.target, self.kind, self.count, self.out = part, target, kind, 0, None
 
     def add(self, name: str, data: bytes) -> tuple[str, int]:
         """The shard's file name and the place of the first byte."""
         if self.out is None:
-            self.name = f"shard-{self.part:05d}-{self.count:05d}.tar"
+            self.name = f"{self.kind}-{self.part:05d}-{self.count:05d}.tar"
             self.temp = f"{self.base}/.{self.name}.{uuid.uuid4().hex}"
             self.out, self.at, self.count = self.fs.open_output_stream(self.temp), 0, self.count + 1
         info = tarfile.TarInfo(name)
@@ -104,17 +104,30 @@ class ShardWriter:
         if self.out is not None:
             self.out.write(bytes(1024))
             self.out.close()
-            self.fs.move(self.temp, f"{self.base}/{self.name}")
             self.out = None
-
-
-def store(docs: DataFrame, work: Workspace, text: str = "text", shard_bytes: int = 64 << 20) -> tuple[DataFrame, str]:
+            self._publish(f"{self.base}/{self.name}", self.at + 1024)
+
+    def _publish(self, final: str, size: int) -> None:
+        """Gives the file its name. A whole file of that name, from another attempt of the task, has the same bytes and stays:
+        some stores do not rename onto a file, and another attempt may come first between the test and the rename."""
+        whole = lambda: self.fs.get_file_info(final).size == size
+        if not whole():
+            try:
+                self.fs.move(self.temp, final)
+                return
+            except OSError:
+                if not whole():
+                    raise
+        self.fs.delete_file(self.temp)
+
+
+def store(docs: DataFrame, work: Workspace, text: str = "text", shard_bytes: int = 64 << 20, waste: float = 0.25) -> tuple[DataFrame, str]:
     """Stores the payloads of docs. Returns the index (INDEX, a written table with one row a digest) and the shards' folder.
 
     Payloads are written by the tasks that read them, so their bytes never cross a shuffle. A task stores a payload
-    once however many of its rows have it; of a payload that several tasks store, the index names the first place,
-    and the others are bytes that nothing names, until their shards are written anew. Null and empty texts have the
-    payload of 64 zero bytes. An empty table gives an empty index.
+    once however many of its rows have it; of a payload that several tasks store, the index names the first place.
+    Shards of whose bytes more than `waste` are then named by nothing are written anew without them, and deleted. Null
+    and empty texts have the payload of 64 zero bytes. An empty table gives an empty index.
     """
     folder = work.next_path("shards")
 
@@ -136,7 +149,40 @@ def store(docs: DataFrame, work: Workspace, text: str = "text", shard_bytes: int
 
     placed = work.write(docs.select(F.col(text).alias("text")).mapInArrow(write, INDEX), "placed")
     first = placed.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length", "media_sha256")).alias("at"))
-    return work.write(first.select("digest", "at.*"), "index"), folder
+    index = work.write(first.select("digest", "at.*"), "first")
+    held = lambda df, name: df.groupBy("shard").agg(F.sum("length").alias(name))
+    wasteful = held(placed, "all").join(held(index, "used"), "shard", "left").where(F.coalesce("used", F.lit(0)) < (1 - waste) * F.col("all")).select("shard")
+    wasteful = work.write(wasteful, "wasteful")
+    if wasteful.isEmpty():
+        return index, folder
+    old = index.join(wasteful, "shard", "left_semi").repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    moved = _copied(old.select(*NAMES), folder, shard_bytes)
+    index = work.write(index.join(wasteful, "shard", "left_anti").select(*NAMES).unionByName(moved), "index")
+    fs, base = open_folder(folder)
+    for row in wasteful.toLocalIterator():
+        fs.delete_file(f"{base}/{row['shard']}")
+    return index, folder
+
+
+def _copied(index: DataFrame, folder: str, shard_bytes: int) -> DataFrame:
+    """The index of the same payloads in new shards."""
+
+    def run(batches):
+        out = ShardWriter(folder, TaskContext.get().partitionId(), shard_bytes, "packed")
+        files, base = open_folder(folder)
+        name, shard = None, None
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                if r["shard"] != name:
+                    if shard is not None:
+                        shard.close()
+                    name, shard = r["shard"], files.open_input_file(f"{base}/{r['shard']}")
+                rows.append((r["digest"], *out.add(f"{r['digest'].hex()}.png", shard.read_at(r["length"], r["offset"])), r["length"], r["media_sha256"]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows), KINDS)] if rows else [pa.array([], k) for k in KINDS], NAMES)
+        out.close()
+
+    return index.mapInArrow(run, INDEX)
 
 
 NAMES = ["digest", "shard", "offset", "length", "media_sha256"]
