@@ -2,7 +2,8 @@
 
 Layout of a store's folder:
     data/<part>/*.parquet       immutable shards; a file never changes after its manifest is committed
-    manifests/<version>.json    one line for each live shard; a version appears by one rename and is never replaced
+    manifests/<version>.json    one line for each shard that came or went, and in each FULL_EVERY-th one for each live shard;
+                                a version appears by one rename and is never replaced
 Readers take the newest manifest, so a job that fails or an executor that is lost leaves only files that none names.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,9 @@ from pyspark.sql.types import StructType
 
 from tidemark.llm.common import Workspace, table
 
+#: Every so many versions a manifest names all live shards, so that a reader needs at most as many manifests and a commit writes little.
+FULL_EVERY = 16
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -62,23 +67,37 @@ class ShardStore:
     def live(self, version: int | None = None) -> list[Shard]:
         """The shards of a version: files, not rows, so a list for the driver."""
         version = self.version() if version is None else version
-        return [Shard(**json.loads(line)) for line in self._manifest(version)[1:]] if version else []
+        found: dict[str, Shard] = {}
+        for v in range(self._full_before(version), version + 1):
+            for line in map(json.loads, self._manifest(v)[1:]):
+                if "gone" in line:
+                    found.pop(line["gone"], None)
+                else:
+                    found[line["path"]] = Shard(**line)
+        return list(found.values())
+
+    @staticmethod
+    def _full_before(version: int) -> int:
+        """The newest version up to this one whose manifest names all live shards."""
+        return max(1, version // FULL_EVERY * FULL_EVERY)
 
     def schema(self) -> StructType:
         """The rows' schema, which is the first line of each manifest."""
         return StructType.fromJson(json.loads(self._manifest(self.version())[0])["schema"])
 
-    def commit(self, base: int, shards: list[Shard], schema: StructType) -> int:
+    def commit(self, base: int, new: list[Shard], gone: set[str], schema: StructType) -> int:
         """Writes the next manifest under a name of its own, then renames it. Raises CommitConflict if base is not the newest version any more."""
         version = base + 1
         final = self._path(f"{self.folder}/manifests/{version:010d}.json")
         temp = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
         if self.version() != base or self.fs.exists(final):
             raise CommitConflict(f"version {version} is there")
+        full = self._full_before(version) == version
+        named = [s for s in self.live(base) if s.path not in gone] + new if full else new
+        lines = [{"version": version, "schema": schema.jsonValue()}, *(asdict(s) for s in sorted(named, key=lambda s: s.path)), *({"gone": path} for path in sorted(gone) if not full)]
         out = self.fs.create(temp, False)
         try:
-            lines = [json.dumps({"version": version, "schema": schema.jsonValue()}), *(json.dumps(asdict(s)) for s in sorted(shards, key=lambda s: s.path))]
-            out.write(("\n".join(lines) + "\n").encode())
+            out.write("".join(json.dumps(line) + "\n" for line in lines).encode())
         finally:
             out.close()
         # rename() of a local or HDFS file onto one that exists fails or is caught by the test above; a store
@@ -111,7 +130,7 @@ class ShardStore:
         base = self.version()
         if base and self.schema() != df.schema:
             raise ValueError("the rows' schema is not the store's")
-        return self.commit(base, self.live(base) + self._written(df, base + 1, arrival), df.schema)
+        return self.commit(base, self._written(df, base + 1, arrival), set(), df.schema)
 
     def _listed(self, place: str, version: int) -> list[Shard]:
         root = self.fs.makeQualified(self._path(self.folder)).toString()
@@ -133,21 +152,31 @@ class ShardStore:
     def compact(self) -> int:
         """Merges the runs of all tiers and commits once; returns the newest version, which stays if nothing is to be merged.
 
-        A merge reads a tier's shards and writes about its bytes divided by target_bytes files. Rows stay in the
-        tasks that read them (coalesce), so nothing is shuffled. The old shards stay for readers of older versions
-        until vacuum().
+        Each task reads whole shards of a tier, of up to five quarters of the target together, and writes them as one file,
+        so nothing is shuffled. A shard that is merged has less than half the target, so every file but a tier's last one
+        has more than three quarters of it. The old shards stay for readers of older versions until vacuum().
         """
         base = self.version()
-        shards = self.live(base)
-        runs = self.runs(shards)
+        runs = self.runs(self.live(base))
         if not runs:
             return base
-        schema, new, merged = self.schema(), [], set()
+        schema, new = self.schema(), []
         for run in runs:
-            files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
-            new += self._written(self._rows(run, schema).coalesce(files), base + 1)
-            merged |= {s.path for s in run}
-        return self.commit(base, [s for s in shards if s.path not in merged] + new, schema)
+            with self._set({"spark.sql.files.maxPartitionBytes": str(self.target_bytes * 5 // 4), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}):
+                new += self._written(self._rows(run, schema), base + 1)
+        return self.commit(base, new, {s.path for run in runs for s in run}, schema)
+
+    @contextmanager
+    def _set(self, settings: dict[str, str]):
+        """Session settings for the time of one job."""
+        before = {k: self.spark.conf.get(k, None) for k in settings}
+        try:
+            for k, v in settings.items():
+                self.spark.conf.set(k, v)
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
 
     def _rows(self, shards: list[Shard], schema: StructType) -> DataFrame:
         """The rows of some shards, without the column that Spark makes of a folder's name."""
@@ -166,7 +195,7 @@ class ShardStore:
         for s in self._listed(f"{self.folder}/data", 0):
             if s.path not in named:
                 gone += bool(self.fs.delete(self._path(f"{self.folder}/{s.path}"), False))
-        for v in range(1, newest - keep + 1):
+        for v in range(1, self._full_before(max(1, newest - keep + 1))):
             self.fs.delete(self._path(f"{self.folder}/manifests/{v:010d}.json"), False)
         return gone
 
