@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Workspace, table
 
 LANES = 16
-PACKED = 12
+PACKED = 18
 #: Triples whose packed signs are summed before a reduction.
 BLOCK = 1 << 20
-#: Bits 0, 21 and 42: three counts share a number.
-FIELDS = (1 << 0) | (1 << 21) | (1 << 42)
+#: Bits 0 and 31: two counts share a number. A text has fewer than 2^31 triples, so none runs into the other.
+WIDE = 31
+FIELDS = (1 << 0) | (1 << WIDE)
 MODULUS = (1 << 62) - 1
 
 
@@ -86,7 +87,7 @@ def fingerprint(lanes: Column, found: Column) -> Column:
 
 def _signs(found: Column) -> Column:
     """36 sums of signs, of the packed counts."""
-    return F.array(*((F.lit(2) * F.shiftright(found[f"s{k}"], 21 * j).bitwiseAND(F.lit((1 << 21) - 1)) - found["n"]).cast("double") for k in range(PACKED) for j in range(3)))
+    return F.array(*((F.lit(2) * F.shiftright(found[f"s{k}"], WIDE * j).bitwiseAND(F.lit((1 << WIDE) - 1)) - found["n"]).cast("double") for k in range(PACKED) for j in range(2)))
 
 
 def likeness(a_lanes: Column, a: Column, b_lanes: Column, b: Column) -> Column:
@@ -102,17 +103,16 @@ def neighbours(light: DataFrame, work: Workspace) -> DataFrame:
     """(rid, receiver, m): each row's key, the row before it by descending doc_id (for the first row: the last), and a third of that row's characters.
 
     light: rid, doc_id, n_chars. Rows are dealt by ranges of doc_id and follow each other within a range; what joins the
-    ranges is one key for each partition, which goes to the driver.
+    ranges is a table of one row for each of them.
     """
     ordered = light.repartitionByRange(F.col("doc_id").desc_nulls_last(), "rid").withColumn("part", F.spark_partition_id())
     ordered = work.write(ordered, "ordered")
     order = W.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "rid")
-    first = sorted((r["part"], r["rid"]) for r in ordered.groupBy("part").agg(F.min_by("rid", F.struct(-F.coalesce("doc_id", F.lit(-(1 << 62))), "rid")).alias("rid")).collect())
-    if not first:
-        return ordered.select("rid", F.col("rid").alias("receiver"), F.lit(0).alias("m"))
-    after = F.create_map(*(x for (part, _), (_, rid) in zip(first, first[1:] + first[:1]) for x in (F.lit(part), F.lit(bytes(rid)))))
-    following = F.coalesce(F.lead("rid").over(order), after[F.col("part")])
-    return ordered.select(following.alias("rid"), F.col("rid").alias("receiver"), F.floor(F.col("n_chars") / 3).cast("int").alias("m"))
+    first = ordered.groupBy("part").agg(F.min_by("rid", F.struct(-F.coalesce("doc_id", F.lit(-(1 << 62))), "rid")).alias("head"))
+    # one window over a row for each partition; after the last range comes the first row of all
+    ends = first.select("part", F.coalesce(F.lead("head").over(W.orderBy("part")), F.first("head").over(W.orderBy("part"))).alias("after"))
+    following = F.coalesce(F.lead("rid").over(order), F.col("after"))
+    return ordered.join(work.write(ends, "ends"), "part").select(following.alias("rid"), F.col("rid").alias("receiver"), F.floor(F.col("n_chars") / 3).cast("int").alias("m"))
 
 
 def compare(docs: DataFrame, work: Workspace) -> DataFrame:
