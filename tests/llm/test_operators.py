@@ -8,8 +8,11 @@ import random
 import re
 import tarfile
 import zlib
+from urllib.parse import urljoin
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +207,26 @@ def test_near_duplicates_equal_brute_force(spark, limit, chunk, block, dense_fro
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+@pytest.mark.parametrize("percent", [50, 90])
+def test_near_duplicates_at_other_limits_equal_brute_force(spark, percent):
+    rng = random.Random(percent)
+    texts = [prose(rng, rng.randrange(3, 90)) for _ in range(30)]
+    for edits in (1, 4, 8, 14, 20):
+        texts += family(rng, prose(rng, 110), 12, edits)
+    rows = list(enumerate(texts))
+    p = neardup.ChosenPath(width=2, percent=percent)
+    found = neardup.near_duplicates(docs(spark, rows), Workspace(spark, "t"), p).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == brute(rows, 2, percent)
+
+
+def test_trees_follow_from_percent_and_recall():
+    p = neardup.ChosenPath()
+    assert (p.trees, p.branch) == (4, 2) and neardup.missed(p, 4) <= 1e-4 < neardup.missed(p, 3)
+    low, sure = neardup.ChosenPath(percent=50), neardup.ChosenPath(recall=0.999999)
+    assert low.branch == 3 and neardup.missed(low, low.trees) <= 1e-4 and sure.trees > p.trees
+    assert (neardup.ChosenPath(trees=7, branch=5).trees, neardup.ChosenPath(trees=7, branch=5).branch) == (7, 5)
+
+
 def test_near_duplicates_odd_input(spark):
     found = neardup.near_duplicates(docs(spark, ODD), Workspace(spark, "t")).collect()
     assert len(found) == len(ODD)
@@ -319,6 +342,40 @@ def test_quality_odd_input(spark):
     assert quality.train(docs(spark, ODD), labels.where("doc_id = 5"), "quality").value == 1.0
 
 
+def test_quality_learns_from_whole_texts_of_a_bounded_sample(spark):
+    good, bad = "Plain words make a good line of prose.", "@@## $$%% ^^&& 1234 !!??"
+    rows = [(i, "\n".join([bad if i % 2 else good] * (3 + i % 5))) for i in range(60)] + [(60, "\n".join([good] * 900)), (1, good), (1, bad)]
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(61)], "doc_id long, quality int")
+    seen = []
+
+    class Spy(quality.AttentionMil):
+        def fit(self, x, owner, y):
+            seen.append(np.bincount(owner, minlength=len(y)).tolist())
+            return super().fit(x, owner, y)
+
+    for passages in (200_000, 200_000, 5000, 150):
+        quality.train(docs(spark, rows), labels, "quality", passages=passages, model=Spy(epochs=1))
+    sizes = sorted([1 if i == 1 else 3 + i % 5 for i in range(60)])
+    assert seen[0] == seen[1] and sorted(seen[0]) == [*sizes, 900] and sorted(seen[2]) == sizes
+    assert 0 < sum(seen[3]) <= 150 and max(seen[3]) <= 3
+
+
+def test_quality_scores_equal_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(9)
+    p = {k: rng.normal(size=s) for k, s in {"W": (quality.FEATURES, 3), "b": (3,), "V": (3, 2), "U": (3, 2), "w": (2,), "c": (3,), "d": ()}.items()}
+    model = quality.AttentionMil(hidden=3, gate=2)
+    model.p, model.mean, model.std = p, rng.normal(size=quality.FEATURES), np.ones(quality.FEATURES)
+    rows = [(i, t) for i, t in ODD if i is not None]
+    for r in quality.score(docs(spark, rows), model).collect():
+        raw = np.frombuffer((r["text"] or "").encode(), np.uint8)
+        x = np.clip((quality.encode(raw, np.array([0, len(raw)]))[0] - model.mean) / model.std, -6, 6)
+        h = [np.tanh(v @ p["W"] + p["b"]) for v in x]
+        e = np.array([p["w"] @ (np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) for v in h])
+        a = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+        z = sum(k * v for k, v in zip(a, h))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30))), abs=1e-6)
+
+
 def test_passages_cover_texts():
     texts = ["", "ab", "x" * 1500, "a\nb\n", "\n", "é" * 700]
     raw = [t.encode() for t in texts]
@@ -354,53 +411,36 @@ def test_media_round_trip(spark):
     assert media.store(docs(spark, []), Workspace(spark, "t"))[0].count() == 0
 
 
-# 7 lines
-
-
-def cut_lines(rows, divisor=2, least=2):
-    """The same in plain Python, by whole chunks."""
-    seen, out = set(), {}
-    unique = sorted({(i, t) for i, t in rows if t is not None}, key=lambda r: (r[0] is not None, r[0]))
-    for i, t in unique:
-        data, kept = t.encode(), []
-        spans = {n: (a, b) for n, a, b in lines.chunk_bounds(data, divisor, least)}
-        at = 0
-        for a, b in sorted(spans.values()):
-            kept.append(data[at:a])
-            chunk = data[a:b].removesuffix(b"\n")
-            if chunk not in seen:
-                seen.add(chunk)
-                kept.append(data[a:b])
-            at = b
-        out[i, t] = b"".join([*kept, data[at:]]).decode()
-    return out
-
-
-def test_lines_equal_brute_force(spark):
-    rng = random.Random(7)
-    passage = [prose(rng, 6) for _ in range(9)]
-    rows = []
-    for i in range(40):
-        own = [prose(rng, 5) for _ in range(rng.randrange(4))]
-        k = rng.randrange(len(own) + 1)
-        rows.append((i, "\n".join([*own[:k], *passage[rng.randrange(3) :], *own[k:]]) + "\n" * rng.randrange(2)))
-    rows += [(50, "é\nü\né\nü\né\nü\né\nü"), (51, None), (52, ""), (53, "\n\n\n"), (None, rows[0][1])]
-    found = lines.deduplicated_lines(docs(spark, [*rows, rows[3]]), Workspace(spark, "t"))
-    assert found.columns == [*docs(spark, []).columns, "lines_removed", "bytes_removed"]
-    wanted, got = cut_lines(rows), found.collect()
-    by = dict(rows)
-    assert len(got) == len(rows) + 1 and sum(r["bytes_removed"] for r in got) > 5000
-    for r in got:
-        if by[r["doc_id"]] is None:
-            assert r["text"] is None and r["bytes_removed"] == 0
-        else:
-            assert r["text"] == wanted[r["doc_id"], by[r["doc_id"]]]
-            assert r["bytes_removed"] == len(by[r["doc_id"]].encode()) - len(r["text"].encode())
+def test_media_copies_of_several_tasks_are_stored_once(spark):
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 300) if i % 4 == 0 else "the same words " * 400 + str(i % 3)) for i in range(64)]
+    table = docs(spark, rows).repartition(16, "doc_id")
+    index, folder = media.store(table, Workspace(spark, "t"), waste=0.0)
+    fs, base = media.open_folder(folder)
+    members = []
+    for f in fs.get_file_info(media.pafs.FileSelector(base)):
+        if f.base_name.endswith(".tar"):
+            with tarfile.open(fileobj=io.BytesIO(fs.open_input_file(f.path).read())) as tar:
+                members += [m.name for m in tar]
+    assert len(members) == len(set(members)) == index.count() == 16 + 3
+    found = media.read_features(index, folder).collect()
+    assert {bytes(r["payload_sha256"]) for r in found} == {hashlib.sha256(media.padded(t.encode())).digest() for _, t in rows}
+    loose, _ = media.store(table, Workspace(spark, "t"), waste=1.0)
+    assert loose.count() == index.count()
+
+
+def test_a_shard_of_another_attempt_stays(tmp_path):
+    one = media.ShardWriter(f"file://{tmp_path}", 3, 1 << 20)
+    one.add("a.png", b"x" * 100)
+    two = media.ShardWriter(f"file://{tmp_path}", 3, 1 << 20)
+    two.add("a.png", b"x" * 100)
+    one.close()
+    two.fs = type("Refusing", (), {"get_file_info": two.fs.get_file_info, "delete_file": two.fs.delete_file, "move": None})()
+    two.close()
+    assert [f.name for f in tmp_path.iterdir()] == ["shard-00003-00000.tar"]
 
 
-def test_lines_odd_input(spark):
-    assert lines.deduplicated_lines(docs(spark, ODD), Workspace(spark, "t")).count() == len(ODD)
-    assert lines.deduplicated_lines(docs(spark, []), Workspace(spark, "t")).count() == 0
+# 7 lines
 
 
 def cut_runs(rows, least=2):
@@ -418,7 +458,22 @@ def cut_runs(rows, least=2):
     return out
 
 
-def test_passages_equal_brute_force_over_all_runs(spark):
+def cut_pairs(rows):
+    """{id: (text, lines removed)} by pairs of adjacent lines that are not blank, seen at an earlier place."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        parts, gone = t.split("\n"), set()
+        full = [k for k, x in enumerate(parts) if x.strip(" \t\r")]
+        for a, b in zip(full, full[1:]):
+            pair = tuple(parts[a : b + 1])
+            gone |= set(range(a, b + 1)) if pair in seen else set()
+            seen.add(pair)
+        ends = ["\n"] * (len(parts) - 1) + [""]
+        out[i] = "".join(x + e for k, (x, e) in enumerate(zip(parts, ends)) if k not in gone), len(gone)
+    return out
+
+
+def test_lines_equal_brute_force_over_all_runs(spark):
     rng = random.Random(11)
     passage = [prose(rng, 6) for _ in range(9)]
     passage[4] = " "
@@ -428,15 +483,32 @@ def test_passages_equal_brute_force_over_all_runs(spark):
         k, a = rng.randrange(len(own) + 1), rng.randrange(8)
         rows.append((i, "\n".join([*own[:k], *passage[a : a + rng.randrange(1, 6)], *own[k:]]) + "\n" * rng.randrange(3)))
     rows += [(70, "é\nü\né\nü\né\nü\né\nü"), (71, None), (72, ""), (73, "\n\n\n"), (74, "a\na\na\na\n"), (None, rows[0][1])]
-    found = lines.deduplicated_passages(docs(spark, [*rows, rows[3]]), Workspace(spark, "t"))
+    found = lines.deduplicated_lines(docs(spark, [*rows, rows[3]]), Workspace(spark, "t"))
+    assert found.columns == [*docs(spark, []).columns, "lines_removed", "bytes_removed"]
     wanted, by, got = cut_runs(rows), dict(rows), found.collect()
     assert len(got) == len(rows) + 1
     for r in got:
-        if by[r["doc_id"]] is not None:
+        if by[r["doc_id"]] is None:
+            assert r["text"] is None and r["bytes_removed"] == 0
+        else:
             assert (r["text"], r["lines_removed"]) == wanted[r["doc_id"], by[r["doc_id"]]]
             assert r["bytes_removed"] == len(by[r["doc_id"]].encode()) - len(r["text"].encode())
-    chunked = lines.deduplicated_lines(docs(spark, rows), Workspace(spark, "t"))
-    assert sum(r["bytes_removed"] for r in got) > sum(r["bytes_removed"] for r in chunked.collect())
+    fewer = lines.deduplicated_lines(docs(spark, rows), Workspace(spark, "t"), divisor=3)
+    assert 0 < sum(r["bytes_removed"] for r in fewer.collect()) < sum(r["bytes_removed"] for r in got)
+
+
+def test_lines_recall_on_documents(spark, sf):
+    """Every line of a repeated run goes, by a separate count, and no line that stands alone anywhere."""
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in table.collect()]
+    wanted = cut_pairs(rows)
+    got = {r["doc_id"]: (r["text"], r["lines_removed"]) for r in lines.deduplicated_lines(table, Workspace(spark, "t")).collect()}
+    assert got == wanted and sum(n for _, n in got.values()) > 1000
+
+
+def test_lines_odd_input(spark):
+    assert lines.deduplicated_lines(docs(spark, ODD), Workspace(spark, "t")).count() == len(ODD)
+    assert lines.deduplicated_lines(docs(spark, []), Workspace(spark, "t")).count() == 0
 
 
 def test_the_line_stage_removes_every_repeated_run(spark, sf):
@@ -445,8 +517,6 @@ def test_the_line_stage_removes_every_repeated_run(spark, sf):
     rows = [(1, "x\np\nq\ny"), (2, "k\np\nq\nl"), (3, "p\nq"), (4, "m\np\nq")]
     left = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs(spark, rows), sf).collect()}
     assert left == {1: "x\np\nq\ny", 2: "k\nl", 3: "", 4: "m\n"}
-    assert lines.deduplicated_passages(docs(spark, ODD), Workspace(spark, "t")).count() == len(ODD)
-    assert lines.deduplicated_passages(docs(spark, []), Workspace(spark, "t")).count() == 0
 
 
 # 8 urls
@@ -474,6 +544,95 @@ def test_urls_rules_and_aliases(spark):
         urls.rule_for(F.lit(""), F.lit(""), [("h", "/", "allow")] * (urls.MAX_RULES + 1))
 
 
+def plain_node(url):
+    """RFC 3986 normal form in plain Python; None without a host."""
+    m = re.match(r"([^:/?#]+)://([^/?#]+)([^?#]*)(\?[^#]*)?", url, re.S)
+    if not m:
+        return None
+    done = []
+    for k, part in enumerate(parts := m[3].split("/")):
+        if part == ".." and len(done) > 1:
+            done.pop()
+        if part in (".", "..") and k == len(parts) - 1:
+            done.append("")
+        elif part not in (".", ".."):
+            done.append(part)
+    return f"{m[1].lower()}://{m[2].lower()}{'/'.join(done) or '/'}{m[4] or ''}"
+
+
+def linked_pages(rng, n):
+    """(pages, links): pages with all kinds of links, and the links that a reader of them would follow."""
+    hosts = [f"h{k}.{end}" for k in range(14) for end in ("com", "org", "net", "test")]
+    path = lambda: rng.choice(["", "/", "/en/1", "/en/7", "/es/x", "/de/8/y", "/a/b/c.html", "/a/"])
+    pages, links = [], []
+    for i in range(n):
+        url = f"{rng.choice(['http', 'https', 'HTTP'])}://{rng.choice(hosts).upper() if rng.random() < 0.2 else rng.choice(hosts)}{path()}{rng.choice(['', '', '?q=1', '#top'])}"
+        parts, base = [], url
+        if rng.random() < 0.15:
+            parts.append(f'<base target=x href="{(to := rng.choice(["/sub/", "http://h1.com/es/", "mailto:x"]))}">')
+            base = urljoin(url, to) if ":" not in to or "//" in to else url
+        for _ in range(rng.randrange(3)):
+            to = rng.choice([f"http://{rng.choice(hosts)}{path()}", f"//{rng.choice(hosts)}{path()}", "index.html", "../up", "../../../x/./y/..", "?p=2&q=3", "/en/7?a=1&b=<2>", "#frag", "", "mailto:a@b.test", "javascript:void(0)", "é/ü", " padded "])
+            coded = to.replace("&", rng.choice(["&amp;", "&#38;", "&#x26;"])).replace("<", "&lt;").replace(">", "&gt;").replace("é", "&#233;")
+            tag = rng.choice(
+                [f'<link rel="canonical" href="{coded}">', f"<LINK title='a > b href=\"/no\"' HREF='{coded}' data-href=x rel='nofollow Canonical' />", f'<meta http-equiv="Refresh" content="0; URL={coded}">', f'<meta content="5;url=\'{coded}\'" http-equiv=refresh>']
+            )
+            if rng.random() < 0.2:
+                parts.append(rng.choice([f"<!-- {tag} -->", tag.replace("anonical", "anonicals").replace("efresh", "efreshes"), f"<a {tag[5:]}"]))
+                continue
+            parts.append(tag)
+            if to or tag[1:5].lower() == "link":
+                links.append((url, urljoin(base, to.strip())))
+        pages.append((i, url, "<html><head>" + "\n<p class=x>".join(parts)))
+    return pages, links
+
+
+def test_urls_with_all_kinds_of_links_equal_union_find_and_sql(spark):
+    pages, links = linked_pages(random.Random(1), 150)
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = plain_node(a), plain_node(b)
+        if a and b:
+            root[find(a)] = find(b)
+    of_node = lambda n: own(n.split("://")[1].split("/")[0], re.match(r"[^/]*([^?]*)", n.split("://")[1], re.S)[1])
+
+    def own(host, path):
+        fits = [(-len(h + p), v != "allow", v, h + p) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return min(fits)[2:] if fits else None
+
+    groups = {}
+    for x in list(root):
+        if found := of_node(x):
+            groups.setdefault(find(x), set()).add(found[0])
+    wanted = {}
+    for i, url, _ in pages:
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", url).groups()
+        mine, node = own(host.lower(), path), plain_node(url)
+        shared = min(groups[find(node)]) if node in root and find(node) in groups else None
+        wanted[i] = (mine[0], mine[1], "rule") if mine else (shared, None, "alias") if shared else ("allow", None, "default")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = urls.judge(df, Workspace(spark, "t")).select("page_id", "host", "path", "rule", "verdict", "decided_by").collect()
+    assert {r["page_id"]: (r["verdict"], r["rule"], r["decided_by"]) for r in found} == wanted
+    assert {"rule", "alias", "default"} == {r["decided_by"] for r in found}
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [p[0] for p in pages], "url": [p[1] for p in pages], "html": [p[2] for p in pages]}))
+    assert sorted(map(tuple, found)) == sorted(con.execute(f"SELECT page_id, host, path, rule, verdict, decided_by FROM ({urls.OP8_SQL})").fetchall())
+
+
+def test_a_relative_link_joins_no_other_site(spark):
+    link = '<link rel=canonical href="{}">'
+    pages = [(1, "http://a.org/es/x", link.format("index.html")), (2, "http://b.test/y", link.format("index.html")), (3, "http://c.test/z", link.format("//a.org/es/x")), (4, "http://d.test/", "<!-- " + link.format("http://a.org/es/x") + " -->"), (5, "http://e.test/?a=1&b", link.format("http://a.org/es/x?a&amp;b")), (6, "http://f.test", link.format("http://a.org/es/x?a&b"))]
+    found = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), Workspace(spark, "t"))
+    assert {r["page_id"]: r["verdict"] for r in found.collect()} == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block", 6: "block"}
+
+
 # 9 pieces
 
 
@@ -552,12 +711,35 @@ def test_shards_append_compact_and_commit(spark):
         assert sorted(map(repr, store.read(version).collect())) == sorted(map(repr, rows.unionByName(rows).collect()))
     assert store.read().columns == rows.columns
     with pytest.raises(shards.CommitConflict):
-        store.commit(2, [], rows.schema)
+        store.commit(2, [], set(), rows.schema)
     with pytest.raises(ValueError):
         store.append(rows.select("doc_id"))
     assert store.vacuum() >= len(before) and store.read().count() == 2 * len(ODD) and store.compact() == 3
 
 
+def test_compacted_files_have_the_target_size(spark, sf):
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    store = shards.ShardStore(spark, Workspace(spark, "t").path, target_bytes=1 << 20, least_bytes=1 << 20)
+    store.append(table.repartition(60))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    store.compact()
+    sizes = sorted(s.bytes for s in store.live())
+    assert len(sizes) > 4 and all(0.75 * (1 << 20) <= n <= 1.25 * (1 << 20) for n in sizes[1:]), sizes
+    assert store.read().count() == table.count() and spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+
+
+def test_manifests_hold_changes_and_every_so_often_all(spark, monkeypatch):
+    monkeypatch.setattr(shards, "FULL_EVERY", 4)
+    store = shards.ShardStore(spark, Workspace(spark, "t").path, fanout=3)
+    counts = {}
+    for k in range(6):
+        counts[store.append(docs(spark, [(k, "x")]).coalesce(1))] = k + 1
+    assert [len(store._manifest(v)) - 1 for v in range(1, 7)] == [1, 1, 1, 4, 1, 1]
+    assert store.compact() == 7 and len(store.live()) == 1 and len(store.live(6)) == 6
+    assert {v: store.read(v).count() for v in counts} == counts
+    assert store.vacuum(keep=2) == 0 and store.read(6).count() == 6 and store.vacuum() == 6 and store.read().count() == 6
+
+
 def test_shards_of_an_empty_table(spark):
     store = shards.ShardStore(spark, Workspace(spark, "t").path)
     store.append(docs(spark, []))

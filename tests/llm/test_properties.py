@@ -17,14 +17,15 @@ def test_png_round_trip(data):
     assert media.from_png(media.to_png(media.padded(data))) == media.padded(data)
 
 
-@given(st.lists(st.sampled_from(["", "a", "bb", "ccc", " "]), max_size=30))
-def test_chunks_are_disjoint_and_in_order(parts):
+@given(st.lists(st.sampled_from(["", "a", "bb", "ccc", " "]), max_size=30), st.integers(1, 4))
+def test_chunks_are_runs_of_lines_and_hash_by_their_bytes(parts, least):
     data = "\n".join(parts).encode()
-    at = 0
-    for _, start, stop in lines.chunk_bounds(data, 2, 1):
-        assert at <= start < stop <= len(data)
-        assert start == 0 or data[start - 1 : start] == b"\n"
-        at = stop
+    by = {}
+    for line, start, stop, hashed in lines.chunk_bounds(data, 1, least):
+        chunk = data[start:stop].removesuffix(b"\n")
+        assert data[:start].count(b"\n") == line and (start == 0 or data[start - 1 : start] == b"\n")
+        assert sum(bool(x.strip()) for x in chunk.split(b"\n")) == least and by.setdefault(hashed, chunk) == chunk
+    assert len(lines.chunk_bounds(data, 1, least)) == max(0, sum(bool(x.strip()) for x in parts) - least + 1)
 
 
 @settings(deadline=None)
