@@ -1,11 +1,11 @@
 """Mixing to target weights with soft membership.
 
 A naive Bayes classifier, learnt from a labelled table, gives each document a posterior over domains, from the telling
-words that it has or from having none. Rates, one a
-document, are fitted so that the expected tokens of each domain (rate * tokens * posterior, summed) match targets:
-nonnegative least squares, drawn to a rate of 1. At the minimum each rate is 1 less a weighted sum of the document's
-tokens by domain, or 0, with one weight a domain; these weights are found by Newton steps, each one aggregation over a
-narrow table. A given number of projected gradient steps can be made instead.
+words and word shapes that it has or from having none. Rates, one a document, are fitted so that the expected tokens of
+each domain (rate * tokens * posterior, summed) match targets: nonnegative least squares, drawn to a rate of 1, by
+projected gradient steps, each one aggregation over a narrow table. They start near the minimum, where each rate is 1
+less a weighted sum of the document's tokens by domain, or 0, with one weight a domain; a few Newton steps find these
+weights. The gradient steps end when the totals do not move any more.
 """
 
 from __future__ import annotations
@@ -25,36 +25,46 @@ class Mix:
     """targets: wanted shares of expected tokens by domain, made to sum to 1. The total leaves the
     domain of the largest target as many tokens as it has, so its documents stay; `total_tokens` sets another. max_rate: the greatest rate,
     without bound if it is infinite; with one, a domain that is too rare for its target stays below it. steps: so many projected gradient
-    steps at most; None: to the minimum. per_class: labelled
+    steps at most, from rates of 1; None: as many as it takes, from near the minimum. per_class: labelled
     documents of each domain that the classifier learns from, at most, those of the least keyed hash. buckets: hashed
-    words; strength: how many deviations the number of a domain's documents that use a word must differ to count;
-    contrast: how far the log of that share must be above the next domain's, so that a word tells of one domain. ridge: pull to a rate of 1."""
+    words and shapes; telling: the least likelihood ratio statistic (G) of a bucket against the domains, so that hardly one of all
+    counts by chance; contrast: how far the log of the share of a domain's documents that have it must be above the next
+    domain's, so that it tells of one domain. ridge: pull to a rate of 1."""
 
     targets: dict[str, float] = field(default_factory=lambda: {"clean": 0.90, "low": 0.05, "toxic": 0.05})
     per_class: int = 2000
     buckets: int = 1 << 16
-    strength: float = 8.0
-    contrast: float = 2.5
-    ridge: float = 1e-3
+    telling: float = 24.0
+    contrast: float = 1.5
+    ridge: float = 1e-6
     max_rate: float = math.inf
     steps: int | None = None
     total_tokens: float | None = None
     seed: int = 5
 
 
-def _words(text: str) -> Column:
-    return F.split(F.lower(F.coalesce(F.col(f"`{text}`"), F.lit(""))), "[ \\n\\t\\r]+", -1)
+#: Characters between words, and ASCII signs.
+BLANK = "[ \\n\\t\\r]+"
+SIGNS = "[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]+"
 
 
-def _bucket(word: Column, m: Mix) -> Column:
-    """Words with two or more characters that are no ASCII letters share the bucket of these characters."""
-    rest = F.translate(word, "abcdefghijklmnopqrstuvwxyz", "")
-    return F.pmod(F.xxhash64(F.when(F.length(rest) >= 2, rest).otherwise(word)), F.lit(m.buckets)).cast("int")
+def _features(text: Column) -> Column:
+    """array of a text's different words, lower-cased and without outer signs, and of its different word shapes: runs of
+    letters in upper case, of digits and of other letters as one control character each, signs as they are."""
+    raw = F.coalesce(text, F.lit(""))
+    bare = F.regexp_replace(F.lower(raw), f"(?<![^ \\n\\t\\r]){SIGNS}|{SIGNS}(?![^ \\n\\t\\r])", "")
+    shape = F.regexp_replace(raw, "[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7eA-Z]+", "\x01")
+    shape = F.regexp_replace(F.regexp_replace(shape, "[A-Z]+", "\x02"), "[0-9]+", "\x03")
+    return F.array_distinct(F.split(F.concat(bare, F.lit(" "), shape), BLANK, -1))
+
+
+def _bucket(feature: Column, m: Mix) -> Column:
+    return F.pmod(F.xxhash64(feature), F.lit(m.buckets)).cast("int")
 
 
 def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """Of rows (key, domain): a table (bucket, w_0..) of each telling word's log rates, each domain's log prior, and the
-    log chance that its documents have no telling word.
+    """Of rows (key, domain): a table (bucket, w_0..) of each telling bucket's log rates, each domain's log prior, and the
+    log chance that its documents have no telling bucket.
 
     The chosen keys are at most per_class for each target domain and the table has at most `buckets` rows, so both may be
     broadcast at any size of the input. A key with several domains teaches the least of them; null keys, domains without a target
@@ -70,20 +80,20 @@ def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: st
     for d in names:
         part = clean.where(F.col("domain") == d).orderBy(unit_hash(F.col(key), seed=m.seed), key).limit(m.per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    words = docs.select(F.col(key), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), key).select(key, "domain", F.explode(_words("text")).alias("word")).where("word <> ''")
-    used = words.select(key, "domain", _bucket(F.col("word"), m).alias("bucket")).distinct()
-    used = work.write(used, "used")
+    features = docs.select(F.col(key), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), key).select(key, "domain", F.explode(_features(F.col("text"))).alias("feature")).where("feature <> ''")
+    used = work.write(features.select(key, "domain", _bucket(F.col("feature"), m).alias("bucket")).distinct(), "used")
     counts = used.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("double")).alias(f"n_{k}") for k, d in enumerate(names)))
     # documents of each domain that use a bucket, against what the share of all chosen documents would make it
     learnt = [float(min(sizes.get(d, 0), m.per_class)) for d in names]
     every = sum((F.col(f"n_{k}") for k in range(len(names))), F.lit(0.0))
-    expected = [every * F.lit(n / max(sum(learnt), 1.0)) for n in learnt]
-    telling = F.greatest(*(F.abs(F.col(f"n_{k}") - e) / F.sqrt(e + 1) for k, e in enumerate(expected)), F.lit(0.0))
+    share = every / F.lit(max(sum(learnt), 1.0))
+    term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    ratio = sum((term(F.col(f"n_{k}"), n * share) + term(n - F.col(f"n_{k}"), n - n * share) for k, n in enumerate(learnt)), F.lit(0.0)) * 2
     rates = [F.log((F.col(f"n_{k}") + 1) / F.lit(n + 2)) for k, n in enumerate(learnt)]
     centre = sum(rates, F.lit(0.0)) / len(names)
     ranked = F.sort_array(F.array(*rates), asc=False)
     apart = F.coalesce(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)), F.lit(0.0))
-    weights = work.write(counts.where((telling >= m.strength) & (apart >= m.contrast)).select("bucket", *((w - centre).alias(f"w_{k}") for k, w in enumerate(rates))), "weights")
+    weights = work.write(counts.where((ratio >= m.telling) & (apart >= m.contrast)).select("bucket", *((w - centre).alias(f"w_{k}") for k, w in enumerate(rates))), "weights")
     some = {r["domain"]: r["n"] for r in used.join(F.broadcast(weights), "bucket", "left_semi").groupBy("domain").agg(F.countDistinct(key).alias("n")).collect()}
     none = {d: math.log((n - some.get(d, 0) + 1) / (n + 2)) for d, n in zip(names, learnt)}
     return weights, priors, none
@@ -92,15 +102,15 @@ def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: st
 def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float], none: dict[str, float], m: Mix, keys: list[str], text: str = "text") -> DataFrame:
     """keys, n_tokens and p_0.. of each row of docs; rows that agree in their keys and text are one row here.
 
-    A document without any telling word has the chance of just that as evidence: words that lack together would count many
-    times if each absence were a factor of its own. Null, empty and blank texts have no tokens and no telling word.
+    A document without any telling bucket has the chance of just that as evidence: what lacks together would count many
+    times if each absence were a factor of its own. Null, empty and blank texts have no tokens and no telling bucket.
     `weights` has at most m.buckets rows.
     """
     names = sorted(m.targets)
-    plain = docs.select(*keys, _words(text).alias("words"))
-    sizes = plain.groupBy(*keys).agg(F.sum(F.size(F.filter("words", lambda w: w != ""))).alias("n_tokens"))
-    # few words tell, so few rows are left to be shuffled; a word tells once however often a text has it
-    told = plain.select(*keys, F.explode("words").alias("word")).select(*keys, _bucket(F.col("word"), m).alias("bucket")).join(F.broadcast(weights), "bucket")
+    given = F.col(f"`{text}`")
+    sizes = docs.select(*keys, F.regexp_count(F.coalesce(given, F.lit("")), F.lit("[^ \\n\\t\\r]+")).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n_tokens"))
+    # few buckets tell, so few rows are left to be shuffled; one tells once however often a text has it
+    told = docs.select(*keys, F.explode(_features(given)).alias("feature")).where("feature <> ''").select(*keys, _bucket(F.col("feature"), m).alias("bucket")).join(F.broadcast(weights), "bucket")
     sums = told.distinct().groupBy(*keys).agg(*(F.sum(f"w_{k}").alias(f"s_{k}") for k in range(len(names))))
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
     sums = sizes.join(sums.withColumnsRenamed({c: f"__{c}" for c in keys}), same, "left").withColumns({f"s_{k}": F.coalesce(f"s_{k}", F.lit(none[d])) for k, d in enumerate(names)})
@@ -129,12 +139,14 @@ def fit(light: DataFrame, work: Workspace, m: Mix) -> tuple[DataFrame, dict]:
     # most 1; a hundredth of its trace is added, lest a domain that hardly occurs outweighs the others
     gram = np.array([[float(first[f"g_{i}_{j}"] or 0.0) for j in k] for i in k])
     widened = gram + max(0.01 * float(np.trace(gram)), 1e-300) * np.eye(len(names))
-    if m.steps is None:
-        rate, reached, done = _minimum(light, mass, widened, goal, m, 1e-6 * max(total, 1.0))
-        return light.withColumn("rate", rate), {"domains": names, "natural": natural, "goal": goal, "reached": reached, "steps": done}
+    near = 1e-6 * max(total, 1.0)
     inverse = np.linalg.inv(widened)
-    step, rate, reached, done = 1 / (1 + m.ridge), F.lit(1.0), natural, 0
-    for done in range(1, m.steps + 1):
+    step, rate, reached, newton = 1 / (1 + m.ridge), F.lit(1.0), natural, 0
+    if m.steps is None:
+        rate, reached, newton = _minimum(light, mass, widened, goal, m, near)
+        light, rate = work.write(light.withColumn("rate", rate), "rates"), F.col("rate")
+    done = 0
+    for done in range(1, (m.steps or 1000) + 1):
         pull = inverse @ (np.array(reached) - np.array(goal))
         slope = sum((a * F.lit(float(step * x)) for a, x in zip(mass, pull)), F.lit(0.0))
         if done % 6 == 0:
@@ -142,13 +154,13 @@ def fit(light: DataFrame, work: Workspace, m: Mix) -> tuple[DataFrame, dict]:
         rate = F.least(F.lit(m.max_rate), F.greatest(F.lit(0.0), rate * F.lit(1 - step * m.ridge) - slope + F.lit(step * m.ridge)))
         row = light.agg(*(F.sum(rate * a).alias(f"t_{i}") for i, a in enumerate(mass))).first()
         before, reached = reached, [float(row[f"t_{i}"] or 0.0) for i in k]
-        if all(abs(a - b) <= 1e-6 * max(total, 1.0) for a, b in zip(before, reached)):
+        if all(abs(a - b) <= near for a, b in zip(before, reached)):
             break
-    return light.withColumn("rate", rate), {"domains": names, "natural": natural, "goal": goal, "reached": reached, "steps": done}
+    return light.withColumn("rate", rate), {"domains": names, "natural": natural, "goal": goal, "reached": reached, "steps": done, "newton": newton}
 
 
 def _minimum(light: DataFrame, mass: list[Column], widened: np.ndarray, goal: list[float], m: Mix, near: float) -> tuple[Column, list[float], int]:
-    """The rate that minimises the least squares, the totals it reaches and the aggregations made.
+    """Where the gradient steps start: the rate that minimises the least squares, the totals it reaches and the aggregations made.
 
     Its dual has one variable a domain and is convex and smooth: ridge / 2 z'Hz + goal z + the sum of phi(1 - mass z), where
     phi' holds its argument between 0 and max_rate and is the rate. Newton steps are halved until they descend; they end
