@@ -16,8 +16,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, less the runs of two or more lines that an earlier place has; n_chars is counted again."""
-    cut = lines.deduplicated_passages(docs, Workspace(spark, "lines")).drop("lines_removed", "bytes_removed")
+    """All documents, less the runs of two or more lines that an earlier place has; n_chars is counted again. A text of which all goes stays, empty."""
+    cut = lines.deduplicated_lines(docs, Workspace(spark, "lines")).drop("lines_removed", "bytes_removed")
     return cut.withColumn("n_chars", F.length("text").cast("long"))
 
 
