@@ -113,10 +113,6 @@ def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 1, least
     )
 
 
-#: The same; the pipeline's name for it.
-deduplicated_passages = deduplicated_lines
-
-
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return deduplicated_lines(docs, Workspace(spark, "lines"))
