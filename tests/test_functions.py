@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.functions import chunk, text
-from tidemark.operators import curation, evaluation, search, sessions
+from tidemark.operators import evaluation, search, sessions
 from tidemark.sources import files
 
 
@@ -122,11 +122,6 @@ def test_mmr_prefers_what_is_new(spark):
     assert [r["row_id"] for r in search.mmr(c, 3, 0.5).orderBy("pick").collect()] == [1, 3, 2]
 
 
-def test_selection_bonus_and_order(spark):
-    rows = spark.createDataFrame([(1, "x", "a", 100), (2, "x", "a", 90), (3, "x", "b", 10)], "id long, stage string, tag string, score long")
-    assert [r["id"] for r in curation.select_balanced(rows, 2).orderBy("pick").collect()] == [1, 3]
-    assert [r["id"] for r in curation.select_balanced(rows, 1, lowest_first=True).collect()] == [3]
-
 
 def test_readers(spark):
     rows = spark.createDataFrame([(1, "a"), (2, 'b"}{')], "id long, t string")

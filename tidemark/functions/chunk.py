@@ -38,13 +38,18 @@ def greedy_chunks(text: Column, most: int, overlap: int) -> Column:
         return F.aggregate(F.reverse(chunk), begin, step, lambda a: a["kept"])
 
     total = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda a, s: a + size(s))
-    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"))
+    begin = F.struct(F.array().cast("array<array<string>>").alias("done"), empty.alias("open"), F.lit(0).cast("long").alias("n"))
 
     def pack(acc, s):
-        full = (F.size(acc["open"]) > 0) & (total(acc["open"]) + size(s) > most)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(tail(acc["open"]), F.array(s))).otherwise(F.concat(acc["open"], F.array(s))).alias("open"),
-        )
+        full = (F.size(acc["open"]) > 0) & (acc["n"] + size(s) > most)
+
+        def after(kept):
+            return F.struct(
+                F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
+                F.concat(kept, F.array(s)).alias("open"),
+                (F.when(full, total(kept)).otherwise(acc["n"]) + size(s)).alias("n"),
+            )
+
+        return F.transform(F.array(F.when(full, tail(acc["open"])).otherwise(acc["open"])), after)[0]
 
     return F.aggregate(sentences(text), begin, pack, lambda a: F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"]))

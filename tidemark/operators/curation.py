@@ -1,7 +1,10 @@
-"""Balanced selection of documents under stage quotas: features in Spark, the sequential picks on one small group."""
+"""Balanced selection of documents under quotas: candidates in Spark, the sequential picks on one small group."""
 
 from __future__ import annotations
 
+from collections import Counter
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +12,24 @@ from pyspark.sql import functions as F
 
 # Scores of the selection.
 TAG_POINTS, TAGS_AT_MOST, LONG_POINTS, MEDIUM_POINTS, SHORT_POINTS = 1000, 3, 200, 100, 50
+FIELD_POINTS, RARE_TAG_POINTS, LENGTH_PENALTY, COVERED_BY = 500, 300, 100, 2
+BUCKET_POINTS = {"long": LONG_POINTS, "medium": MEDIUM_POINTS, "short": SHORT_POINTS}
+
+
+@dataclass(frozen=True)
+class Quotas:
+    """total: documents to select; stages: at most so many of each; lengths: of each bucket, beyond which one costs points;
+    includes: ids that are in from the start; tags: to be covered twice, and fields: once; swaps: at most for tags that none
+    has. lowest_first picks the least score and the greatest slug instead of the greatest score and the least slug."""
+
+    total: int
+    stages: dict[str, int]
+    lengths: dict[str, int]
+    tags: tuple[str, ...]
+    fields: tuple[str, ...] = ()
+    includes: tuple = ()
+    swaps: int = 3
+    lowest_first: bool = False
 
 
 def static_score(tags, bucket):
@@ -16,28 +37,121 @@ def static_score(tags, bucket):
     return F.least(tags, F.lit(TAGS_AT_MOST)) * TAG_POINTS + F.when(bucket == "long", LONG_POINTS).when(bucket == "medium", MEDIUM_POINTS).otherwise(SHORT_POINTS)
 
 
-def candidates(scored: DataFrame, per_stage: int, lowest_first: bool = False) -> DataFrame:
-    """What a greedy selection can pick: of each stage and tag the first per_stage, as all of one tag have the same bonus."""
-    order = (F.col("score"), F.desc("id")) if lowest_first else (F.desc("score"), F.col("id"))
-    nth = F.row_number().over(W.partitionBy("stage", "tag").orderBy(*order))
-    return scored.withColumn("nth", nth).where(F.col("nth") <= per_stage).drop("nth")
+def candidates(docs: DataFrame, q: Quotas) -> DataFrame:
+    """The documents that a selection can reach, of docs (id, slug, stage, bucket, tokens, tags, fields).
+
+    Documents of one stage, bucket, number of tags and set of tags and fields that count have the same score at any time, so
+    of each such kind only the first ones by slug can be picked or swapped in, and only the shortest by a later swap.
+    """
+    known = lambda c, names: F.array_sort(F.array_intersect(F.array_distinct(c), F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
+    kind = F.struct("stage", "bucket", F.least(F.size("tags"), F.lit(TAGS_AT_MOST)).alias("n"), known("tags", q.tags).alias("t"), known("fields", q.fields).alias("f"))
+    slug = F.desc("slug") if q.lowest_first else F.col("slug")
+    reach = 2 * q.total + len(q.tags) + q.swaps
+    marked = docs.withColumn("__kind", F.xxhash64(F.to_json(kind)))
+    marked = marked.withColumns({"__a": F.row_number().over(W.partitionBy("__kind").orderBy(slug, "id")), "__b": F.row_number().over(W.partitionBy("__kind").orderBy("tokens", "id"))})
+    return marked.where((F.col("__a") <= reach) | (F.col("__b") <= reach) | F.col("id").isin(*q.includes)).drop("__kind", "__a", "__b")
+
+
+class _Selection:
+    """The picks over a list of rows, with what they cover."""
+
+    def __init__(self, rows: list[dict], q: Quotas):
+        self.q, self.rows, self.taken = q, rows, {}
+        self.stages, self.lengths, self.tags, self.fields = Counter(), Counter(), Counter(), set()
+
+    def add(self, row: dict, how: str) -> None:
+        self.taken[row["id"]] = (row, how)
+        self._count(row, 1)
+        self.fields |= set(row["fields"])
+
+    def _count(self, row: dict, by: int) -> None:
+        self.stages[row["stage"]] += by
+        self.lengths[row["bucket"]] += by
+        self.tags.update({t: by for t in set(row["tags"]) & set(self.q.tags)})
+
+    def drop(self, ident) -> None:
+        self._count(self.taken.pop(ident)[0], -1)
+
+    def score(self, row: dict) -> int:
+        tags, quota = set(row["tags"]), self.q.lengths.get(row["bucket"], 0)
+        found = min(len(tags), TAGS_AT_MOST) * TAG_POINTS
+        found += FIELD_POINTS * len((set(row["fields"]) & set(self.q.fields)) - self.fields)
+        found += BUCKET_POINTS[row["bucket"]] if self.lengths[row["bucket"]] < quota else 0
+        return found + RARE_TAG_POINTS * sum(t in self.q.tags and self.tags[t] < COVERED_BY for t in tags)
+
+    def best(self, rows: list[dict], penalty: bool) -> dict:
+        def value(row: dict) -> int:
+            over = penalty and self.lengths[row["bucket"]] >= self.q.lengths.get(row["bucket"], 0)
+            # the penalty is taken from the negated score where the least is preferred
+            return self.score(row) + (LENGTH_PENALTY if over else 0) * (1 if self.q.lowest_first else -1)
+
+        if self.q.lowest_first:
+            least = min(map(value, rows))
+            slug = max(r["slug"] for r in rows if value(r) == least)
+            return min((r for r in rows if value(r) == least and r["slug"] == slug), key=lambda r: r["id"])
+        return min(rows, key=lambda r: (-value(r), r["slug"], r["id"]))
+
+    def left(self) -> list[dict]:
+        return [r for r in self.rows if r["id"] not in self.taken]
+
+    def greedy(self) -> None:
+        for row in self.rows:
+            if row["id"] in self.q.includes:
+                self.add(row, "included")
+        while len(self.taken) < self.q.total:
+            fits = [r for r in self.left() if self.stages[r["stage"]] < self.q.stages.get(r["stage"], 0)]
+            if not fits:
+                return
+            self.add(self.best(fits, True), "picked")
+
+    def cover(self) -> None:
+        """For each tag that fewer than two have: the best document with it takes the place of the last one."""
+        for tag in sorted(self.q.tags):
+            having = [r for r in self.left() if tag in r["tags"]]
+            if self.tags[tag] < COVERED_BY and having:
+                row = self.best(having, False)
+                if self.taken:
+                    self.drop(next(reversed(self.taken)))
+                self.add(row, "covers")
+
+    def swap(self) -> None:
+        """For the first tags that none has: the document with the most tags, of these the shortest, takes the place of one
+        whose tags are all had by others, the one with the most common ones, of these the longest; or else of the longest."""
+        for tag in [t for t in sorted(self.q.tags) if not self.tags[t]][: self.q.swaps]:
+            having = [r for r in self.left() if tag in r["tags"]]
+            if not having or not self.taken:
+                continue
+            known = lambda r: set(r["tags"]) & set(self.q.tags)
+            new = min(having, key=lambda r: (-len(known(r)), r["tokens"], r["id"]))
+            rows = [r for r, _ in self.taken.values()]
+            spare = [r for r in rows if all(self.tags[t] > 1 for t in known(r))]
+            if spare:
+                old = min(spare, key=lambda r: (-sum(self.tags[t] for t in known(r)), -r["tokens"], r["id"]))
+            else:
+                old = min(rows, key=lambda r: (-r["tokens"], r["id"]))
+            self.drop(old["id"])
+            self.add(new, "swapped")
+
+
+def select(rows: list[dict], q: Quotas) -> list[tuple[dict, str]]:
+    """The selected rows in the order of their picks, and how each came in."""
+    chosen = _Selection(sorted(rows, key=lambda r: r["id"]), q)
+    chosen.greedy()
+    chosen.cover()
+    chosen.swap()
+    return list(chosen.taken.values())
+
 
+def select_balanced(docs: DataFrame, q: Quotas) -> DataFrame:
+    """(id, stage, bucket, pick, how) of the selection from docs (id, slug, stage, bucket, tokens, tags, fields).
 
-def select_balanced(scored: DataFrame, per_stage: int, bonus: int = 500, lowest_first: bool = False) -> DataFrame:
-    """(id, stage, tag, pick) of per_stage documents a stage. Each pick has the greatest score with `bonus` if its tag is
-    new to its stage, the lesser id in ties; lowest_first picks the least score and the greater id instead. A stage's
-    candidates are at most per_stage for each of its tags, so its group is small at any size of the input."""
+    The picks depend on each other, so they are made in one group; candidates() bounds it by the kinds of documents, however many there are.
+    """
 
-    def pick(table: pa.Table) -> pa.Table:
-        rows, taken, seen = table.to_pylist(), [], set()
-        while rows and len(taken) < per_stage:
-            value = lambda r: r["score"] + (0 if r["tag"] in seen else bonus)  # noqa: B023, E731
-            best = min(rows, key=lambda r: (value(r), -r["id"]) if lowest_first else (-value(r), r["id"]))  # noqa: B023
-            rows.remove(best)
-            seen.add(best["tag"])
-            taken.append((best["id"], best["stage"], best["tag"], len(taken) + 1))
-        columns = list(zip(*taken)) if taken else [[], [], [], []]
-        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(("id", "stage", "tag", "pick"), columns, (pa.int64(), pa.string(), pa.string(), pa.int64()))})
+    def run(table: pa.Table) -> pa.Table:
+        found = [(r["id"], r["stage"], r["bucket"], k, how) for k, (r, how) in enumerate(select(table.to_pylist(), q), 1)]
+        columns = list(zip(*found)) if found else [[]] * 5
+        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(("id", "stage", "bucket", "pick", "how"), columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))})
 
-    kept = candidates(scored, per_stage, lowest_first)
-    return kept.select("id", "stage", "tag", "score").groupBy("stage").applyInArrow(pick, "id long, stage string, tag string, pick long")
+    few = candidates(docs.select("id", "slug", "stage", "bucket", "tokens", "tags", "fields"), q).withColumn("one", F.lit(0))
+    return few.groupBy("one").applyInArrow(run, "id long, stage string, bucket string, pick long, how string")

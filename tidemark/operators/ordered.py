@@ -38,3 +38,22 @@ def sliding(df: DataFrame, keys: list[str], nth: str, last: int, value: Column,
     rows = df.withColumn("__block", F.explode(F.sequence(place, reaches)))
     w = W.partitionBy(*keys, "__block").orderBy(nth).rowsBetween(-(last - 1), 0)
     return rows.withColumn(name, value.over(w)).where(F.col("__block") == place).drop("__block")
+
+
+def percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:
+    """(keys, name): the exact percentile of a column by keys: interpolated, or with `nearest` the value at rank ceil(share * n).
+
+    Rows are numbered by ranges and the one or two at the rank are taken, so no task holds the values of a hot key. Nulls
+    do not count; keys without a value have no row.
+    """
+    rows = numbered(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__value")), keys, ["__value"])
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    joined = rows.join(sizes, keys)
+    if nearest:
+        at = F.ceil(F.lit(share) * F.col("__size"))
+        return joined.where(F.col("nth") == at).select(*keys, F.col("__value").alias(name))
+    place = F.lit(share) * (F.col("__size") - 1)
+    low = F.floor(place)
+    near = joined.where(F.col("nth").between(low + 1, F.ceil(place) + 1))
+    part = F.when(F.col("nth") == low + 1, 1 - (place - low)).otherwise(place - low)
+    return near.groupBy(*keys).agg(F.sum(F.col("__value") * part).alias(name))

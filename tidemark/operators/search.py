@@ -2,62 +2,126 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import folder
+
 #: Rows of a block of each side: a task holds one of each and their score matrix.
-QUERY_BLOCK, ROW_BLOCK = 512, 4096
+QUERY_BLOCK, ROW_BLOCK = 512, 8192
 RESULT = "query_id long, row_id long, score double"
 
 
-def _blocks(df: DataFrame, prefix: str, size: int, filters: str | None) -> DataFrame:
-    """id and vector columns packed into rows of about `size` vectors."""
-    n = max(1, -(-df.count() // size))
-    cell = F.struct("id", "v", *(() if filters is None else (filters,)))
-    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")
-    return df.groupBy(block).agg(F.collect_list(cell).alias(f"{prefix}_rows")).select(F.col("block").alias(f"{prefix}_block"), f"{prefix}_rows")
+def _scores(qv: np.ndarray, xv: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "l2":
+        small = qv.shape[0] * xv.shape[0] * qv.shape[1] < 1 << 24
+        squares = ((qv[:, None, :] - xv[None, :, :]) ** 2).sum(2) if small else (qv**2).sum(1)[:, None] + (xv**2).sum(1)[None] - 2 * qv @ xv.T
+        return np.round(-np.sqrt(np.maximum(squares, 0)), 6) + 0.0
+    return np.round(qv @ xv.T, 6) + 0.0
+
+
+METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {m: partial(_scores, metric=m) for m in ("dot", "l2")}
+
+
+def register_metric(name: str, score: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """Plugs in a score of all pairs of two matrices' rows, greater for nearer ones."""
+    METRICS[name] = score
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", same: str | None = None) -> DataFrame:
     """RESULT with rank: each query's k best rows of all rows, by score rounded to 6 places and then the lesser id.
 
     queries and rows have id (long) and v (array of numbers); with `same` both have that column and only rows that agree
-    in it count, before ranking. metric: cosine, dot or l2 (the distance, negated). A zero vector has a score of 0 with
-    everything, so a zero query finds the least ids. Both sides are packed into blocks and each pair of blocks is one
-    matrix product that keeps k rows a query, so memory is that of two blocks at any size.
+    in it count, before ranking; a null agrees with nothing. metric: cosine, dot, l2 (the distance, negated) or a registered
+    one. A zero vector has a cosine of 0 with everything, so a zero query finds the least ids. The queries are written once,
+    by `same` if it is given. Each task goes over its own rows in blocks and reads the queries' blocks that they can match; a
+    pair of blocks is one matrix product that keeps k rows a query. Rows' vectors are not shuffled, and memory is that of two blocks at any size.
     """
+    spark = rows.sparkSession
+    place = folder(spark, "queries")
+    label = F.xxhash64(F.col(same)) if same is not None else F.lit(0).cast("long")
+    marked = lambda df: df.select("id", "v", label.alias("label")) if same is None else df.where(F.col(same).isNotNull()).select("id", "v", label.alias("label"))
+    asked = marked(queries)
+    (asked if same is None else asked.repartitionByRange("label").sortWithinPartitions("label")).write.option("parquet.block.size", 4 << 20).parquet(place)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if metric == "cosine" else m
+    score = METRICS["dot" if metric == "cosine" else metric]
+
+    def matched(table: pa.Table):
+        """RESULT of a block of rows."""
+        files, base = fs.FileSystem.from_uri(place if "://" in place else "file://" + place.removeprefix("file:"))
+        data = dataset.dataset(base, filesystem=files, format="parquet")
+        order = np.lexsort((table.column("id").to_numpy(), table.column("label").to_numpy()))
+        ids, labels, vectors = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order], unit(_matrix(table.column("v").combine_chunks())[order])
+        present = np.unique(labels)
+        wanted = dataset.field("label").isin(pa.array(present)) if same is not None else None
+        for batch in data.to_batches(filter=wanted, batch_size=QUERY_BLOCK):
+            own = batch.column("label").to_numpy()
+            for one in np.unique(own):
+                here = slice(np.searchsorted(labels, one), np.searchsorted(labels, one, "right"))
+                mine = np.flatnonzero(own == one)
+                if not len(mine) or here.start == here.stop:
+                    continue
+                found = score(unit(_matrix(batch.column("v").take(pa.array(mine)))), vectors[here])
+                # rows go by id within a label, so a stable order gives ties to the lesser id
+                best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                qi = np.broadcast_to(batch.column("id").to_numpy()[mine][:, None], best.shape)
+                yield pa.RecordBatch.from_arrays([pa.array(qi.ravel()), pa.array(ids[here][best].ravel()), pa.array(np.take_along_axis(found, best, 1).ravel())], ["query_id", "row_id", "score"])
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
-            for r in range(batch.num_rows):
-                q, x = (batch.column(c)[r].values for c in ("q_rows", "x_rows"))
-                qi, xi = (np.asarray(s.field("id")) for s in (q, x))
-                qv, xv = (np.asarray(s.field("v").flatten(), dtype=np.float64).reshape(len(i), -1) for s, i in ((q, qi), (x, xi)))
-                if metric == "cosine":
-                    qv, xv = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (qv, xv))
-                if metric == "l2":
-                    scores = -np.sqrt(np.maximum(((qv[:, None, :] - xv[None, :, :]) ** 2).sum(2), 0)) if qv.shape[0] * xv.shape[0] * qv.shape[1] < 1 << 24 else -np.sqrt(np.maximum((qv**2).sum(1)[:, None] + (xv**2).sum(1)[None] - 2 * qv @ xv.T, 0))
-                else:
-                    scores = qv @ xv.T
-                scores = np.round(scores, 6) + 0.0
-                if same is not None:
-                    a, b = (np.asarray(s.field(same).to_pylist(), dtype=object) for s in (q, x))
-                    scores = np.where(a[:, None] == b[None, :], scores, -np.inf)
-                by_id = np.argsort(xi, kind="stable")
-                best = by_id[np.argsort(-scores[:, by_id], axis=1, kind="stable")[:, :k]]
-                found = np.take_along_axis(scores, best, 1)
-                ok = np.isfinite(found)
-                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(qi[:, None], best.shape)[ok]), pa.array(xi[best][ok]), pa.array(found[ok])], ["query_id", "row_id", "score"])
-
-    pairs = _blocks(queries, "q", QUERY_BLOCK, same).crossJoin(_blocks(rows, "x", ROW_BLOCK, same))
-    found = pairs.repartition("q_block", "x_block").select("q_rows", "x_rows").mapInArrow(run, RESULT)
+            held.append(batch)
+            n += batch.num_rows
+            while n >= ROW_BLOCK:
+                table = pa.Table.from_batches(held)
+                yield from matched(table.slice(0, ROW_BLOCK))
+                held, n = table.slice(ROW_BLOCK).to_batches(), n - ROW_BLOCK
+        if n:
+            yield from matched(pa.Table.from_batches(held))
+
+    found = marked(rows).mapInArrow(run, RESULT)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+# The profile that each mode of a request stands for.
+PROFILES = {"latency": "latency", "fast": "latency", "accuracy": "accuracy"}
+
+
+def routed(mode: str | None, indexes: dict[str, DataFrame], default: str = "fast") -> tuple[DataFrame, list[str]]:
+    """The index of a request's mode, and warnings. Modes that are not known, and accuracy without an index, go to latency's."""
+    wanted = PROFILES.get(mode or default, "latency")
+    if wanted == "accuracy" and "accuracy" not in indexes:
+        return indexes["latency"], ["Accuracy index not available, using latency index"]
+    return indexes[wanted], []
+
+
+def search(queries: DataFrame, indexes: dict[str, DataFrame], k: int, mode: str | None = None, enabled: bool = True, **options) -> DataFrame:
+    """(query_id, mode, results, warnings, reason): a response for each query, with its k best rows as an array. With search
+    switched off there are no results, and the reason says so."""
+    kind = "array<struct<rank:bigint,row_id:bigint,score:double>>"
+    base = queries.select(F.col("id").alias("query_id"))
+    if not enabled:
+        return base.select("query_id", F.lit("disabled").alias("mode"), F.array().cast(kind).alias("results"), F.array().cast("array<string>").alias("warnings"), F.lit("flags.disabled").alias("reason"))
+    index, warnings = routed(mode, indexes)
+    found = top_k(queries, index, k, **options).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "row_id", "score"))).alias("results"))
+    results = F.coalesce("results", F.array().cast(kind))
+    few = F.when(F.size(results) < k, F.concat(F.lit("Only "), F.size(results).cast("string"), F.lit(f" results found (requested {k})")))
+    said = F.filter(F.array(few, *map(F.lit, warnings)), lambda x: x.isNotNull())
+    return base.join(found, "query_id", "left").select("query_id", F.lit(mode or "fast").alias("mode"), results.alias("results"), said.alias("warnings"), F.lit(None).cast("string").alias("reason"))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 

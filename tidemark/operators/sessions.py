@@ -122,8 +122,7 @@ def controlled(actions: DataFrame, item: str, order: list[str], action: str = "a
     """
     before = W.partitionBy(item).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     a = F.col(action)
-    had = lambda kind: F.coalesce(F.bool_or(a == kind).over(before), F.lit(False))
-    last = lambda w: F.coalesce(F.last(F.when(a.isin("pin", "unpin"), a == "pin"), ignorenulls=True).over(w), F.lit(False))
+    last = F.coalesce(F.last(F.when(a.isin("pin", "unpin") & F.col("__there"), a == "pin"), ignorenulls=True).over(before), F.lit(False))
     failure = (
         F.when(a == "capture", None)
         .when(~F.col("__there"), "not found")
@@ -133,7 +132,9 @@ def controlled(actions: DataFrame, item: str, order: list[str], action: str = "a
         .when((a == "edit") & ~F.coalesce(F.col(field).isin(*EDITABLE), F.lit(False)), "invalid field")
         .when(~a.isin("pin", "unpin", "edit", "delete"), "unknown action")
     )
-    known = actions.withColumns({"__there": had("capture"), "__gone": had("delete"), "__pinned": last(before)}).withColumn("failure", failure)
+    gone = F.coalesce(F.bool_or((a == "delete") & F.col("__there")).over(before), F.lit(False))
+    there = F.coalesce(F.bool_or(a == "capture").over(before), F.lit(False))
+    known = actions.withColumn("__there", there).withColumns({"__gone": gone, "__pinned": last}).withColumn("failure", failure)
     pinned = F.when(F.col("failure").isNull() & a.isin("pin", "unpin"), a == "pin").otherwise(F.col("__pinned"))
     # once an item is deleted, what it was then stays
     upto = W.partitionBy(item).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)

@@ -59,19 +59,28 @@ def _(s, d):
     return _documents(s, d).select("doc_id", F.size(parts).cast("long").alias("n"), F.sha2(F.array_join(parts, "|"), 256).alias("joined"))
 
 
-@query("chunk_greedy")
+def _greedy(most: int, overlap: int) -> str:
+    """SQL: a document's chunks as lists of sentences. The kept tail is the sentences from which on all together are within the overlap."""
+    tail = f"list_filter(a.open, lambda s, i: list_sum(list_transform(a.open[i:], lambda q: length(q) // 4)) <= {overlap})"
+    packed = f"""list_reduce(list_prepend({{'done': []::VARCHAR[][], 'open': []::VARCHAR[], 'n': 0::BIGINT}}, list_transform({_S}, lambda s: {{'done': []::VARCHAR[][], 'open': [s], 'n': (length(s) // 4)::BIGINT}})),
+      lambda a, x: CASE WHEN len(a.open) > 0 AND a.n + x.n > {most} THEN {{'done': list_append(a.done, a.open), 'open': list_concat({tail}, x.open), 'n': coalesce(list_sum(list_transform({tail}, lambda q: length(q) // 4)), 0)::BIGINT + x.n}}
+      ELSE {{'done': a.done, 'open': list_concat(a.open, x.open), 'n': a.n + x.n}} END)"""
+    return f"(SELECT doc_id, CASE WHEN len(r.open) > 0 THEN list_append(r.done, r.open) ELSE r.done END AS chunks FROM (SELECT doc_id, {packed} AS r FROM documents))"
+
+
+@query("chunk_greedy", f"SELECT doc_id, i - 1 AS chunk, len(c)::BIGINT AS sentences, array_to_string(c, ' ') AS text FROM (SELECT doc_id, unnest(chunks) AS c, generate_subscripts(chunks, 1) AS i FROM {_greedy(240, 48)})")
 def _(s, d):
     c = _documents(s, d).select("doc_id", F.posexplode(greedy_chunks(C("text"), 240, 48)).alias("i", "c"))
     return c.select("doc_id", C("i").cast("long").alias("chunk"), F.size("c").cast("long").alias("sentences"), F.array_join("c", " ").alias("text"))
 
 
-@query("chunk_greedy_counts")
+@query("chunk_greedy_counts", f"SELECT doc_id, len(chunks)::BIGINT AS chunks FROM {_greedy(240, 48)}")
 def _(s, d):
     n = F.size(greedy_chunks(C("text"), 240, 48)).cast("long")
     return _documents(s, d).select("doc_id", n.alias("chunks"))
 
 
-@query("profile_compare")
+@query("profile_compare", f"SELECT a.doc_id, len(a.chunks)::BIGINT AS speed, len(b.chunks)::BIGINT AS accuracy FROM {_greedy(600, 20)} a JOIN {_greedy(240, 48)} b ON a.doc_id = b.doc_id")
 def _(s, d):
     """Chunks of each document under both profiles."""
     return _documents(s, d).select("doc_id", F.size(greedy_chunks(C("text"), 600, 20)).cast("long").alias("speed"), F.size(greedy_chunks(C("text"), 240, 48)).cast("long").alias("accuracy"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import curation as U
+from tidemark.operators import reindex as R
 from tidemark.registry import query, read
+from tidemark.sources.files import folder
 
 C = F.col
 
@@ -30,9 +34,28 @@ def _(s, d):
     return _scored(s, d).select("id", "score")
 
 
+#: Ten tags and eight fields, of which each document has some; the last tag is rare.
+TAGS, FIELDS = tuple(f"tag{k}" for k in range(10)), tuple(f"field{k}" for k in range(8))
+QUOTAS = U.Quotas(24, {"en": 8, "de": 6, "fr": 6, "es": 6}, {"short": 6, "medium": 8, "long": 10}, TAGS, FIELDS, includes=(3, 11))
+
+
+def _described(s, d):
+    k, tokens = C("doc_id"), X.token_estimate(C("text"))
+    tags = F.filter(F.array(*(F.when((k * (j + 3) + j) % (11 if j < 9 else 97) == 0, t) for j, t in enumerate(TAGS))), lambda x: x.isNotNull())
+    fields = F.filter(F.array(*(F.when((k + j * j) % 5 == 0, f) for j, f in enumerate(FIELDS))), lambda x: x.isNotNull())
+    return read(s, d, "documents").select(k.alias("id"), F.concat_ws("_", "source", "lang").alias("slug"), C("lang").alias("stage"), X.length_bucket(tokens).alias("bucket"), tokens.alias("tokens"), tags.alias("tags"), fields.alias("fields"))
+
+
 @query("select_balanced")
 def _(s, d):
-    return U.select_balanced(_scored(s, d), 8)
+    """Two documents that must be in, picks by score under the quotas, and swaps for tags that lack."""
+    return U.select_balanced(_described(s, d), QUOTAS)
+
+
+@query("select_lowest")
+def _(s, d):
+    """The same preferring the least score."""
+    return U.select_balanced(_described(s, d), replace(QUOTAS, lowest_first=True))
 
 
 @query("swap_candidates", f"WITH {_SCORED} SELECT stage, id, score / (1 + tokens) AS density FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY score / (1 + tokens) DESC, tokens, id) AS nth FROM scored) WHERE nth <= 3")
@@ -51,11 +74,17 @@ def _(s, d):
     return x.withColumn("nth", F.row_number().over(W.partitionBy("stage").orderBy(F.desc("others"), F.desc("tokens"), "id"))).where("nth = 1").select("stage", "id")
 
 
-@query("reindex_once", "SELECT lang, count(*) FILTER (doc_id % 2 = 0) AS before, count(*) AS after, count(*) FILTER (doc_id % 2 = 1) AS added FROM documents GROUP BY 1")
+_CUT = "(SELECT doc_id, doc_id % 4 <> 1 AS had, doc_id % 5 <> 0 AS has, doc_id % 3 = 0 AS changed, {w} AS w FROM documents)"
+_N = "CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= 500 THEN 1 ELSE 1 + ceil((len(w) - 500) / 450.0)::BIGINT END"
+_T = f"CASE WHEN len(w) = 0 THEN 0 ELSE len(w) + 50 * ({_N} - 1) END"
+
+
+@query("reindex_once", f"""SELECT count(*) FILTER (had AND has AND changed) AS files_changed, count(*) FILTER (has AND NOT had) AS files_added, count(*) FILTER (had AND NOT has) AS files_removed,
+  sum({_N}) FILTER (had)::BIGINT AS chunks_before, sum({_N}) FILTER (has)::BIGINT AS chunks_after, sum({_T}) FILTER (had)::BIGINT AS tokens_before, sum({_T}) FILTER (has)::BIGINT AS tokens_after FROM {_CUT.format(w="list_filter(regexp_split_to_array(text, '[ \t\n\r\f\v]+'), lambda w: w <> '')")}""")
 def _(s, d):
-    """Statistics before and after the documents with odd ids arrive."""
-    docs = read(s, d, "documents")
-    before = docs.where("doc_id % 2 = 0").groupBy("lang").agg(n().alias("before"))
-    after = docs.groupBy("lang").agg(n().alias("after"))
-    zero = F.lit(0).cast("long")
-    return after.join(before, "lang", "left").select("lang", F.coalesce("before", zero).alias("before"), "after", (C("after") - F.coalesce("before", zero)).alias("added"))
+    """An index of most documents is brought up to date with others: some are new, some are gone, some have another text by name."""
+    docs, k = read(s, d, "documents"), C("doc_id")
+    index = R.Index(s, folder(s, "index"))
+    index.update(docs.where(k % 4 != 1).select(k.alias("doc_id"), "text", F.sha2("text", 256).alias("hash")))
+    new = docs.where(k % 5 != 0).select("doc_id", "text", F.sha2(F.when(k % 3 == 0, F.concat("text", F.lit("#"))).otherwise(C("text")), 256).alias("hash"))
+    return index.update(new)
\ No newline at end of file

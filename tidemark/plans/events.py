@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import telemetry as L
 from tidemark.operators import validators as V
+from tidemark.operators.ordered import percentile
 from tidemark.operators.sessions import grounding_gate
 from tidemark.operators.telemetry import TURNS_SQL
 from tidemark.registry import query, read
@@ -67,18 +68,18 @@ def _(s, d):
 @query("budget_check", f"WITH {_ELIGIBLE}, p AS (SELECT lane, quantile_disc(total_ms, 0.95) AS p95, CASE lane WHEN 'fast' THEN 150 ELSE 500 END AS budget FROM eligible GROUP BY lane) SELECT lane, round(p95, 6) AS p95, CASE WHEN p95 <= budget THEN 'ok' ELSE 'over' END AS verdict, round((p95 / budget - 1) * 100, 6) AS over_percent FROM p")
 def _(s, d):
     budget = F.when(C("lane") == "fast", L.BUDGET_MS["fast"]).otherwise(L.BUDGET_MS["accurate"])
-    p = _eligible(s, d).groupBy("lane").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY total_ms)").alias("p95"))
+    p = percentile(_eligible(s, d), ["lane"], "total_ms", 0.95, "p95", nearest=True)
     return p.select("lane", F.round("p95", 6).alias("p95"), L.verdict(C("p95"), budget).alias("verdict"), F.round((C("p95") / budget - 1) * 100, 6).alias("over_percent"))
 
 
 @query("p95_nearest_rank", "SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def _(s, d):
-    return read(s, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return percentile(read(s, d, "events"), ["event_type"], "value", 0.95, "p95", nearest=True)
 
 
 @query("p95_interpolated", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def _(s, d):
-    return read(s, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return percentile(read(s, d, "events"), ["event_type"], "value", 0.95, "p95").withColumn("p95", F.round("p95", 6))
 
 
 _ROLL = "round(quantile_cont(total_ms, 0.95) OVER (PARTITION BY lane ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 6)"
@@ -145,7 +146,8 @@ def _(s, d):
 
 @query("alert_levels", f"WITH {TURNS_SQL}, p AS (SELECT lane, quantile_cont(total_ms, 0.95) AS p95, avg((fallback IS NOT NULL)::INT) AS fb, avg(grounding) AS g FROM turns GROUP BY 1) SELECT lane, CASE WHEN p95 > CASE lane WHEN 'fast' THEN 500 ELSE 2000 END THEN 'critical' WHEN p95 > CASE lane WHEN 'fast' THEN 200 ELSE 800 END THEN 'warning' ELSE 'ok' END AS latency, CASE WHEN fb > 0.15 THEN 'critical' WHEN fb > 0.05 THEN 'warning' ELSE 'ok' END AS fallback, CASE WHEN g < 0.1 THEN 'critical' WHEN g < 0.3 THEN 'warning' ELSE 'ok' END AS grounding FROM p")
 def _(s, d):
-    p = _turns(s, d).groupBy("lane").agg(F.percentile("total_ms", F.lit(0.95)).alias("p95"), F.avg(C("fallback").isNotNull().cast("int")).alias("fb"), F.avg("grounding").alias("g"))
+    means = _turns(s, d).groupBy("lane").agg(F.avg(C("fallback").isNotNull().cast("int")).alias("fb"), F.avg("grounding").alias("g"))
+    p = means.join(percentile(_turns(s, d), ["lane"], "total_ms", 0.95, "p95"), "lane")
     at = lambda i: F.when(C("lane") == "fast", L.ALERT_MS["fast"][i]).otherwise(L.ALERT_MS["accurate"][i])
     level = lambda crit, warn: F.when(crit, "critical").when(warn, "warning").otherwise("ok")
     return p.select("lane", level(C("p95") > at(1), C("p95") > at(0)).alias("latency"), level(C("fb") > 0.15, C("fb") > 0.05).alias("fallback"), level(C("g") < 0.1, C("g") < 0.3).alias("grounding"))
@@ -153,7 +155,9 @@ def _(s, d):
 
 @query("window_hourly_p95", "SELECT event_type, date_trunc('hour', ts) AS hour, round(quantile_cont(value, 0.95), 6) AS p95, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
-    return read(s, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), one().alias("n"))
+    hourly = read(s, d, "events").withColumn("hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    counts = hourly.groupBy("event_type", "hour").agg(one().alias("n"))
+    return counts.join(percentile(hourly, ["event_type", "hour"], "value", 0.95, "p95"), ["event_type", "hour"]).withColumn("p95", F.round("p95", 6))
 
 
 @query("sessionize_30m", "SELECT user_id, session, count(*) AS n, min(ts) AS begun, max(ts) AS ended FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2")

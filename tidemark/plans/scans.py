@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import numbered
 from tidemark.registry import query, read
 from tidemark.sources import files
 
@@ -54,3 +55,36 @@ def _(s, d):
     joined = F.concat(F.lit('{"s":"}{","v":'), (C("event_id") * 10).cast("string"), F.lit('}{"s":"\\"{","v":'), (C("event_id") * 10 + 1).cast("string"), F.lit("}"))
     parts = files.split_objects(e.select("event_id", joined.alias("raw")), "raw")
     return parts.select("event_id", C("part").cast("long"), F.from_json("object", "s STRING, v BIGINT")["v"].alias("v"))
+
+
+@query("daily_log_sink", "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
+def _(s, d):
+    """Appended in two parts, with a folder for each day."""
+    path, e = files.folder(s, "daily"), read(s, d, "events").select("event_id", "ts")
+    for k in (0, 1):
+        files.append_daily(e.where(C("event_id") % 2 == k), path, "ts")
+    return files.read_daily(s, path, e.schema).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("manifest_copy", "SELECT item_id, item_id % 5 <> 0 AS copied FROM benchmark")
+def _(s, d):
+    """The benchmark's items as files, copied by a manifest in which some paths lead nowhere."""
+    path, target = files.folder(s, "items"), files.folder(s, "copies")
+    files.write_by_document(read(s, d, "benchmark"), path, "item_id", "text")
+    found = files.find_files(s, path, "*.json").select("path", F.regexp_extract("path", "item_id=([0-9]+)/", 1).cast("long").alias("id"))
+    manifest = found.select("id", F.when(C("id") % 5 != 0, C("path")).otherwise(F.concat("path", F.lit(".gone"))).alias("path"))
+    done = files.folder(s, "copied")
+    files.copy_files(manifest, target).write.parquet(done)
+    names = files.find_files(s, target).select(F.element_at(F.split("path", "/"), -1).alias("id"), F.lit(True).alias("there"))
+    return s.read.parquet(done).join(names, "id", "left").select(C("id").cast("long").alias("item_id"), (C("copied") & F.coalesce("there", F.lit(False))).alias("copied"))
+
+
+@query("matrix_roundtrip", "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, len(embedding)::BIGINT AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
+def _(s, d):
+    """The vectors as one matrix file, and their metadata beside it by row number."""
+    rows = numbered(read(s, d, "embeddings"), [], ["vec_id"], "row").withColumn("row", C("row") - 1)
+    path = files.folder(s, "matrix")
+    files.write_matrix(rows, f"{path}/vectors.npy", "row", "embedding", 64)
+    rows.select("row", "vec_id", "label").write.json(f"{path}/meta.jsonl")
+    found = files.load_index(s, path, read(s, d, "embeddings").select("vec_id", "label").schema)
+    return found.select("row", "vec_id", "label", F.size("v").cast("long").alias("dim"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))

@@ -213,8 +213,9 @@ _BEFORE = "OVER (PARTITION BY item ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED
 
 
 @query("memory_replay", f"""WITH a AS (SELECT *, CASE WHEN del AND a0 <> 'capture' THEN 'delete' ELSE a0 END AS a FROM {_DO}),
- w AS (SELECT *, coalesce(bool_or(a = 'capture') {_BEFORE}, FALSE) AS there, coalesce(bool_or(a = 'delete') {_BEFORE}, FALSE) AS gone,
-   coalesce(last_value(CASE WHEN a IN ('pin', 'unpin') THEN a = 'pin' END IGNORE NULLS) {_BEFORE}, FALSE) AS was FROM a),
+ t AS (SELECT *, coalesce(bool_or(a = 'capture') {_BEFORE}, FALSE) AS there FROM a),
+ w AS (SELECT *, coalesce(bool_or(a = 'delete' AND there) {_BEFORE}, FALSE) AS gone,
+   coalesce(last_value(CASE WHEN there AND a IN ('pin', 'unpin') THEN a = 'pin' END IGNORE NULLS) {_BEFORE}, FALSE) AS was FROM t),
  f AS (SELECT *, CASE WHEN a = 'capture' THEN NULL WHEN NOT there THEN 'not found' WHEN gone AND a = 'delete' THEN 'already deleted' WHEN gone THEN 'deleted' WHEN a = 'unpin' AND NOT was THEN 'not pinned'
    WHEN a = 'edit' AND field NOT IN ('tone_label', 'residue_label', 'readiness_state', 'integration_notes', 'commitments') THEN 'invalid field' WHEN a NOT IN ('pin', 'unpin', 'edit', 'delete') THEN 'unknown action' END AS failure FROM w)
 SELECT item, coalesce(arg_max(CASE WHEN a = 'capture' THEN FALSE WHEN failure IS NULL AND a IN ('pin', 'unpin') THEN a = 'pin' ELSE was END, (ts, event_id)) FILTER (NOT gone), FALSE) AS pinned,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.reindex import Index
 from tidemark.plans.chunks import _WINDOWS
 from tidemark.registry import query, read
 from tidemark.sources.files import folder
@@ -12,7 +13,6 @@ from tidemark.streaming import tail
 C = F.col
 
 
-
 def _copied(s, d, table, files):
     """The table as several files, so that a stream has more than one batch."""
     path = folder(s, table)
@@ -25,14 +25,44 @@ def _(s, d):
     return tail.drain(tail.slow_turns(_copied(s, d, "events", 3), 100), "tail")
 
 
-@query("stream_rolling_p95")
+@query("stream_rolling_p95", """SELECT event_type, nth AS seen, round(p95, 6) AS p95 FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth,
+  quantile_cont(value, 0.95) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS p95 FROM events) WHERE nth % 10 = 0""")
+def _(s, d):
+    return tail.drain(tail.rolling(_copied(s, d, "events", 1)), "rolling").withColumn("p95", F.round("p95", 6))
+
+
+@query("stream_budget_alert", """SELECT start, event_type, round(p95, 6) AS p95, n FROM (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1, 2)
+WHERE p95 > 150 AND start + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def _(s, d):
+    """Five minutes over the budget, once the watermark has passed them."""
+    found = tail.drain(tail.budget_alerts(_copied(s, d, "events", 1), 150), "alerts")
+    return found.select(C("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("p95", 6).alias("p95"), "n")
+
+
+@query("stream_debounced_changes")
+def _(s, d):
+    """The log as writes and deletions of each user's file."""
+    k = C("event_id")
+    files = _copied(s, d, "events", 1).select(C("user_id").cast("string").alias("path"), "event_id", C("ts").cast("timestamp").alias("at"), F.when(k % 11 != 0, (k % 3).cast("string")).alias("hash"))
+    return tail.drain(tail.debounced(files, 3600.0 * 6), "debounced")
+
+
+@query("stream_reindex", "SELECT count(*)::BIGINT AS chunks, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest(range(0, CASE WHEN n <= 500 THEN 1 ELSE (ceil((n - 500) / 450.0) * 450)::BIGINT + 1 END, 450)) AS start FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n FROM documents) WHERE n > 0)")
 def _(s, d):
-    return tail.drain(tail.rolling(_copied(s, d, "events", 1)), "rolling")
+    """Documents as they come, into chunks with vectors behind a pointer that is swapped for each batch."""
+    index = Index(s, folder(s, "live"))
+    docs = _copied(s, d, "documents", 2).select("doc_id", "text", F.sha2("text", 256).alias("hash"))
+    tail.index_as_it_comes(docs, index, "reindex")
+    return index.chunks().agg(F.count(F.lit(1)).alias("chunks"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query("stream_budget_alert")
+@query("snapshot_changes", "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'created' WHEN page_id % 5 = 0 THEN 'deleted' ELSE 'modified' END AS change FROM pages WHERE page_id % 7 = 0 AND page_id % 5 <> 0 OR page_id % 5 = 0 AND page_id % 7 <> 0 OR page_id % 3 = 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0")
 def _(s, d):
-    return tail.drain(tail.budget_alerts(_copied(s, d, "events", 1), 150, "1 hour"), "alerts")
+    """Two listings of the pages: some are in one only, some have other content."""
+    pages, k = read(s, d, "pages"), C("page_id")
+    before = pages.where(k % 7 != 0).select(k.alias("path"), F.sha2("html", 256).alias("hash"))
+    after = pages.where(k % 5 != 0).select(k.alias("path"), F.sha2(F.when(k % 3 == 0, F.concat("html", F.lit("."))).otherwise(C("html")), 256).alias("hash"))
+    return tail.snapshot_changes(before, after).select(C("path").alias("page_id"), "change")
 
 
 @query("stream_changed_files", "SELECT page_id, sha256(html) AS hash FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,11 +59,20 @@ def _(s, d):
     return found.join(read(s, d, "embeddings").select(C("vec_id").alias("row_id"), "label"), "row_id").select("query_id", "row_id", "label", "rank")
 
 
-@query("search_with_warnings", f"SELECT query_id, CASE WHEN count(*) < 5 THEN 'few results' END AS warning, count(*) AS results, round(avg(score), 9) AS mean_score FROM {_sql('cosine', 'q.label = x.label')} WHERE score > 0.1 GROUP BY 1")
+_SEARCHED = f"SELECT query_id, count(*) AS results, string_agg(row_id::VARCHAR, ',' ORDER BY rank) AS ids FROM {_sql('cosine', 'q.label = x.label', 40)} GROUP BY 1"
+
+
+@query("search_with_warnings", f"""WITH f AS ({_SEARCHED}), q AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0), m AS (SELECT unnest(['fast', 'accuracy', 'accuracy_missing', 'disabled']) AS asked)
+SELECT q.query_id, asked, CASE asked WHEN 'disabled' THEN 'disabled' WHEN 'fast' THEN 'fast' ELSE 'accuracy' END AS mode, CASE WHEN asked = 'disabled' THEN '' ELSE ids END AS ids,
+  CASE WHEN asked = 'disabled' THEN '' ELSE array_to_string(list_filter([CASE WHEN results < 40 THEN 'Only ' || results || ' results found (requested 40)' END, CASE WHEN asked = 'accuracy_missing' THEN 'Accuracy index not available, using latency index' END], lambda x: x IS NOT NULL), '; ') END AS warnings,
+  CASE WHEN asked = 'disabled' THEN 'flags.disabled' END AS reason FROM q, m LEFT JOIN f ON f.query_id = q.query_id""")
 def _(s, d):
-    found = S.top_k(_queries(s, d), _vectors(s, d), K, "cosine", "label").where("score > 0.1")
-    n = F.count(F.lit(1))
-    return found.groupBy("query_id").agg(F.when(n < 5, "few results").alias("warning"), n.alias("results"), F.round(F.avg("score"), 9).alias("mean_score"))
+    """The same search by mode, with an index that lacks, and switched off."""
+    rows, asked = _vectors(s, d), _queries(s, d)
+    both = {"latency": rows, "accuracy": rows}
+    answers = {"fast": S.search(asked, both, 40, "fast", same="label"), "accuracy": S.search(asked, both, 40, "accuracy", same="label"), "accuracy_missing": S.search(asked, {"latency": rows}, 40, "accuracy", same="label"), "disabled": S.search(asked, both, 40, enabled=False)}
+    shown = lambda df, name: df.select("query_id", F.lit(name).alias("asked"), "mode", F.array_join(F.transform("results", lambda r: r["row_id"].cast("string")), ",").alias("ids"), F.array_join("warnings", "; ").alias("warnings"), "reason")
+    return reduce(lambda a, b: a.unionByName(b), (shown(df, name) for name, df in answers.items()))
 
 
 @query("rank_final", f"SELECT query_id, row_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, x.label, row_id) AS final_rank FROM {_sql('cosine')} JOIN embeddings x ON x.vec_id = row_id")

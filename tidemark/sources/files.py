@@ -35,13 +35,137 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, corrupt: st
     return spark.read.schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).json(path)
 
 
-def find_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, length, modificationTime) of the files below a path, each once, without their content; a path that is missing has none."""
+def find_files(spark: SparkSession, path: str, pattern: str | tuple[str, ...] = "*", recursive: bool = True, after: str | None = None) -> DataFrame:
+    """(path, length, modificationTime) of the files below a path by name, each once and without their content; with `after`
+    those changed later than that time. A path that is missing has none. Several patterns are alternatives."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.range(0).select(F.lit("").alias("path"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modificationTime"))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", "length", "modificationTime").distinct()
+    glob = pattern if isinstance(pattern, str) else f"{{{','.join(pattern)}}}"
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "length", "modificationTime").distinct()
+    return (files if after is None else files.where(F.col("modificationTime") > F.lit(after).cast("timestamp"))).orderBy("path")
+
+
+def append_daily(df: DataFrame, path: str, at: str) -> None:
+    """Adds rows to a log of JSON lines with a folder for each day of `at`; earlier rows stay."""
+    df.withColumn("date", F.date_format(at, "yyyy-MM-dd")).write.mode("append").partitionBy("date").json(path)
+
+
+def read_daily(spark: SparkSession, path: str, schema: T.StructType, day: str | None = None) -> DataFrame:
+    """The rows of a daily log, or of one day, of which only that folder is read."""
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("date", T.StringType())])).json(path)
+    return (rows if day is None else rows.where(F.col("date") == day)).select(*schema.names)
+
+
+def write_records(records: DataFrame, summary: DataFrame, path: str, lane: str) -> tuple[str, str]:
+    """The records of an evaluation run of a lane as JSON lines, and its summary of one row."""
+    places = f"{path}/records_{lane}", f"{path}/summary_{lane}"
+    records.write.mode("overwrite").json(places[0])
+    summary.coalesce(1).write.mode("overwrite").json(places[1])
+    return places
+
+
+def write_by_document(chunks: DataFrame, path: str, key: str, order: str) -> None:
+    """Chunks as JSON lines with one file for each document, in a folder named by it."""
+    chunks.repartition(key).sortWithinPartitions(key, order).write.mode("overwrite").partitionBy(key).json(path)
+
+
+def copy_files(manifest: DataFrame, target: str) -> DataFrame:
+    """(id, copied, error): the files of a manifest (id, path) copied to target/<id>. One that is missing or fails is skipped
+    and says why. A task that runs again writes the same files. Run it by an action, and once."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches):
+        def opened(uri: str):
+            if "://" not in uri:
+                uri = "file:///" + uri.removeprefix("file:").lstrip("/")
+            return fs.FileSystem.from_uri(uri)
+
+        place, base = opened(target)
+        place.create_dir(base, recursive=True)
+        for batch in batches:
+            rows = []
+            for ident, path in zip(batch.column("id").to_pylist(), batch.column("path").to_pylist()):
+                try:
+                    source, name = opened(path)
+                    with source.open_input_stream(name) as given, place.open_output_stream(f"{base}/{ident}") as out:
+                        while data := given.read(1 << 20):
+                            out.write(data)
+                    rows.append((ident, True, None))
+                except (OSError, AttributeError, TypeError, pa.ArrowInvalid) as e:
+                    rows.append((ident, False, type(e).__name__))
+            columns = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.string(), pa.bool_(), pa.string()))], ["id", "copied", "error"])
+
+    return manifest.select(F.col("id").cast("string").alias("id"), "path").mapInArrow(run, "id string, copied boolean, error string")
+
+
+def write_matrix(df: DataFrame, path: str, row: str, vector: str, dim: int) -> int:
+    """Vectors in the order of their row numbers (0, 1, ..) as one .npy file of float32, a block at a time; returns how many."""
+    import numpy as np
+    from pyarrow import fs
+
+    n = df.count()
+    place, name = fs.FileSystem.from_uri(path)
+    place.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    with place.open_output_stream(name) as out:
+        np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
+        for k, r in enumerate(df.select(row, vector).orderBy(row).toLocalIterator(prefetchPartitions=True)):
+            if r[0] != k or len(r[1]) != dim:
+                raise ValueError(f"row {r[0]} at place {k} with {len(r[1])} dimensions")
+            out.write(np.asarray(r[1], "<f4").tobytes())
+    return n
+
+
+def read_matrix(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
+    """(row, v) of a .npy file of numbers; each task reads its rows only."""
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    place, name = fs.FileSystem.from_uri(path)
+    with place.open_input_file(name) as f:
+        version = np.lib.format.read_magic(f)
+        shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
+        begin = f.tell()
+    if fortran or len(shape) != 2:
+        raise ValueError("not a matrix by rows")
+
+    def run(batches):
+        source, file = fs.FileSystem.from_uri(path)
+        with source.open_input_file(file) as f:
+            for batch in batches:
+                ids = batch.column("id").to_numpy()
+                if not len(ids):
+                    continue
+                width = shape[1] * kind.itemsize
+                data = np.frombuffer(f.read_at(len(ids) * width, begin + int(ids[0]) * width), kind).astype(np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * shape[1], pa.int32()), pa.array(data))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["row", "v"])
+
+    return spark.range(0, shape[0], numPartitions=parts).mapInArrow(run, "row long, v array<float>")
+
+
+def aligned(vectors: DataFrame, metadata: DataFrame, row: str = "row") -> DataFrame:
+    """Vectors and metadata by their row numbers. Raises ValueError if there are not as many of one as of the other."""
+    n, m = vectors.count(), metadata.count()
+    if n != m:
+        raise ValueError(f"{n} vectors but {m} rows of metadata")
+    return vectors.join(metadata, row)
+
+
+def load_index(spark: SparkSession, path: str, metadata: T.StructType) -> DataFrame:
+    """(row, v, metadata..) of an index folder in one of three layouts: a parquet dataset; vectors.npy beside metadata as
+    parquet; or vectors.npy beside meta.jsonl. Rows of meta.jsonl without a row number are left out."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    has = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(root, name))
+    whole = T.StructType([T.StructField("row", T.LongType()), *metadata.fields])
+    if not has("vectors.npy"):
+        return spark.read.schema(T.StructType([T.StructField("row", T.LongType()), T.StructField("v", T.ArrayType(T.FloatType())), *metadata.fields])).parquet(path)
+    rows = spark.read.schema(whole).parquet(f"{path}/metadata.parquet") if has("metadata.parquet") else spark.read.schema(whole).json(f"{path}/meta.jsonl").where("row IS NOT NULL")
+    return aligned(read_matrix(spark, f"{path}/vectors.npy"), rows)
 
 
 def read_yaml(spark: SparkSession, text: str, schema: T.StructType) -> DataFrame:

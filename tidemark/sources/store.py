@@ -31,30 +31,54 @@ class KeyValues:
         return wanted.join(self.spark.read.schema(self.SCHEMA).parquet(self.path), ["bucket", "key"], "left_semi")
 
 
+class Conflict(RuntimeError):
+    """Another writer came first."""
+
+
 class Pointer:
-    """A dataset that is replaced whole: a new version is written beside the old one, then one rename makes it the current one."""
+    """A dataset that is replaced whole: a new version is written beside the old one, then a numbered file that names it is
+    made. A number is made once only, by an exclusive create, so of two writers on one version the second fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def current(self) -> str | None:
+    def _named(self, number: int) -> str:
+        stream = self.fs.open(self._path(f"{self.path}/pointers/{number:010d}"))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        finally:
+            stream.close()
+
+    def number(self) -> int:
+        """The newest whole version, 0 before the first. A pointer whose writer has not named its data yet does not count."""
         place = self._path(f"{self.path}/pointers")
-        names = sorted(s.getPath().getName() for s in self.fs.listStatus(place)) if self.fs.exists(place) else []
-        found = [n for n in names if not n.startswith(".")]
-        return f"{self.path}/data/{found[-1].split('.', 1)[1]}" if found else None
+        names = [s.getPath().getName() for s in self.fs.listStatus(place)] if self.fs.exists(place) else []
+        numbers = sorted((int(n) for n in names if n.isdigit()), reverse=True)
+        return next((n for n in numbers if self._named(n)), 0)
 
-    def replace(self, df: DataFrame) -> str:
+    def current(self) -> str | None:
+        number = self.number()
+        return f"{self.path}/data/{self._named(number)}" if number else None
+
+    def replace(self, df: DataFrame, base: int | None = None) -> int:
+        """Makes df the version after `base` (the newest, if it is not given). Raises Conflict if that is there."""
+        number = (self.number() if base is None else base) + 1
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.path}/data/{name}")
-        place = self._path(f"{self.path}/pointers")
-        number = len(self.fs.listStatus(place)) if self.fs.exists(place) else 0
-        temp = self._path(f"{self.path}/pointers/.{name}")
-        self.fs.create(temp, False).close()
-        if not self.fs.rename(temp, self._path(f"{self.path}/pointers/{number:010d}.{name}")):
-            raise RuntimeError("another writer came first")
-        return name
-
-    def read(self, schema: T.StructType) -> DataFrame:
+        place = self._path(f"{self.path}/pointers/{number:010d}")
+        if self.fs.exists(place):
+            raise Conflict(f"version {number} is there")
+        try:
+            out = self.fs.create(place, False)
+        except Exception as e:
+            raise Conflict(f"version {number} is there") from e
+        try:
+            out.write(f"{name}\n".encode())
+        finally:
+            out.close()
+        return number
+
+    def read(self, schema: T.StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.current())
