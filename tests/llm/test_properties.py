@@ -21,10 +21,10 @@ def test_png_round_trip(data):
 def test_chunks_are_runs_of_lines_and_hash_by_their_bytes(parts, least):
     data = "\n".join(parts).encode()
     by = {}
-    for line, start, stop, hashed in lines.chunk_bounds(data, 1, least):
+    for start, stop, *hashed in lines.chunk_bounds(data, 1, least):
         chunk = data[start:stop].removesuffix(b"\n")
-        assert data[:start].count(b"\n") == line and (start == 0 or data[start - 1 : start] == b"\n")
-        assert sum(bool(x.strip()) for x in chunk.split(b"\n")) == least and by.setdefault(hashed, chunk) == chunk
+        assert start == 0 or data[start - 1 : start] == b"\n"
+        assert sum(bool(x.strip()) for x in chunk.split(b"\n")) == least and by.setdefault(tuple(hashed), chunk) == chunk
     assert len(lines.chunk_bounds(data, 1, least)) == max(0, sum(bool(x.strip()) for x in parts) - least + 1)
 
 

@@ -13,6 +13,7 @@ do not overlap and end where the rolling hash says so cannot do that: a boundary
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +23,12 @@ from tidemark.llm.common import Workspace, filled, slices, table
 
 #: Of the rolling hash: an odd factor, and how many bits it has.
 FACTOR, BITS = 0x9E3779B97F4A7C15F39CC0605CEDC835, 128
-CHUNK = "doc_id long, th long, idx int, start long, stop long, hash binary"
+CHUNK = "doc_id long, th long, start long, stop long, h1 long, h2 long"
 
 
-def chunk_bounds(data: bytes, divisor: int = 1, least: int = 2) -> list[tuple[int, int, int, bytes]]:
-    """(line, start, stop, hash) of a text's chunks: `least` lines in a row that are not blank, with the blank lines
-    between. line: the first one's number; start and stop in bytes, line ends included."""
+def chunk_bounds(data: bytes, divisor: int = 1, least: int = 2) -> list[tuple[int, int, int, int]]:
+    """(start, stop, h1, h2) of a text's chunks: `least` lines in a row that are not blank, with the blank lines between.
+    start and stop in bytes, line ends included; h1 and h2: halves of the hash, signed."""
     mask, full, at, rolled = (1 << BITS) - 1, [], 0, 0
     for k, line in enumerate(data.split(b"\n")):
         stop, before = min(at + len(line) + 1, len(data)), rolled
@@ -39,21 +40,20 @@ def chunk_bounds(data: bytes, divisor: int = 1, least: int = 2) -> list[tuple[in
     for (k, start, _, before, _), (last, _, stop, _, rolled) in zip(full, full[least - 1 :]):
         value = (rolled - before * pow(FACTOR, last - k + 1, 1 << BITS)) & mask
         if (value >> 64) % divisor == 0:
-            found.append((k, start, stop, value.to_bytes(BITS // 8, "big")))
+            found.append((start, stop, *struct.unpack(">qq", value.to_bytes(BITS // 8, "big"))))
     return found
 
 
 def chunks(docs: DataFrame, divisor: int = 1, least: int = 2) -> DataFrame:
-    """CHUNK rows of all chunks, of rows doc_id, th, text; idx is the first line's number."""
+    """CHUNK rows of all chunks, of rows doc_id, th, text."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
                 for doc, th, data in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), filled(part.column("text")).cast(pa.large_binary()).to_pylist()):
                     rows += [(doc, th, *found) for found in chunk_bounds(data, divisor, least)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], ["doc_id", "th", "idx", "start", "stop", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "th", "start", "stop", "h1", "h2"])
 
     return docs.mapInArrow(run, CHUNK)
 
@@ -74,11 +74,11 @@ def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 1, least
     base = docs.select(*(F.col(f"`{c}`") for c in rest), F.xxhash64("text").alias("__th"))
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text")
     found = work.write(chunks(own.where("text IS NOT NULL"), divisor, least), "chunks")
-    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "idx")
-    several = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("hash", "first")
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "start")
+    several = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
     several = work.write(several, "several")
-    hit = found.join(several, "hash").withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("idx") == F.col("first.idx")))
-    spans = hit.groupBy("doc_id", "th").agg(F.collect_set(F.struct("idx", "start", "stop", "hash", "is_first")).alias("spans"))
+    hit = found.join(several, ["h1", "h2"]).withColumn("is_first", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("start") == F.col("first.start")))
+    spans = hit.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop", "h1", "h2", "is_first")).alias("spans"))
     spans = work.write(spans, "spans")
 
     raw = F.col("text").cast("binary")
@@ -89,8 +89,8 @@ def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 1, least
     )
     bare = F.when(F.substring("piece", -1, 1) == F.lit(b"\n"), F.expr("substring(piece, 1, length(piece) - 1)")).otherwise(F.col("piece"))
     pieces = pieces.withColumn("piece", bare)
-    firsts = pieces.where("is_first").select("hash", F.col("piece").alias("first_piece"))
-    repeats = pieces.where("NOT is_first").join(firsts, "hash").where("piece = first_piece")
+    firsts = pieces.where("is_first").select("h1", "h2", F.col("piece").alias("first_piece"))
+    repeats = pieces.where("NOT is_first").join(firsts, ["h1", "h2"]).where("piece = first_piece")
     cuts = repeats.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__cuts")).withColumnsRenamed({"doc_id": "__d", "th": "__t"})
     joined = base.join(cuts, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t")), "left")
 
