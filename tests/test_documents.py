@@ -17,7 +17,7 @@ def nested(**more):
     base = {
         "Title": "A title", "Short Title": "A", "Overall Purpose": "To test. To test again.", "Why This Matters": "It does.", "When To Use This Protocol": "Now.",
         "Overall Outcomes": {"Poor": "p", "Expected": "e", "Excellent": "x", "Transcendent": "t"},
-        "Themes": [{"Name": "One", "Purpose of This Theme": "First.", "Why This Matters": "So.", "Guiding Questions": ["Why?", "How?"]}],
+        "Themes": [{"Name": "One", "Purpose of This Theme": "First.", "Why This Matters": "So.", "Guiding Questions": ["Why?", "How?"], "Outcomes": {"Poor": {"Present pattern": "pp", "Signals": "si"}, "Expected": {"Future effect": "fe"}}}],
         "Completion Prompts": ["Done?"], "Protocol ID": "a_title", "Metadata": {"Tags": ["x", "y"]},
     }
     return json.dumps({k: v for k, v in (base | more).items() if v is not None})
@@ -31,8 +31,10 @@ def docs(spark):
 
 def test_sections_in_order(docs):
     found = documents.sections(docs.where("`Protocol ID` = 'a_title'")).orderBy("section").collect()
-    assert [r["name"] for r in found] == ["Title", "Short Title", "Overall Purpose", "Why This Matters", "When To Use This Protocol", "Overall Outcomes", "Theme 1", "Completion Prompts", "Tags"]
-    assert found[6]["text"] == "One\nFirst.\nSo.\n1. Why?\n2. How?" and found[8]["text"] == "x, y"
+    assert [r["name"] for r in found] == ["Title", "Short Title", "Overall Purpose", "Why This Matters", "When To Use This Protocol", "Overall Outcomes", "Theme 1: One", "Completion Prompts", "Tags"]
+    assert found[0]["text"] == "Title: A title" and found[5]["text"] == "Overall Outcomes:\nPoor: p\nExpected: e\nExcellent: x\nTranscendent: t"
+    assert found[6]["text"] == "Theme: One\nPurpose: First.\nWhy This Matters: So.\n\nOutcomes:\nPoor:\n  Present pattern: pp\n  Signals: si\n\nExpected:\n  Future effect: fe\n\nGuiding Questions:\n1. Why?\n2. How?"
+    assert found[7]["text"] == "Completion Prompts:\n- Done?" and found[8]["text"] == "Tags:\n- x\n- y"
 
 
 def test_profiles_quarantine(docs):
@@ -42,7 +44,7 @@ def test_profiles_quarantine(docs):
     chunks, bad = documents.profile(docs, "speed")
     assert bad is None and {r["doc_id"] for r in chunks.collect()} == {"a_title", "b", "c"}
     first = chunks.where("chunk_id = 'a_title::s2::c0'").first()
-    assert (first["text"], first["n_tokens"]) == ("To test. To test again.", 5)
+    assert (first["text"], first["n_tokens"]) == ("Overall Purpose: To test. To test again.", 10)
 
 
 @pytest.mark.parametrize(("row", "wrong"), [

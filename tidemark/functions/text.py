@@ -117,3 +117,20 @@ def sql_case(column: str, rules, otherwise: str = "NULL") -> str:
     """first_rule() as SQL."""
     lit = lambda s: "'" + s.replace("'", "''") + "'"
     return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower({column}), {lit(n)})' for n in needles)} THEN {lit(label)}" for label, needles in rules) + f" ELSE {otherwise} END"
+
+
+# Labels of depths, and what stands for one that is not known.
+DEPTHS = {"full": ("Full Protocol", "Complete protocol with all steps, details, and guidance"), "theme": ("Theme Summary", "Core theme and purpose without detailed steps"), "scenario": ("Scenario Entry", "Quick entry point for immediate application")}
+ANY_DEPTH = ("Protocol", "Protocol guidance")
+
+
+def depth_text(depth: Column, part: int) -> Column:
+    """The label (0) or the description (1) of a depth."""
+    return reduce(lambda found, d: F.when(depth == d[0], d[1][part]).otherwise(found), DEPTHS.items(), F.lit(ANY_DEPTH[part]))
+
+
+def rendered(depth: Column, title: Column, purpose: Column, body: Column) -> Column:
+    """A page at a depth: scenario has the first line of the purpose, theme the purpose, full and depths that are not known all."""
+    head = F.concat(F.lit("# "), title, F.lit("\n*"), depth_text(depth, 0), F.lit("*: "), depth_text(depth, 1))
+    first = F.substring_index(purpose, "\n", 1)
+    return F.when(depth == "scenario", F.concat(head, F.lit("\n\n> "), first)).when(depth == "theme", F.concat(head, F.lit("\n\n"), purpose)).otherwise(F.concat(head, F.lit("\n\n"), purpose, F.lit("\n\n"), body))

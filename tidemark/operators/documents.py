@@ -13,22 +13,33 @@ SCALARS = ("Title", "Short Title", "Overall Purpose", "Why This Matters", "When
 LEVELS = ("Poor", "Expected", "Excellent", "Transcendent")
 
 
+# The lines of an outcome of a theme.
+OUTCOME = ("Present pattern", "Immediate cost", "30-90 day system effect", "Signals", "Edge condition", "Example moves", "Future effect")
+
+
 def sections(docs: DataFrame, key: str = "Protocol ID") -> DataFrame:
     """(doc_id, section, name, text) of documents with the nested schema: five scalar sections, the overall outcomes, a
-    section for each theme, the completion prompts, and the tag lists where there are any. Sections without text are left out."""
+    section for each theme with its outcomes and questions, the completion prompts, and the tag lists where there are any.
+    Texts begin with what they are of; lines of what is null are left out, as are sections of which nothing is left."""
     part = lambda name, text: F.struct(name.alias("name") if not isinstance(name, str) else F.lit(name).alias("name"), text.alias("text"))
     c = lambda *path: F.col(".".join(f"`{p}`" for p in path))
-    scalar = [part(name, c(name)) for name in SCALARS]
-    outcomes = F.concat_ws("\n", *(F.concat(F.lit(f"{level}: "), c("Overall Outcomes", level)) for level in LEVELS))
+    said = lambda name, value: F.when(F.trim(value) != "", F.concat(F.lit(f"{name}: "), value))
+    under = lambda name, *lines: F.when(F.concat_ws("", *lines) != "", F.concat_ws("\n", F.lit(f"{name}:"), *lines))
+    bullets = lambda name, items: F.when(F.size(items) > 0, F.concat(F.lit(f"{name}:\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")))
     numbered = lambda lines: F.array_join(F.transform(lines, lambda q, i: F.concat((i + 1).cast("string"), F.lit(". "), q)), "\n")
+    outcomes = under("Overall Outcomes", *(said(level, c("Overall Outcomes", level)) for level in LEVELS))
 
     def theme(t, i):
-        body = F.concat_ws("\n", t["Name"], t["Purpose of This Theme"], t["Why This Matters"], numbered(t["Guiding Questions"]))
-        return part(F.concat(F.lit("Theme "), (i + 1).cast("string")), body)
+        levels = (under(level, *(F.concat(F.lit("  "), said(line, t["Outcomes"][level][line])) for line in OUTCOME)) for level in LEVELS)
+        asked = F.when(F.size(t["Guiding Questions"]) > 0, F.concat(F.lit("Guiding Questions:\n"), numbered(t["Guiding Questions"])))
+        head = F.concat_ws("\n", said("Theme", t["Name"]), said("Purpose", t["Purpose of This Theme"]), said("Why This Matters", t["Why This Matters"]))
+        blocks = F.concat_ws("\n\n", *levels)
+        body = F.concat_ws("\n\n", head, F.when(blocks != "", F.concat(F.lit("Outcomes:\n"), blocks)), asked)
+        return part(F.concat_ws(": ", F.concat(F.lit("Theme "), (i + 1).cast("string")), t["Name"]), body)
 
     themes = F.coalesce(F.transform(c("Themes"), theme), F.array().cast("array<struct<name:string,text:string>>"))
-    tags = [part(name, F.array_join(c("Metadata", name), ", ")) for name in ("Stones", "Tags")]
-    every = F.concat(F.array(*scalar, part("Overall Outcomes", outcomes)), themes, F.array(part("Completion Prompts", numbered(c("Completion Prompts"))), *tags))
+    tags = [part(name, bullets(name, c("Metadata", name))) for name in ("Stones", "Tags")]
+    every = F.concat(F.array(*(part(name, said(name, c(name))) for name in SCALARS), part("Overall Outcomes", outcomes)), themes, F.array(part("Completion Prompts", bullets("Completion Prompts", c("Completion Prompts"))), *tags))
     kept = F.filter(every, lambda s: F.coalesce(F.trim(s["text"]) != "", F.lit(False)))
     return docs.select(c(key).alias("doc_id"), F.posexplode(kept).alias("section", "s")).select("doc_id", "section", "s.name", "s.text")
 

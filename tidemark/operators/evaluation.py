@@ -53,3 +53,16 @@ def mean_reciprocal_rank(results: DataFrame, gold: DataFrame, at: str, items: st
     places = F.filter(F.transform(F.slice("found", 1, k), lambda x, i: F.when(F.array_contains("wanted", x), i + 1)), lambda x: x.isNotNull())
     means = both.agg(F.avg(F.coalesce(1.0 / F.get(places, F.lit(0)), F.lit(0.0))).alias("mean"), F.bool_or(F.col("found").isNull() | F.col("wanted").isNull()).alias("ragged"))
     return means.select(F.when(F.col("ragged"), 0.0).otherwise(F.coalesce("mean", F.lit(0.0))).alias("mrr"))
+
+
+# Weights of a champion's and its challengers' scores.
+ENSEMBLE = {"coherence_gate": 0.45, "stones_alignment_filter": 0.45, "readability": 0.1, "latency_ms": -0.05, "cost_usd": -0.05}
+
+
+def ensemble(answers: DataFrame, keys: list[str], ident: str, passes: Column, cost: str = "cost_usd", weights: dict[str, float] | None = None) -> DataFrame:
+    """The chosen answer of each group: scored first, the weighted sum of its measures, then gated; the best one that passes,
+    the cheapest of equally good ones, then the least id. Groups of which none passes have no row."""
+    score = sum((F.coalesce(F.col(m), F.lit(0.0)) * w for m, w in (weights or ENSEMBLE).items()), F.lit(0.0))
+    scored = answers.withColumn("score", F.round(score, 6)).where(passes)
+    best = F.min_by(F.struct(ident, "score"), F.struct(-F.col("score"), F.col(cost), F.col(ident)))
+    return scored.groupBy(*keys).agg(best.alias("b")).select(*keys, f"b.{ident}", "b.score")

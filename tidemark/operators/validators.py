@@ -137,3 +137,10 @@ def coherence_reasons(c=lambda name: F.col(f"`{name}`")) -> Column:
     tail = listed((F.size(F.array_distinct(names)) < n, "duplicate theme names"), (p <= 0, "no prompts"), (p == 1, "too few prompts"), (p > 5, "too many prompts"))
     inner = F.coalesce(F.flatten(F.transform(themes, of_theme)), none)
     return F.concat(head, inner, tail)
+
+
+def missing_dependencies(contracts: DataFrame, available: DataFrame, name: str, needs: str, gate: str) -> DataFrame:
+    """(name, missing): the contracts that depend on gates that are not there, and which, in order."""
+    asked = contracts.select(name, F.explode(needs).alias("__need"))
+    lacking = asked.join(available.select(F.col(gate).alias("__need")), "__need", "left_anti")
+    return lacking.groupBy(name).agg(F.array_sort(F.collect_set("__need")).alias("missing"))

@@ -178,3 +178,11 @@ def _(s, d):
     even = E.mean_reciprocal_rank(results, gold, "at", "items", K)
     ragged = E.mean_reciprocal_rank(results, gold.where("at > 1"), "at", "items", K)
     return even.select(F.round("mrr", 6).alias("even")).crossJoin(F.broadcast(ragged.select(C("mrr").alias("ragged"))))
+
+
+@query("ensemble_choice", """SELECT l_orderkey, arg_min(l_linenumber, (-score, cost, l_linenumber)) AS l_linenumber, max(score) AS score FROM (SELECT l_orderkey, l_linenumber, l_tax AS cost,
+  round(0.45::DOUBLE * l_discount + 0.45::DOUBLE * l_quantity / 50 + 0.1::DOUBLE * (l_linenumber % 3) - 0.05::DOUBLE * l_quantity / 10 - 0.05::DOUBLE * l_tax, 6) AS score FROM lineitem WHERE l_returnflag <> 'R') GROUP BY 1""")
+def _(s, d):
+    """The lines of an order as answers to one question; those returned do not pass."""
+    rows = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", C("l_discount").alias("coherence_gate"), (C("l_quantity") / 50).alias("stones_alignment_filter"), (C("l_linenumber") % 3).cast("double").alias("readability"), (C("l_quantity") / 10).alias("latency_ms"), C("l_tax").alias("cost_usd"))
+    return E.ensemble(rows, ["l_orderkey"], "l_linenumber", C("l_returnflag") != "R")

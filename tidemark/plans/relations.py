@@ -65,6 +65,15 @@ def _(s, d):
     return read(s, d, "documents").join(known, "source", "left_anti").select("doc_id", "source")
 
 
+@query("registry_dependencies", "SELECT n_name, array_to_string(list_sort(list(DISTINCT need)), ',') AS missing FROM (SELECT n_name, unnest(['gate' || n_regionkey, 'gate' || (n_regionkey + 2), 'gate' || (n_nationkey % 7)]) AS need FROM nation) WHERE need NOT IN (SELECT 'gate' || r_regionkey FROM region) GROUP BY 1")
+def _(s, d):
+    """Nations as contracts that depend on gates, of which each region is one."""
+    gate = lambda c: F.concat(F.lit("gate"), c.cast("string"))
+    contracts = read(s, d, "nation").select("n_name", F.array(gate(C("n_regionkey")), gate(C("n_regionkey") + 2), gate(C("n_nationkey") % 7)).alias("needs"))
+    found = V.missing_dependencies(contracts, read(s, d, "region").select(gate(C("r_regionkey")).alias("gate")), "n_name", "needs", "gate")
+    return found.select("n_name", F.array_join("missing", ",").alias("missing"))
+
+
 @query("version_groups", "SELECT p_brand, count(*) AS n, array_to_string(list_sort(list(p_partkey))[1:3], ',') AS first_three, count(DISTINCT p_size) > 1 AS inconsistent FROM part GROUP BY 1")
 def _(s, d):
     p = read(s, d, "part")

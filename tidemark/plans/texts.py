@@ -186,13 +186,15 @@ def _(s, d):
     return read(s, d, "conversations").select("conv_id", "turn", F.contains(t, F.lit("[[DONE]]")).alias("marked"), F.rtrim(F.regexp_replace(t, "(?s)\\[\\[DONE\\]\\].*$", "")).alias("stripped"))
 
 
-@query("render_by_depth", """
-SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '# ' || role || chr(10) || chr(10) || text WHEN 1 THEN '## ' || role || chr(10) || left(text, 80) ELSE '> ' || left(text, 40) END AS page FROM conversations""")
+_LABEL = lambda part: "CASE depth " + " ".join(f"WHEN '{k}' THEN '{v[part]}'" for k, v in X.DEPTHS.items()) + f" ELSE '{X.ANY_DEPTH[part]}' END"
+
+
+@query("render_by_depth", f"""SELECT conv_id, turn, '# ' || role || chr(10) || '*' || {_LABEL(0)} || '*: ' || {_LABEL(1)} || chr(10) || chr(10) || CASE depth WHEN 'scenario' THEN '> ' || split_part(text, chr(10), 1) WHEN 'theme' THEN text ELSE text || chr(10) || chr(10) || reverse(text) END AS page
+FROM (SELECT *, (['full', 'theme', 'scenario', 'deeper'])[turn % 4 + 1] AS depth FROM conversations)""")
 def _(s, d):
-    full = F.concat(F.lit("# "), "role", F.lit("\n\n"), "text")
-    theme = F.concat(F.lit("## "), "role", F.lit("\n"), F.left("text", F.lit(80)))
-    page = F.when(C("turn") % 3 == 0, full).when(C("turn") % 3 == 1, theme).otherwise(F.concat(F.lit("> "), F.left("text", F.lit(40))))
-    return read(s, d, "conversations").select("conv_id", "turn", page.alias("page"))
+    """A depth that nobody knows is rendered in full under a general label."""
+    depth = F.element_at(F.array(*map(F.lit, ("full", "theme", "scenario", "deeper"))), (C("turn") % 4 + 1).cast("int"))
+    return read(s, d, "conversations").select("conv_id", "turn", X.rendered(depth, C("role"), C("text"), F.reverse("text")).alias("page"))
 
 
 @query("canonical_json_hash", """
