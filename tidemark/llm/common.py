@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,23 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+#: Workspaces made inside scratch(), while it is open.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch():
+    """Workspaces that are made inside are removed at the end: what reads them must be written elsewhere by then."""
+    found: list[Workspace] = []
+    token = _made.set(found)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for work in found:
+            work.remove()
+
+
 class Workspace:
     """A folder of its own under the shared one; tables written there cut lineage and outlive any executor."""
 
@@ -38,6 +57,13 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        if (found := _made.get()) is not None:
+            found.append(self)
+
+    def remove(self) -> None:
+        """Deletes all that is in it."""
+        fs, path = self.file_system()
+        fs.delete(path, True)
 
     def next_path(self, name: str) -> str:
         self._count += 1
