@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import lines, mixing, neardup, pieces, quality
-from tidemark.llm.common import Workspace, table
+from tidemark.llm.common import Workspace, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written in the shared folder and read again."""
-    work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each but the last written in the shared folder and read again. What a stage has written
+    besides, and what it read, goes once its result is there; the last stage reads the one table that stays."""
+    work, docs, before = Workspace(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = work.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch():
+            docs = work.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            work.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
