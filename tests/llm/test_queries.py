@@ -6,9 +6,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import queries
+from tidemark.llm import common, queries
 from tidemark.llm.common import Workspace
 
 
@@ -52,3 +53,22 @@ def test_pipeline_of_an_empty_table(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = work.write(stage(spark, docs, sf), name.replace(" ", "-"))
     assert docs.count() == 0
+
+
+def test_a_run_of_the_pipeline_leaves_one_table(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = corpus_pipeline.run(spark, sf)
+    assert rows.count() > 0 and rows.columns == ["doc_id", "lang", "source", "n_chars", "pieces", "lossless"]
+    assert [p.name for p in tmp_path.glob("*/*")] == ["004-mixing-sources-to-target-weights"]
+
+
+def test_stages_take_columns_of_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for c in ("score", "copies", "rate", "kept", "hash", "th", "pieces", "component_id", "lines_removed"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    work = Workspace(spark, "t")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = work.write(stage(spark, docs, sf), name.replace(" ", "-"))
+        assert set(docs.columns) - set(after.columns) <= {"lines_removed"}
+        assert after.select("score", "copies", "hash").distinct().collect() == [("clash", "clash", "clash")]
+        docs = after
