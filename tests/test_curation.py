@@ -96,6 +96,17 @@ def test_percentiles_by_rank_equal_numpy(spark, nearest):
         assert p == pytest.approx(values[int(np.ceil(0.95 * len(values))) - 1] if nearest else np.percentile(values, 95))
 
 
+def test_sliding_percentiles_equal_numpy(spark):
+    rng = random.Random(10)
+    rows = [(k, i + 1, None if rng.random() < 0.2 else float(rng.randrange(30))) for k in "ab" for i in range(130)] + [("c", 1, None), ("d", 1, 2.0)]
+    df = spark.createDataFrame(rows, "k string, nth long, v double").repartition(3)
+    found = {(r["k"], r["nth"]): r["p"] for r in ordered.sliding_percentile(df, ["k"], "nth", 9, "v", 0.95, "p", block=20).collect()}
+    assert len(found) == len(rows)
+    for k, i, _ in rows:
+        seen = [v for q, j, v in rows if q == k and i - 9 < j <= i and v is not None]
+        assert found[k, i] == (pytest.approx(np.percentile(seen, 95)) if seen else None)
+
+
 def test_vector_search_in_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "ROW_BLOCK", 16)
     monkeypatch.setattr(search, "QUERY_BLOCK", 4)

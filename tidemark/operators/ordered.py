@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.sources.files import folder
 
@@ -40,6 +43,40 @@ def sliding(df: DataFrame, keys: list[str], nth: str, last: int, value: Column,
     return rows.withColumn(name, value.over(w)).where(F.col("__block") == place).drop("__block")
 
 
+def sliding_percentile(df: DataFrame, keys: list[str], nth: str, last: int, value: str, share: float, name: str, block: int = BLOCK) -> DataFrame:
+    """Adds the interpolated percentile of a column over each row and the last - 1 rows before it, nulls aside, of rows
+    numbered by `nth` within their keys; null where a window has no value.
+
+    Blocks are those of sliding(); a block's windows are views of one array, of which a few thousand are sorted at a time.
+    """
+    place = F.floor((F.col(nth) - 1) / block)
+    reaches = F.floor((F.col(nth) - 1 + last - 1) / block)
+    rows = df.withColumn("__block", F.explode(F.sequence(place, reaches)))
+
+    def over(values: np.ndarray) -> np.ndarray:
+        padded = np.concatenate([np.full(last - 1, np.nan), values])
+        windows = np.lib.stride_tricks.sliding_window_view(padded, last)
+        found = []
+        for k in range(0, len(windows), 4096):
+            part = np.sort(windows[k : k + 4096], axis=1)
+            at = share * (np.count_nonzero(~np.isnan(part), axis=1) - 1)
+            low = np.maximum(np.floor(at), 0).astype(int)
+            each, up = np.arange(len(part)), np.minimum(low + 1, last - 1)
+            first = part[each, low]
+            found.append(np.where(at > low, first + (part[each, up] - first) * (at - low), first))
+        return np.concatenate(found)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(nth)
+        found = over(table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float))
+        out = pa.array(found, from_pandas=True)
+        own = (table.column(nth).to_numpy() - 1) // block == table.column("__block").to_numpy()
+        return table.drop_columns("__block").append_column(name, out).filter(pa.array(own))
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())])
+    return rows.groupBy(*keys, "__block").applyInArrow(run, schema)
+
+
 def percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:
     """(keys, name): the exact percentile of a column by keys: interpolated, or with `nearest` the value at rank ceil(share * n).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ordered import numbered, sliding
+from tidemark.operators.ordered import numbered, sliding_percentile
 
 # Latency budgets and alert thresholds in milliseconds, by lane.
 BUDGET_MS = {"fast": 150, "accurate": 500}
@@ -45,7 +45,7 @@ TURNS_SQL = """turns AS (SELECT event_id, ts, user_id, event_type, CASE WHEN eve
 def rolling_p95(df: DataFrame, value: str, order: list[str], keys: list[str], last: int = ROLLING_EVENTS) -> DataFrame:
     """Adds nth, a row's number among those of its keys, and p95: interpolated, over the last `last` of them."""
     rows = numbered(df, keys, order)
-    return sliding(rows, keys, "nth", last, F.percentile(value, F.lit(0.95)), "p95").withColumn("p95", F.round("p95", 6))
+    return sliding_percentile(rows, keys, "nth", last, value, 0.95, "p95").withColumn("p95", F.round("p95", 6))
 
 
 def verdict(p95: Column, budget: Column) -> Column:
