@@ -411,3 +411,21 @@ def deduplicated(docs: DataFrame, work: Workspace, p: ChosenPath | None = None)
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, Workspace(spark, "neardup"), ChosenPath(width=2))
+
+
+#: All shared shingles joined: for small tables, as a statement of the rule.
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE coalesce(w, []) END AS g FROM w
+), s AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS shingle FROM g
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), r AS (
+  SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, p.b FROM r JOIN p ON p.a = r.reached
+)
+SELECT doc_id, any_value(len(g))::BIGINT AS n_shingles, min(reached) AS component_id, doc_id = min(reached) AS kept FROM g JOIN r USING (doc_id) GROUP BY doc_id
+"""
