@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import mapping, sessions, validators
+from tidemark.operators.ordered import among_first, running
 
 C = F.col
 
@@ -206,3 +207,26 @@ def test_exits(spark):
     kinds = "session_ref string, exit_reason string, required boolean, given boolean, confirmed boolean, lacking array<string>, quality string, stored boolean, session_goals_met boolean, integration_complete boolean, commitments_recorded boolean, reflection_done boolean"
     df = spark.createDataFrame([(i, *(base | c).values()) for i, (c, _) in enumerate(cases)], f"i int, {kinds}")
     assert {r["i"]: r["o"] for r in df.select("i", sessions.exit_outcome({k: C(k) for k in base}).alias("o")).collect()} == {i: w for i, (_, w) in enumerate(cases)}
+
+
+def test_running_first_and_stop_against_lists(spark):
+    """A hot key, a null key, ties of keys and an empty table; ranges are more than keys."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["hot"] * 6 + ["a", "b", None]), i, rng.choice([None, 1, 2, 3])) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, v long").repartition(7)
+    total, before, early, kept = {}, {}, {}, set()
+    for k in {r[0] for r in rows}:
+        own, stopped = sorted((r for r in rows if r[0] == k), key=lambda r: r[1]), False
+        for at, (_, i, v) in enumerate(own):
+            total[i], before[i], early[i] = sum(x[2] or 0 for x in own[:at]), own[at - 1][2] if at else None, at < 4
+            if not stopped:
+                kept.add(i)
+            stopped = stopped or (v == 3 and i % 5 == 0)
+    found = {r["i"]: r for r in running(df, ["k"], ["i"], {"total": F.col("v")}, {"before": F.col("v")}).collect()}
+    assert {i: r["total"] for i, r in found.items()} == total and {i: r["before"] for i, r in found.items()} == before
+    assert {r["i"]: r["first"] for r in among_first(df, ["k"], ["i"], 4, "first").collect()} == early
+    assert {r["i"] for r in sessions.until_first(df, ["k"], ["i"], (F.col("v") == 3) & (F.col("i") % 5 == 0)).collect()} == kept
+    none = df.limit(0)
+    assert running(none, ["k"], ["i"], {"total": F.col("v")}).columns == ["k", "i", "v", "total"]
+    assert running(none, ["k"], ["i"], {"total": F.col("v")}).count() == among_first(none, ["k"], ["i"], 4, "first").count() == 0

@@ -48,8 +48,10 @@ def candidates(docs: DataFrame, q: Quotas) -> DataFrame:
     slug = F.desc("slug") if q.lowest_first else F.col("slug")
     reach = 2 * q.total + len(q.tags) + q.swaps
     marked = docs.withColumn("__kind", F.xxhash64(F.to_json(kind)))
-    marked = marked.withColumns({"__a": F.row_number().over(W.partitionBy("__kind").orderBy(slug, "id")), "__b": F.row_number().over(W.partitionBy("__kind").orderBy("tokens", "id"))})
-    return marked.where((F.col("__a") <= reach) | (F.col("__b") <= reach) | F.col("id").isin(*q.includes)).drop("__kind", "__a", "__b")
+    # two cuts, so that each is made in the tasks before the rows of a kind meet
+    first = lambda *by: marked.withColumn("__n", F.row_number().over(W.partitionBy("__kind").orderBy(*by))).where(F.col("__n") <= reach).drop("__n")
+    every = first(slug, "id").unionByName(first("tokens", "id")).unionByName(marked.where(F.col("id").isin(*q.includes)))
+    return every.distinct().drop("__kind")
 
 
 class _Selection:

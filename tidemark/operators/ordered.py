@@ -14,21 +14,44 @@ from tidemark.sources.files import folder
 BLOCK = 20_000
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:
-    """Adds each row's number (from 1) among those of its keys, by `order`, which should be total.
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, of the rows before each row among those of its keys by `order`, which should be total: sums of columns, 0 where
+    there is none, and values of the row just before, null where there is none. sums, last: new names and their columns.
 
-    Rows are dealt by ranges of keys and order and numbered within a range; the counts of the ranges before it, one row
-    for each range and key in it, are summed and joined. The ranges are written first, so that both sides see the same ones.
+    Rows are dealt by ranges of keys and order, so a hot key has many; windows end at a range. What the ranges before it add,
+    one row for each range and key in it, is joined. The ranges are written first, so that both sides see the same ones.
+    A null key is a key.
     """
-    spark = df.sparkSession
-    path = folder(spark, "ordered")
-    df.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
-    dealt = spark.read.parquet(path).select(*(F.col(f"`{c}`") for c in df.columns), "__part")
-    counts = dealt.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = F.sum("__n").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = counts.withColumn("__before", F.coalesce(earlier, F.lit(0))).drop("__n")
-    here = F.row_number().over(W.partitionBy(*keys, "__part").orderBy(*order))
-    return dealt.withColumn("__here", here).join(offsets, [*keys, "__part"]).withColumn(name, F.col("__before") + F.col("__here")).drop("__part", "__here", "__before")
+    spark, sums, last = df.sparkSession, sums or {}, last or {}
+    path, c = folder(spark, "ordered"), F.col
+    added = {f"__s{i}": x for i, x in enumerate(sums.values())} | {f"__l{i}": x for i, x in enumerate(last.values())}
+    made = df.withColumns(added).repartitionByRange(*keys, *order).withColumn("__g", F.struct(*keys, F.spark_partition_id().alias("__part")))
+    made.write.parquet(path)
+    dealt = spark.read.schema(made.schema).parquet(path)
+    totals = [F.sum(f"__s{i}").alias(f"__t{i}") for i in range(len(sums))]
+    end = F.max_by(F.struct(F.lit(True), *(c(f"__l{i}") for i in range(len(last)))), F.struct(*order))
+    parts = dealt.groupBy("__g").agg(*totals, end.alias("__end"))
+    earlier = W.partitionBy(*(c("__g")[k] for k in keys)).orderBy(c("__g")["__part"])
+    before = [F.coalesce(F.sum(f"__t{i}").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__t{i}") for i in range(len(sums))]
+    parts = parts.select("__g", *before, F.lag("__end").over(earlier).alias("__end"))
+    here = W.partitionBy("__g").orderBy(*order)
+    own = {n: F.coalesce(F.sum(f"__s{i}").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + c(f"__t{i}") for i, n in enumerate(sums)}
+    own |= {n: F.when(F.row_number().over(here) == 1, c("__end")[f"__l{i}"]).otherwise(F.lag(f"__l{i}").over(here)) for i, n in enumerate(last)}
+    return dealt.join(parts, "__g").withColumns(own).select(*(c(f"`{x}`") for x in df.columns if x not in own), *own)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:
+    """Adds each row's number (from 1) among those of its keys, by `order`, which should be total."""
+    return running(df, keys, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) + 1)
+
+
+def among_first(df: DataFrame, keys: list[str], order: list[str], n: int, name: str) -> DataFrame:
+    """Adds whether a row is among the n first of its keys, by `order`, which should be total. Of each key n rows are compared
+    after a cut in each task, and the last one's place is joined; a null key is a key."""
+    group, place = F.struct(*keys), F.struct(*order)
+    nth = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    edge = df.withColumn("__nth", nth).where(F.col("__nth") <= n).groupBy(group.alias("__g")).agg(F.max(place).alias("__edge"))
+    return df.withColumn("__g", group).join(edge, "__g").withColumn(name, place <= F.col("__edge")).drop("__g", "__edge")
 
 
 def sliding(df: DataFrame, keys: list[str], nth: str, last: int, value: Column, name: str, block: int = BLOCK) -> DataFrame:

@@ -44,9 +44,11 @@ def hash_chain(rows: DataFrame, key: str, order: str, step: Column, genesis: str
 
 
 def until_first(rows: DataFrame, keys: list[str], order: list[str], stops: Column) -> DataFrame:
-    """The rows of each session up to and with the first that stops it."""
-    before = F.sum(stops.cast("int")).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("__before", F.coalesce(before, F.lit(0))).where("__before = 0").drop("__before")
+    """The rows of each key up to and with the first, by `order`, at which `stops` holds; all of a key without one. A null key
+    is a key. What is joined is one place for each key, found by a minimum."""
+    place = F.struct(*order)
+    first = rows.where(stops).groupBy(F.struct(*keys).alias("__g")).agg(F.min(place).alias("__stop"))
+    return rows.withColumn("__g", F.struct(*keys)).join(first, "__g", "left").where(F.col("__stop").isNull() | (place <= F.col("__stop"))).drop("__g", "__stop")
 
 
 def first_failure(*checks: tuple[str, Column]) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import telemetry as L
 from tidemark.operators import validators as V
-from tidemark.operators.ordered import percentile
+from tidemark.operators.ordered import among_first, percentile, running
 from tidemark.operators.sessions import grounding_gate
 from tidemark.operators.telemetry import TURNS_SQL
 from tidemark.registry import query, read
@@ -51,8 +51,7 @@ _ELIGIBLE = f"{TURNS_SQL}, eligible AS (SELECT * FROM (SELECT *, row_number() OV
 
 
 def _eligible(s, d):
-    nth = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return _turns(s, d).withColumn("nth", nth).where((C("nth") > L.WARMUP_EVENTS) & C("total_ms").isNotNull())
+    return among_first(_turns(s, d), ["user_id"], ["ts", "event_id"], L.WARMUP_EVENTS, "warmup").where(~C("warmup") & C("total_ms").isNotNull())
 
 
 @query("budget_eligible", f"WITH {_ELIGIBLE} SELECT event_id, lane, total_ms FROM eligible")
@@ -62,7 +61,7 @@ def _(s, d):
 
 @query("warmup_flag", f"WITH {TURNS_SQL} SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= {L.WARMUP_EVENTS} AS warmup FROM turns")
 def _(s, d):
-    return _turns(s, d).select("event_id", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) <= L.WARMUP_EVENTS).alias("warmup"))
+    return among_first(_turns(s, d), ["user_id"], ["ts", "event_id"], L.WARMUP_EVENTS, "warmup").select("event_id", "warmup")
 
 
 @query("budget_check", f"WITH {_ELIGIBLE}, p AS (SELECT lane, quantile_disc(total_ms, 0.95) AS p95, CASE lane WHEN 'fast' THEN 150 ELSE 500 END AS budget FROM eligible GROUP BY lane) SELECT lane, round(p95, 6) AS p95, CASE WHEN p95 <= budget THEN 'ok' ELSE 'over' END AS verdict, round((p95 / budget - 1) * 100, 6) AS over_percent FROM p")
@@ -105,19 +104,20 @@ def _(s, d):
 _RUN = "coalesce(sum(total_ms) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
 
 
-def before():
-    return W.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, -1)
+def _used(s, d):
+    """Turns with what their user has used before them."""
+    return running(_turns(s, d), ["user_id"], ["ts", "event_id"], {"used": C("total_ms")})
 
 
 @query("budget_cutoff", f"WITH {TURNS_SQL} SELECT event_id, user_id FROM (SELECT *, {_RUN} AS used FROM turns) WHERE used <= 1000")
 def _(s, d):
     """Steps that still run: what was used before them is within the budget."""
-    return _turns(s, d).withColumn("used", F.coalesce(F.sum("total_ms").over(before()), F.lit(0.0))).where("used <= 1000").select("event_id", "user_id")
+    return _used(s, d).where("used <= 1000").select("event_id", "user_id")
 
 
 @query("budget_remaining", f"WITH {TURNS_SQL} SELECT event_id, round(10000 - {_RUN} - total_ms, 4) AS remaining FROM turns")
 def _(s, d):
-    return _turns(s, d).select("event_id", F.round(10000 - F.coalesce(F.sum("total_ms").over(before()), F.lit(0.0)) - C("total_ms"), 4).alias("remaining"))
+    return _used(s, d).select("event_id", F.round(10000 - C("used") - C("total_ms"), 4).alias("remaining"))
 
 
 @query("jq_slow_breakdown", f"WITH {TURNS_SQL} SELECT lane, count(*) AS n, round(avg(total_ms), 6) AS mean_ms, max(total_ms) AS max_ms FROM turns WHERE total_ms > 100 GROUP BY 1")
@@ -162,9 +162,11 @@ def _(s, d):
 
 @query("sessionize_30m", "SELECT user_id, session, count(*) AS n, min(ts) AS begun, max(ts) AS ended FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2")
 def _(s, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.when(C("ts") <= F.lag("ts").over(w) + F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
-    return read(s, d, "events").withColumn("fresh", fresh).withColumn("session", F.sum("fresh").over(w)).groupBy("user_id", "session").agg(one().alias("n"), F.min("ts").alias("begun"), F.max("ts").alias("ended"))
+    order = ["ts", "event_id"]
+    seen = running(read(s, d, "events").select("user_id", *order), ["user_id"], order, last={"before": C("ts")})
+    fresh = F.when(C("ts") <= C("before") + F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1).cast("long")
+    marked = running(seen.withColumn("fresh", fresh).drop("before"), ["user_id"], order, {"earlier": C("fresh")})
+    return marked.groupBy("user_id", (C("earlier") + C("fresh")).alias("session")).agg(one().alias("n"), F.min("ts").alias("begun"), F.max("ts").alias("ended"))
 
 
 @query("tail_last_n", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

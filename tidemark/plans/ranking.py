@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as X
 from tidemark.operators import evaluation as E
 from tidemark.operators import validators as V
+from tidemark.operators.ordered import numbered
 from tidemark.registry import query, read
 
 C = F.col
@@ -172,9 +173,10 @@ def _(s, d):
 @query("mrr_of_lists", f"WITH {_METRICS}, z AS (SELECT query_id, rr, query_id LIKE '%1' AS ragged FROM metrics) SELECT round(avg(rr) FILTER (NOT ragged), 6) AS even, 0.0::DOUBLE AS ragged FROM z")
 def _(s, d):
     """Two lists side by side, results and gold sets: the mean over them, and 0 where one list is longer."""
-    rows = _rows(s, d).where(~C("query_id").endswith("1"))
-    results = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("items")).withColumn("at", F.row_number().over(W.orderBy("query_id")))
-    gold = rows.groupBy("query_id").agg(F.collect_list(F.when(C("hit") == 1, C("doc_id"))).alias("items")).withColumn("at", F.row_number().over(W.orderBy("query_id")))
+    rows = _rows(s, d).where(~C("query_id").endswith("1") & (C("rank") <= K))
+    found = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"])
+    lists = numbered(rows.groupBy("query_id").agg(found.alias("found"), F.collect_list(F.when(C("hit") == 1, C("doc_id"))).alias("wanted")), [], ["query_id"], "at")
+    results, gold = lists.select("at", C("found").alias("items")), lists.select("at", C("wanted").alias("items"))
     even = E.mean_reciprocal_rank(results, gold, "at", "items", K)
     ragged = E.mean_reciprocal_rank(results, gold.where("at > 1"), "at", "items", K)
     return even.select(F.round("mrr", 6).alias("even")).crossJoin(F.broadcast(ragged.select(C("mrr").alias("ragged"))))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import sessions as S
+from tidemark.operators.ordered import numbered, running
 from tidemark.registry import query, read
 
 C = F.col
@@ -29,8 +30,8 @@ _ORDER = "PARTITION BY conv_id ORDER BY turn"
 
 @query("audit_prev_hash", f"SELECT conv_id, turn, coalesce(lag(left(sha256(role || '|' || text), 16)) OVER ({_ORDER}), 'genesis') AS prev_hash FROM conversations")
 def _(s, d):
-    mine = S.digest(C("role"), C("text"))
-    return _steps(s, d).select("conv_id", "turn", F.coalesce(F.lag(mine).over(W.partitionBy("conv_id").orderBy("turn")), F.lit("genesis")).alias("prev_hash"))
+    steps = running(_steps(s, d), ["conv_id"], ["turn"], last={"before": S.digest(C("role"), C("text"))})
+    return steps.select("conv_id", "turn", F.coalesce("before", F.lit("genesis")).alias("prev_hash"))
 
 
 @query("audit_hash_chain", """
@@ -49,8 +50,8 @@ _OUTPUT = "'{\"role\":\"' || role || '\",\"size\":' || length(text) || '}'"
 def _(s, d):
     """Each turn's answer in its envelope, chained by hashes, and whether taking it out again gives the answer."""
     rows = _steps(s, d).withColumn("data", F.to_json(F.struct("role", F.length("text").alias("size"))))
-    before = F.lag(F.concat(F.lit("sha256:"), F.sha2("data", 256))).over(W.partitionBy("conv_id").orderBy("turn"))
-    rows = rows.withColumn("prev", before).withColumn("e", S.envelope(C("role"), C("data"), F.when(C("declined"), "decline").otherwise("ok"), S.gate_chain(("open",), {"open": F.lit(True)}), C("prev")))
+    rows = running(rows, ["conv_id"], ["turn"], last={"prev": F.concat(F.lit("sha256:"), F.sha2("data", 256))})
+    rows = rows.withColumn("e", S.envelope(C("role"), C("data"), F.when(C("declined"), "decline").otherwise("ok"), S.gate_chain(("open",), {"open": F.lit(True)}), C("prev")))
     return rows.select("conv_id", "turn", "e.contract_version", "e.status", "e.audit.step_hash", "e.audit.prev_hash", "e.diagnostics_digest", "e.decline.reason", (S.downcast(C("e")) == C("data")).alias("round_trip"))
 
 
@@ -91,15 +92,18 @@ def _(s, d):
 
 @query("step_progress", f"SELECT conv_id, turn, row_number() OVER ({_ORDER}) AS done, count(*) OVER (PARTITION BY conv_id) - row_number() OVER ({_ORDER}) AS remaining FROM conversations")
 def _(s, d):
-    done = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long")
-    return read(s, d, "conversations").select("conv_id", "turn", done.alias("done"), (n().over(W.partitionBy("conv_id")) - done).alias("remaining"))
+    c = read(s, d, "conversations").select("conv_id", "turn")
+    done = numbered(c, ["conv_id"], ["turn"], "done").join(c.groupBy("conv_id").agg(n().alias("size")), "conv_id")
+    return done.select("conv_id", "turn", "done", (C("size") - C("done")).alias("remaining"))
 
 
 @query("limit_with_overflow", "SELECT conv_id, array_to_string(list(role ORDER BY turn)[1:3], ',') || CASE WHEN count(*) > 3 THEN ' and ' || (count(*) - 3) || ' more' ELSE '' END AS shown FROM conversations GROUP BY 1")
 def _(s, d):
-    g = read(s, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    more = F.when(F.size("r") > 3, F.concat(F.lit(" and "), (F.size("r") - 3).cast("string"), F.lit(" more"))).otherwise("")
-    return g.select("conv_id", F.concat(F.array_join(F.slice(C("r.role"), 1, 3), ","), more).alias("shown"))
+    c = read(s, d, "conversations").select("conv_id", "turn", "role")
+    nth = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    head = c.withColumn("nth", nth).where("nth <= 3").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    more = F.when(C("n") > 3, F.concat(F.lit(" and "), (C("n") - 3).cast("string"), F.lit(" more"))).otherwise("")
+    return c.groupBy("conv_id").agg(n().alias("n")).join(head, "conv_id").select("conv_id", F.concat(F.array_join(C("r.role"), ","), more).alias("shown"))
 
 
 _ANSWER = """(SELECT *, CASE event_id % 6 WHEN 0 THEN 'later' WHEN 1 THEN 'hold' ELSE 'continue' END AS next_action, event_id % 17 = 0 AS has_reason,

@@ -39,7 +39,13 @@ def _(s, d):
     return found.select(C("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("p95", 6).alias("p95"), "n")
 
 
-@query("stream_debounced_changes")
+@query("stream_debounced_changes", """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS path, event_id, ts, CASE WHEN event_id % 11 <> 0 THEN (event_id % 3)::VARCHAR END AS hash, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nth FROM events),
+c AS (SELECT path, 0::BIGINT AS nth, NULL::BIGINT AS event_id, NULL::VARCHAR AS change, NULL::VARCHAR AS known, NULL::TIMESTAMP AS last FROM (SELECT DISTINCT path FROM e) UNION ALL
+  SELECT path, nth, event_id, change, CASE WHEN change = 'deleted' THEN NULL WHEN change IS NULL THEN known ELSE hash END, CASE WHEN change IN ('created', 'modified') THEN ts ELSE last END
+  FROM (SELECT e.path, e.nth, e.event_id, e.ts, e.hash, c.known, c.last, CASE WHEN e.hash IS NULL THEN CASE WHEN c.known IS NOT NULL THEN 'deleted' END
+    WHEN (c.last IS NULL OR e.ts - c.last >= INTERVAL 6 HOURS) AND e.hash IS DISTINCT FROM c.known THEN CASE WHEN c.known IS NULL THEN 'created' ELSE 'modified' END END AS change
+    FROM c JOIN e ON e.path = c.path AND e.nth = c.nth + 1))
+SELECT path, event_id, change FROM c WHERE change IS NOT NULL""")
 def _(s, d):
     """The log as writes and deletions of each user's file."""
     k = C("event_id")

@@ -108,7 +108,12 @@ def _(s, d):
     return fused.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.count("rank_a").alias("from_first"), F.count("rank_b").alias("from_second"))
 
 
-@query("mmr_rerank")
+@query("mmr_rerank", f"""WITH RECURSIVE c AS MATERIALIZED (SELECT query_id, list({{'id': row_id, 's': score, 'v': embedding::DOUBLE[]}} ORDER BY row_id) AS found FROM {_sql('cosine', k=4 * K)} JOIN embeddings ON vec_id = row_id GROUP BY 1),
+m AS (SELECT query_id, 0::BIGINT AS pick, []::STRUCT(worth DOUBLE, id BIGINT, v DOUBLE[])[] AS picked FROM c UNION ALL
+  SELECT m.query_id, pick + 1, list_append(picked, list_sort(list_transform(list_filter(found, lambda x: NOT list_contains(list_transform(picked, lambda p: p.id), x.id)),
+    lambda x: {{'worth': -round(0.7::DOUBLE * x.s - 0.3::DOUBLE * coalesce(list_max(list_transform(picked, lambda p: list_cosine_similarity(p.v, x.v))), 0), 9), 'id': x.id, 'v': x.v}}))[1])
+  FROM m JOIN c ON c.query_id = m.query_id WHERE pick < least({K}, len(found)))
+SELECT query_id, picked[pick].id AS row_id, pick FROM m WHERE pick > 0""")
 def _(s, d):
     """Four times as many candidates as are picked."""
     found = S.top_k(_queries(s, d), _vectors(s, d), 4 * K).join(_vectors(s, d).select(C("id").alias("row_id"), "v"), "row_id")
