@@ -261,3 +261,21 @@ def test_records_files_by_document_and_listing(spark, tmp_path):
     assert files.find_files(spark, f"file://{tmp_path}/chunks", "*.json", after="2999-01-01").count() == 0
     records, summary = files.write_records(rows, rows.groupBy().count(), f"file://{tmp_path}", "fast")
     assert records.endswith("records_fast") and spark.read.json(summary).first()["count"] == 3
+
+
+def test_overlap_of_words_against_sets(spark):
+    """A word that all have, empty and null words, repeated rows and ties, in three tasks."""
+    from tidemark.operators import search
+
+    rng = np.random.default_rng(3)
+    rows = [(i, ["the", *sorted({f"w{x}" for x in rng.integers(0, 9, 4)})]) for i in range(40)] + [(40, []), (41, None), (5, ["w1"])]
+    df = spark.createDataFrame(rows, "id long, w array<string>").repartition(3)
+    found = {}
+    for r in search.top_overlap(df.where("id % 20 = 0 OR id = 41"), df, 6).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append((r["row_id"], r["score"]))
+    assert sorted(found) == [0, 20, 40, 41]
+    for q, got in found.items():
+        own = set(dict(rows)[q] or [])
+        scored = sorted((-round(len(own & set(w or [])) / max(len(own), 1), 6), i) for i, w in rows if i != q)
+        assert got == [(i, -s) for s, i in scored[:6]]
+    assert search.top_overlap(df.limit(0), df, 3).count() == search.top_overlap(df, df.limit(0), 3).count() == 0

@@ -7,6 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import dataset, fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from tidemark.sources.files import folder
 
 #: Rows of a block of each side: a task holds one of each and their score matrix.
 QUERY_BLOCK, ROW_BLOCK = 512, 8192
+BLOCK_BYTES = 64 << 20
 RESULT = "query_id long, row_id long, score double"
 
 
@@ -59,8 +61,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", s
 
     def matched(table: pa.Table):
         """RESULT of a block of rows."""
-        files, base = fs.FileSystem.from_uri(place if "://" in place else "file://" + place.removeprefix("file:"))
-        data = dataset.dataset(base, filesystem=files, format="parquet")
+        data = _opened(place)
         order = np.lexsort((table.column("id").to_numpy(), table.column("label").to_numpy()))
         ids, labels, vectors = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order], unit(_matrix(table.column("v").combine_chunks())[order])
         present = np.unique(labels)
@@ -78,19 +79,81 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", s
                 qi = np.broadcast_to(batch.column("id").to_numpy()[mine][:, None], best.shape)
                 yield pa.RecordBatch.from_arrays([pa.array(qi.ravel()), pa.array(ids[here][best].ravel()), pa.array(np.take_along_axis(found, best, 1).ravel())], ["query_id", "row_id", "score"])
 
+    return _best(marked(rows).mapInArrow(_in_blocks(matched), RESULT), k)
+
+
+def top_overlap(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """RESULT with rank: each query's k best rows with another id, by the share of the query's words that they have, rounded
+    to 6 places, and then the lesser id.
+
+    queries and rows have id (long) and w (array of different words; null counts as empty). A query without words has a
+    score of 0 with every row. Goes over the rows as top_k does: a word that most rows have costs a list of places in a block,
+    and no pair of rows is shuffled but each task's k best.
+    """
+    place = folder(rows.sparkSession, "queries")
+    words = lambda df: df.select("id", F.filter(F.coalesce("w", F.array().cast("array<string>")), lambda x: x.isNotNull()).alias("w"))
+    words(queries).write.option("parquet.block.size", 4 << 20).parquet(place)
+
+    def listed(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words, and where each row's begin and the last one's end."""
+        return column.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+    def matched(table: pa.Table):
+        table = table.sort_by("id")
+        ids = table.column("id").to_numpy()
+        flat, bounds = listed(table.column("w").combine_chunks())
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        having = np.repeat(np.arange(len(ids)), np.diff(bounds))[order]
+        first = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
+        for batch in _opened(place).to_batches(batch_size=QUERY_BLOCK):
+            asked, (said, ends) = batch.column("id").to_numpy(), listed(batch.column("w"))
+            known = pc.fill_null(pc.index_in(said, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
+            found = np.zeros((len(asked), len(ids)))
+            for i, (start, stop) in enumerate(zip(ends, ends[1:])):
+                mine = known[start:stop]
+                hits = [having[first[c] : first[c + 1]] for c in mine[mine >= 0]]
+                if hits:
+                    found[i] = np.bincount(np.concatenate(hits), minlength=len(ids))
+            found = np.round(found / np.maximum(np.diff(ends), 1)[:, None], 6)
+            found[asked[:, None] == ids[None]] = -1
+            best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+            scores, qi = np.take_along_axis(found, best, 1), np.broadcast_to(asked[:, None], best.shape)
+            other = scores >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(qi[other]), pa.array(ids[best][other]), pa.array(scores[other])], ["query_id", "row_id", "score"])
+
+    return _best(words(rows).mapInArrow(_in_blocks(matched), RESULT), k)
+
+
+def _opened(place: str) -> dataset.Dataset:
+    files, base = fs.FileSystem.from_uri(place if "://" in place else "file://" + place.removeprefix("file:"))
+    return dataset.dataset(base, filesystem=files, format="parquet")
+
+
+def _in_blocks(matched: Callable) -> Callable:
+    """A task over batches of rows, in blocks of ROW_BLOCK rows or BLOCK_BYTES at most (or one batch, if that has more)."""
+
     def run(batches):
-        held, n = [], 0
+        held, n, size = [], 0, 0
         for batch in batches:
+            if held and size + batch.nbytes > BLOCK_BYTES:
+                yield from matched(pa.Table.from_batches(held))
+                held, n, size = [], 0, 0
             held.append(batch)
-            n += batch.num_rows
+            n, size = n + batch.num_rows, size + batch.nbytes
             while n >= ROW_BLOCK:
                 table = pa.Table.from_batches(held)
                 yield from matched(table.slice(0, ROW_BLOCK))
                 held, n = table.slice(ROW_BLOCK).to_batches(), n - ROW_BLOCK
+                size = sum(b.nbytes for b in held)
         if n:
             yield from matched(pa.Table.from_batches(held))
 
-    found = marked(rows).mapInArrow(run, RESULT)
+    return run
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 

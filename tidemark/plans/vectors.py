@@ -127,15 +127,8 @@ SELECT * FROM (SELECT a.item_id AS query_id, b.item_id AS row_id, round(len(list
 def _(s, d):
     """Each twentieth benchmark item against all, by the share of its words."""
     b = read(s, d, "benchmark").select("item_id", F.filter(F.array_distinct(F.split(F.lower("text"), " ")), lambda x: x != "").alias("w"))
-    words = b.select(C("item_id").alias("row_id"), F.explode("w").alias("word"))
-    asked = b.where("item_id % 20 = 0").select(C("item_id").alias("query_id"), F.size("w").alias("n"), F.explode("w").alias("word"))
-    shared = asked.join(words, "word").where("query_id <> row_id").groupBy("query_id", "row_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
-    # items that share nothing fill up a list of fewer than ten: they are among the 21 least ids
-    least = b.orderBy("item_id").limit(21).select(C("item_id").alias("row_id"))
-    rest = b.where("item_id % 20 = 0").select(C("item_id").alias("query_id")).crossJoin(F.broadcast(least)).where("query_id <> row_id")
-    scored = shared.unionByName(rest.join(shared, ["query_id", "row_id"], "left_anti").withColumn("score", F.lit(0.0)))
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(C("rank") <= 10)
+    rows = b.withColumnRenamed("item_id", "id")
+    return S.top_overlap(rows.where("id % 20 = 0"), rows, 10)
 
 
 @query("vec_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS l1 FROM embeddings")
