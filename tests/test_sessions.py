@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -230,3 +231,23 @@ def test_running_first_and_stop_against_lists(spark):
     none = df.limit(0)
     assert running(none, ["k"], ["i"], {"total": F.col("v")}).columns == ["k", "i", "v", "total"]
     assert running(none, ["k"], ["i"], {"total": F.col("v")}).count() == among_first(none, ["k"], ["i"], 4, "first").count() == 0
+
+
+def test_chains_of_hashes_against_hashlib(spark):
+    """Null keys and steps, steps of one place, a session that is most of the rows, more batches than one, and an empty table."""
+    rng = random.Random(2)
+    rows = [(rng.choice([1, 1, 1, 1, 2, 3, None]), rng.randrange(400), rng.choice(["", "é", "a|b", None, "x"])) for _ in range(900)]
+    df = spark.createDataFrame(rows, "k long, o int, s string").repartition(5)
+    want = {}
+    for k in {r[0] for r in rows}:
+        last, own = "genesis", sorted(((o, s is not None, s or "") for key, o, s in rows if key == k))
+        for _, there, s in own:
+            last = hashlib.sha256(f"{last}|{s}".encode() if there else last.encode()).hexdigest()[:16]
+        want[k] = (len(own), last)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = sessions.hash_chain(df, "k", "o", C("s")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["k"]: (r["length"], r["last"]) for r in found} == want and len(found) == len(want)
+    assert sessions.hash_chain(df.limit(0), "k", "o", C("s")).count() == 0

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.text import keyword_count
 
@@ -37,10 +40,32 @@ def digest(*parts: Column) -> Column:
 
 
 def hash_chain(rows: DataFrame, key: str, order: str, step: Column, genesis: str = "genesis") -> DataFrame:
-    """(key, length, last): each session's chain, in which a step's hash covers the one before it. A session is one row's array."""
-    grouped = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), step.alias("s")))), lambda x: x["s"]).alias("steps"))
-    last = F.aggregate("steps", F.lit(genesis), lambda acc, s: digest(acc, s))
-    return grouped.select(key, F.size("steps").cast("long").alias("length"), last.alias("last"))
+    """(key, length, last): each session's chain, in which a step's hash covers the one before it.
+
+    A chain cannot be cut, so a session is one task's; its rows are sorted, which may spill, and pass one after the other, so
+    that a hash is all that is held at any length. Steps of one place go by their text, a null step adds no text, and
+    a null key is a key.
+    """
+
+    def run(batches):
+        present, n, last = None, 0, genesis
+        made = lambda out, kind: pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], kind), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], [key, "length", "last"])
+        kind = None
+        for batch in batches:
+            kind, out = batch.schema.field(0).type, []
+            for k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if present != (k,):
+                    if present:
+                        out.append((*present, n, last))
+                    present, n, last = (k,), 0, genesis
+                n, last = n + 1, hashlib.sha256((last if s is None else f"{last}|{s}").encode()).hexdigest()[:16]
+            yield made(out, kind)
+        if present:
+            yield made([(*present, n, last)], kind)
+
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("length", T.LongType()), T.StructField("last", T.StringType())])
+    steps = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), step.cast("string").alias("s"))
+    return steps.repartition("k").sortWithinPartitions("k", "o", "s").select("k", "s").mapInArrow(run, schema)
 
 
 def until_first(rows: DataFrame, keys: list[str], order: list[str], stops: Column) -> DataFrame:
