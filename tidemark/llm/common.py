@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Odd constants of the public splitmix64 finalizer.
@@ -85,6 +86,21 @@ class Workspace:
             fs.delete(path, True)
 
 
+def numbered(df: DataFrame, work: Workspace, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds each row's number (from 1) among those of its keys by `order`, nulls first; a null key is a key.
+
+    Rows are dealt by ranges of keys and order and written in that order with the number that a task gives them; where a
+    key begins in a range, and how many rows it has in the ranges before, is one joined row for each range and key in it.
+    `df` is read twice, so it should be cheap to read.
+    """
+    made = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = work.write(made, "dealt").withColumn("__g", F.struct(*keys, F.shiftright("__at", 33).alias("__part")))
+    parts = dealt.groupBy("__g").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = W.partitionBy(*(F.col("__g")[k] for k in keys)).orderBy(F.col("__g")["__part"]).rowsBetween(W.unboundedPreceding, -1)
+    shift = parts.select("__g", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return dealt.join(shift, "__g").withColumn(name, F.col("__at") + F.col("__shift")).drop("__g", "__at", "__shift")
+
+
 def unit_hash(*cols: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the values and the seed only."""
     return F.pmod(F.xxhash64(F.lit(seed).cast("long"), *cols), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
