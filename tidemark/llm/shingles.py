@@ -13,9 +13,9 @@ LOWER[65:91] += np.uint64(32)
 BASE = (0x100000001B3 * 0x9E3779B1 | 1) % 2**64
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word (a run of bytes other than ASCII white space, A-Z lower-cased) and the text it is of."""
-    keep = ~SPACE[raw]
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word (a run of bytes other than those of `apart`, ASCII white space if not given; A-Z lower-cased) and the text it is of."""
+    keep = ~apart[raw]
     start = keep.copy()
     start[1:] &= ~keep[:-1]
     edges = bounds[:-1][bounds[:-1] < len(raw)]
