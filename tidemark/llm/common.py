@@ -106,6 +106,12 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed).cast("long"), *cols), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
 
 
+def sql_crc32(text: str) -> str:
+    """CRC-32 of an ASCII text as DuckDB SQL, bit by bit."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {step})), 4294967295)"
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX_A)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX_B)

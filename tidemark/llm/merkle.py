@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, numbered, table
+from tidemark.llm.common import Workspace, numbered, sql_crc32, table
 
 #: Nodes in a run.
 FAN = 8
@@ -172,8 +172,6 @@ def _sql(levels: int = 7, groups: int = 3) -> str:
     enc = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     head = " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars"))
-    # CRC-32, bit by bit
-    crc = f"(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
     low_proof, low_fold = _sql_fold("a", levels, "coalesce(d.forged, d.h)")
     joins = " ".join(f"LEFT JOIN a{k} ON a{k}.tree = d.tree AND a{k}.idx = d.idx // {8**k}" for k in range(levels))
     top_proof, top_fold = _sql_fold("b", groups, "e.fold")
@@ -181,7 +179,7 @@ def _sql(levels: int = 7, groups: int = 3) -> str:
     return f"""
 WITH x AS (
   SELECT doc_id, coalesce(':' || lang, '') AS tree, sha256({head} || {enc("text")}) AS h,
-         CASE WHEN xor({crc}, 4294967295) % 3 = 0 THEN sha256({head} || {enc(low)}) END AS forged FROM documents
+         CASE WHEN {sql_crc32('doc_id::VARCHAR')} % 3 = 0 THEN sha256({head} || {enc(low)}) END AS forged FROM documents
 ), d AS (
   SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM x
 ), {_sql_levels("a", "d", levels)},
