@@ -17,15 +17,21 @@ def test_png_round_trip(data):
     assert media.from_png(media.to_png(media.padded(data))) == media.padded(data)
 
 
-@given(st.lists(st.sampled_from(["", "a", "bb", "ccc", " "]), max_size=30), st.integers(1, 4))
-def test_chunks_are_runs_of_lines_and_hash_by_their_bytes(parts, least):
-    data = "\n".join(parts).encode()
-    by = {}
-    for start, stop, *hashed in lines.chunk_bounds(data, 1, least):
-        chunk = data[start:stop].removesuffix(b"\n")
-        assert start == 0 or data[start - 1 : start] == b"\n"
-        assert sum(bool(x.strip()) for x in chunk.split(b"\n")) == least and by.setdefault(tuple(hashed), chunk) == chunk
-    assert len(lines.chunk_bounds(data, 1, least)) == max(0, sum(bool(x.strip()) for x in parts) - least + 1)
+@given(st.lists(st.lists(st.sampled_from(["", "a", "bb", "ccc", " ", "d", "e"]), max_size=30), max_size=3))
+def test_two_lines_have_the_same_boundary_wherever_they_stand(parts):
+    texts = ["\n".join(p).encode() for p in parts]
+    owner, v, start, stop, before, begins, after, ends = lines.boundaries(texts)
+    by, count = {}, [0] * len(texts)
+    for k in range(len(owner)):
+        for h, a, b in ((before[k], begins[k], stop[k]), (after[k], start[k], ends[k])):
+            if h != -1:
+                chunk = texts[owner[k]][a:b].removesuffix(b"\n")
+                full = [x for x in chunk.split(b"\n") if x.strip()]
+                assert len(full) == 2 and chunk.startswith(full[0]) and chunk.endswith(full[1])
+                assert by.setdefault(chunk, (v[k], h)) == (v[k], h)
+                count[owner[k]] += 1
+    assert len(set(by.values())) == len(by)
+    assert count == [max(0, sum(bool(x.strip()) for x in p) - 1) for p in parts]
 
 
 @settings(deadline=None)

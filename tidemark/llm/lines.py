@@ -1,64 +1,84 @@
 """Line dedup by content-defined chunks of lines.
 
-Lines are hashed, and a rolling hash over the line hashes gives each `least` lines in a row a value. A chunk begins
-wherever that value is a multiple of `divisor`: its boundaries depend on its own lines alone, so they are found again
-wherever a passage is moved, whatever is around it. Chunks may overlap. One that occurs more than once anywhere in the
-corpus is removed but for its first occurrence, after its bytes are compared with the first one's; adjacent repeated
-chunks together are the whole repeated passage.
-
-With a divisor of 1 a chunk begins at every line, and every repeated run of `least` or more lines is found. Chunks that
-do not overlap and end where the rolling hash says so cannot do that: a boundary inside a short run leaves no whole chunk in it.
+Each line that is not blank has a hash, and a line is a boundary if its hash is the least of two neighbours, its own and
+that of the line before or after it. So two lines in a row hold the same boundary wherever they stand and whatever is
+around them, about a third of all lines are none, and a document's boundaries shift with its lines. A boundary that
+occurs only once in the corpus ends there. Those that are repeated grow by a line to each side on which they are the
+lesser one: a chunk of two lines, with a hash rolled over theirs and the blank lines between. A chunk that occurs more
+than once anywhere in the corpus is removed but for its first occurrence, after its bytes are compared with the first
+one's; chunks overlap, and repeated ones that touch are together the whole repeated passage.
+
+Chunks that end where a rolling hash of several lines says so would be fewer, but a boundary inside a short run, or one
+that depends on a line outside of it, leaves no whole chunk in it. Here every repeated run of two or more lines is found.
 """
 
 from __future__ import annotations
 
-import hashlib
-import struct
-
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, filled, slices, table
-
-#: Of the rolling hash: an odd factor, and how many bits it has.
-FACTOR, BITS = 0x9E3779B97F4A7C15F39CC0605CEDC835, 128
-CHUNK = "doc_id long, th long, start long, stop long, h1 long, h2 long"
-
-
-def chunk_bounds(data: bytes, divisor: int = 1, least: int = 2) -> list[tuple[int, int, int, int]]:
-    """(start, stop, h1, h2) of a text's chunks: `least` lines in a row that are not blank, with the blank lines between.
-    start and stop in bytes, line ends included; h1 and h2: halves of the hash, signed."""
-    mask, full, at, rolled = (1 << BITS) - 1, [], 0, 0
-    for k, line in enumerate(data.split(b"\n")):
-        stop, before = min(at + len(line) + 1, len(data)), rolled
-        rolled = (rolled * FACTOR + int.from_bytes(hashlib.md5(line).digest(), "big")) & mask
-        if line.strip(b" \t\r"):
-            full.append((k, at, stop, before, rolled))
-        at = stop
-    found = []
-    for (k, start, _, before, _), (last, _, stop, _, rolled) in zip(full, full[least - 1 :]):
-        value = (rolled - before * pow(FACTOR, last - k + 1, 1 << BITS)) & mask
-        if (value >> 64) % divisor == 0:
-            found.append((start, stop, *struct.unpack(">qq", value.to_bytes(BITS // 8, "big"))))
-    return found
-
-
-def chunks(docs: DataFrame, divisor: int = 1, least: int = 2) -> DataFrame:
-    """CHUNK rows of all chunks, of rows doc_id, th, text."""
+from tidemark.llm.common import Workspace, filled, mix64, slices, table
+
+#: Of the hash that is rolled over a chunk's lines: odd factors of a line and of what is between two lines.
+FACTOR, BETWEEN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BOUNDARY = "doc_id long, th long, v long, start long, stop long, before long, begins long, after long, ends long"
+
+
+def boundaries(texts: list[bytes]) -> list[np.ndarray]:
+    """Columns text, v, start, stop, before, begins, after, ends of the boundaries of some texts: which text, the line's hash and
+    its bytes (line end included); the hash of the chunk with the line before and where that begins; the same after.
+    A chunk that belongs to its other line has a hash of -1 here; of two equal lines the first is the lesser."""
+    owner, hashes, start, stop, between = [], [], [], [], []
+    for k, data in enumerate(texts):
+        at = 0
+        for line in data.split(b"\n"):
+            end = min(at + len(line) + 1, len(data))
+            if line.strip(b" \t\r"):
+                between.append(xxhash.xxh3_64_intdigest(data[stop[-1] : at]) if owner and owner[-1] == k and stop[-1] < at else 0)
+                owner.append(k)
+                hashes.append(xxhash.xxh3_64_intdigest(line))
+                start.append(at)
+                stop.append(end)
+            at = end
+    h, gap = np.array(hashes, np.uint64), np.array(between, np.uint64)
+    owner, start, stop = (np.array(x, np.int64) for x in (owner, start, stop))
+    pair = mix64((mix64(h[:-1] * FACTOR + gap[1:] * BETWEEN) + h[1:]) * FACTOR).view(np.int64)
+    same, first = owner[1:] == owner[:-1], h[:-1] <= h[1:]
+    after, before = np.full(len(h), -1, np.int64), np.full(len(h), -1, np.int64)
+    after[:-1][same & first] = pair[same & first]
+    before[1:][same & ~first] = pair[same & ~first]
+    begins, ends = np.append(start[:1], start[:-1]), np.append(stop[1:], stop[-1:])
+    at = np.flatnonzero((after != -1) | (before != -1))
+    return [x[at] for x in (owner, h.view(np.int64), start, stop, before, begins, after, ends)]
+
+
+def boundary_rows(docs: DataFrame) -> DataFrame:
+    """BOUNDARY rows of rows doc_id, th, text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
-                for doc, th, data in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), filled(part.column("text")).cast(pa.large_binary()).to_pylist()):
-                    rows += [(doc, th, *found) for found in chunk_bounds(data, divisor, least)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows) if rows else [[]] * 6)], ["doc_id", "th", "start", "stop", "h1", "h2"])
+                owner, *found = boundaries(filled(part.column("text")).cast(pa.large_binary()).to_pylist())
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("th").take(take), *map(pa.array, found)], names)
+
+    names = [c.split()[0] for c in BOUNDARY.split(", ")]
+    return docs.mapInArrow(run, BOUNDARY)
+
 
-    return docs.mapInArrow(run, CHUNK)
+def chunks(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(doc_id, th, h1, h2, start, stop) of the chunks at boundaries that occur more than once; start and stop in bytes."""
+    found = work.write(boundary_rows(docs), "boundaries")
+    repeated = work.write(found.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("v"), "repeated")
+    side = lambda h, start, stop: F.struct(F.col(h).alias("h2"), F.col(start).alias("start"), F.col(stop).alias("stop"))
+    grown = found.join(repeated, "v", "left_semi").select("doc_id", "th", F.col("v").alias("h1"), F.explode(F.array(side("before", "begins", "stop"), side("after", "start", "ends"))).alias("s"))
+    return work.write(grown.where("s.h2 <> -1").select("doc_id", "th", "h1", "s.*"), "chunks")
 
 
-def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 1, least: int = 2) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     """All rows and columns of docs, with the text less its repeated chunks, and the counts lines_removed and
     bytes_removed (longs; columns of these names are replaced).
 
@@ -66,14 +86,14 @@ def deduplicated_lines(docs: DataFrame, work: Workspace, divisor: int = 1, least
     the text; a repeat in the same text goes too, even where the two overlap. Rows that agree in doc_id and text are one
     document: their chunks are no repeats of each other. Null texts stay null; texts without repeats keep their bytes.
     Blank lines inside a repeated chunk go with it, those around it stay. A text of which all is removed becomes empty.
-    Each different line stays at least once. Chunks whose 128-bit hash is that of a first chunk with other bytes stay.
+    Each different line stays at least once. Chunks whose hashes are those of a first chunk with other bytes stay.
     Very long texts are one row as any other. doc_id is an integer column.
     """
     made = ("lines_removed", "bytes_removed")
     rest = [c for c in docs.columns if c not in made]
     base = docs.select(*(F.col(f"`{c}`") for c in rest), F.xxhash64("text").alias("__th"))
     own = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__th").alias("th"), "text")
-    found = work.write(chunks(own.where("text IS NOT NULL"), divisor, least), "chunks")
+    found = chunks(own.where("text IS NOT NULL"), work)
     place = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "start")
     several = found.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("h1", "h2", "first")
     several = work.write(several, "several")
