@@ -1,17 +1,19 @@
 """Mixing to target weights with soft membership.
 
 A naive Bayes classifier, learnt from a labelled table, gives each document a posterior over domains, from the telling
-words and word shapes that it has or from having none. Rates, one a document, are fitted so that the expected tokens of
-each domain (rate * tokens * posterior, summed) match targets: nonnegative least squares, drawn to a rate of 1, by
-projected gradient steps, each one aggregation over a narrow table. They start near the minimum, where each rate is 1
-less a weighted sum of the document's tokens by domain, or 0, with one weight a domain; a few Newton steps find these
-weights. The gradient steps end when the totals do not move any more.
+words and word shapes that it has or from having none; what words tell is divided by a temperature that is fitted on
+labels held back. Rates, one a document, are fitted so that the expected tokens of each domain (rate * tokens * posterior,
+summed) match targets: nonnegative least squares, drawn to a rate of 1, by projected gradient steps from rates of 1, each
+one aggregation over a narrow table, until the totals do not move any more. A step is scaled by the Gram matrix of the
+rows whose rates are free (a two-metric projection) and damped until it lowers the sum of squares; where no damping does,
+the steps are scaled by the matrix of all rows from then on, accelerated and restarted.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,8 +26,8 @@ from tidemark.llm.common import Workspace, table, unit_hash
 class Mix:
     """targets: wanted shares of expected tokens by domain, made to sum to 1. The total leaves the
     domain of the largest target as many tokens as it has, so its documents stay; `total_tokens` sets another. max_rate: the greatest rate,
-    without bound if it is infinite; with one, a domain that is too rare for its target stays below it. steps: so many projected gradient
-    steps at most, from rates of 1; None: as many as it takes, from near the minimum. per_class: labelled
+    without bound if it is infinite; with one, a domain that is too rare for its target stays below it. steps: so many gradient
+    steps at most; None: as many as it takes. per_class: labelled
     documents of each domain that the classifier learns from, at most, those of the least keyed hash. buckets: hashed
     words and shapes; telling: the least likelihood ratio statistic (G) of a bucket against the domains, so that hardly one of all
     counts by chance; contrast: how far the log of the share of a domain's documents that have it must be above the next
@@ -37,6 +39,8 @@ class Mix:
     telling: float = 24.0
     contrast: float = 1.5
     ridge: float = 1e-6
+    temperatures: tuple[float, ...] = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0)
+    held: int = 5
     max_rate: float = math.inf
     steps: int | None = None
     total_tokens: float | None = None
@@ -62,9 +66,69 @@ def _bucket(feature: Column, m: Mix) -> Column:
     return F.pmod(F.xxhash64(feature), F.lit(m.buckets)).cast("int")
 
 
-def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """Of rows (key, domain): a table (bucket, w_0..) of each telling bucket's log rates, each domain's log prior, and the
-    log chance that its documents have no telling bucket.
+@dataclass(frozen=True)
+class Classifier:
+    """weights: a table (bucket, w_0..) of each telling bucket's log rates; priors: each domain's log prior; none: the log
+    chance that its documents have no telling bucket; temperature: what a document's sums of weights are divided by."""
+
+    weights: DataFrame
+    priors: dict[str, float]
+    none: dict[str, float]
+    temperature: float = 1.0
+
+
+def _told(used: DataFrame, chosen: DataFrame, work: Workspace, m: Mix, key: str) -> tuple[DataFrame, dict[str, float]]:
+    """The weights and the chances of no telling bucket, of rows (key, domain, bucket) of the chosen documents."""
+    names = sorted(m.targets)
+    sizes = {r["domain"]: float(r["n"]) for r in chosen.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    learnt = [sizes.get(d, 0.0) for d in names]
+    counts = used.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("double")).alias(f"n_{k}") for k, d in enumerate(names)))
+    # documents of each domain that use a bucket, against what the share of all chosen documents would make it
+    every = sum((F.col(f"n_{k}") for k in range(len(names))), F.lit(0.0))
+    share = every / F.lit(max(sum(learnt), 1.0))
+    term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
+    ratio = sum((term(F.col(f"n_{k}"), n * share) + term(n - F.col(f"n_{k}"), n - n * share) for k, n in enumerate(learnt)), F.lit(0.0)) * 2
+    rates = [F.log((F.col(f"n_{k}") + 1) / F.lit(n + 2)) for k, n in enumerate(learnt)]
+    centre = sum(rates, F.lit(0.0)) / len(names)
+    ranked = F.sort_array(F.array(*rates), asc=False)
+    apart = F.coalesce(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)), F.lit(0.0))
+    weights = work.write(counts.where((ratio >= m.telling) & (apart >= m.contrast)).select("bucket", *((w - centre).alias(f"w_{k}") for k, w in enumerate(rates))), "weights")
+    some = {r["domain"]: r["n"] for r in used.join(F.broadcast(weights), "bucket", "left_semi").groupBy("domain").agg(F.countDistinct(key).alias("n")).collect()}
+    return weights, {d: math.log((n - some.get(d, 0) + 1) / (n + 2)) for d, n in zip(names, learnt)}
+
+
+def _temperature(used: DataFrame, chosen: DataFrame, priors: dict[str, float], work: Workspace, m: Mix, key: str) -> float:
+    """The temperature of the least log loss on the chosen documents that are held back, by what the others teach; a
+    domain's documents weigh as much as its prior. 1 if nothing is held back."""
+    names = sorted(m.targets)
+    back = F.pmod(F.xxhash64(F.lit(m.seed + 1).cast("long"), F.col(key)), F.lit(m.held)) == 0
+    weights, none = _told(used.where(~back), chosen.where(~back), work, m, key)
+    sums = used.where(back).join(F.broadcast(weights), "bucket").groupBy(key).agg(*(F.sum(f"w_{k}").alias(f"s_{k}") for k in range(len(names))))
+    held = work.write(chosen.where(back).join(sums, key, "left"), "held")
+    sizes = {r["domain"]: r["n"] for r in held.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return 1.0
+    own = lambda values: reduce(lambda c, x: c.when(F.col("domain") == x[0], x[1]), list(zip(names, values))[1:], F.when(F.col("domain") == names[0], values[0]))
+    heavy = own([F.lit(math.exp(priors[d]) / max(sizes.get(d, 0), 1)) for d in names])
+    losses = [F.sum(-F.log(F.greatest(own(_softmax(_logits(priors, none, m, t))), F.lit(1e-12))) * heavy).alias(f"t{i}") for i, t in enumerate(m.temperatures)]
+    row = held.agg(*losses).first()
+    return min(m.temperatures, key=lambda t: (row[f"t{m.temperatures.index(t)}"], t))
+
+
+def _logits(priors: dict[str, float], none: dict[str, float], m: Mix, temperature: float) -> list[Column]:
+    """Of sums s_0.. of weights, null where there is no telling bucket."""
+    return [F.coalesce(F.col(f"s_{k}") / F.lit(temperature), F.lit(none[d])) + F.lit(priors[d]) for k, d in enumerate(sorted(m.targets))]
+
+
+def _softmax(logits: list[Column]) -> list[Column]:
+    top = F.greatest(*logits)
+    raised = [F.exp(F.greatest(x - top, F.lit(-700.0))) for x in logits]
+    total = sum(raised, F.lit(0.0))
+    return [e / total for e in raised]
+
+
+def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: str = "doc_id", text: str = "text") -> Classifier:
+    """Of rows (key, domain).
 
     The chosen keys are at most per_class for each target domain and the table has at most `buckets` rows, so both may be
     broadcast at any size of the input. A key with several domains teaches the least of them; null keys, domains without a target
@@ -80,117 +144,121 @@ def learn(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix, key: st
     for d in names:
         part = clean.where(F.col("domain") == d).orderBy(unit_hash(F.col(key), seed=m.seed), key).limit(m.per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = work.write(chosen, "chosen")
     features = docs.select(F.col(key), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), key).select(key, "domain", F.explode(_features(F.col("text"))).alias("feature")).where("feature <> ''")
     used = work.write(features.select(key, "domain", _bucket(F.col("feature"), m).alias("bucket")).distinct(), "used")
-    counts = used.groupBy("bucket").agg(*(F.sum((F.col("domain") == d).cast("double")).alias(f"n_{k}") for k, d in enumerate(names)))
-    # documents of each domain that use a bucket, against what the share of all chosen documents would make it
-    learnt = [float(min(sizes.get(d, 0), m.per_class)) for d in names]
-    every = sum((F.col(f"n_{k}") for k in range(len(names))), F.lit(0.0))
-    share = every / F.lit(max(sum(learnt), 1.0))
-    term = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    ratio = sum((term(F.col(f"n_{k}"), n * share) + term(n - F.col(f"n_{k}"), n - n * share) for k, n in enumerate(learnt)), F.lit(0.0)) * 2
-    rates = [F.log((F.col(f"n_{k}") + 1) / F.lit(n + 2)) for k, n in enumerate(learnt)]
-    centre = sum(rates, F.lit(0.0)) / len(names)
-    ranked = F.sort_array(F.array(*rates), asc=False)
-    apart = F.coalesce(F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1)), F.lit(0.0))
-    weights = work.write(counts.where((ratio >= m.telling) & (apart >= m.contrast)).select("bucket", *((w - centre).alias(f"w_{k}") for k, w in enumerate(rates))), "weights")
-    some = {r["domain"]: r["n"] for r in used.join(F.broadcast(weights), "bucket", "left_semi").groupBy("domain").agg(F.countDistinct(key).alias("n")).collect()}
-    none = {d: math.log((n - some.get(d, 0) + 1) / (n + 2)) for d, n in zip(names, learnt)}
-    return weights, priors, none
+    weights, none = _told(used, chosen, work, m, key)
+    return Classifier(weights, priors, none, _temperature(used, chosen, priors, work, m, key))
 
 
-def posteriors(docs: DataFrame, weights: DataFrame, priors: dict[str, float], none: dict[str, float], m: Mix, keys: list[str], text: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: Classifier, m: Mix, keys: list[str], text: str = "text") -> DataFrame:
     """keys, n_tokens and p_0.. of each row of docs; rows that agree in their keys and text are one row here.
 
     A document without any telling bucket has the chance of just that as evidence: what lacks together would count many
     times if each absence were a factor of its own. Null, empty and blank texts have no tokens and no telling bucket.
-    `weights` has at most m.buckets rows.
+    `model.weights` has at most m.buckets rows. A text is read once: a row without a feature, for a bucket of -1 that
+    tells nothing, carries its tokens.
     """
-    names = sorted(m.targets)
+    k = range(len(m.targets))
     given = F.col(f"`{text}`")
-    sizes = docs.select(*keys, F.regexp_count(F.coalesce(given, F.lit("")), F.lit("[^ \\n\\t\\r]+")).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n_tokens"))
+    tokens = F.regexp_count(F.coalesce(given, F.lit("")), F.lit("[^ \\n\\t\\r]+"))
+    each = docs.select(*keys, tokens.alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), _features(given))).alias("feature")).where("feature IS NULL OR feature <> ''")
+    rows = each.select(*keys, F.when(F.col("feature").isNull(), F.col("n")).alias("n"), F.when(F.col("feature").isNull(), F.lit(-1)).otherwise(_bucket(F.col("feature"), m)).alias("bucket"))
+    spark = docs.sparkSession
+    none = spark.range(1).select(F.lit(-1).alias("bucket"), *(F.lit(None).cast("double").alias(f"w_{i}") for i in k))
     # few buckets tell, so few rows are left to be shuffled; one tells once however often a text has it
-    told = docs.select(*keys, F.explode(_features(given)).alias("feature")).where("feature <> ''").select(*keys, _bucket(F.col("feature"), m).alias("bucket")).join(F.broadcast(weights), "bucket")
-    sums = told.distinct().groupBy(*keys).agg(*(F.sum(f"w_{k}").alias(f"s_{k}") for k in range(len(names))))
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
-    sums = sizes.join(sums.withColumnsRenamed({c: f"__{c}" for c in keys}), same, "left").withColumns({f"s_{k}": F.coalesce(f"s_{k}", F.lit(none[d])) for k, d in enumerate(names)})
-    logits = [F.col(f"s_{k}") + F.lit(priors[d]) for k, d in enumerate(names)]
-    top = F.greatest(*logits)
-    raised = [F.exp(F.greatest(x - top, F.lit(-700.0))) for x in logits]
-    total = sum(raised, F.lit(0.0))
-    return sums.select(*keys, "n_tokens", *((e / total).alias(f"p_{k}") for k, e in enumerate(raised)))
+    told = rows.join(F.broadcast(model.weights.unionByName(none)), "bucket").groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), *(F.max(f"w_{i}").alias(f"w_{i}") for i in k))
+    sums = told.groupBy(*keys).agg(F.sum("n").alias("n_tokens"), *(F.sum(f"w_{i}").alias(f"s_{i}") for i in k))
+    return sums.select(*keys, "n_tokens", *(p.alias(f"p_{i}") for i, p in enumerate(_softmax(_logits(model.priors, model.none, m, model.temperature)))))
 
 
 def fit(light: DataFrame, work: Workspace, m: Mix) -> tuple[DataFrame, dict]:
     """light with each row's rate, and what was reached. light (n_tokens, p_0..) is read in each step, so it should be a written table.
 
-    Rates of several gradient steps are one chain of arithmetic; a longer one would not be compiled, so they are written now and then.
+    Rates of several scaled steps are one chain of arithmetic; a longer one would not be compiled, so they are written now
+    and then. An accelerated step refers to two earlier rates, so each of these is written.
     """
     names = sorted(m.targets)
     k = range(len(names))
     mass = [F.col("n_tokens") * F.col(f"p_{i}") for i in k]
-    first = light.agg(*(F.sum(a).alias(f"t_{i}") for i, a in enumerate(mass)), *(F.sum(a * b).alias(f"g_{i}_{j}") for i, a in enumerate(mass) for j, b in enumerate(mass))).first()
-    natural = [float(first[f"t_{i}"] or 0.0) for i in k]
+    first = light.agg(*(F.sum(a).alias(f"t_{i}") for i, a in enumerate(mass)), *(F.sum(mass[i] * mass[j]).alias(f"g_{i}_{j}") for i in k for j in k[i:])).first()
+    value = lambda row, name: float(row[name] or 0.0)
+    square = lambda row: np.array([[value(row, f"g_{min(i, j)}_{max(i, j)}") for j in k] for i in k])
+    natural = np.array([value(first, f"t_{i}") for i in k])
     wanted = [m.targets[d] / sum(m.targets.values()) for d in names]
     anchor = max(k, key=lambda i: (wanted[i], -i))
     total = m.total_tokens if m.total_tokens is not None else natural[anchor] / wanted[anchor]
-    goal = [w * total for w in wanted]
+    goal = np.array(wanted) * total
     # the residual is measured in the inverse of the domains' Gram matrix, in which the least squares have a slope of at
     # most 1; a hundredth of its trace is added, lest a domain that hardly occurs outweighs the others
-    gram = np.array([[float(first[f"g_{i}_{j}"] or 0.0) for j in k] for i in k])
-    widened = gram + max(0.01 * float(np.trace(gram)), 1e-300) * np.eye(len(names))
-    near = 1e-6 * max(total, 1.0)
-    inverse = np.linalg.inv(widened)
-    step, rate, reached, newton = 1 / (1 + m.ridge), F.lit(1.0), natural, 0
-    if m.steps is None:
-        rate, reached, newton = _minimum(light, mass, widened, goal, m, near)
-        light, rate = work.write(light.withColumn("rate", rate), "rates"), F.col("rate")
-    done = 0
-    for done in range(1, (m.steps or 1000) + 1):
-        pull = inverse @ (np.array(reached) - np.array(goal))
-        slope = sum((a * F.lit(float(step * x)) for a, x in zip(mass, pull)), F.lit(0.0))
-        if done % 6 == 0:
-            light, rate = work.write(light.withColumn("rate", rate), "rates"), F.col("rate")
-        rate = F.least(F.lit(m.max_rate), F.greatest(F.lit(0.0), rate * F.lit(1 - step * m.ridge) - slope + F.lit(step * m.ridge)))
-        row = light.agg(*(F.sum(rate * a).alias(f"t_{i}") for i, a in enumerate(mass))).first()
-        before, reached = reached, [float(row[f"t_{i}"] or 0.0) for i in k]
-        if all(abs(a - b) <= near for a, b in zip(before, reached)):
-            break
-    return light.withColumn("rate", rate), {"domains": names, "natural": natural, "goal": goal, "reached": reached, "steps": done, "newton": newton}
-
-
-def _minimum(light: DataFrame, mass: list[Column], widened: np.ndarray, goal: list[float], m: Mix, near: float) -> tuple[Column, list[float], int]:
-    """Where the gradient steps start: the rate that minimises the least squares, the totals it reaches and the aggregations made.
-
-    Its dual has one variable a domain and is convex and smooth: ridge / 2 z'Hz + goal z + the sum of phi(1 - mass z), where
-    phi' holds its argument between 0 and max_rate and is the rate. Newton steps are halved until they descend; they end
-    when the slope, in tokens, is at most `near` for each domain.
-    """
-    k = range(len(goal))
-    z = before = np.zeros(len(goal))
-    step, value, slope = np.zeros(len(goal)), math.inf, np.zeros(len(goal))
-    for done in range(1, 1001):
-        u = F.lit(1.0) - sum((a * F.lit(float(x)) for a, x in zip(mass, z)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), u) if math.isinf(m.max_rate) else F.least(F.lit(m.max_rate), F.greatest(F.lit(0.0), u))
-        free = ((u > 0) & (u < m.max_rate)).cast("double")
-        row = light.agg(
-            F.sum(rate * u - rate * rate / 2).alias("phi"),
+    gram, one = square(first), np.eye(len(names))
+    trace = max(float(np.trace(gram)), 1e-30)
+    metric = gram + 0.01 * trace * one
+    inverse = np.linalg.inv(metric)
+    near, least = 1e-7 * max(total, 1.0), 1 / (1 + m.ridge)
+
+    def moved(start: Column, pull: np.ndarray, size: float) -> Column:
+        slope = sum((a * F.lit(float(size * x)) for a, x in zip(mass, pull)), F.lit(0.0))
+        to = F.greatest(F.lit(0.0), start * F.lit(1 - size * m.ridge) - slope + F.lit(size * m.ridge))
+        return to if math.isinf(m.max_rate) else F.least(F.lit(m.max_rate), to)
+
+    def measured(df: DataFrame, rate: Column) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+        """Totals, the sum of squares that is minimised, and of the rows whose rates are free the Gram matrix and how far their totals are from those at rates of 1."""
+        free = ((rate > 0) & (rate < m.max_rate)).cast("double")
+        row = df.agg(
+            F.sum((rate - 1) * (rate - 1)).alias("far"),
             *(F.sum(rate * a).alias(f"t_{i}") for i, a in enumerate(mass)),
+            *(F.sum(free * (rate - 1) * a).alias(f"q_{i}") for i, a in enumerate(mass)),
             *(F.sum(free * mass[i] * mass[j]).alias(f"g_{i}_{j}") for i in k for j in k[i:]),
         ).first()
-        reached = [float(row[f"t_{i}"] or 0.0) for i in k]
-        now = float(m.ridge / 2 * z @ widened @ z + np.dot(goal, z) + (row["phi"] or 0.0))
-        if now > value + 1e-4 * float(slope @ step) + 1e-10 * abs(value) and np.abs(step).max() > 1e-15 * np.abs(before).max():
-            step = step / 2
-            z = before + step
+        totals = np.array([value(row, f"t_{i}") for i in k])
+        return totals, float((totals - goal) @ inverse @ (totals - goal) + m.ridge * value(row, "far")) / 2, square(row), np.array([value(row, f"q_{i}") for i in k])
+
+    kept: list[DataFrame] = []
+
+    def written(df: DataFrame) -> DataFrame:
+        kept.append(work.write(df, "rates"))
+        for old in kept[:-2]:
+            work.drop(old)
+        del kept[:-2]
+        return kept[-1]
+
+    rate, reached, free, moves = F.lit(1.0), natural, gram, 0 * natural
+    far = float((natural - goal) @ inverse @ (natural - goal)) / 2
+    done, settled, most, damping = 0, False, m.steps or 1000, 1e-6
+    while done < most and not settled and damping <= 1:
+        done += 1
+        if done % 6 == 0:
+            light, rate = written(light.withColumn("rate", rate)), F.col("rate")
+        # the gradient, scaled by 1 + mass * more * mass on the free rows: zero where the gradient is
+        scale = np.linalg.inv(free + damping * trace * one)
+        more = (scale @ metric - one) @ scale
+        to = moved(rate, scale @ (reached - goal) + m.ridge * more @ moves, 1.0)
+        totals, now, *after = measured(light, to)
+        settled = damping < 1e-3 and bool(np.abs(totals - reached).max() <= near)
+        if now >= far and not settled:  # too long a step
+            damping *= 10
+            continue
+        damping = max(1e-6, damping / 10)
+        rate, reached, far, (free, moves) = to, totals, now, after
+    if done < most and not settled:
+        light = written(light.withColumn("rate", rate))
+        rate = ahead = F.col("rate")
+        lead, speed = reached, 1.0
+    while done < most and not settled:
+        done += 1
+        light = written(light.select("*", moved(ahead, inverse @ (lead - goal), least).alias("to")))
+        totals, now, *_ = measured(light, F.col("to"))
+        if now > far and speed > 1:  # too far ahead: start again from the rates themselves
+            light, ahead, lead, speed = light.drop("to", "ahead"), rate, reached, 1.0
             continue
-        before, value, slope = z, now, m.ridge * widened @ z + np.array(goal) - np.array(reached)
-        if np.abs(slope).max() <= near:
-            return rate, reached, done
-        curve = np.array([[float(row[f"g_{min(i, j)}_{max(i, j)}"] or 0.0) for j in k] for i in k])
-        step = -np.linalg.solve(m.ridge * widened + curve, slope)
-        z = before + step
-    raise ArithmeticError("the fit of the rates did not converge")
+        faster = (1 + math.sqrt(1 + 4 * speed * speed)) / 2
+        by = (speed - 1) / faster
+        settled = bool(np.abs(totals - reached).max() <= near)
+        light = light.select(*(c for c in light.columns if c not in ("rate", "to", "ahead")), F.col("to").alias("rate"), (F.col("to") + F.lit(by) * (F.col("to") - F.col("rate"))).alias("ahead"))
+        ahead, lead, reached, far, speed = F.col("ahead"), totals + by * (totals - reached), totals, now, faster
+    rated = light.withColumn("rate", rate).drop("ahead", "to")
+    return rated, {"domains": names, "natural": natural.tolist(), "goal": goal.tolist(), "reached": reached.tolist(), "steps": done}
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix | None = None, text: str = "text") -> tuple[DataFrame, dict]:
@@ -202,8 +270,8 @@ def mixed(docs: DataFrame, labelled: DataFrame, work: Workspace, m: Mix | None =
     m = m or Mix()
     names = sorted(m.targets)
     keyed = docs.select("doc_id", F.xxhash64(text).alias("th"), F.col(f"`{text}`").alias("text"))
-    weights, priors, none = learn(docs, labelled, work, m, text=text)
-    light = work.write(posteriors(keyed, weights, priors, none, m, ["doc_id", "th"]), "posteriors")
+    model = learn(docs, labelled, work, m, text=text)
+    light = work.write(posteriors(keyed, model, m, ["doc_id", "th"]), "posteriors")
     rated, found = fit(light, work, m)
     copies = (F.floor("rate") + (unit_hash(F.col("doc_id"), F.col("th"), seed=m.seed) < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
     return rated.select("doc_id", "th", "n_tokens", *(F.col(f"p_{k}").alias(f"p_{d}") for k, d in enumerate(names)), "rate", copies.alias("copies")), found
