@@ -814,6 +814,37 @@ def test_manifests_hold_changes_and_every_so_often_all(spark, monkeypatch):
     assert store.vacuum(keep=2) == 0 and store.read(6).count() == 6 and store.vacuum() == 6 and store.read().count() == 6
 
 
+def test_vacuum_leaves_what_a_writer_has_not_committed_yet(spark):
+    store, other = (shards.ShardStore(spark, Workspace(spark, "t").path) for _ in range(2))
+    other.folder = store.folder
+    rows = docs(spark, ODD)
+    store.append(rows)
+    new = store._written(rows, 2)
+    assert other.vacuum() == 0
+    assert store.commit(1, new, set(), rows.schema) == 2 and store.read().count() == 2 * len(ODD)
+    assert other.vacuum() == 0 and not list(other.fs.listStatus(other._path(f"{store.folder}/leases")))
+    # a writer that is gone: its lease runs out, and it cannot commit afterwards
+    late = store._written(rows, 3)
+    assert other.vacuum(lease=-5) == len(late)
+    with pytest.raises(shards.CommitConflict):
+        store.commit(2, late, set(), rows.schema)
+    assert store.read().count() == 2 * len(ODD)
+    # one that lost to another leaves files that go
+    lost = store._written(rows, 3)
+    other.append(rows)
+    with pytest.raises(shards.CommitConflict):
+        store.commit(2, lost, set(), rows.schema)
+    assert other.vacuum() == len(lost) and store.read().count() == 3 * len(ODD)
+
+
+def test_an_older_version_has_its_own_schema(spark):
+    store = shards.ShardStore(spark, Workspace(spark, "t").path)
+    store.append(docs(spark, ODD))
+    wider = docs(spark, ODD).withColumn("more", F.lit(1))
+    store.commit(1, store._written(wider, 2), {s.path for s in store.live()}, wider.schema)
+    assert store.read(1).columns == docs(spark, []).columns and store.read().columns == wider.columns
+
+
 def test_shards_of_an_empty_table(spark):
     store = shards.ShardStore(spark, Workspace(spark, "t").path)
     store.append(docs(spark, []))

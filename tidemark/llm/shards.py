@@ -4,12 +4,14 @@ Layout of a store's folder:
     data/<part>/*.parquet       immutable shards; a file never changes after its manifest is committed
     manifests/<version>.json    one line for each shard that came or went, and in each FULL_EVERY-th one for each live shard;
                                 a version appears by one rename and is never replaced
+    leases/<part>               a writer's, from before its first file until its commit; vacuum() leaves such parts alone
 Readers take the newest manifest, so a job that fails or an executor that is lost leaves only files that none names.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
@@ -81,17 +83,21 @@ class ShardStore:
         """The newest version up to this one whose manifest names all live shards."""
         return max(1, version // FULL_EVERY * FULL_EVERY)
 
-    def schema(self) -> StructType:
-        """The rows' schema, which is the first line of each manifest."""
-        return StructType.fromJson(json.loads(self._manifest(self.version())[0])["schema"])
+    def schema(self, version: int | None = None) -> StructType:
+        """The rows' schema in a version, which is the first line of its manifest."""
+        return StructType.fromJson(json.loads(self._manifest(self.version() if version is None else version)[0])["schema"])
 
     def commit(self, base: int, new: list[Shard], gone: set[str], schema: StructType) -> int:
         """Writes the next manifest under a name of its own, then renames it. Raises CommitConflict if base is not the newest version any more."""
         version = base + 1
         final = self._path(f"{self.folder}/manifests/{version:010d}.json")
         temp = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
+        parts = {s.path.split("/")[1] for s in new}
         if self.version() != base or self.fs.exists(final):
+            self._release(parts)
             raise CommitConflict(f"version {version} is there")
+        if not all(self.fs.exists(self._lease(p)) for p in parts):
+            raise CommitConflict("a lease ran out before its files were committed")
         full = self._full_before(version) == version
         named = [s for s in self.live(base) if s.path not in gone] + new if full else new
         lines = [{"version": version, "schema": schema.jsonValue()}, *(asdict(s) for s in sorted(named, key=lambda s: s.path)), *({"gone": path} for path in sorted(gone) if not full)]
@@ -100,13 +106,29 @@ class ShardStore:
             out.write("".join(json.dumps(line) + "\n" for line in lines).encode())
         finally:
             out.close()
-        # rename() of a local or HDFS file onto one that exists fails or is caught by the test above; a store
-        # without such a rename needs a lock around this call
-        if not self.fs.rename(temp, final):
+        # one step on HDFS; a store without such a rename needs a lock around this call
+        try:
+            self._rename(temp, final)
+        except Exception as e:
             self.fs.delete(temp, False)
-            raise CommitConflict(f"version {version} is there")
+            raise CommitConflict(f"version {version} is there") from e
+        finally:
+            self._release(parts)
         return version
 
+    def _rename(self, source, target) -> None:
+        """Onto a name that must be free; a local disk tests it first."""
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(source, target, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+
+    def _lease(self, part: str):
+        return self._path(f"{self.folder}/leases/{part}")
+
+    def _release(self, parts: set[str]) -> None:
+        for p in parts:
+            self.fs.delete(self._lease(p), False)
+
     def tier_of(self, size: int) -> int:
         """0 below least_bytes, then one more for each power of fanout, and the last one for shards of target size."""
         if size >= self.target_bytes // 2:
@@ -117,8 +139,10 @@ class ShardStore:
         return tier
 
     def _written(self, df: DataFrame, version: int, arrival: str | None = None) -> list[Shard]:
-        """Writes each task's rows as a file, or as one for each value of a column, and lists the files."""
-        place = f"{self.folder}/data/{version:010d}-{uuid.uuid4().hex}"
+        """Writes each task's rows as a file, or as one for each value of a column, and lists the files. They have a lease until they are committed."""
+        part = f"{version:010d}-{uuid.uuid4().hex}"
+        place = f"{self.folder}/data/{part}"
+        self.fs.create(self._lease(part), False).close()
         if arrival is None:
             df.write.parquet(place)
         else:
@@ -184,16 +208,28 @@ class ShardStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
-        shards, schema = self.live(version), self.schema()
+        shards, schema = self.live(version), self.schema(version)
         return self._rows(shards, schema) if shards else self.spark.createDataFrame([], schema)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes the shards that none of the newest `keep` manifests names, and the older manifests. Returns how many files went."""
+    def vacuum(self, keep: int = 1, lease: float = 86_400.0) -> int:
+        """Deletes the shards that none of the newest `keep` manifests names, and the older manifests. Returns how many files went.
+
+        Files whose writer has a lease stay, unless it is older than `lease` seconds: then it goes first, so that its writer
+        cannot commit any more. Files are listed before leases and these before manifests, so a file without a lease here
+        has been committed before the manifests are read, or never will be.
+        """
+        files = self._listed(f"{self.folder}/data", 0)
+        place, open_ = self._path(f"{self.folder}/leases"), set()
+        for s in self.fs.listStatus(place) if self.fs.exists(place) else []:
+            if s.getModificationTime() < (time.time() - lease) * 1000:
+                self.fs.delete(s.getPath(), False)
+            else:
+                open_.add(s.getPath().getName())
         newest = self.version()
         named = {s.path for v in range(max(1, newest - keep + 1), newest + 1) for s in self.live(v)}
         gone = 0
-        for s in self._listed(f"{self.folder}/data", 0):
-            if s.path not in named:
+        for s in files:
+            if s.path not in named and s.path.split("/")[1] not in open_:
                 gone += bool(self.fs.delete(self._path(f"{self.folder}/{s.path}"), False))
         for v in range(1, self._full_before(max(1, newest - keep + 1))):
             self.fs.delete(self._path(f"{self.folder}/manifests/{v:010d}.json"), False)
@@ -201,12 +237,18 @@ class ShardStore:
 
 
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents arrive in four batches that are appended, compacted and read back by the manifest: one row a document."""
+    """Documents arrive in four batches, each of which is a version; after each second one they are compacted, and what
+    no version needs any more goes. Read back by the newest manifest: one row a document."""
     docs = table(spark, sf_dir, "documents")
+    docs = docs.withColumn("batch", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)))
     store = ShardStore(spark, Workspace(spark, "shards").path)
-    store.append(docs.withColumn("batch", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4))), "batch")
+    for k in range(4):
+        store.append(docs.where(F.col("batch") == k), "batch")
+        if k % 2:
+            store.compact()
+            store.vacuum()
     text = F.coalesce("text", F.lit(""))
-    return store.read(store.compact()).select("doc_id", "batch", F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("text_sha256"))
+    return store.read().select("doc_id", "batch", F.length(text).cast("long").alias("chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 OP10_SQL = """
