@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark import registry
-from tidemark.plans import aggregates, chunks, curation, events, ranking, relations, scans, sessions, streams, texts, vectors  # noqa: F401
+from tidemark.plans import aggregates, chunks, contracts, curation, events, ranking, relations, scans, sessions, streams, texts, vectors  # noqa: F401
 
 FLAGSHIP = "knn_prefilter"
 

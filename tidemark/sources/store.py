@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,18 @@ class Conflict(RuntimeError):
     """Another writer came first."""
 
 
+def rename_onto_free(spark: SparkSession, source, target) -> None:
+    """Renames a file onto a name that must be free, else raises. One step on HDFS; on a local disk the name is tested first."""
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    context.rename(source, target, spark.sparkContext._gateway.new_array(kinds, 0))
+
+
 class Pointer:
-    """A dataset that is replaced whole: a new version is written beside the old one, then a numbered file that names it is
-    made. A number is made once only, by an exclusive create, so of two writers on one version the second fails."""
+    """A dataset that is replaced whole: a new version is written beside the old one, then a numbered file that names it
+    appears by the rename of a whole file onto a name that must be free. So of two writers on one version the second fails,
+    and a writer that dies at any step leaves files that no number names and that block nobody; vacuum() removes them."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -52,11 +62,10 @@ class Pointer:
             stream.close()
 
     def number(self) -> int:
-        """The newest whole version, 0 before the first. A pointer whose writer has not named its data yet does not count."""
+        """The newest version, 0 before the first."""
         place = self._path(f"{self.path}/pointers")
-        names = [s.getPath().getName() for s in self.fs.listStatus(place)] if self.fs.exists(place) else []
-        numbers = sorted((int(n) for n in names if n.isdigit()), reverse=True)
-        return next((n for n in numbers if self._named(n)), 0)
+        names = [x.getPath().getName() for x in self.fs.listStatus(place)] if self.fs.exists(place) else []
+        return max((int(n) for n in names if n.isdigit()), default=0)
 
     def current(self) -> str | None:
         number = self.number()
@@ -67,18 +76,31 @@ class Pointer:
         number = (self.number() if base is None else base) + 1
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.path}/data/{name}")
-        place = self._path(f"{self.path}/pointers/{number:010d}")
-        if self.fs.exists(place):
-            raise Conflict(f"version {number} is there")
-        try:
-            out = self.fs.create(place, False)
-        except Exception as e:
-            raise Conflict(f"version {number} is there") from e
+        temp = self._path(f"{self.path}/pointers/.{name}")
+        out = self.fs.create(temp, False)
         try:
             out.write(f"{name}\n".encode())
         finally:
             out.close()
+        try:
+            rename_onto_free(self.spark, temp, self._path(f"{self.path}/pointers/{number:010d}"))
+        except Exception as e:
+            self.fs.delete(temp, False)
+            raise Conflict(f"version {number} is there") from e
         return number
 
+    def vacuum(self, keep: int = 1, grace: float = 86_400.0) -> int:
+        """Deletes the data of versions before the newest `keep`, and what writers without a version left more than `grace` seconds ago;
+        returns how many folders went. A writer must not take longer than that."""
+        place = self._path(f"{self.path}/data")
+        found = {x.getPath().getName(): x.getModificationTime() for x in self.fs.listStatus(place)} if self.fs.exists(place) else {}
+        newest = self.number()
+        old = {self._named(n) for n in range(1, newest - keep + 1) if self.fs.exists(self._path(f"{self.path}/pointers/{n:010d}"))}
+        kept = {self._named(n) for n in range(max(1, newest - keep + 1), newest + 1)}
+        gone = [n for n, at in found.items() if n in old or n not in kept and at < (time.time() - grace) * 1000]
+        for n in gone:
+            self.fs.delete(self._path(f"{self.path}/data/{n}"), True)
+        return len(gone)
+
     def read(self, schema: T.StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.current())
