@@ -96,6 +96,58 @@ def test_percentiles_by_rank_equal_numpy(spark, nearest):
         assert p == pytest.approx(values[int(np.ceil(0.95 * len(values))) - 1] if nearest else np.percentile(values, 95))
 
 
+def test_percentiles_of_ties_nulls_and_extremes(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, float(v)) for k, n in (("a", 3000), ("b", 1), ("c", 2), (None, 50)) for v in np.where(rng.random(n) < 0.6, 0.0, rng.normal(size=n))] + [("d", None), ("a", None), ("e", float("inf")), ("e", -1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    by = {}
+    for k, v in rows:
+        if v is not None:
+            by.setdefault(k, []).append(v)
+    for share in (0.0, 0.3, 0.5, 0.95, 1.0):
+        for nearest in (True, False):
+            found = {r["k"]: r["p"] for r in ordered.percentile(df, ["k"], "v", share, "p", nearest, accuracy=100).collect()}
+            assert set(found) == set(by)
+            for k, v in by.items():
+                if not nearest and k == "e":
+                    continue
+                assert found[k] == pytest.approx(sorted(v)[max(1, int(np.ceil(share * len(v)))) - 1] if nearest else np.percentile(v, 100 * share), abs=1e-12)
+
+
+def test_window_percentiles_of_any_length():
+    rng = np.random.default_rng(7)
+    for n, last in ((1, 1), (50, 1), (500, 7), (60_000, 20_000)):
+        v = np.where(rng.random(n) < 0.1, np.nan, rng.choice([*rng.normal(size=300), 0.0, 0.0], n))
+        found = ordered.window_percentiles(v, last, 0.95)
+        for i in (range(n) if n < 1000 else rng.integers(0, n, 40)):
+            seen = v[max(0, i - last + 1) : i + 1]
+            seen = seen[~np.isnan(seen)]
+            assert np.isnan(found[i]) if not len(seen) else found[i] == pytest.approx(np.percentile(seen, 95))
+
+
+def test_sessions_across_ranges(spark):
+    rng = random.Random(8)
+    rows, t = [], 0
+    for k in range(3000):
+        t += rng.choice([1, 5, 29, 30, 31, 90])
+        rows.append((rng.choice([1, 1, 1, 2, None]), t, k))
+    df = spark.createDataFrame(rows, "u int, m int, id int").withColumn("ts", F.timestamp_seconds(F.col("m") * 60))
+    found = {r["id"]: r["session"] for r in ordered.sessions(df, ["u"], ["ts", "id"], "ts", "30 MINUTES").collect()}
+    last, number = {}, {}
+    for u, m, k in rows:
+        number[u] = number.get(u, 0) + (u not in last or m - last[u] > 30)
+        last[u] = m
+        assert found[k] == number[u]
+
+
+def test_scratch_removes_what_is_made_inside(spark, tmp_path):
+    with files.scratch(spark):
+        path = files.write_jsonl(spark.range(3), spark, "gone")
+        assert spark.read.json(path).count() == 3
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def test_sliding_percentiles_equal_numpy(spark):
     rng = random.Random(10)
     rows = [(k, i + 1, None if rng.random() < 0.2 else float(rng.randrange(30))) for k in "ab" for i in range(130)] + [("c", 1, None), ("d", 1, 2.0)]

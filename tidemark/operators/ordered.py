@@ -66,32 +66,83 @@ def sliding(df: DataFrame, keys: list[str], nth: str, last: int, value: Column,
     return rows.withColumn(name, value.over(w)).where(F.col("__block") == place).drop("__block")
 
 
+def sessions(df: DataFrame, keys: list[str], order: list[str], at: str, gap: str, name: str = "session") -> DataFrame:
+    """Adds the number (from 1) of each row's session among those of its keys: a row that comes later than `gap`, such as
+    30 minutes, after the row before begins one.
+
+    Dealt once by ranges, as in running(): of each range and key in it, one row tells its first and last time and how many
+    sessions begin inside; whether its first row begins one, and how many there were before, comes from the ranges before it.
+    """
+    path, c = folder(df.sparkSession, "sessions"), F.col
+    made = df.repartitionByRange(*keys, *order).withColumn("__g", F.struct(*keys, F.spark_partition_id().alias("__part")))
+    made.write.parquet(path)
+    here = W.partitionBy("__g").orderBy(*order)
+    fresh = lambda now, then: F.when(now <= then + F.expr(f"INTERVAL {gap}"), 0).otherwise(1).cast("long")
+    inner = F.when(F.row_number().over(here) == 1, F.lit(0).cast("long")).otherwise(fresh(c(at), F.lag(at).over(here)))
+    rows = df.sparkSession.read.schema(made.schema).parquet(path).withColumn("__fresh", inner)
+    place = F.struct(*order)
+    parts = rows.groupBy("__g").agg(F.sum("__fresh").alias("__inside"), F.min_by(at, place).alias("__first"), F.max_by(at, place).alias("__last"))
+    earlier = W.partitionBy(*(c("__g")[k] for k in keys)).orderBy(c("__g")["__part"])
+    parts = parts.withColumn("__begins", fresh(c("__first"), F.lag("__last").over(earlier)))
+    before = F.coalesce(F.sum(c("__inside") + c("__begins")).over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("__g", (before + c("__begins")).alias("__base"))
+    return rows.join(parts, "__g").withColumn(name, c("__base") + F.sum("__fresh").over(here)).select(*(c(f"`{x}`") for x in df.columns if x != name), name)
+
+
+class RankIndex:
+    """The k-th least of any slice of an array, for many slices at once: a wavelet matrix over the values' ranks. A level for
+    each bit of a rank, each one array operation over all slices, so a slice's length does not matter."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels, codes = [], np.zeros(0, np.int64)
+        self.distinct, codes = np.unique(values, return_inverse=True)
+        for bit in reversed(range(max(1, int(len(self.distinct) - 1).bit_length()))):
+            ones = (codes >> bit) & 1 == 1
+            zeros = np.concatenate([[0], np.cumsum(~ones)])
+            self.levels.append((bit, zeros))
+            codes = np.concatenate([codes[~ones], codes[ones]])
+
+    def kth(self, start: np.ndarray, stop: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """k from 0 and below stop - start."""
+        code, start, stop, k = np.zeros(len(k), np.int64), start.copy(), stop.copy(), k.copy()
+        for bit, zeros in self.levels:
+            low, high = zeros[start], zeros[stop]
+            up = k >= high - low
+            k = np.where(up, k - (high - low), k)
+            start, stop = np.where(up, zeros[-1] + start - low, low), np.where(up, zeros[-1] + stop - high, high)
+            code |= up.astype(np.int64) << bit
+        return self.distinct[code]
+
+
+def window_percentiles(values: np.ndarray, last: int, share: float) -> np.ndarray:
+    """The interpolated percentile of each value and the last - 1 before it, NaN aside; NaN where a window has none."""
+    there = ~np.isnan(values)
+    seen = np.concatenate([[0], np.cumsum(there)])
+    start, stop = seen[np.maximum(np.arange(len(values)) - last + 1, 0)], seen[1:]
+    found, full = np.full(len(values), np.nan), stop > start
+    if full.any():
+        index, start, stop = RankIndex(values[there]), start[full], stop[full]
+        at = share * (stop - start - 1)
+        low = np.floor(at).astype(np.int64)
+        first, next_ = index.kth(start, stop, low), index.kth(start, stop, np.minimum(low + 1, stop - start - 1))
+        found[full] = np.where(at > low, first + (next_ - first) * (at - low), first)
+    return found
+
+
 def sliding_percentile(df: DataFrame, keys: list[str], nth: str, last: int, value: str, share: float, name: str, block: int = BLOCK) -> DataFrame:
     """Adds the interpolated percentile of a column over each row and the last - 1 rows before it, nulls aside, of rows
     numbered by `nth` within their keys; null where a window has no value.
 
-    Blocks are those of sliding(); a block's windows are views of one array, of which a few thousand are sorted at a time.
+    Blocks are those of sliding(), and longer than a window; a block has one rank index, so its cost grows with its rows, not with `last`.
     """
+    block = max(block, last)
     place = F.floor((F.col(nth) - 1) / block)
     reaches = F.floor((F.col(nth) - 1 + last - 1) / block)
     rows = df.withColumn("__block", F.explode(F.sequence(place, reaches)))
 
-    def over(values: np.ndarray) -> np.ndarray:
-        padded = np.concatenate([np.full(last - 1, np.nan), values])
-        windows = np.lib.stride_tricks.sliding_window_view(padded, last)
-        found = []
-        for k in range(0, len(windows), 4096):
-            part = np.sort(windows[k : k + 4096], axis=1)
-            at = share * (np.count_nonzero(~np.isnan(part), axis=1) - 1)
-            low = np.maximum(np.floor(at), 0).astype(int)
-            each, up = np.arange(len(part)), np.minimum(low + 1, last - 1)
-            first = part[each, low]
-            found.append(np.where(at > low, first + (part[each, up] - first) * (at - low), first))
-        return np.concatenate(found)
-
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by(nth)
-        found = over(table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float))
+        found = window_percentiles(table.column(value).cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float), last, share)
         out = pa.array(found, from_pandas=True)
         own = (table.column(nth).to_numpy() - 1) // block == table.column("__block").to_numpy()
         return table.drop_columns("__block").append_column(name, out).filter(pa.array(own))
@@ -100,20 +151,31 @@ def sliding_percentile(df: DataFrame, keys: list[str], nth: str, last: int, valu
     return rows.groupBy(*keys, "__block").applyInArrow(run, schema)
 
 
-def percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str, nearest: bool = False) -> DataFrame:
+def percentile(df: DataFrame, keys: list[str], value: str, share: float, name: str, nearest: bool = False, accuracy: int = 10_000) -> DataFrame:
     """(keys, name): the exact percentile of a column by keys: interpolated, or with `nearest` the value at rank ceil(share * n).
 
-    Rows are numbered by ranges and the one or two at the rank are taken, so no task holds the values of a hot key. Nulls
-    do not count; keys without a value have no row.
+    A sketch, whose ranks are off by n / accuracy at most, gives two values around the rank. What is below them is only
+    counted, what is between them counted by value, both in each task before the shuffle. So ties are one row, and the rows
+    of a hot key that are put in order are eight in `accuracy`. Nulls do not count; keys without a value have no row; a null key is a key.
     """
-    rows = numbered(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__value")), keys, ["__value"])
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    joined = rows.join(sizes, keys)
+    reach = 4 / accuracy
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("__key"), F.col(value).cast("double").alias("__value"))
+    near = F.percentile_approx("__value", [max(0.0, share - reach), min(1.0, share + reach)], accuracy)
+    bounds = rows.groupBy("__key").agg(near.alias("__near"), F.count(F.lit(1)).alias("__size"))
+    # of few rows a rank between two of them is as far away as the sketch's; NaN is above all other numbers
+    many = F.col("__size") >= accuracy
+    low = F.when(many & F.lit(share > reach), F.col("__near")[0]).otherwise(float("-inf"))
+    high = F.when(many & F.lit(share + reach < 1), F.col("__near")[1]).otherwise(float("nan"))
+    held = rows.join(bounds, "__key").where(F.col("__value") <= high).withColumn("__value", F.when(F.col("__value") < low, float("-inf")).otherwise(F.col("__value")))
+    counts = held.groupBy("__key", "__size", "__value").agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(W.partitionBy("__key").orderBy("__value"))
+    placed = counts.withColumn("__upto", upto).withColumn("__before", F.col("__upto") - F.col("__n"))
+    has = lambda rank: (F.col("__before") < rank) & (rank <= F.col("__upto"))
     if nearest:
-        at = F.ceil(F.lit(share) * F.col("__size"))
-        return joined.where(F.col("nth") == at).select(*keys, F.col("__value").alias(name))
-    place = F.lit(share) * (F.col("__size") - 1)
-    low = F.floor(place)
-    near = joined.where(F.col("nth").between(low + 1, F.ceil(place) + 1))
-    part = F.when(F.col("nth") == low + 1, 1 - (place - low)).otherwise(place - low)
-    return near.groupBy(*keys).agg(F.sum(F.col("__value") * part).alias(name))
+        found = placed.where(has(F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("__size"))))).select("__key", F.col("__value").alias(name))
+    else:
+        place = F.lit(share) * (F.col("__size") - 1)
+        first, last = F.floor(place), F.ceil(place)
+        part = F.when(has(first + 1), 1 - (place - first)).otherwise(0.0) + F.when(has(last + 1), place - first).otherwise(0.0)
+        found = placed.where(has(first + 1) | has(last + 1)).groupBy("__key").agg(F.sum(F.col("__value") * part).alias(name))
+    return found.select(*(F.col("__key")[k].alias(k) for k in keys), name)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import telemetry as L
 from tidemark.operators import validators as V
-from tidemark.operators.ordered import among_first, percentile, running
+from tidemark.operators.ordered import among_first, percentile, running, sessions
 from tidemark.operators.sessions import grounding_gate
 from tidemark.operators.telemetry import TURNS_SQL
 from tidemark.registry import query, read
@@ -162,11 +162,8 @@ def _(s, d):
 
 @query("sessionize_30m", "SELECT user_id, session, count(*) AS n, min(ts) AS begun, max(ts) AS ended FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY 1, 2")
 def _(s, d):
-    order = ["ts", "event_id"]
-    seen = running(read(s, d, "events").select("user_id", *order), ["user_id"], order, last={"before": C("ts")})
-    fresh = F.when(C("ts") <= C("before") + F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1).cast("long")
-    marked = running(seen.withColumn("fresh", fresh).drop("before"), ["user_id"], order, {"earlier": C("fresh")})
-    return marked.groupBy("user_id", (C("earlier") + C("fresh")).alias("session")).agg(one().alias("n"), F.min("ts").alias("begun"), F.max("ts").alias("ended"))
+    marked = sessions(read(s, d, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "ts", "30 MINUTES")
+    return marked.groupBy("user_id", "session").agg(one().alias("n"), F.min("ts").alias("begun"), F.max("ts").alias("ended"))
 
 
 @query("tail_last_n", "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Paths made inside scratch(), while it is open.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders that are made inside, by whatever operator, are removed at the end: what reads them must be written elsewhere by then."""
+    found: list[str] = []
+    token = _made.set(found)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in map(spark._jvm.org.apache.hadoop.fs.Path, found):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share: spark.checkpoint.dir, or in local mode one that is made here."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
@@ -19,7 +38,10 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='shared-')}")
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (found := _made.get()) is not None:
+        found.append(path)
+    return path
 
 
 def write_jsonl(df: DataFrame, spark: SparkSession, name: str) -> str:
