@@ -52,14 +52,20 @@ BLANK = "[ \\n\\t\\r]+"
 SIGNS = "[\\x21-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7e]+"
 
 
+def _shapes(text: Column) -> Column:
+    """array of a text's word shapes: runs of letters in upper case, of digits and of other letters as one control character each, signs as they are."""
+    shape = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7eA-Z]+", "\x01")
+    return F.split(F.regexp_replace(F.regexp_replace(shape, "[A-Z]+", "\x02"), "[0-9]+", "\x03"), BLANK, -1)
+
+
+def _bare(text: Column) -> Column:
+    """array of a text's words, lower-cased and without outer signs."""
+    return F.split(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), f"(?:{SIGNS})?{BLANK}(?:{SIGNS})?", -1)
+
+
 def _features(text: Column) -> Column:
-    """array of a text's different words, lower-cased and without outer signs, and of its different word shapes: runs of
-    letters in upper case, of digits and of other letters as one control character each, signs as they are."""
-    raw = F.coalesce(text, F.lit(""))
-    bare = F.regexp_replace(F.lower(raw), f"(?<![^ \\n\\t\\r]){SIGNS}|{SIGNS}(?![^ \\n\\t\\r])", "")
-    shape = F.regexp_replace(raw, "[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7eA-Z]+", "\x01")
-    shape = F.regexp_replace(F.regexp_replace(shape, "[A-Z]+", "\x02"), "[0-9]+", "\x03")
-    return F.array_distinct(F.split(F.concat(bare, F.lit(" "), shape), BLANK, -1))
+    """array of a text's different words and word shapes, and of empty ones."""
+    return F.array_distinct(F.concat(_bare(text), _shapes(text)))
 
 
 def _bucket(feature: Column, m: Mix) -> Column:
@@ -161,8 +167,11 @@ def posteriors(docs: DataFrame, model: Classifier, m: Mix, keys: list[str], text
     """
     k = range(len(m.targets))
     given = F.col(f"`{text}`")
-    tokens = F.regexp_count(F.coalesce(given, F.lit("")), F.lit("[^ \\n\\t\\r]+"))
-    each = docs.select(*keys, tokens.alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), _features(given))).alias("feature")).where("feature IS NULL OR feature <> ''")
+    # a blank at either end makes an empty shape there
+    ends = lambda x: F.size(x) - (F.get(x, F.lit(0)) == "").cast("int") - ((F.size(x) > 1) & (F.element_at(x, -1) == "")).cast("int")
+    read = docs.select(*keys, _bare(given).alias("__bare"), _shapes(given).alias("__shapes"))
+    features = F.array_distinct(F.concat("__bare", "__shapes"))
+    each = read.select(*keys, ends(F.col("__shapes")).alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), features)).alias("feature")).where("feature IS NULL OR feature <> ''")
     rows = each.select(*keys, F.when(F.col("feature").isNull(), F.col("n")).alias("n"), F.when(F.col("feature").isNull(), F.lit(-1)).otherwise(_bucket(F.col("feature"), m)).alias("bucket"))
     spark = docs.sparkSession
     none = spark.range(1).select(F.lit(-1).alias("bucket"), *(F.lit(None).cast("double").alias(f"w_{i}") for i in k))
