@@ -6,6 +6,7 @@ import json
 import random
 from collections import Counter
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import curation, embedding, ordered, reindex, search, stages
 from tidemark.sources import files, paths, store
-from tidemark.streaming import tail
+from tidemark.streaming import stateful, tail
 
 C = F.col
 ROW = "id long, slug string, stage string, bucket string, tokens long, tags array<string>, fields array<string>"
@@ -245,11 +246,56 @@ def test_an_index_is_brought_up_to_date(spark):
     second = index.update(docs([row(1, "a b"), row(2, "c d e x"), row(4, "")])).first()
     assert (second["files_changed"], second["files_added"], second["files_removed"], second["tokens_before"], second["tokens_after"]) == (1, 1, 1, 6, 6)
     assert {(r["doc_id"], r["text"], len(r["v"])) for r in index.chunks().collect()} == {(1, "a b", 4), (2, "c d e x", 4)}
-    base = index.pointer.number()
-    index.pointer.replace(spark.createDataFrame([], reindex.CHUNKS), base)
     with pytest.raises(store.Conflict):
-        index.pointer.replace(spark.createDataFrame([], reindex.CHUNKS), base)
-    assert index.pointer.number() == base + 1
+        index._put("versions", index.number(), index.version())
+
+
+def folder_bytes(path):
+    return sum(f.stat().st_size for f in Path(path.removeprefix("file:").replace("//", "")).rglob("*.parquet"))
+
+
+def test_an_update_writes_what_it_changes(spark, tmp_path):
+    index = reindex.Index(spark, f"file://{tmp_path}/index", dim=64, fanout=100)
+    docs = lambda ids, mark: spark.createDataFrame([(i, f"word{i} " * 300 + mark, f"{i}{mark}") for i in ids], "doc_id long, text string, hash string").coalesce(1)
+    index.apply(docs(range(200), "a"))
+    whole = folder_bytes(str(tmp_path))
+    stats = index.apply(docs(range(3), "b"))
+    assert folder_bytes(str(tmp_path)) - whole < 0.2 * whole
+    assert (stats["files_changed"], stats["files_added"], stats["chunks_before"], stats["chunks_after"]) == (3, 0, 200, 200)
+    assert index.apply(docs(range(3), "b"))["files_changed"] == 0 and len(index.version()["segments"]) == 2
+    assert {r["hash"] for r in index.chunks().where("doc_id < 4").collect()} == {"0b", "1b", "2b", "3a"} and index.chunks().count() == 200
+    assert index.chunks(1).where("hash LIKE '%b'").count() == 0
+
+
+def test_segments_are_merged_and_batches_come_once(spark, tmp_path):
+    index = reindex.Index(spark, f"file://{tmp_path}/index", dim=2, fanout=3)
+    rng, truth = random.Random(3), {}
+    for batch in range(9):
+        rows = []
+        for i in rng.sample(range(12), 4):
+            text = None if rng.random() < 0.3 else f"t{batch} x{i}"
+            rows.append((i, text, text))
+            truth[i] = text
+        df = spark.createDataFrame(rows, "doc_id long, text string, hash string").coalesce(1)
+        assert index.apply(df, batch) is not None and index.apply(df, batch) is None
+    live = {i: t for i, t in truth.items() if t is not None}
+    assert {r["doc_id"]: r["text"] for r in index.chunks().collect()} == live and {r["doc_id"] for r in index.documents().collect()} == set(live)
+    assert len(index.version()["segments"]) < 6 and index.version()["chunks"] == len(live)
+    runs = index.runs()
+    assert runs.count() == 9 and runs.where("success AND error IS NULL").count() == 9 and runs.agg(F.max("chunks_after")).first()[0] >= len(live)
+    assert index.vacuum(grace=-5) > 0 and {r["doc_id"]: r["text"] for r in index.chunks().collect()} == live
+
+
+def test_pointers_survive_writers_that_die(spark, tmp_path):
+    p, df = store.Pointer(spark, f"file://{tmp_path}/pointer"), spark.range(3)
+    p.replace(df)
+    # one that died after its data, and one after its temporary file
+    df.write.parquet(f"file://{tmp_path}/pointer/data/left")
+    (tmp_path / "pointer/pointers/.left").write_text("")
+    assert p.number() == 1 and p.replace(spark.range(5)) == 2 and p.read(df.schema).count() == 5
+    with pytest.raises(store.Conflict):
+        p.replace(df, base=1)
+    assert p.read(df.schema).count() == 5 and p.vacuum() == 1 and p.vacuum(grace=-5) == 2 and p.read(df.schema).count() == 5
 
 
 def test_changes_wait_and_deletions_count(spark):
@@ -259,7 +305,7 @@ def test_changes_wait_and_deletions_count(spark):
     path = files.folder(spark, "changes")
     spark.createDataFrame(rows, "event_id long, path string, t double, hash string").coalesce(1).write.parquet(path)
     source = tail.source(spark, path, spark.read.parquet(path).schema).withColumn("at", F.col("t").cast("timestamp"))
-    got = {(r["path"], r["event_id"], r["change"]) for r in tail.drain(tail.debounced(source, 2.0), "changes").collect()}
+    got = {(r["path"], r["event_id"], r["change"]) for r in tail.drain(stateful.first_of_burst(source, 2.0), "changes").collect()}
     wanted = set()
     for p in "pq":
         known = last = None

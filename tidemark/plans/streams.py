@@ -8,7 +8,7 @@ from tidemark.operators.reindex import Index
 from tidemark.plans.chunks import _WINDOWS
 from tidemark.registry import query, read
 from tidemark.sources.files import folder
-from tidemark.streaming import tail
+from tidemark.streaming import follow, stateful, tail
 
 C = F.col
 
@@ -20,22 +20,43 @@ def _copied(s, d, table, files):
     return tail.source(s, path, read(s, d, table).schema, 1)
 
 
+def _log(s, d, files=3):
+    """The events as log files in the order of their times, each of which is a batch; the rows of a file are dealt over tasks."""
+    path, rows = folder(s, "events"), read(s, d, "events")
+    edges = rows.agg(F.percentile_approx("ts", [k / files for k in range(1, files)])).first()[0]
+    for k, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
+        part = rows.where((F.lit(low is None) | (C("ts") > F.lit(low))) & (F.lit(high is None) | (C("ts") <= F.lit(high))))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return tail.source(s, path, rows.schema, 1).withColumn("at", C("ts").cast("timestamp"))
+
+
 @query("stream_tail", "SELECT event_id, event_type, value FROM events WHERE value >= 100")
 def _(s, d):
-    return tail.drain(tail.slow_turns(_copied(s, d, "events", 3), 100), "tail")
+    """A log of JSON lines, written by three tasks and followed by bytes."""
+    path, rows = folder(s, "log"), read(s, d, "events").select("event_id", "event_type", "value")
+    follow.write_part(rows.repartition(3), path, "events")
+    return tail.drain(tail.slow_turns(follow.events(s, path, rows.schema), 100), "tail")
+
+
+@query("stream_tail_since", "SELECT event_id, event_type, value FROM events WHERE value >= 100 AND ts >= TIMESTAMP '2024-01-15 00:00:00'")
+def _(s, d):
+    path, rows = folder(s, "log"), read(s, d, "events").select("event_id", "event_type", "value", C("ts").cast("string").alias("ts"))
+    follow.write_part(rows.repartition(3), path, "events")
+    return tail.drain(tail.slow_turns(follow.events(s, path, rows.schema, since="2024-01-15 00:00:00"), 100), "since")
 
 
 @query("stream_rolling_p95", """SELECT event_type, nth AS seen, round(p95, 6) AS p95 FROM (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth,
   quantile_cont(value, 0.95) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS p95 FROM events) WHERE nth % 10 = 0""")
 def _(s, d):
-    return tail.drain(tail.rolling(_copied(s, d, "events", 1)), "rolling").withColumn("p95", F.round("p95", 6))
+    found = tail.drain(stateful.rolling(_log(s, d), "event_type"), "rolling")
+    return found.select(C("key").alias("event_type"), "seen", F.round("p", 6).alias("p95"))
 
 
 @query("stream_budget_alert", """SELECT start, event_type, round(p95, 6) AS p95, n FROM (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS start, event_type, quantile_cont(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1, 2)
 WHERE p95 > 150 AND start + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
 def _(s, d):
     """Five minutes over the budget, once the watermark has passed them."""
-    found = tail.drain(tail.budget_alerts(_copied(s, d, "events", 1), 150), "alerts")
+    found = tail.drain(tail.budget_alerts(_log(s, d).drop("at"), 150), "alerts")
     return found.select(C("start").cast("timestamp_ntz").alias("start"), "event_type", F.round("p95", 6).alias("p95"), "n")
 
 
@@ -49,13 +70,28 @@ SELECT path, event_id, change FROM c WHERE change IS NOT NULL""")
 def _(s, d):
     """The log as writes and deletions of each user's file."""
     k = C("event_id")
-    files = _copied(s, d, "events", 1).select(C("user_id").cast("string").alias("path"), "event_id", C("ts").cast("timestamp").alias("at"), F.when(k % 11 != 0, (k % 3).cast("string")).alias("hash"))
-    return tail.drain(tail.debounced(files, 3600.0 * 6), "debounced")
+    files = _log(s, d).select(C("user_id").cast("string").alias("path"), "event_id", "at", F.when(k % 11 != 0, (k % 3).cast("string")).alias("hash"))
+    return tail.drain(stateful.first_of_burst(files, 3600.0 * 6), "debounced")
+
+
+_BURSTS = """e AS (SELECT {path} AS path, event_id, ts, {hash} AS hash FROM events),
+b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id) AS burst FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) <= INTERVAL {gap} THEN 0 ELSE 1 END AS fresh FROM e)),
+g AS (SELECT path, burst, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ended, arg_max(struct_pack(h := hash), (ts, event_id)).h AS hash, count(*) AS n FROM b GROUP BY 1, 2),
+c AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY burst) AS known FROM g)
+SELECT path, event_id, CASE WHEN hash IS NULL THEN 'deleted' WHEN known IS NULL THEN 'created' ELSE 'modified' END AS change, n FROM c WHERE hash IS DISTINCT FROM known AND ended + INTERVAL {gap} < (SELECT max(ts) FROM events)"""
+
+
+@query("stream_quiet_changes", "WITH " + _BURSTS.format(path="user_id::VARCHAR", hash="CASE WHEN event_id % 11 <> 0 THEN (event_id % 3)::VARCHAR END", gap="6 HOURS"))
+def _(s, d):
+    """The same log, of which a change is told once its file has been quiet for six hours: timers of each path by the watermark."""
+    k = C("event_id")
+    files = _log(s, d).select(C("user_id").cast("string").alias("path"), "event_id", "at", F.when(k % 11 != 0, (k % 3).cast("string")).alias("hash"))
+    return tail.drain(stateful.last_of_burst(files, 3600.0 * 6), "quiet").drop("at")
 
 
 @query("stream_reindex", "SELECT count(*)::BIGINT AS chunks, count(DISTINCT doc_id)::BIGINT AS docs FROM (SELECT doc_id, unnest(range(0, CASE WHEN n <= 500 THEN 1 ELSE (ceil((n - 500) / 450.0) * 450)::BIGINT + 1 END, 450)) AS start FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> '')) AS n FROM documents) WHERE n > 0)")
 def _(s, d):
-    """Documents as they come, into chunks with vectors behind a pointer that is swapped for each batch."""
+    """Documents as they come, into chunks with vectors: a segment for each batch."""
     index = Index(s, folder(s, "live"))
     docs = _copied(s, d, "documents", 2).select("doc_id", "text", F.sha2("text", 256).alias("hash"))
     tail.index_as_it_comes(docs, index, "reindex")

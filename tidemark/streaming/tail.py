@@ -1,4 +1,4 @@
-"""Structured Streaming over the event log: tail, rolling percentiles, budget alerts, changed files and incremental chunks.
+"""Structured Streaming over the event log: filters, budget alerts, changed files, incremental chunks and an index that follows.
 
 Each function takes a streaming DataFrame and returns one; drain() runs it over all that is there and returns what was
 written, with its checkpoint and its sink in the shared folder.
@@ -6,17 +6,13 @@ written, with its checkpoint and its sink in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.functions.chunk import fixed_windows
 from tidemark.sources.files import folder
+from tidemark.streaming.stateful import rocksdb
 
 
 def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
@@ -24,11 +20,13 @@ def source(spark: SparkSession, path: str, schema: T.StructType, files_per_trigg
     return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
+def drain(stream: DataFrame, name: str, sink: str | None = None, marks: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there. With a sink and marks that have been used it goes on from there."""
     spark = stream.sparkSession
-    sink, marks = folder(spark, f"{name}-sink"), folder(spark, f"{name}-marks")
-    run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
+    sink, marks = sink or folder(spark, f"{name}-sink"), marks or folder(spark, f"{name}-marks")
+    with rocksdb(spark):
+        run = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
 
 
@@ -44,58 +42,11 @@ def budget_alerts(events: DataFrame, budget: float, window: str = "5 minutes", l
     return p.where(F.col("p95") > budget).select(F.col("w.start").alias("start"), "event_type", "p95", "n")
 
 
-def rolling(events: DataFrame, last: int = 200, every: int = 10) -> DataFrame:
-    """(event_type, seen, p95): after each `every` events of a type the interpolated p95 of its last `last` values. The state
-    of a type is these values; a batch's windows are views of one array, so a value is not copied for each of them."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, held = state.get if state.exists else (0, [])
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        values = np.concatenate([np.asarray(held, float), rows["value"].to_numpy(float)])
-        # place of the last value of each report among `values`, and how many events it has seen
-        counts = np.arange(seen - seen % every + every, seen + len(rows) + 1, every)
-        ends = counts - seen + len(held)
-        full = ends >= last
-        found = np.empty(len(ends))
-        found[~full] = [np.percentile(values[:e], 95) for e in ends[~full]]
-        if full.any():
-            found[full] = np.percentile(np.lib.stride_tricks.sliding_window_view(values, last)[ends[full] - last], 95, axis=1)
-        state.update((seen + len(rows), values[-last:].tolist()))
-        yield pd.DataFrame({"event_type": [key[0]] * len(ends), "seen": counts, "p95": found})
-
-    return events.groupBy("event_type").applyInPandasWithState(step, "event_type string, seen long, p95 double", "seen long, held array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def changed(files: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each path once for each content: rows (path, content hash, at) without repeats inside the watermark."""
     return files.withWatermark("at", late).dropDuplicatesWithinWatermark(["path", "hash"])
 
 
-def debounced(changes: DataFrame, quiet: float = 2.0) -> DataFrame:
-    """(path, event_id, change): the file events (path, event_id, at, hash; a null hash is a deletion) that start an update.
-
-    A write counts if `quiet` seconds have passed since the path's last one that counted and its content differs from the
-    one known then; a deletion counts if the path is known, and forgets its content. change: created, modified or deleted.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known, last = state.get if state.exists else (None, None)
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        for ident, at, content in zip(rows["event_id"].tolist(), rows["at"].astype("datetime64[us]").astype("int64").tolist(), rows["hash"].tolist()):
-            if content is None or content != content:
-                if known is not None:
-                    out.append((key[0], ident, "deleted"))
-                    known = None
-            elif (last is None or at - last >= quiet * 1e6) and content != known:
-                out.append((key[0], ident, "created" if known is None else "modified"))
-                known, last = content, at
-        state.update((known, last))
-        yield pd.DataFrame(out, columns=["path", "event_id", "change"])
-
-    return changes.select("path", "event_id", "at", "hash").groupBy("path").applyInPandasWithState(step, "path string, event_id long, change string", "known string, last long", "append", GroupStateTimeout.NoTimeout)
-
-
 def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(path, change) between two listings (path, hash): created, modified or deleted. A file source never tells of deletions; this does."""
     both = before.select("path", F.col("hash").alias("old")).join(after.select("path", F.col("hash").alias("new")), "path", "full_outer")
@@ -103,17 +54,14 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.select("path", change.alias("change")).where("change IS NOT NULL")
 
 
-def index_as_it_comes(docs: DataFrame, index, name: str) -> None:
-    """Runs a stream of all documents' rows (doc_id, text, hash) into an index: each batch is added to what came before it and the index is swapped once."""
-    spark = docs.sparkSession
-    held, marks = folder(spark, f"{name}-held"), folder(spark, f"{name}-marks")
+def index_as_it_comes(docs: DataFrame, index, name: str, marks: str | None = None) -> None:
+    """Runs a stream of new and changed documents (doc_id, text, hash; a null hash deletes) into an index: each batch is one
+    segment of what it changes. A batch that runs again after a failure is known by its number and does nothing."""
+    marks = marks or folder(docs.sparkSession, f"{name}-marks")
 
     def take(batch: DataFrame, number: int) -> None:
-        # a batch that runs again replaces its own folder
-        batch.write.mode("overwrite").parquet(f"{held}/batch={number}")
-        every = spark.read.schema(T.StructType([*docs.schema.fields, T.StructField("batch", T.LongType())])).parquet(held)
-        newest = every.groupBy("doc_id").agg(F.max_by(F.struct("text", "hash"), F.col("batch")).alias("r"))
-        index.update(newest.select("doc_id", "r.text", "r.hash"))
+        newest = F.struct("text", "hash")
+        index.apply(batch.groupBy("doc_id").agg(F.max_by(newest, F.struct("hash")).alias("r")).select("doc_id", "r.*"), number)
 
     docs.writeStream.foreachBatch(take).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
 
