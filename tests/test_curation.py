@@ -345,7 +345,7 @@ def test_matrices_and_index_layouts(spark, tmp_path):
         assert sorted((r["row"], tuple(r["v"]), r["doc"]) for r in files.load_index(spark, f"file://{tmp_path}/{layout}", meta).collect()) == [(i, tuple(x), f"d{i}") for i, x in enumerate(v.tolist())]
     with pytest.raises(ValueError, match="4 vectors but 3"):
         files.aligned(files.read_matrix(spark, f"file://{tmp_path}/a/vectors.npy"), rows.where("row < 3").select("row", "doc"))
-    with pytest.raises(ValueError, match="at place 0"):
+    with pytest.raises(ValueError, match="3 rows from 1 to 3"):
         files.write_matrix(rows.where("row > 0"), f"file://{tmp_path}/d/vectors.npy", "row", "v", 3)
 
 

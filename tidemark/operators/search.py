@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import dataset, fs
@@ -185,6 +186,41 @@ def search(queries: DataFrame, indexes: dict[str, DataFrame], k: int, mode: str
     return base.join(found, "query_id", "left").select("query_id", F.lit(mode or "fast").alias("mode"), results.alias("results"), said.alias("warnings"), F.lit(None).cast("string").alias("reason"))
 
 
+def pair_scores(query: Column, text: Column, load: Callable[[], Callable[[list[tuple[str, str]]], object]], batch: int = 32) -> Column:
+    """The scores of pairs by a model: load() gives, once a worker, a function from pairs (query, text) to their scores, which
+    is called with `batch` pairs at a time. The pairs of a call that fails, or gives another number of scores, have null."""
+
+    @F.pandas_udf("double")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:
+            model = None
+        for asked, said in parts:
+            pairs, out = list(zip(asked.fillna(""), said.fillna(""))), np.full(len(asked), np.nan)
+            for k in range(0, len(pairs), batch):
+                try:
+                    found = np.asarray(model(pairs[k : k + batch]), float).reshape(-1)
+                    if len(found) == len(pairs[k : k + batch]):
+                        out[k : k + batch] = found
+                except Exception:  # these pairs keep their order
+                    continue
+            yield pd.Series(out, index=asked.index)
+
+    return F.nanvl(run(query, text), F.lit(None).cast("double"))
+
+
+def rerank(candidates: DataFrame, load: Callable, k: int, batch: int = 32) -> DataFrame:
+    """(query_id, row_id, score, rank): the k best of each query's candidates (query_id, row_id, rank, query, text) by a model's
+    score of the pair, ties by the old rank. A query of which a pair has no score keeps its old order, with null scores.
+    A query has as many candidates as its search kept, so its window is small."""
+    scored = candidates.select("query_id", "row_id", F.col("rank").alias("__old"), pair_scores(F.col("query"), F.col("text"), load, batch).alias("score"))
+    failed = F.max(F.col("score").isNull()).over(W.partitionBy("query_id"))
+    scored = scored.withColumn("__failed", failed).withColumn("score", F.when(~F.col("__failed"), F.col("score")))
+    order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "__old", "row_id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "row_id", "score", "rank")
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidemark.functions.text import words
 from tidemark.operators.sessions import PACES
@@ -87,3 +88,65 @@ class Ports:
         run_id = self.new_id()
         self.count("runs", 1, {"run": run_id})
         return df.withColumns({"run_id": F.lit(run_id), "run_at": F.lit(self.now())})
+
+
+#: What becomes of a measure: a counter is added up, a timing averaged, a gauge replaced.
+Sink = Callable[[str, str, float, dict[str, str]], None]
+
+
+class Meter:
+    """Measures of the rows that flow through a query, taken while it runs and without a job of their own.
+
+    measures: by name a kind (counter, timing or gauge) and an aggregate Column. A batch query's values go to the sink by
+    report(), once its action is done; those of a stream after each of its batches, by the listener. Nulls, which an
+    aggregate over no rows has, are not sent.
+    """
+
+    def __init__(self, sink: Sink, measures: dict[str, tuple[str, Column]], tags: dict[str, str] | None = None):
+        if odd := {k for k, _ in measures.values()} - {"counter", "timing", "gauge"}:
+            raise ValueError(f"no such kind: {odd}")
+        self.sink, self.measures, self.tags = sink, measures, tags or {}
+        self.name, self._seen = f"meter-{uuid.uuid4().hex}", None
+
+    def _columns(self) -> list[Column]:
+        return [column.alias(name) for name, (_, column) in self.measures.items()]
+
+    def send(self, values: dict, tags: dict[str, str] | None = None) -> None:
+        for name, (kind, _) in self.measures.items():
+            if values.get(name) is not None:
+                self.sink(kind, name, float(values[name]), self.tags | (tags or {}))
+
+    def batch(self, df: DataFrame) -> DataFrame:
+        """df, measured by the next action on it."""
+        self._seen = Observation(self.name)
+        return df.observe(self._seen, *self._columns())
+
+    def report(self) -> None:
+        """Waits for the action of batch()'s rows, and sends what was measured."""
+        if self._seen is None:
+            raise ValueError("nothing was measured")
+        self.send(self._seen.get)
+
+    def stream(self, df: DataFrame) -> DataFrame:
+        """A streaming df, measured in each batch while listener() is added to the session."""
+        return df.observe(self.name, *self._columns())
+
+    def listener(self) -> StreamingQueryListener:
+        meter = self
+
+        class Listener(StreamingQueryListener):
+            def onQueryStarted(self, event):
+                pass
+
+            def onQueryProgress(self, event):
+                row = event.progress.observedMetrics.get(meter.name)
+                if row is not None and event.progress.numInputRows:
+                    meter.send(row.asDict(), {"batch": str(event.progress.batchId)})
+
+            def onQueryIdle(self, event):
+                pass
+
+            def onQueryTerminated(self, event):
+                pass
+
+        return Listener()

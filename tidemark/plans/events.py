@@ -203,11 +203,11 @@ def _(s, d):
     return _turns(s, d).select("event_id", F.explode(both).alias("lane"))
 
 
-@query("snapshot_diff", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click') a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') b ON a.user_id = b.user_id WHERE a.user_id IS NULL OR b.user_id IS NULL")
+@query("snapshot_diff", "SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'added' ELSE 'removed' END AS change FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 120) a FULL JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 120) b ON a.user_id = b.user_id WHERE a.user_id IS NULL OR b.user_id IS NULL")
 def _(s, d):
-    """Users of two snapshots of the log (of two kinds of events) that only one of them has."""
+    """Users of two snapshots of the log (slow events of two kinds) that only one of them has."""
     e = read(s, d, "events")
-    old, new = (e.where(C("event_type") == k).select("user_id").distinct() for k in ("click", "purchase"))
+    old, new = (e.where((C("event_type") == k) & (C("value") > 120)).select("user_id").distinct() for k in ("click", "purchase"))
     return new.join(old, "user_id", "left_anti").withColumn("change", F.lit("added")).unionByName(old.join(new, "user_id", "left_anti").withColumn("change", F.lit("removed")))
 
 

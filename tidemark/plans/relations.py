@@ -53,9 +53,10 @@ def _(s, d):
     return good.select(F.lit("accepted").alias("route")).unionByName(bad.select(F.lit("quarantine").alias("route"))).groupBy("route").agg(n().alias("n"))
 
 
-@query("fullouter_orphans", "SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON o_custkey = c_custkey WHERE c_custkey IS NULL OR o_orderkey IS NULL")
+@query("fullouter_orphans", "SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON o_custkey = c_custkey WHERE c_custkey IS NULL OR o_orderkey IS NULL")
 def _(s, d):
-    c, o = read(s, d, "customer"), read(s, d, "orders")
+    """Customers in credit without a finished order, and finished orders without such a customer."""
+    c, o = read(s, d, "customer").where("c_acctbal > 0"), read(s, d, "orders").where("o_orderstatus = 'F'")
     return c.join(o, C("c_custkey") == C("o_custkey"), "full_outer").where("c_custkey IS NULL OR o_orderkey IS NULL").select("c_custkey", "o_orderkey")
 
 

@@ -131,6 +131,24 @@ def _(s, d):
     return S.top_overlap(rows.where("id % 20 = 0"), rows, 10)
 
 
+def _by_length():
+    """A scorer of pairs: texts as long as the query first."""
+    return lambda pairs: [1 / (1 + abs(len(q) - len(t))) for q, t in pairs]
+
+
+@query("rerank_pairs", """
+WITH w AS (SELECT item_id, text, list_distinct(list_filter(string_split(lower(text), ' '), lambda x: x <> '')) AS w FROM benchmark),
+c AS (SELECT * FROM (SELECT a.item_id AS query_id, b.item_id AS row_id, a.text AS query, b.text, row_number() OVER (PARTITION BY a.item_id ORDER BY round(len(list_intersect(a.w, b.w))::DOUBLE / len(a.w), 6) DESC, b.item_id) AS old FROM w a JOIN w b ON a.item_id <> b.item_id AND a.item_id % 20 = 0) WHERE old <= 40)
+SELECT query_id, row_id, round(score, 9) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old, row_id) AS rank FROM (SELECT *, 1::DOUBLE / (1 + abs(length(query) - length(text))) AS score FROM c)) WHERE rank <= 10""")
+def _(s, d):
+    """The forty best of the lexical search, by a scorer of pairs in batches."""
+    b = read(s, d, "benchmark").select(C("item_id").alias("id"), "text", F.filter(F.array_distinct(F.split(F.lower("text"), " ")), lambda x: x != "").alias("w"))
+    found = S.top_overlap(b.where("id % 20 = 0").select("id", "w"), b.select("id", "w"), 4 * 10)
+    texts = lambda key, name: b.select(C("id").alias(key), C("text").alias(name))
+    pairs = found.join(texts("query_id", "query"), "query_id").join(texts("row_id", "text"), "row_id")
+    return S.rerank(pairs, _by_length, 10).withColumn("score", F.round("score", 9))
+
+
 @query("vec_normalize", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: abs(x::DOUBLE))) / sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS l1 FROM embeddings")
 def _(s, d):
     v = S.normalised(C("embedding"))

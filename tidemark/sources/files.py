@@ -124,49 +124,111 @@ def copy_files(manifest: DataFrame, target: str) -> DataFrame:
 
 
 def write_matrix(df: DataFrame, path: str, row: str, vector: str, dim: int) -> int:
-    """Vectors in the order of their row numbers (0, 1, ..) as one .npy file of float32, a block at a time; returns how many."""
+    """Vectors by their row numbers (0, 1, ..) as float32; returns how many. Tasks have ranges of rows and write them where they belong.
+
+    On a file system with positioned writes (file://) that is one .npy file, whose header and size are there first; in other
+    stores it is path.parts/<first row>, without headers, and a manifest. A task that runs again writes the same bytes.
+    """
+    import json
+
     import numpy as np
+    import pyarrow as pa
     from pyarrow import fs
 
-    n = df.count()
     place, name = fs.FileSystem.from_uri(path)
-    place.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    with place.open_output_stream(name) as out:
-        np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
-        for k, r in enumerate(df.select(row, vector).orderBy(row).toLocalIterator(prefetchPartitions=True)):
-            if r[0] != k or len(r[1]) != dim:
-                raise ValueError(f"row {r[0]} at place {k} with {len(r[1])} dimensions")
-            out.write(np.asarray(r[1], "<f4").tobytes())
+    found = df.agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("low"), F.max(row).alias("high"), F.count_if(F.col(vector).isNull() | (F.size(vector) != dim)).alias("odd")).first()
+    n = found["n"]
+    if n and (found["low"] != 0 or found["high"] != n - 1 or found["odd"]):
+        raise ValueError(f"{n} rows from {found['low']} to {found['high']}, {found['odd']} of them without {dim} dimensions")
+    header, whole = _npy_header(n, dim), isinstance(place, fs.LocalFileSystem)
+    place.create_dir(name.rsplit("/", 1)[0] if whole else f"{name}.parts", recursive=True)
+    if whole:
+        with open(name, "wb") as f:
+            f.write(header)
+            f.truncate(len(header) + n * dim * 4)
+
+    def run(batches):
+        out, first, at = None, None, None
+        for batch in batches:
+            ids = batch.column("row").to_numpy()
+            if not len(ids):
+                continue
+            if (np.diff(ids) != 1).any() or at not in (None, ids[0]):
+                raise ValueError("row numbers that repeat or lack")
+            if out is None:
+                first = int(ids[0])
+                out = open(name, "r+b") if whole else place.open_output_stream(f"{name}.parts/{first:015d}")
+                if whole:
+                    out.seek(len(header) + first * dim * 4)
+            out.write(batch.column("v").flatten().to_numpy(zero_copy_only=False).astype("<f4").tobytes())
+            at = int(ids[-1]) + 1
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([at - first], pa.int64())], ["first", "rows"])
+
+    dealt = df.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<float>").alias("v")).repartitionByRange("row").sortWithinPartitions("row")
+    parts = [tuple(r) for r in dealt.mapInArrow(run, "first long, rows long").collect()]  # a row a task
+    if sum(k for _, k in parts) != n:
+        raise ValueError("not all rows were written")
+    if not whole:
+        with place.open_output_stream(f"{name}.parts/manifest.json") as out:
+            out.write(json.dumps({"rows": n, "dim": dim, "parts": sorted(parts)}).encode())
     return n
 
 
-def read_matrix(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
-    """(row, v) of a .npy file of numbers; each task reads its rows only."""
+def _npy_header(n: int, dim: int) -> bytes:
+    import io
+
+    import numpy as np
+
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
+    return out.getvalue()
+
+
+def _matrix_layout(path: str) -> tuple[list[tuple[int, int, str, int]], int, str]:
+    """(first row, rows, file, byte of the first row) of a matrix's files, its columns and the kind of its numbers."""
+    import json
+
     import numpy as np
-    import pyarrow as pa
     from pyarrow import fs
 
     place, name = fs.FileSystem.from_uri(path)
+    if place.get_file_info(f"{name}.parts/manifest.json").is_file:
+        with place.open_input_stream(f"{name}.parts/manifest.json") as f:
+            said = json.loads(f.read())
+        return [(first, rows, f"{name}.parts/{first:015d}", 0) for first, rows in said["parts"]], said["dim"], "<f4"
     with place.open_input_file(name) as f:
         version = np.lib.format.read_magic(f)
         shape, fortran, kind = np.lib.format.read_array_header_1_0(f) if version == (1, 0) else np.lib.format.read_array_header_2_0(f)
         begin = f.tell()
     if fortran or len(shape) != 2:
         raise ValueError("not a matrix by rows")
+    return [(0, shape[0], name, begin)], shape[1], kind.str
+
+
+def read_matrix(spark: SparkSession, path: str, parts: int = 8) -> DataFrame:
+    """(row, v) of a .npy file of numbers or of the parts that write_matrix makes; each task reads its rows only."""
+    import numpy as np
+    import pyarrow as pa
+    from pyarrow import fs
+
+    layout, dim, kind = _matrix_layout(path)
 
     def run(batches):
-        source, file = fs.FileSystem.from_uri(path)
-        with source.open_input_file(file) as f:
-            for batch in batches:
-                ids = batch.column("id").to_numpy()
-                if not len(ids):
-                    continue
-                width = shape[1] * kind.itemsize
-                data = np.frombuffer(f.read_at(len(ids) * width, begin + int(ids[0]) * width), kind).astype(np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * shape[1], pa.int32()), pa.array(data))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), lists], ["row", "v"])
-
-    return spark.range(0, shape[0], numPartitions=parts).mapInArrow(run, "row long, v array<float>")
+        source, _ = fs.FileSystem.from_uri(path)
+        width, dtype = dim * np.dtype(kind).itemsize, np.dtype(kind)
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for first, rows, file, begin in layout:
+                low, high = max(int(ids[0]), first) if len(ids) else 0, min(int(ids[-1]) + 1, first + rows) if len(ids) else 0
+                if low < high:
+                    with source.open_input_file(file) as f:
+                        data = np.frombuffer(f.read_at((high - low) * width, begin + (low - first) * width), dtype).astype(np.float32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1) * dim, pa.int32()), pa.array(data))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(low, high), pa.int64()), lists], ["row", "v"])
+
+    return spark.range(0, sum(rows for _, rows, _, _ in layout), numPartitions=parts).mapInArrow(run, "row long, v array<float>")
 
 
 def aligned(vectors: DataFrame, metadata: DataFrame, row: str = "row") -> DataFrame:
