@@ -77,13 +77,16 @@ def test_selection_equals_plain_python_over_all_documents(spark, lowest):
     assert hows["included"] + hows["picked"] + hows["covers"] + hows["swapped"] == 10
 
 
-def test_candidates_are_bounded_by_kinds_and_change_nothing(spark):
-    rows = [(i, f"s{i % 50:03d}", "x", "long", i % 90, ["a"], ["u"]) for i in range(3000)]
-    q = curation.Quotas(5, {"x": 5}, {"long": 2}, ("a", "b"), ("u",))
-    df = spark.createDataFrame(rows, ROW)
-    assert curation.candidates(df, q).count() <= 2 * (2 * q.total + len(q.tags) + q.swaps)
-    names = ROW.replace(" long", "").replace(" string", "").replace(" array<string>", "").split(", ")
-    assert [r["id"] for r in curation.select_balanced(df, q).orderBy("pick").collect()] == select_plainly([dict(zip(names, r)) for r in rows], q)
+def test_selection_by_rounds_of_all_different_kinds(spark, monkeypatch):
+    """Ten tags and eight fields, of which nearly each document has a set of its own; rounds of a few rows."""
+    monkeypatch.setattr(curation, "ROUND", 4)
+    rng = random.Random(8)
+    tags, fields = tuple(f"t{k}" for k in range(10)), tuple(f"f{k}" for k in range(8))
+    rows = [{"id": i, "slug": f"s{rng.randrange(100)}", "stage": rng.choice("xyz"), "bucket": rng.choice(["short", "medium", "long"]), "tokens": rng.randrange(50), "tags": rng.sample(tags[: 9 if i else 10], rng.randrange(6)), "fields": rng.sample(fields, rng.randrange(6))} for i in range(400)]
+    q = curation.Quotas(15, {"x": 6, "y": 5, "z": 5}, {"short": 4, "medium": 5, "long": 6}, tags, fields)
+    found = curation.select_balanced(spark.createDataFrame([tuple(r.values()) for r in rows], ROW), q).orderBy("pick").collect()
+    assert [r["id"] for r in found] == select_plainly(rows, q) and len(found) == 15
+    assert curation.select_balanced(spark.createDataFrame([], ROW), q).count() == 0
 
 
 @pytest.mark.parametrize("nearest", [False, True])

@@ -1,15 +1,15 @@
-"""Balanced selection of documents under quotas: candidates in Spark, the sequential picks on one small group."""
+"""Balanced selection of documents under quotas: picks in rounds, each over the whole table."""
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import folder
+
 # Scores of the selection.
 TAG_POINTS, TAGS_AT_MOST, LONG_POINTS, MEDIUM_POINTS, SHORT_POINTS = 1000, 3, 200, 100, 50
 FIELD_POINTS, RARE_TAG_POINTS, LENGTH_PENALTY, COVERED_BY = 500, 300, 100, 2
@@ -37,28 +37,16 @@ def static_score(tags, bucket):
     return F.least(tags, F.lit(TAGS_AT_MOST)) * TAG_POINTS + F.when(bucket == "long", LONG_POINTS).when(bucket == "medium", MEDIUM_POINTS).otherwise(SHORT_POINTS)
 
 
-def candidates(docs: DataFrame, q: Quotas) -> DataFrame:
-    """The documents that a selection can reach, of docs (id, slug, stage, bucket, tokens, tags, fields).
-
-    Documents of one stage, bucket, number of tags and set of tags and fields that count have the same score at any time, so
-    of each such kind only the first ones by slug can be picked or swapped in, and only the shortest by a later swap.
-    """
-    known = lambda c, names: F.array_sort(F.array_intersect(F.array_distinct(c), F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")))
-    kind = F.struct("stage", "bucket", F.least(F.size("tags"), F.lit(TAGS_AT_MOST)).alias("n"), known("tags", q.tags).alias("t"), known("fields", q.fields).alias("f"))
-    slug = F.desc("slug") if q.lowest_first else F.col("slug")
-    reach = 2 * q.total + len(q.tags) + q.swaps
-    marked = docs.withColumn("__kind", F.xxhash64(F.to_json(kind)))
-    # two cuts, so that each is made in the tasks before the rows of a kind meet
-    first = lambda *by: marked.withColumn("__n", F.row_number().over(W.partitionBy("__kind").orderBy(*by))).where(F.col("__n") <= reach).drop("__n")
-    every = first(slug, "id").unionByName(first("tokens", "id")).unionByName(marked.where(F.col("id").isin(*q.includes)))
-    return every.distinct().drop("__kind")
+#: Documents that a round of picks looks at.
+ROUND = 64
 
 
 class _Selection:
-    """The picks over a list of rows, with what they cover."""
+    """The picks so far and what they cover: as many documents as are selected, and a counter for each stage, length, tag and
+    field. The documents themselves stay in their table; each look at it is an aggregate of its best rows, by a score that has the counters as literals."""
 
-    def __init__(self, rows: list[dict], q: Quotas):
-        self.q, self.rows, self.taken = q, rows, {}
+    def __init__(self, table: DataFrame, q: Quotas):
+        self.table, self.q, self.taken = table, q, {}
         self.stages, self.lengths, self.tags, self.fields = Counter(), Counter(), Counter(), set()
 
     def add(self, row: dict, how: str) -> None:
@@ -74,57 +62,74 @@ class _Selection:
     def drop(self, ident) -> None:
         self._count(self.taken.pop(ident)[0], -1)
 
-    def score(self, row: dict) -> int:
-        tags, quota = set(row["tags"]), self.q.lengths.get(row["bucket"], 0)
-        found = min(len(tags), TAGS_AT_MOST) * TAG_POINTS
-        found += FIELD_POINTS * len((set(row["fields"]) & set(self.q.fields)) - self.fields)
-        found += BUCKET_POINTS[row["bucket"]] if self.lengths[row["bucket"]] < quota else 0
-        return found + RARE_TAG_POINTS * sum(t in self.q.tags and self.tags[t] < COVERED_BY for t in tags)
-
-    def best(self, rows: list[dict], penalty: bool) -> dict:
-        def value(row: dict) -> int:
-            over = penalty and self.lengths[row["bucket"]] >= self.q.lengths.get(row["bucket"], 0)
-            # the penalty is taken from the negated score where the least is preferred
-            return self.score(row) + (LENGTH_PENALTY if over else 0) * (1 if self.q.lowest_first else -1)
-
-        if self.q.lowest_first:
-            least = min(map(value, rows))
-            slug = max(r["slug"] for r in rows if value(r) == least)
-            return min((r for r in rows if value(r) == least and r["slug"] == slug), key=lambda r: r["id"])
-        return min(rows, key=lambda r: (-value(r), r["slug"], r["id"]))
-
-    def left(self) -> list[dict]:
-        return [r for r in self.rows if r["id"] not in self.taken]
+    def full(self, bucket: str) -> bool:
+        return self.lengths[bucket] >= self.q.lengths.get(bucket, 0)
+
+    @property
+    def rare(self) -> list[str]:
+        return [t for t in self.q.tags if self.tags[t] < COVERED_BY]
+
+    def value(self, row: dict, penalty: bool) -> int:
+        tags = set(row["tags"])
+        found = min(len(tags), TAGS_AT_MOST) * TAG_POINTS + FIELD_POINTS * len((set(row["fields"]) & set(self.q.fields)) - self.fields) + RARE_TAG_POINTS * len(tags & set(self.rare))
+        found += 0 if self.full(row["bucket"]) else BUCKET_POINTS[row["bucket"]]
+        # the penalty is taken from the negated score where the least is preferred
+        return found + (LENGTH_PENALTY if penalty and self.full(row["bucket"]) else 0) * (1 if self.q.lowest_first else -1)
+
+    def _value(self, penalty: bool) -> Column:
+        """value() of a row of the table."""
+        among = lambda c, names: F.size(F.array_intersect(c, F.array(*map(F.lit, names)))) if names else F.lit(0)
+        late = LENGTH_PENALTY * (1 if self.q.lowest_first else -1) if penalty else 0
+        points = F.lit(0)
+        for bucket, own in BUCKET_POINTS.items():
+            points = F.when(F.col("bucket") == bucket, late if self.full(bucket) else own).otherwise(points)
+        return F.least(F.size("tags"), F.lit(TAGS_AT_MOST)) * TAG_POINTS + among("fields", [f for f in self.q.fields if f not in self.fields]) * FIELD_POINTS + among("tags", self.rare) * RARE_TAG_POINTS + points
+
+    def _left(self) -> DataFrame:
+        return self.table.where(~F.col("id").isin(*self.taken)) if self.taken else self.table
+
+    def _first(self, rows: DataFrame, penalty: bool, n: int) -> list[dict]:
+        """The n best rows, of which each task keeps n at most."""
+        slug = F.desc("slug") if self.q.lowest_first else F.asc("slug")
+        value = F.asc("__value") if self.q.lowest_first else F.desc("__value")
+        return [r.asDict() for r in rows.withColumn("__value", self._value(penalty)).orderBy(value, slug, "id").limit(n).collect()]
 
     def greedy(self) -> None:
-        for row in self.rows:
-            if row["id"] in self.q.includes:
-                self.add(row, "included")
-        while len(self.taken) < self.q.total:
-            fits = [r for r in self.left() if self.stages[r["stage"]] < self.q.stages.get(r["stage"], 0)]
-            if not fits:
+        """Picks in rounds. No pick raises a score, so a row that was not among the best of a round is not above its last one
+        later either: rows of the round that still are can be picked without another look. Where the least score is
+        preferred, that does not hold, and a round is one pick."""
+        key = lambda r: (-self.value(r, True), r["slug"], r["id"])
+        open_ = lambda stage: self.stages[stage] < self.q.stages.get(stage, 0)
+        n = 1 if self.q.lowest_first else ROUND
+        while len(self.taken) < self.q.total and (stages := [s for s in self.q.stages if open_(s)]):
+            found = self._first(self._left().where(F.col("stage").isin(*stages)), True, n)
+            if not found:
                 return
-            self.add(self.best(fits, True), "picked")
+            edge, picked = key(found[-1]) if len(found) == n else None, False
+            while len(self.taken) < self.q.total and (fits := [r for r in found if r["id"] not in self.taken and open_(r["stage"])]):
+                best = min(fits, key=key)
+                if picked and edge is not None and key(best) > edge:
+                    break
+                self.add(best, "picked")
+                picked = True
 
     def cover(self) -> None:
         """For each tag that fewer than two have: the best document with it takes the place of the last one."""
         for tag in sorted(self.q.tags):
-            having = [r for r in self.left() if tag in r["tags"]]
-            if self.tags[tag] < COVERED_BY and having:
-                row = self.best(having, False)
+            if self.tags[tag] < COVERED_BY and (found := self._first(self._left().where(F.array_contains("tags", tag)), False, 1)):
                 if self.taken:
                     self.drop(next(reversed(self.taken)))
-                self.add(row, "covers")
+                self.add(found[0], "covers")
 
     def swap(self) -> None:
         """For the first tags that none has: the document with the most tags, of these the shortest, takes the place of one
         whose tags are all had by others, the one with the most common ones, of these the longest; or else of the longest."""
         for tag in [t for t in sorted(self.q.tags) if not self.tags[t]][: self.q.swaps]:
-            having = [r for r in self.left() if tag in r["tags"]]
+            count = F.size(F.array_intersect("tags", F.array(*map(F.lit, self.q.tags))))
+            having = self._left().where(F.array_contains("tags", tag)).orderBy(count.desc(), "tokens", "id").limit(1).collect()
             if not having or not self.taken:
                 continue
             known = lambda r: set(r["tags"]) & set(self.q.tags)
-            new = min(having, key=lambda r: (-len(known(r)), r["tokens"], r["id"]))
             rows = [r for r, _ in self.taken.values()]
             spare = [r for r in rows if all(self.tags[t] > 1 for t in known(r))]
             if spare:
@@ -132,28 +137,27 @@ class _Selection:
             else:
                 old = min(rows, key=lambda r: (-r["tokens"], r["id"]))
             self.drop(old["id"])
-            self.add(new, "swapped")
-
-
-def select(rows: list[dict], q: Quotas) -> list[tuple[dict, str]]:
-    """The selected rows in the order of their picks, and how each came in."""
-    chosen = _Selection(sorted(rows, key=lambda r: r["id"]), q)
-    chosen.greedy()
-    chosen.cover()
-    chosen.swap()
-    return list(chosen.taken.values())
+            self.add(having[0].asDict(), "swapped")
 
 
 def select_balanced(docs: DataFrame, q: Quotas) -> DataFrame:
     """(id, stage, bucket, pick, how) of the selection from docs (id, slug, stage, bucket, tokens, tags, fields).
 
-    The picks depend on each other, so they are made in one group; candidates() bounds it by the kinds of documents, however many there are.
+    The picks depend on each other, so they are made one after the other, each by an aggregate over all documents, of which
+    the driver sees the best few: a round is ROUND rows, the result q.total. Rows with a null id cannot be picked. Null
+    tags and fields count as none, and lengths that are not known as short.
     """
-
-    def run(table: pa.Table) -> pa.Table:
-        found = [(r["id"], r["stage"], r["bucket"], k, how) for k, (r, how) in enumerate(select(table.to_pylist(), q), 1)]
-        columns = list(zip(*found)) if found else [[]] * 5
-        return pa.table({c: pa.array(list(v), k) for c, v, k in zip(("id", "stage", "bucket", "pick", "how"), columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()))})
-
-    few = candidates(docs.select("id", "slug", "stage", "bucket", "tokens", "tags", "fields"), q).withColumn("one", F.lit(0))
-    return few.groupBy("one").applyInArrow(run, "id long, stage string, bucket string, pick long, how string")
+    none = F.array().cast("array<string>")
+    bucket = F.when(F.col("bucket").isin(*BUCKET_POINTS), F.col("bucket")).otherwise("short")
+    narrow = docs.where("id IS NOT NULL").select("id", "slug", "stage", bucket.alias("bucket"), "tokens", *(F.array_distinct(F.coalesce(c, none)).alias(c) for c in ("tags", "fields")))
+    path = folder(docs.sparkSession, "selection")
+    narrow.write.parquet(path)
+    chosen = _Selection(docs.sparkSession.read.schema(narrow.schema).parquet(path), q)
+    if q.includes:
+        for row in chosen.table.where(F.col("id").isin(*q.includes)).orderBy("id").collect():
+            chosen.add(row.asDict(), "included")
+    chosen.greedy()
+    chosen.cover()
+    chosen.swap()
+    found = [(r["id"], r["stage"], r["bucket"], k, how) for k, (r, how) in enumerate(chosen.taken.values(), 1)]
+    return docs.sparkSession.createDataFrame(found, "id long, stage string, bucket string, pick long, how string")
