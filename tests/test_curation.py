@@ -234,7 +234,7 @@ def test_model_backends_batch_retry_and_fall_back(spark, tmp_path):
     embedding.register("strict", embedding.model_backend(load, retries=0, fallback=False))
     with pytest.raises(Exception, match="no answer"):
         embedding.embed(rows, "strict", 2).collect()
-    assert embedding.chosen_backend({}) == "stub" and embedding.chosen_backend({"RAG_REAL_EMBED": "1", "OPENAI_API_KEY": "k"}, "lengths") == "lengths"
+    assert embedding.chosen_backend({}) == "stub" and embedding.chosen_backend({"RAG_REAL_EMBED": "1", "KEY": "k"}, "lengths", key="KEY") == "lengths"
     halves = [0.1, 1.0, -3.14159, 1e-6, 65504.0, 0.0, 2.0**-15 * 1.0004]
     got = spark.createDataFrame([(x,) for x in halves], "x double").select(embedding.half(C("x")).alias("h")).collect()
     assert [r["h"] for r in got] == [float(np.float16(x)) for x in halves]

@@ -53,13 +53,9 @@ def model_backend(load: Callable[[], Callable[[list[str]], object]], batch: int
     return backend
 
 
-# The settings of the environment that choose a backend.
-CHOICE, KEY = "RAG_REAL_EMBED", "OPENAI_API_KEY"
-
-
-def chosen_backend(environ: Mapping[str, str], real: str = "model") -> str:
-    """The name of the backend that the environment asks for: the real one if it is wanted, has a key and is registered, else stub."""
-    return real if environ.get(CHOICE) == "1" and environ.get(KEY) and real in BACKENDS else "stub"
+def chosen_backend(environ: Mapping[str, str], real: str = "model", choice: str = "RAG_REAL_EMBED", key: str = "MODEL_API_KEY") -> str:
+    """The name of the backend that the environment asks for: the real one if its variable `choice` is 1, it has the variable `key` and is registered, else stub."""
+    return real if environ.get(choice) == "1" and environ.get(key) and real in BACKENDS else "stub"
 
 
 #: How a component is kept: as it is, or with the precision of a narrower type.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: More entries than this are refused: they are compiled into one expression. A longer registry is a table for first_substring.
 MAX_ENTRIES = 1000
-#: Labels share a join key if they share a run of so many characters, or all of a shorter label.
+#: Characters of the runs that labels and texts are joined on.
 GRAM = 3
 
 
@@ -33,20 +33,32 @@ def _every_gram(text: Column) -> Column:
     return F.flatten(F.array(*(_grams(text, n) for n in range(1, GRAM + 1))))
 
 
+def _holding(texts: DataFrame, text: str, labels: DataFrame, label: str) -> DataFrame:
+    """Rows of texts and labels, both not empty, whose text holds the label.
+
+    A text that holds a label has all of its runs of GRAM characters (a shorter label is one run), so one is enough to join
+    on: the one that the fewest texts have. A label with a run that no text has is in none.
+    """
+    held = texts.select("*", F.explode(_every_gram(F.col(text))).alias("__g"))
+    counts = held.groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    own = F.when(F.length(label) >= GRAM, _grams(F.col(label), GRAM)).otherwise(F.array(label))
+    runs = labels.select("*", F.explode(own).alias("__g")).join(counts, "__g", "left")
+    rarest = runs.groupBy(*labels.columns).agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__g").alias("g"))).alias("__r")).where("__r.n > 0")
+    return held.join(rarest.select(*labels.columns, F.col("__r.g").alias("__g")), "__g").where(F.contains(text, label)).drop("__g")
+
+
 def first_substring(left: DataFrame, key: str, label: str, right: DataFrame, order: str, other: str) -> DataFrame:
     """(key, order): for each left row the least `order` of the right rows whose label holds the left one's or is held by
     it, case aside; left rows without one are not there, nor are null labels.
 
-    A text holds a label only if it has the label's first characters, so both sides are joined on these, and each pair is
-    tested. No row is compared with all others. Blank labels are held by everything, which one row says.
+    Equal labels are one, each pair that shares its label's rarest run is tested, and no row is compared with all others.
+    Blank labels are held by everything, which one row says.
     """
     a = left.select(F.col(key).alias("k"), F.lower(label).alias("x")).where("x IS NOT NULL")
     b = right.select(F.col(order).alias("o"), F.lower(other).alias("y")).where("y IS NOT NULL")
-    head = lambda c: F.left(c, F.lit(GRAM))
-    a_full, b_full = a.where("x <> ''"), b.where("y <> ''")
-    held = a_full.select("k", "x", F.explode(_every_gram(F.col("x"))).alias("g")).join(b_full.select("o", "y", head(F.col("y")).alias("g")), "g").where(F.contains("x", "y"))
-    holding = b_full.select("o", "y", F.explode(_every_gram(F.col("y"))).alias("g")).join(a_full.select("k", "x", head(F.col("x")).alias("g")), "g").where(F.contains("y", "x"))
-    pairs = held.select("k", "o").unionByName(holding.select("k", "o"))
+    x, y = a.where("x <> ''").select("x").distinct(), b.where("y <> ''").groupBy("y").agg(F.min("o").alias("o"))
+    both = _holding(x, "x", y, "y").select("x", "o").unionByName(_holding(y, "y", x, "x").select("x", "o"))
+    pairs = a.join(both.groupBy("x").agg(F.min("o").alias("o")), "x").select("k", "o")
     # one row each: the first of all right rows for blank left labels, the first blank right row for all left ones
     blank = b.where("y = ''").agg(F.min("o").alias("o")).where("o IS NOT NULL")
     first = b.agg(F.min("o").alias("o")).where("o IS NOT NULL")
