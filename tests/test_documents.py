@@ -76,7 +76,11 @@ def test_stores(spark):
     kv.put(spark.createDataFrame([("b", "k", "1"), ("c", "k", "9")], "bucket string, key string, value string"), 1)
     kv.put(spark.createDataFrame([("b", "k", "2")], "bucket string, key string, value string"), 2)
     assert [tuple(r) for r in kv.get("b").collect()] == [("k", "2")]
-    assert kv.existing(spark.createDataFrame([("b", "k"), ("b", "x")], "bucket string, key string")).count() == 1
+    wanted = spark.createDataFrame([("b", "k"), ("b", "x")], "bucket string, key string")
+    assert kv.existing(wanted).count() == 1
+    assert kv.compact() == 2 and kv.compact() == 0 and [tuple(r) for r in kv.get("b").collect()] == [("k", "2")] and kv.existing(wanted).count() == 1
+    kv.put(spark.createDataFrame([("b", "k", "3")], "bucket string, key string, value string"), 3)
+    assert [tuple(r) for r in kv.get("b").collect()] == [("k", "3")] and [tuple(r) for r in kv.get("c").collect()] == [("k", "9")] and kv.get("none").count() == 0
     p, df = store.Pointer(spark, files.folder(spark, "pointer")), spark.range(3)
     assert p.current() is None
     p.replace(df)

@@ -40,7 +40,7 @@ def slug_hyphen(text: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def _unaccented(s: pd.Series) -> pd.Series:
     def plain(x):
-        return None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        return x if x is None or x.isascii() else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
 
     return s.map(plain, na_action="ignore")
 

@@ -4,34 +4,13 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-class KeyValues:
-    """Rows (bucket, key, value) appended below a folder; the latest of a key counts."""
-
-    SCHEMA = "key STRING, value STRING, at LONG, bucket STRING"
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def put(self, rows: DataFrame, at: int) -> None:
-        """rows: bucket, key, value; at: a number that grows with each call."""
-        rows.select("key", "value", F.lit(at).cast("long").alias("at"), "bucket").write.mode("append").partitionBy("bucket").parquet(self.path)
-
-    def get(self, bucket: str) -> DataFrame:
-        """(key, value) of a bucket; only its files are read."""
-        every = self.spark.read.schema(self.SCHEMA).parquet(self.path).where(F.col("bucket") == bucket)
-        return every.groupBy("key").agg(F.max_by("value", "at").alias("value"))
-
-    def existing(self, wanted: DataFrame) -> DataFrame:
-        """The rows (bucket, key) of `wanted` that have a value."""
-        return wanted.join(self.spark.read.schema(self.SCHEMA).parquet(self.path), ["bucket", "key"], "left_semi")
-
-
 class Conflict(RuntimeError):
     """Another writer came first."""
 
@@ -104,3 +83,56 @@ class Pointer:
 
     def read(self, schema: T.StructType | str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(self.current())
+
+
+class KeyValues:
+    """Rows (bucket, key, value) below a folder; the latest of a key counts.
+
+    Each put is a folder of its own; compact() puts the latest rows of all of them into one base behind a Pointer and
+    removes them. A reader that has listed a put before it went must read again.
+    """
+
+    SCHEMA = "key STRING, value STRING, at LONG, bucket STRING"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self.base = Pointer(spark, f"{self.path}/base")
+
+    def put(self, rows: DataFrame, at: int) -> None:
+        """rows: bucket, key, value; at: a number that grows with each call."""
+        rows.select("key", "value", F.lit(at).cast("long").alias("at"), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/puts/{at:020d}-{uuid.uuid4().hex}")
+
+    def _puts(self) -> list[str]:
+        place = self.base._path(f"{self.path}/puts")
+        found = self.base.fs.listStatus(place) if self.base.fs.exists(place) else []
+        done = lambda x: self.base.fs.exists(self.base._path(x.getPath(), "_SUCCESS"))
+        return [x.getPath().toString() for x in found if done(x)]
+
+    def _rows(self, puts: list[str], bucket: str | None = None) -> DataFrame:
+        """All rows of some puts and of the base; of one bucket only its files of the puts are read."""
+        parts = [self.spark.read.schema(self.SCHEMA).option("basePath", p).parquet(p) for p in puts]
+        if self.base.current():
+            parts.append(self.base.read(self.SCHEMA))
+        every = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+        return every if bucket is None else every.where(F.col("bucket") == bucket)
+
+    def get(self, bucket: str) -> DataFrame:
+        """(key, value) of a bucket."""
+        return self._rows(self._puts(), bucket).groupBy("key").agg(F.max_by("value", "at").alias("value"))
+
+    def existing(self, wanted: DataFrame) -> DataFrame:
+        """The rows (bucket, key) of `wanted` that have a value."""
+        return wanted.join(self._rows(self._puts()), ["bucket", "key"], "left_semi")
+
+    def compact(self) -> int:
+        """Returns how many puts went."""
+        puts = self._puts()
+        if not puts:
+            return 0
+        row = F.struct("value", "at")
+        latest = self._rows(puts).groupBy("bucket", "key").agg(F.max_by(row, "at").alias("r")).select("key", "r.*", "bucket")
+        self.base.replace(latest.sortWithinPartitions("bucket"))
+        for p in puts:
+            self.base.fs.delete(self.base._path(p), True)
+        self.base.vacuum()
+        return len(puts)
