@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -59,3 +62,15 @@ def test_passage_vectors_of_a_batch_equal_those_alone(texts):
     x, owner = quality.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     for k, r in enumerate(raw):
         assert np.allclose(x[owner == k], quality.encode(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0])
+
+
+@given(st.binary(max_size=3000))
+def test_features_of_a_payload_equal_plain_statistics(data):
+    payload = media.padded(data)
+    said = {k: float(v) for k, v in (x.split("=") for x in media.describe(payload).split(";"))}
+    share = {b: payload.count(b) / len(payload) for b in set(payload)}
+    wanted = {
+        "mean": statistics.fmean(payload), "std": statistics.pstdev(payload), "entropy": -sum(p * math.log2(p) for p in share.values()), "zero": share.get(0, 0.0),
+        "letters": sum(bytes([b]).isalpha() for b in payload) / len(payload), "high": sum(b > 127 for b in payload) / len(payload),
+    }
+    assert said.keys() == wanted.keys() and all(abs(said[k] - v) <= 0.51e-4 for k, v in wanted.items())

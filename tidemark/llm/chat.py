@@ -121,7 +121,7 @@ def read_turns(formatted: Column, t: Template | None = None) -> Column:
 
 
 def loss_text(segments: Column, t: Template | None = None) -> Column:
-    """All text under the loss mask, unescaped, in order."""
+    """All text under the loss mask, unescaped, in order. It is read from the segments, which carry the flags; the formatted text, their concatenation, has none."""
     return unescaped(F.array_join(F.filter(segments, lambda s: s["loss"])["text"], ""), t or Template())
 
 
