@@ -20,14 +20,14 @@ def _copied(s, d, table, files):
     return tail.source(s, path, read(s, d, table).schema, 1)
 
 
-def _log(s, d, files=3):
-    """The events as log files in the order of their times, each of which is a batch; the rows of a file are dealt over tasks."""
+def _log(s, d, batches=3, files=4):
+    """The events as log files, some for each range of times, one range after the other: a range is a batch, its files are tasks."""
     path, rows = folder(s, "events"), read(s, d, "events")
-    edges = rows.agg(F.percentile_approx("ts", [k / files for k in range(1, files)])).first()[0]
-    for k, (low, high) in enumerate(zip([None, *edges], [*edges, None])):
-        part = rows.where((F.lit(low is None) | (C("ts") > F.lit(low))) & (F.lit(high is None) | (C("ts") <= F.lit(high))))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return tail.source(s, path, rows.schema, 1).withColumn("at", C("ts").cast("timestamp"))
+    edges = rows.agg(F.percentile_approx("ts", [k / batches for k in range(1, batches)])).first()[0]
+    for low, high in zip([None, *edges], [*edges, None]):
+        part = rows if low is None else rows.where(C("ts") > F.lit(low))
+        (part if high is None else part.where(C("ts") <= F.lit(high))).repartition(files).write.mode("append").parquet(path)
+    return tail.source(s, path, rows.schema, files).withColumn("at", C("ts").cast("timestamp"))
 
 
 @query("stream_tail", "SELECT event_id, event_type, value FROM events WHERE value >= 100")
