@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -39,6 +40,15 @@ def test_redaction_equals_python(spark, sf):
         assert t == r["r"]
 
 
+def test_redaction_ends_words_at_accents_as_sql_does(spark):
+    key = "AbCd1234AbCd1234AbCd1234"
+    for raw in (f"é{key}", f"{key}é", f"Größe{key}ß and ü{key}", f"_{key}", f"{key}_", f"x{key}é_", "é555-123-4567ü", "éann@example.orgé", "ü123-45-6789é", "é4111 1111 1111 1111ü"):
+        for name, pattern, put in text.REDACTIONS:
+            if name != "ssn":
+                assert one(spark, text.redact(F.col("t"), name), t=raw) == duckdb.execute("SELECT regexp_replace(?, ?, ?, 'g')", [raw, pattern, put]).fetchone()[0], (raw, name)
+    assert one(spark, text.redact(F.col("t"), "ssn"), t="ü123-45-6789é") == "ü[SSN_REDACTED]é"
+
+
 def test_slugs(spark):
     assert one(spark, text.slug_hyphen(F.col("t")), t="  Hello, World -- 2! ") == "hello-world-2"
     assert one(spark, text.slug_snake(F.col("t")), t="Élan vital -- Über") == "elan_vital_uber"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -61,10 +62,17 @@ def safe_filename(name: Column) -> Column:
     return F.lower(F.regexp_replace(swapped, "^_+|_+$", ""))
 
 
+def _ascii_edges(name: str, pattern: str) -> str:
+    r"""The pattern with \b between ASCII word characters and all others, as SQL has it; Java's \b takes accented letters for word
+    characters too. Only email's ends may be other than word characters, so that the rest look at one side alone."""
+    first, last = (r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))",) * 2 if name == "email" else (r"(?<!\w)", r"(?!\w)")
+    return re.sub(r"^\\b", lambda _: first, re.sub(r"\\b$", lambda _: last, pattern))
+
+
 def redact(text: Column, only: str | None = None) -> Column:
-    """The patterns in order, each on what the one before left; or one of them alone."""
+    """The patterns in order, each on what the one before left; or one of them alone. A word ends where ASCII letters, digits and _ do."""
     chosen = [r for r in REDACTIONS if only is None or r[0] == only]
-    return reduce(lambda s, r: F.regexp_replace(s, r[1], r[2]), chosen, text)
+    return reduce(lambda s, r: F.regexp_replace(s, _ascii_edges(r[0], r[1]), r[2]), chosen, text)
 
 
 def truncate_chars(text: Column, n: int) -> Column:

@@ -83,7 +83,7 @@ def _(s, d):
 
 @query("redact_name_ascii", f"SELECT doc_id, sha256({_sql_redact('name_basic')}) AS redacted FROM documents")
 def _(s, d):
-    """Words end where an ASCII letter, digit or underscore does not follow, as in SQL; redact_text takes all letters for parts of words."""
+    """Words end where an ASCII letter, digit or underscore does not follow, as in SQL and in the other redactions."""
     _, _, put = next(r for r in X.REDACTIONS if r[0] == "name_basic")
     return _documents(s, d).select("doc_id", F.sha2(F.regexp_replace("text", "(?<![A-Za-z0-9_])[A-Z][a-z]+ [A-Z][a-z]+(?![A-Za-z0-9_])", put), 256).alias("redacted"))
 
