@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalogue
 from tidemark.operators import mapping, sessions, validators
 from tidemark.operators.ordered import among_first, running
 
@@ -233,6 +234,12 @@ def test_running_first_and_stop_against_lists(spark):
     assert running(none, ["k"], ["i"], {"total": F.col("v")}).count() == among_first(none, ["k"], ["i"], 4, "first").count() == 0
 
 
+def test_snapshots_hold_all_events_of_a_kind(spark, tmp_path):
+    rows = [(1, "click", 5.0), (1, "purchase", 500.0), (2, "click", 5.0), (3, "purchase", 5.0), (4, "purchase", 500.0), (5, "view", 500.0)]
+    spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(map(tuple, catalogue.queries()["snapshot_diff"](spark, str(tmp_path)).collect())) == [(2, "removed"), (3, "added"), (4, "added")]
+
+
 def test_chains_of_hashes_against_hashlib(spark):
     """Null keys and steps, steps of one place, a session that is most of the rows, more batches than one, and an empty table."""
     rng = random.Random(2)
