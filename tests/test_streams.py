@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.plans import streams
 from tidemark.sources import files
 from tidemark.streaming import follow, stateful, tail
 
@@ -163,6 +164,23 @@ def test_timers_wait_until_a_path_is_quiet():
     assert driven([(0, 1, "a:x"), (4000, 2, "b:y"), (8000, 3, "a:z")], 5.0, "*") == [(13000, 3, "created", 3)]
 
 
+def test_a_larger_table_is_copied_by_more_tasks(spark, sf, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(streams, "folder", lambda s, name: made.append(f"{tmp_path}/{name}{len(made)}") or made[-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "24KB")
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        copied, batches = streams._copied(spark, sf, "documents", 2), []
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    copied.writeStream.foreachBatch(lambda b, n: batches.append((b.select(F.input_file_name()).distinct().count(), b.count()))).option("checkpointLocation", str(tmp_path / "marks")).trigger(availableNow=True).start().awaitTermination()
+    assert len(batches) == 2 and all(files > 2 for files, _ in batches) and sum(n for _, n in batches) == rows.count()
+    assert max(r["n"] for r in spark.read.parquet(made[0]).groupBy(F.input_file_name().alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()) < rows.count() / 4
+
+
 def test_all_paths_are_quiet_together(spark, tmp_path):
     at = lambda s: datetime.fromtimestamp(1_700_000_000 + s, timezone.utc).replace(tzinfo=None)
     path, schema = str(tmp_path / "in"), "path string, event_id long, at timestamp, hash string"

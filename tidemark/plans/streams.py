@@ -13,11 +13,13 @@ from tidemark.streaming import follow, stateful, tail
 C = F.col
 
 
-def _copied(s, d, table, files):
-    """The table as several files, so that a stream has more than one batch."""
-    path = folder(s, table)
-    read(s, d, table).repartition(files).write.parquet(path)
-    return tail.source(s, path, read(s, d, table).schema, 1)
+def _copied(s, d, table, batches):
+    """The table as several files, so that a stream has more than one batch; a batch has as many files as its share of the table
+    has splits when it is read (spark.sql.files.maxPartitionBytes at most), so that no task has more of a larger table."""
+    path, rows = folder(s, table), read(s, d, table)
+    files = max(1, -(-rows.rdd.getNumPartitions() // batches))
+    rows.repartition(batches * files).write.parquet(path)
+    return tail.source(s, path, rows.schema, files)
 
 
 def _log(s, d, batches=3, files=4):
