@@ -164,6 +164,14 @@ def test_timers_wait_until_a_path_is_quiet():
     assert driven([(0, 1, "a:x"), (4000, 2, "b:y"), (8000, 3, "a:z")], 5.0, "*") == [(13000, 3, "created", 3)]
 
 
+def test_a_path_that_tells_nothing_has_no_frame():
+    step = stateful.LastOfBurst(2.0, "processing")
+    step.init(Handle())
+    frame = pd.DataFrame({"at": pd.to_datetime([0], unit="ms"), "event_id": [1], "hash": ["x"]})
+    assert list(step.handleInputRows(("p",), iter([frame]), Clock())) == []
+    assert [len(f) for f in step.handleExpiredTimer(("p",), Clock(), None)] == [1]
+
+
 def test_a_larger_table_is_copied_by_more_tasks(spark, sf, tmp_path, monkeypatch):
     made = []
     monkeypatch.setattr(streams, "folder", lambda s, name: made.append(f"{tmp_path}/{name}{len(made)}") or made[-1])

@@ -138,17 +138,19 @@ class LastOfBurst(StatefulProcessor):
         due = at // 1000 + self.quiet // 1000 + 1 if self.by_event else timerValues.getCurrentProcessingTimeInMs() + self.quiet // 1000
         self.handle.registerTimer(int(due))
         self.state.update((known, content, ident, at, waits, n))
-        yield self._frame(out)
+        yield from self._frames(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         known, content, ident, at, waits, n = self.state.get()
         out = [self._told(key[0], known, content, ident, at, n)] if waits else []
         self.state.update((content, content, ident, at, False, 0))
-        yield self._frame(out)
+        yield from self._frames(out)
 
     @staticmethod
-    def _frame(rows: list) -> pd.DataFrame:
-        return pd.DataFrame([r for r in rows if r is not None], columns=["path", "event_id", "change", "at", "n"]).astype({"at": "datetime64[us]", "event_id": "Int64", "n": "Int64"})
+    def _frames(rows: list) -> Iterator[pd.DataFrame]:
+        """A key that tells nothing has no frame: most keys of a batch."""
+        if told := [r for r in rows if r is not None]:
+            yield pd.DataFrame(told, columns=["path", "event_id", "change", "at", "n"]).astype({"at": "datetime64[us]", "event_id": "Int64", "n": "Int64"})
 
     def close(self) -> None:
         pass
