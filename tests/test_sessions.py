@@ -234,6 +234,26 @@ def test_running_first_and_stop_against_lists(spark):
     assert running(none, ["k"], ["i"], {"total": F.col("v")}).count() == among_first(none, ["k"], ["i"], 4, "first").count() == 0
 
 
+def test_running_sums_of_doubles_do_not_depend_on_borders_of_ranges(spark):
+    values = [round(random.Random(k).uniform(0, 120), 2) for k in range(60)]
+    names = {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(list(enumerate(values)), "i long, v double").repartition(3).withColumn("k", F.lit(1))
+        dealt = df.repartitionByRange("k", "i").select(F.spark_partition_id().alias("p")).distinct().count()
+        found = {r["i"]: r["used"] for r in running(df, ["k"], ["i"], {"used": F.col("v")}).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert dealt == 2
+    used = 0.0
+    for i, v in enumerate(values):
+        assert found[i] == used
+        used += v
+
+
 def test_snapshots_hold_all_events_of_a_kind(spark, tmp_path):
     rows = [(1, "click", 5.0), (1, "purchase", 500.0), (2, "click", 5.0), (3, "purchase", 5.0), (4, "purchase", 500.0), (5, "view", 500.0)]
     spark.createDataFrame(rows, "user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))

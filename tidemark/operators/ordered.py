@@ -20,13 +20,15 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
 
     Rows are dealt by ranges of keys and order, so a hot key has many; windows end at a range. What the ranges before it add,
     one row for each range and key in it, is joined. The ranges are written first, so that both sides see the same ones.
-    A null key is a key.
+    A null key is a key. Sums of doubles go on from what the range before has, in order, so a key that a border cuts in two has
+    the sums of an uncut one; a key over more ranges has each one's sum added as a whole.
     """
     spark, sums, last = df.sparkSession, sums or {}, last or {}
     path, c = folder(spark, "ordered"), F.col
     added = {f"__s{i}": x for i, x in enumerate(sums.values())} | {f"__l{i}": x for i, x in enumerate(last.values())}
     made = df.withColumns(added).repartitionByRange(*keys, *order).withColumn("__g", F.struct(*keys, F.spark_partition_id().alias("__part")))
-    made.write.parquet(path)
+    inexact = [isinstance(made.schema[f"__s{i}"].dataType, (T.DoubleType, T.FloatType)) for i in range(len(sums))]
+    (made.sortWithinPartitions(*keys, *order) if any(inexact) else made).write.parquet(path)
     dealt = spark.read.schema(made.schema).parquet(path)
     totals = [F.sum(f"__s{i}").alias(f"__t{i}") for i in range(len(sums))]
     end = F.max_by(F.struct(F.lit(True), *(c(f"__l{i}") for i in range(len(last)))), F.struct(*order))
@@ -35,9 +37,13 @@ def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Co
     before = [F.coalesce(F.sum(f"__t{i}").over(earlier.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__t{i}") for i in range(len(sums))]
     parts = parts.select("__g", *before, F.lag("__end").over(earlier).alias("__end"))
     here = W.partitionBy("__g").orderBy(*order)
-    own = {n: F.coalesce(F.sum(f"__s{i}").over(here.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + c(f"__t{i}") for i, n in enumerate(sums)}
+    joined, above = dealt.join(parts, "__g"), here.rowsBetween(W.unboundedPreceding, -1)
+    if any(inexact):
+        joined = joined.withColumn("__first", F.row_number().over(here) == 1)
+    carried = lambda i: F.when(c("__first"), c(f"__t{i}") + F.coalesce(f"__s{i}", F.lit(0))).otherwise(c(f"__s{i}"))
+    own = {n: F.coalesce(F.sum(carried(i)).over(above), c(f"__t{i}")) if inexact[i] else F.coalesce(F.sum(f"__s{i}").over(above), F.lit(0)) + c(f"__t{i}") for i, n in enumerate(sums)}
     own |= {n: F.when(F.row_number().over(here) == 1, c("__end")[f"__l{i}"]).otherwise(F.lag(f"__l{i}").over(here)) for i, n in enumerate(last)}
-    return dealt.join(parts, "__g").withColumns(own).select(*(c(f"`{x}`") for x in df.columns if x not in own), *own)
+    return joined.withColumns(own).select(*(c(f"`{x}`") for x in df.columns if x not in own), *own)
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[str], name: str = "nth") -> DataFrame:
