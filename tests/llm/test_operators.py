@@ -849,3 +849,15 @@ def test_shards_of_an_empty_table(spark):
     store = shards.ShardStore(spark, Workspace(spark, "t").path)
     store.append(docs(spark, []))
     assert store.compact() >= 1 and store.read().count() == 0
+
+
+def test_components_make_no_round_that_moves_nothing(spark):
+    def rounds(links):
+        work = Workspace(spark, "t")
+        found = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), work).collect()}
+        return found, work._count
+
+    stars = [(1, k) for k in range(2, 9)] + [(20, 30)]
+    assert rounds(stars) == ({k: 1 for k in range(1, 9)} | {20: 20, 30: 20}, 1)
+    found, tables = rounds([(k, k + 1) for k in range(1, 4)])
+    assert found == {k: 1 for k in range(1, 5)} and tables <= 1 + 4 * 2

@@ -356,7 +356,7 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
     classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.max("n").cast("int").alias("n"), *any_of)
     classes = work.write(classes.where("id IS NOT NULL"), "classes")
 
-    small, dense, likely = [], [], []
+    small, dense = [], []
     made = _expand(classes, p, True)
     for depth in range(1, p.levels + 1):
         made = work.write(made, "nodes")
@@ -364,7 +364,6 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
         sized = work.write(made.join(sizes, "node"), "sized")
         work.drop(made)
         small.append(sized.where(F.col("size") <= p.limit))
-        likely.append(_likeliest(small[-1], p, ("node",)))
         large = sized.where(F.col("size") > p.limit)
         stops = F.lit(depth == p.levels) | (F.lit(depth >= p.dense_from) & (2 * F.col("size") > F.col("up")))
         dense.append(large.where(stops))
@@ -374,8 +373,8 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
         made = _expand(large.join(classes.select("id", "tokens"), "id"), p, False)
     small, dense = reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense)
     salted = dense.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / p.chunk)).cast("int"))
-    likely.append(_likeliest(salted, p, ("node", "salt")))
-    likely = work.write(reduce(DataFrame.unionByName, likely).distinct(), "likely")
+    likely = _likeliest(small.withColumn("salt", F.lit(0)).unionByName(salted), p, ("node", "salt"))
+    likely = work.write(likely.distinct(), "likely")
 
     needed = likely.select(F.explode(F.array("a", "b")).alias("id")).unionByName(dense.select("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).where("id IS NOT NULL")
@@ -393,8 +392,13 @@ def near_duplicates(docs: DataFrame, work: Workspace, p: ChosenPath | None = Non
     found.append(_verified(crossing.join(likely, ["a", "b"], "left_anti"), texts, p).where(link).select("a", "b"))
     found = work.write(reduce(DataFrame.unionByName, found).distinct(), "found")
     if not found.isEmpty():
-        forest = parts.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        parts = work.write(connected_components(forest.unionByName(found), work), "parts")
+        # links of components, which are few, and then each class by its component's; a class without links is its own
+        known = parts.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+        ends = found.join(known, "a", "left").join(known.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = work.write(connected_components(ends, work).select(F.col("id").alias("component"), F.col("component").alias("whole")), "joined")
+        moved = parts.join(joined, "component", "left").select("id", F.coalesce("whole", "component").alias("component"))
+        fresh = joined.join(parts, F.col("id") == joined["component"], "left_anti").select(F.col("component").alias("id"), F.col("whole").alias("component"))
+        parts = work.write(moved.unionByName(fresh), "parts")
 
     of_row = rows.select("doc_id", "n", "k1", "k2").join(classes.select("k1", "k2", "id"), ["k1", "k2"], "left")
     whole = of_row.join(parts, "id", "left")
