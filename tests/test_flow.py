@@ -85,3 +85,15 @@ def test_measures_of_rows_arrive_in_a_sink(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert [(x[2], x[3]) for x in seen if x[1] == "rows"] == [(1.0, {"stage": "s", "batch": "0"}), (2.0, {"stage": "s", "batch": "1"})]
+
+
+def test_a_search_holds_few_scores_at_once(spark):
+    def counted(qv, xv):
+        assert qv.shape[0] * xv.shape[0] <= 1 << 19
+        return -np.abs(qv[:, 0][:, None] - xv[:, 0][None])
+
+    search.register_metric("counted", counted)
+    rows = spark.range(3000).repartition(1).select("id", F.array(F.col("id").cast("double")).alias("v"))
+    found = search.top_k(rows.where("id < 600"), rows, 1, "counted").collect()
+    del search.METRICS["counted"]
+    assert sorted((r["query_id"], r["row_id"]) for r in found) == [(k, k) for k in range(600)]

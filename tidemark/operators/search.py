@@ -18,6 +18,8 @@ from tidemark.sources.files import folder
 
 #: Rows of a block of each side: a task holds one of each and their score matrix.
 QUERY_BLOCK, ROW_BLOCK = 512, 8192
+#: Scores that are held at once: so many queries of a block are compared with a block of rows, at least one.
+SCORES = 1 << 19
 BLOCK_BYTES = 64 << 20
 RESULT = "query_id long, row_id long, score double"
 
@@ -48,8 +50,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", s
     queries and rows have id (long) and v (array of numbers); with `same` both have that column and only rows that agree
     in it count, before ranking; a null agrees with nothing. metric: cosine, dot, l2 (the distance, negated) or a registered
     one. A zero vector has a cosine of 0 with everything, so a zero query finds the least ids. The queries are written once,
-    by `same` if it is given. Each task goes over its own rows in blocks and reads the queries' blocks that they can match; a
-    pair of blocks is one matrix product that keeps k rows a query. Rows' vectors are not shuffled, and memory is that of two blocks at any size.
+    by `same` if it is given. Each task goes over its own rows in blocks and reads the queries' blocks that they can match; of a pair of blocks,
+    each matrix product has SCORES scores at most and keeps k rows a query. Rows' vectors are not shuffled, and memory is that of two blocks at any size.
     """
     spark = rows.sparkSession
     place = folder(spark, "queries")
@@ -67,18 +69,20 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", s
         ids, labels, vectors = table.column("id").to_numpy()[order], table.column("label").to_numpy()[order], unit(_matrix(table.column("v").combine_chunks())[order])
         present = np.unique(labels)
         wanted = dataset.field("label").isin(pa.array(present)) if same is not None else None
-        for batch in data.to_batches(filter=wanted, batch_size=QUERY_BLOCK):
+        for batch in _batches(data, filter=wanted):
             own = batch.column("label").to_numpy()
             for one in np.unique(own):
                 here = slice(np.searchsorted(labels, one), np.searchsorted(labels, one, "right"))
-                mine = np.flatnonzero(own == one)
-                if not len(mine) or here.start == here.stop:
+                asking = np.flatnonzero(own == one)
+                if here.start == here.stop:
                     continue
-                found = score(unit(_matrix(batch.column("v").take(pa.array(mine)))), vectors[here])
-                # rows go by id within a label, so a stable order gives ties to the lesser id
-                best = np.argsort(-found, axis=1, kind="stable")[:, :k]
-                qi = np.broadcast_to(batch.column("id").to_numpy()[mine][:, None], best.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(qi.ravel()), pa.array(ids[here][best].ravel()), pa.array(np.take_along_axis(found, best, 1).ravel())], ["query_id", "row_id", "score"])
+                step = max(1, SCORES // (here.stop - here.start))
+                for mine in (asking[at : at + step] for at in range(0, len(asking), step)):
+                    found = score(unit(_matrix(batch.column("v").take(pa.array(mine)))), vectors[here])
+                    # rows go by id within a label, so a stable order gives ties to the lesser id
+                    best = np.argsort(-found, axis=1, kind="stable")[:, :k]
+                    qi = np.broadcast_to(batch.column("id").to_numpy()[mine][:, None], best.shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(qi.ravel()), pa.array(ids[here][best].ravel()), pa.array(np.take_along_axis(found, best, 1).ravel())], ["query_id", "row_id", "score"])
 
     return _best(marked(rows).mapInArrow(_in_blocks(matched), RESULT), k)
 
@@ -108,7 +112,7 @@ def top_overlap(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
         order = np.argsort(codes, kind="stable")
         having = np.repeat(np.arange(len(ids)), np.diff(bounds))[order]
         first = np.searchsorted(codes[order], np.arange(len(coded.dictionary) + 1))
-        for batch in _opened(place).to_batches(batch_size=QUERY_BLOCK):
+        for batch in _batches(_opened(place)):
             asked, (said, ends) = batch.column("id").to_numpy(), listed(batch.column("w"))
             known = pc.fill_null(pc.index_in(said, value_set=coded.dictionary), -1).to_numpy(zero_copy_only=False)
             found = np.zeros((len(asked), len(ids)))
@@ -132,6 +136,12 @@ def _opened(place: str) -> dataset.Dataset:
     return dataset.dataset(base, filesystem=files, format="parquet")
 
 
+def _batches(data: dataset.Dataset, **options) -> Iterator[pa.RecordBatch]:
+    """Blocks of queries, one after the other: the files' defaults read 16 batches of 4 files ahead, which grows with the queries."""
+    for file in data.get_fragments():
+        yield from dataset.Scanner.from_fragment(file, schema=data.schema, batch_size=QUERY_BLOCK, batch_readahead=1, fragment_readahead=1, use_threads=False, **options).to_batches()
+
+
 def _in_blocks(matched: Callable) -> Callable:
     """A task over batches of rows, in blocks of ROW_BLOCK rows or BLOCK_BYTES at most (or one batch, if that has more)."""
 
