@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from tidemark.operators import search, stages
+from tidemark.plans import streams
 from tidemark.sources import files
 
 
@@ -97,3 +98,12 @@ def test_a_search_holds_few_scores_at_once(spark):
     found = search.top_k(rows.where("id < 600"), rows, 1, "counted").collect()
     del search.METRICS["counted"]
     assert sorted((r["query_id"], r["row_id"]) for r in found) == [(k, k) for k in range(600)]
+
+
+def test_a_copied_table_has_files_by_its_bytes(spark, tmp_path, monkeypatch):
+    spark.range(50_000).repartition(1).write.parquet(str(tmp_path / "t.parquet"))
+    size = sum(p.stat().st_size for p in (tmp_path / "t.parquet").glob("*.parquet"))
+    monkeypatch.setattr(streams, "FILE_BYTES", size // 30, raising=False)
+    monkeypatch.setattr(streams, "folder", lambda s, name: str(tmp_path / "copy"))
+    streams._copied(spark, str(tmp_path), "t", 3)
+    assert len(list((tmp_path / "copy").glob("*.parquet"))) >= 30

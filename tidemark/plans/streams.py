@@ -13,11 +13,22 @@ from tidemark.streaming import follow, stateful, tail
 C = F.col
 
 
+#: Of a table that is copied for a stream, about so many bytes are one file, which one task writes.
+FILE_BYTES = 16 << 20
+
+
+def _stored(df) -> int:
+    """The bytes of the files that a table is read from."""
+    paths = [df.sparkSession._jvm.org.apache.hadoop.fs.Path(x) for x in df.inputFiles()]
+    conf = df.sparkSession._jsc.hadoopConfiguration()
+    return sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+
+
 def _copied(s, d, table, batches):
-    """The table as several files, so that a stream has more than one batch; a batch has as many files as its share of the table
-    has splits when it is read (spark.sql.files.maxPartitionBytes at most), so that no task has more of a larger table."""
+    """The table as several files, so that a stream has more than one batch; a batch has as many files as its share of the
+    table's bytes has FILE_BYTES, however many splits and cores there are, so that no task has more of a larger table."""
     path, rows = folder(s, table), read(s, d, table)
-    files = max(1, -(-rows.rdd.getNumPartitions() // batches))
+    files = max(1, -(-_stored(rows) // (batches * FILE_BYTES)))
     rows.repartition(batches * files).write.parquet(path)
     return tail.source(s, path, rows.schema, files)
 
